@@ -178,10 +178,8 @@ def box_summary(df: DataFrame, by: Sequence[str], value: str, domain: int | None
         "_high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     )
     inside = F.col(value).between(F.col("_low"), F.col("_high"))
-    whiskers = known.join(F.broadcast(fenced) if not by else fenced, list(by)) if by else None
-    if whiskers is None:
-        raise ValueError("box_summary needs at least one grouping column")
-    return whiskers.groupBy(*by).agg(
+    # one row per group on the right: turned into a broadcast once its size is known
+    return known.join(fenced, list(by)).groupBy(*by).agg(
         F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"),
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
