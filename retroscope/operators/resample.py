@@ -241,10 +241,7 @@ def with_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, see
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k n_c)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy()
-    weights = counts.select(
-        label, (F.sum("_n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_n"))).alias(out)
-    )
-    # one row per class on the right
-    return df.join(weights, label)
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
+    n, k = sum(counts.values()), len(counts)
+    pairs = [F.lit(x) for c, m in counts.items() for x in (c, n / (k * m))]
+    return df.withColumn(out, F.element_at(F.create_map(*pairs), F.col(label)))
