@@ -12,21 +12,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _row_loads(terms: np.ndarray, values: np.ndarray, h: np.ndarray, gram: np.ndarray, sweeps: int = 100):
-    """Best non-negative loads of one row given the topics: coordinate descent on k numbers."""
-    target = h[:, terms] @ values
-    w = np.full(len(gram), target.sum() / max(gram.sum(), 1e-12))
-    for _ in range(sweeps):
-        moved = 0.0
-        for j in range(len(w)):
-            if gram[j, j] <= 0:
-                continue
-            new = max(0.0, w[j] + (target[j] - gram[j] @ w) / gram[j, j])
-            moved = max(moved, abs(new - w[j]))
-            w[j] = new
-        if moved < 1e-9:
-            break
-    return w, target
+class _Batch:
+    """Sparse rows of one Arrow batch laid end to end."""
+
+    def __init__(self, idx: pd.Series, val: pd.Series):
+        sizes = idx.map(len).to_numpy()
+        self.n = len(sizes)
+        self.row = np.repeat(np.arange(self.n), sizes)
+        self.idx = np.concatenate([np.asarray(i) for i in idx]) if self.n else np.zeros(0, int)
+        self.val = np.concatenate([np.asarray(v) for v in val]) if self.n else np.zeros(0)
+
+    def loads(self, h: np.ndarray, gram: np.ndarray, sweeps: int = 200):
+        """Best non-negative loads of every row given the topics, by coordinate descent."""
+        target = np.zeros((self.n, len(h)))
+        np.add.at(target, self.row, (h[:, self.idx] * self.val).T)
+        w = np.repeat(target.sum(axis=1, keepdims=True) / max(gram.sum(), 1e-12), len(h), axis=1)
+        for _ in range(sweeps):
+            moved = 0.0
+            for j in np.flatnonzero(np.diag(gram) > 0):
+                new = np.maximum(0.0, w[:, j] + (target[:, j] - w @ gram[:, j]) / gram[j, j])
+                moved = max(moved, float(np.abs(new - w[:, j]).max(initial=0.0)))
+                w[:, j] = new
+            if moved < 1e-9:
+                break
+        return w, target
 
 
 class NmfModel:
@@ -49,8 +58,8 @@ class NmfModel:
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                loads = [_row_loads(np.asarray(i), np.asarray(v), h, gram)[0] for i, v in zip(b["idx"], b["val"])]
-                yield pd.DataFrame({key: b[key], "loads": loads, "topic": [int(np.argmax(w)) for w in loads]})
+                w, _ = _Batch(b["idx"], b["val"]).loads(h, gram)
+                yield pd.DataFrame({key: b[key], "loads": list(w), "topic": w.argmax(axis=1)})
 
         return rows.mapInPandas(assign, f"{key} {kind}, loads array<double>, topic int")
 
@@ -83,17 +92,16 @@ def fit_nmf(rows: DataFrame, terms: list[str], k: int = 10, iterations: int = 20
 
             def partial(batches: Iterator[pd.DataFrame], h=now) -> Iterator[pd.DataFrame]:
                 gram = h @ h.T
-                wx, ww, loss = np.zeros((k, v)), np.zeros((k, k)), 0.0
+                wx, ww, loss = np.zeros((v, k)), np.zeros((k, k)), 0.0
                 for b in batches:
-                    for i, x in zip(b["idx"], b["val"]):
-                        i, x = np.asarray(i), np.asarray(x)
-                        w, target = _row_loads(i, x, h, gram)
-                        wx[:, i] += np.outer(w, x)
-                        ww += np.outer(w, w)
-                        loss += x @ x - 2 * w @ target + w @ gram @ w
-                used = np.flatnonzero(wx.any(axis=0))
+                    held = _Batch(b["idx"], b["val"])
+                    w, target = held.loads(h, gram)
+                    np.add.at(wx, held.idx, w[held.row] * held.val[:, None])
+                    ww += w.T @ w
+                    loss += held.val @ held.val - 2 * (w * target).sum() + ((w @ gram) * w).sum()
+                used = np.flatnonzero(wx.any(axis=1))
                 yield pd.DataFrame({"pos": np.append(used, [-1, -2]),
-                                    "v": [*wx[:, used].T, np.concatenate([ww.ravel()]), np.array([loss])]})
+                                    "v": [*wx[used], ww.ravel(), np.array([loss])]})
 
             parts = rows.select("idx", "val").mapInPandas(partial, "pos int, v array<double>")
             summed = parts.where("pos >= 0").groupBy("pos").agg(
