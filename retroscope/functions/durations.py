@@ -10,24 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retroscope.functions import lexicons as lex
+from retroscope.functions import text as tx
+
+
+_NUMBER = r"(\d+)"
+_UNIT = r"(?i)(day|week|month|year)"
 
 
 def unit_days(unit: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in lex.UNIT_DAYS.items() for x in kv])
-    return F.element_at(table, F.lower(unit))
+    entries = ", ".join(f"'{u}', {d}L" for u, d in lex.UNIT_DAYS.items())
+    return F.try_element_at(F.expr(f"map({entries})"), F.lower(unit))
 
 
 def _number(text: Column) -> Column:
-    """Digits as a number; digit runs too long for one become null."""
-    return F.nullif(text, F.lit("")).try_cast("bigint")
+    """The first digits as a number. Runs too long for one, or long enough to overflow a
+    product, become null: they are out of range in any unit."""
+    digits = F.nullif(F.regexp_extract(text, _NUMBER, 1), F.lit("")).try_cast("bigint")
+    return tx.bind(digits, lambda n: F.when(n < 10**9, n))
 
 
 def _snippets(text: Column, patterns: list[str]) -> Column:
-    return F.array(*[F.regexp_extract(text, p, 0) for p in patterns])
+    """What each pattern matched first, '' where it did not; the text is computed once."""
+    return tx.bind(text, lambda t: F.array(*[F.regexp_extract(t, p, 0) for p in patterns]))
 
 
-def _years_since(snippet: Column, pattern: str, group: int, year: Column) -> Column:
-    named = _number(F.regexp_extract(snippet, pattern, group))
+def _years_since(snippet: Column, year: Column) -> Column:
+    """Whole years from the year at the snippet's end to ``year``, in days; null if not before it."""
+    named = F.right(snippet, F.lit(4)).try_cast("bigint")
     return F.when(named < year, (year - named) * F.lit(365))
 
 
@@ -40,27 +49,19 @@ def with_duration(
     cap: int | None = lex.MAX_DURATION_DAYS,
 ) -> DataFrame:
     """The first pattern that matches decides, also when its value is then out of range."""
-    listed = [p for p, _, _ in patterns] + [lex.YEAR_PATTERN]
-    seen = df.withColumn("_seen", _snippets(F.col(text), [f"(?U){p}" for p in listed]))
-    days = F.lit(None).cast("bigint")
-    for i, (pattern, number, unit) in reversed(list(enumerate(patterns))):
-        hit = F.get(F.col("_seen"), F.lit(i))
-        n = _number(F.regexp_extract(hit, pattern, number))
-        # nine digits are out of range whatever the unit, and a product of more overflows
-        n = F.when(n < 10**9, n)
-        value = n * unit_days(F.regexp_extract(hit, pattern, unit))
-        rest = (
-            _years_since(
-                F.get(F.col("_seen"), F.lit(len(patterns))), lex.YEAR_PATTERN, 2, F.col(year)
-            )
-            if i == len(patterns) - 1
-            else days
-        )
-        days = F.when(hit != "", value).otherwise(rest)
-    result = days if cap is None else F.when(F.col("_days") <= cap, F.col("_days"))
-    if cap is None:
-        return seen.withColumn(out, result).drop("_seen")
-    return seen.withColumn("_days", days).withColumn(out, result).drop("_seen", "_days")
+    listed = [*patterns, lex.YEAR_PATTERN]
+    seen = _snippets(F.col(text), [f"(?U){p}" for p in listed])
+    found = F.transform(seen, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+    first = F.get(F.filter(found, lambda f: f["s"] != ""), F.lit(0))
+
+    def days(f: Column) -> Column:
+        counted = _number(f["s"]) * unit_days(F.regexp_extract(f["s"], _UNIT, 1))
+        return F.when(f["i"] < len(patterns), counted).otherwise(_years_since(f["s"], F.col(year)))
+
+    value = tx.bind(first, days)
+    if cap is not None:
+        value = tx.bind(value, lambda v: F.when(v <= cap, v))
+    return df.withColumn(out, value)
 
 
 def with_refined_duration(
@@ -71,26 +72,20 @@ def with_refined_duration(
 ) -> DataFrame:
     """Fill what is still null: the first pattern with a value in range decides, then a
     month with a year, which is not capped."""
-    n = len(lex.REFINED_PATTERNS)
+    rules = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"), F.lit(d).alias("d"))
+                      for _, n, d in lex.REFINED_PATTERNS])
+    listed = [f"(?iU){p}" for p, _, _ in lex.REFINED_PATTERNS] + [f"(?iU){lex.MONTH_YEAR_PATTERN}"]
+
+    def value(s: Column, i: Column) -> Column:
+        n = F.coalesce(F.get(rules, i)["n"], _number(s))
+        return F.floor(n * unit_days(F.regexp_extract(s, _UNIT, 1)) / F.get(rules, i)["d"]).cast("bigint")
+
+    def pick(seen: Column) -> Column:
+        counted = F.transform(F.slice(seen, 1, len(lex.REFINED_PATTERNS)), value)
+        in_range = F.filter(counted, lambda v: v.between(1, lex.MAX_DURATION_DAYS))
+        since = _years_since(F.element_at(seen, -1), F.coalesce(F.col(year), F.lit(lex.DEFAULT_YEAR)))
+        return F.coalesce(F.get(in_range, F.lit(0)), since)
+
     needed = F.col(out).isNull() & (F.length(F.col(text)) >= lex.REFINED_MIN_CHARS)
-    listed = [f"(?iU){p}" for p, *_ in lex.REFINED_PATTERNS] + [f"(?iU){lex.MONTH_YEAR_PATTERN}"]
-    seen = df.withColumn("_seen", F.when(needed, _snippets(F.col(text), listed)))
-    options = []
-    for i, (pattern, kind, number, unit, divisor) in enumerate(lex.REFINED_PATTERNS):
-        hit = F.get(F.col("_seen"), F.lit(i))
-        if kind == "group":
-            amount = _number(F.regexp_extract(hit, f"(?i){pattern}", number))
-            amount = F.when(amount < 10**9, amount)
-        else:
-            amount = F.lit(number).cast("bigint")
-        days = amount * unit_days(F.regexp_extract(hit, f"(?i){pattern}", unit))
-        if divisor != 1:
-            days = F.floor(days / F.lit(divisor))
-        options.append(F.when((hit != "") & days.between(1, lex.MAX_DURATION_DAYS), days))
-    year_or_default = F.coalesce(F.col(year), F.lit(lex.DEFAULT_YEAR))
-    options.append(
-        _years_since(
-            F.get(F.col("_seen"), F.lit(n)), f"(?i){lex.MONTH_YEAR_PATTERN}", 1, year_or_default
-        )
-    )
-    return seen.withColumn(out, F.coalesce(F.col(out), *options)).drop("_seen")
+    refined = F.when(needed, tx.bind(_snippets(F.col(text), listed), pick)).otherwise(F.col(out))
+    return df.withColumn(out, refined)

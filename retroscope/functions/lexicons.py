@@ -68,26 +68,26 @@ URGENCY_WORDS_V1 = [
 # --- fixed values: durations ----------------------------------------------------------
 UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 
-# (pattern, number group, unit group); tried in order, the first that matches decides
+# tried in order; the first that matches decides. Each holds one number and one unit.
 DURATION_PATTERNS = [
-    (r"(\d+)\s+(day|week|month|year)s?\s+later", 1, 2),
-    (r"after\s+(\d+)\s+(day|week|month|year)s?", 1, 2),
-    (r"(it'?s been|has been)\s+(\d+)\s+(day|week|month|year)s?", 2, 3),
+    r"(\d+)\s+(day|week|month|year)s?\s+later",
+    r"after\s+(\d+)\s+(day|week|month|year)s?",
+    r"(it'?s been|has been)\s+(\d+)\s+(day|week|month|year)s?",
 ]
 YEAR_PATTERN = r"(in|back in)\s+(20\d{2})"
 
-# (pattern, number group or fixed number, unit group, divisor); an out-of-range value
-# falls through to the next pattern
+# (pattern, units meant where no number is written, divisor); an out-of-range value falls
+# through to the next pattern
 REFINED_PATTERNS = [
-    (r"\ba\s+(day|week|month|year)\s+(later|ago)", "fixed", 1, 1, 1),
-    (r"a couple(?:\s+of)?\s+(day|week|month|year)s?", "fixed", 2, 1, 1),
-    (r"a few\s+(day|week|month|year)s?", "fixed", 3, 1, 1),
-    (r"several\s+(day|week|month|year)s?", "fixed", 5, 1, 1),
-    (r"half a\s+(year|month)", "fixed", 1, 1, 2),
-    (r"(\d+)\s+(day|week|month|year)s?\s+ago", "group", 1, 2, 1),
-    (r"over\s+(\d+)\s+(day|week|month|year)s?", "group", 1, 2, 1),
-    (r"almost\s+(\d+)\s+(day|week|month|year)s?", "group", 1, 2, 1),
-    (r"\blast\s+(year|month|week)", "fixed", 1, 1, 1),
+    (r"\ba\s+(day|week|month|year)\s+(later|ago)", 1, 1),
+    (r"a couple(?:\s+of)?\s+(day|week|month|year)s?", 2, 1),
+    (r"a few\s+(day|week|month|year)s?", 3, 1),
+    (r"several\s+(day|week|month|year)s?", 5, 1),
+    (r"half a\s+(year|month)", 1, 2),
+    (r"(\d+)\s+(day|week|month|year)s?\s+ago", None, 1),
+    (r"over\s+(\d+)\s+(day|week|month|year)s?", None, 1),
+    (r"almost\s+(\d+)\s+(day|week|month|year)s?", None, 1),
+    (r"\blast\s+(year|month|week)", 1, 1),
 ]
 MONTH_YEAR_PATTERN = (
     r"(?:in|since|around|back in)\s+"

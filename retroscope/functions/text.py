@@ -1,12 +1,13 @@
 """Text predicates and extractors as Catalyst expressions.
 
-No Python runs per row: phrase lists fold into ``contains`` chains, pattern lists into
-one alternation, sentence picks into array functions. Whole texts are read.
+No Python runs per row: phrase lists are array literals searched with ``contains``, pattern
+lists one alternation, sentence picks array functions. Whole texts are read. Array
+functions keep the generated code small however long the lists are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -48,20 +49,30 @@ def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
     return text.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
 
 
+def strings(items: Sequence[str]) -> Column:
+    """An array literal."""
+    quoted = ", ".join("'" + i.replace("\\", "\\\\").replace("'", "\\'") + "'" for i in items)
+    return F.expr(f"array({quoted})")
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
     """True where one of the phrases occurs as a substring (not bounded by words)."""
-    return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases], F.lit(False))
+    return bind(text, lambda t: F.exists(strings(phrases), lambda p: F.contains(t, p)))
 
 
 def count_phrases(text: Column, phrases: Sequence[str]) -> Column:
     """How many of the listed phrases occur at all; nested phrases each count."""
-    return reduce(lambda a, b: a + b, [text.contains(p).cast("int") for p in phrases], F.lit(0))
+    return F.size(phrases_found(text, phrases))
 
 
 def phrases_found(text: Column, phrases: Sequence[str]) -> Column:
     """The listed phrases that occur, in list order."""
-    listed = F.array(*[F.lit(p) for p in phrases])
-    return F.filter(listed, lambda p: F.contains(text, p))
+    return bind(text, lambda t: F.filter(strings(phrases), lambda p: F.contains(t, p)))
 
 
 def capped_hits(n: Column) -> Column:
@@ -88,8 +99,7 @@ def term_runs(text: Column) -> Column:
 
 def drop_words(words: Column, unwanted: Sequence[str]) -> Column:
     """Keeps repeats of the remaining words, unlike ``array_except``."""
-    listed = F.array(*[F.lit(w) for w in unwanted])
-    return F.filter(words, lambda w: ~F.array_contains(listed, w))
+    return F.filter(words, lambda w: ~F.array_contains(strings(unwanted), w))
 
 
 def ngrams(words: Column, n: int = 2) -> Column:
@@ -158,50 +168,47 @@ def action_before(
     text: Column, start: Column, verbs: Sequence[str] = lex.PAST_ACTION_VERBS
 ) -> Column:
     """First listed verb found left of ``start``."""
-    before = F.substring(text, F.lit(1), start)
-    return first_match([(before.contains(v), v) for v in verbs])
+    return F.get(phrases_found(F.substring(text, F.lit(1), start), verbs), F.lit(0))
 
 
 def classify_event(text: Column, domain: Column, taxonomy=lex.EVENT_TAXONOMY) -> Column:
     """Ordered labels per domain; the first whose phrases occur wins."""
-    lowered = F.lower(text)
-    per_domain = [
-        (name, first_match([(any_phrase(lowered, ps), label) for label, ps in labels],
-                           lex.UNKNOWN_EVENT))
-        for name, labels in taxonomy.items()
-    ]
-    chain = None
-    for name, label in per_domain:
-        hit = F.lower(domain) == F.lit(name)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain.otherwise(F.lit(lex.UNKNOWN_EVENT))
+    def within(lowered: Column) -> Column:
+        chain = None
+        for name, labels in taxonomy.items():
+            hit = F.lower(domain) == F.lit(name)
+            label = first_match(
+                [(F.exists(strings(ps), lambda p: F.contains(lowered, p)), tag) for tag, ps in labels],
+                lex.UNKNOWN_EVENT,
+            )
+            chain = F.when(hit, label) if chain is None else chain.when(hit, label)
+        return chain.otherwise(F.lit(lex.UNKNOWN_EVENT))
+
+    return bind(F.lower(text), within)
 
 
 def keyword_domain(text: Column, keywords=lex.DOMAIN_KEYWORDS) -> Column:
     """Domain with most keywords; ties to the first listed, none to the first listed too."""
-    names = list(keywords)
-    counts = [count_phrases(text, keywords[n]) for n in names]
-    best = F.greatest(*counts)
-    return first_match([(c == best, n) for c, n in zip(counts, names)], names[0])
+    counts = F.array(*[count_phrases(text, words) for words in keywords.values()])
+    return bind(counts, lambda c: F.get(
+        strings(list(keywords)), (F.array_position(c, F.array_max(c)) - 1).cast("int")))
 
 
 def psycholinguistic(text: Column) -> dict[str, Column]:
     """Five phrase rates per thousand words."""
-    lowered = F.lower(text)
     words = word_count(text)
 
-    def rate(n: Column) -> Column:
-        return n / words * F.lit(1000.0)
-
-    return {
-        "agency_score": rate(
-            count_phrases(lowered, lex.AGENCY_ACTIVE) - count_phrases(lowered, lex.AGENCY_PASSIVE)
-        ),
-        "hedging_score": rate(count_phrases(lowered, lex.HEDGING)),
-        "social_embed_score": rate(count_phrases(lowered, lex.SOCIAL_EMBED)),
-        "causal_reasoning_score": rate(count_phrases(lowered, lex.CAUSAL)),
-        "future_orient_score": rate(count_phrases(lowered, lex.FUTURE)),
+    def n(phrases: Sequence[str]) -> Column:
+        return count_phrases(F.lower(text), phrases)
+
+    counts = {
+        "agency_score": n(lex.AGENCY_ACTIVE) - n(lex.AGENCY_PASSIVE),
+        "hedging_score": n(lex.HEDGING),
+        "social_embed_score": n(lex.SOCIAL_EMBED),
+        "causal_reasoning_score": n(lex.CAUSAL),
+        "future_orient_score": n(lex.FUTURE),
     }
+    return {name: c / words * F.lit(1000.0) for name, c in counts.items()}
 
 
 def parse_annotation(reply: Column, schema: str) -> Column:

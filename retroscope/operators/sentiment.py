@@ -24,13 +24,17 @@ def sentiment_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_']+)"), F.lit(1))
 
 
-def _lookup(entries: Mapping[str, float], token: Column, default: float = 0.0) -> Column:
-    table = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), F.lit(float(v)))])
-    return F.coalesce(F.try_element_at(table, token), F.lit(default))
+def _lookup(entries: Mapping[str, float], token: Column) -> Column:
+    """Value of a token, null if not listed."""
+    def quoted(w: str) -> str:
+        return "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    table = ", ".join(f"{quoted(k)}, {float(v)}D" for k, v in entries.items())
+    return F.try_element_at(F.expr(f"map({table})"), token)
 
 
 def _negated(token: Column) -> Column:
-    return token.isin(list(lex.NEGATORS))
+    return F.coalesce(F.array_contains(tx.strings(lex.NEGATORS), token), F.lit(False))
 
 
 def adjusted(valence: Column, before: list[Column]) -> Column:
@@ -38,11 +42,17 @@ def adjusted(valence: Column, before: list[Column]) -> Column:
     sign = F.signum(valence)
     boost = reduce(
         lambda a, b: a + b,
-        [_lookup(lex.BOOSTERS, t) * F.lit(damp) for t, damp in zip(before, lex.DISTANCE_DAMPING)],
+        [F.coalesce(_lookup(lex.BOOSTERS, t), F.lit(0.0)) * F.lit(damp)
+         for t, damp in zip(before, lex.DISTANCE_DAMPING)],
     )
-    negated = reduce(lambda a, b: a | b, [F.coalesce(_negated(t), F.lit(False)) for t in before])
+    negated = reduce(lambda a, b: a | b, [_negated(t) for t in before])
     moved = valence + sign * boost
-    return F.when(valence == 0, F.lit(0.0)).when(negated, moved * F.lit(lex.NEGATION_FACTOR)).otherwise(moved)
+    return tx.bind(moved, lambda m: F.when(negated, m * F.lit(lex.NEGATION_FACTOR)).otherwise(m))
+
+
+def _around_but(value: Column, i: Column, but: Column) -> Column:
+    """What stands before the first "but" counts half, what follows it half as much again."""
+    return value * F.when(but.isNull() | (but == 0) | (i + 1 == but), 1.0).when(i + 1 < but, 0.5).otherwise(1.5)
 
 
 def _emphasis(text: Column) -> Column:
@@ -82,21 +92,24 @@ def inline_sentiment(df: DataFrame, text: Column, lexicon: Mapping[str, float] =
     )
     tokens = F.col("_tokens")
     but = F.array_position(tokens, "but")
+    # only tokens the lexicon lists are looked at in context
+    listed = F.filter(
+        F.transform(tokens, lambda t, i: F.struct(i.alias("i"), _lookup(lexicon, t).alias("v"))),
+        lambda h: h["v"].isNotNull(),
+    )
 
-    def value(token: Column, i: Column) -> Column:
-        before = [F.get(tokens, i - k) for k in (1, 2, 3)]
-        plain = adjusted(_lookup(lexicon, token), before)
-        return F.when((but > 0) & (i + 1 < but), plain * 0.5).when(
-            (but > 0) & (i + 1 > but), plain * 1.5).otherwise(plain)
+    def value(h: Column) -> Column:
+        plain = adjusted(h["v"], [F.get(tokens, h["i"] - k) for k in (1, 2, 3)])
+        return _around_but(plain, h["i"], but)
 
-    staged = staged.withColumn("_values", F.transform(tokens, value))
+    staged = staged.withColumn("_values", F.transform(listed, value))
 
     def side(keep) -> Column:
         part = F.filter("_values", keep)
         return F.struct(F.aggregate(part, F.lit(0.0), lambda a, v: a + v).alias("sum"), F.size(part).alias("n"))
 
     staged = staged.withColumn("_pos", side(lambda v: v > 0)).withColumn("_neg", side(lambda v: v < 0))
-    neutral = F.size("_values") - F.col("_pos")["n"] - F.col("_neg")["n"]
+    neutral = F.size("_tokens") - F.col("_pos")["n"] - F.col("_neg")["n"]
     scored = _scores(F.col("_pos"), F.col("_neg"), neutral, _emphasis(F.col("_text")))
     return staged.select(*df.columns, *[c.alias(f"{prefix}_{k}") for k, c in scored.items()])
 
@@ -117,8 +130,7 @@ def lexicon_join(df: DataFrame, key: str, text: Column, lexicon: DataFrame) -> D
     exploded = base.select(key, F.array_position(tokens, "but").alias("_but"), F.explode(with_context).alias("_e"))
     hits = exploded.select(key, "_but", "_e.*").join(lexicon, "token")
     plain = adjusted(F.col("valence"), [F.col(f"p{k}") for k in (1, 2, 3)])
-    value = F.when((F.col("_but") > 0) & (F.col("i") + 1 < F.col("_but")), plain * 0.5).when(
-        (F.col("_but") > 0) & (F.col("i") + 1 > F.col("_but")), plain * 1.5).otherwise(plain)
+    value = _around_but(plain, F.col("i"), F.col("_but"))
     sums = hits.withColumn("_v", value).groupBy(key).agg(
         F.struct(F.sum(F.when(F.col("_v") > 0, F.col("_v")).otherwise(0.0)).alias("sum"),
                  F.count_if(F.col("_v") > 0).alias("n")).alias("_pos"),
@@ -138,17 +150,16 @@ def lexicon_emotion(df: DataFrame, text: Column, lexicon: Mapping[str, str] = le
     """Adds ``emotion`` (most lexicon words; ties to the first in label order; none: neutral)
     and ``emotion_score`` (its share of the words found)."""
     staged = df.withColumn("_tokens", sentiment_tokens(F.coalesce(text, F.lit(""))))
-    counts = {}
-    for emotion in lex.EMOTIONS:
+    def found(emotion: str) -> Column:
         words = [w for w, e in lexicon.items() if e == emotion]
-        listed = F.array(*[F.lit(w) for w in words]) if words else None
-        counts[emotion] = F.lit(0) if listed is None else F.size(
-            F.filter("_tokens", lambda t, listed=listed: F.array_contains(listed, t)))
-    staged = staged.withColumn("_counts", F.array(*[c.cast("int") for c in counts.values()]))
+        if not words:
+            return F.lit(0)
+        return F.size(F.filter("_tokens", lambda t: F.array_contains(tx.strings(words), t)))
+
+    staged = staged.withColumn("_counts", F.array(*[found(e) for e in lex.EMOTIONS]))
     best = F.array_max("_counts")
     total = F.aggregate("_counts", F.lit(0), lambda a, c: a + c)
-    labels = F.array(*[F.lit(e) for e in counts])
-    label = F.get(labels, (F.array_position("_counts", best) - 1).cast("int"))
+    label = F.get(tx.strings(lex.EMOTIONS), (F.array_position("_counts", best) - 1).cast("int"))
     return staged.select(
         *df.columns,
         F.when(best > 0, label).otherwise(F.lit("neutral")).alias("emotion"),

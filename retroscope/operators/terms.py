@@ -85,10 +85,13 @@ def log_odds_early_late(df: DataFrame, words: Column, days: str, min_side: int =
 
 def word_rates(df: DataFrame, by: str, tokens: Column, words: Sequence[str] = lex.MODAL_VERBS) -> DataFrame:
     """Count and rate per 1000 tokens of each listed word per group."""
+    def uses(word: str) -> Column:
+        return F.size(F.filter("_t", lambda t: t == F.lit(word)))
+
     prepared = df.select(by, tokens.alias("_t"))
     sums = prepared.groupBy(by).agg(
         F.sum(F.size("_t")).alias("_total"),
-        *[F.sum(F.size(F.filter("_t", lambda t, w=w: t == F.lit(w)))).alias(w) for w in words],
+        *[F.sum(uses(w)).alias(w) for w in words],
     )
     cells = F.array(*[F.struct(F.lit(w).alias("word"), F.col(w).alias("n")) for w in words])
     return sums.select(by, "_total", F.inline(cells)).select(

@@ -45,9 +45,7 @@ BODIES = [
 def posts_of_documents(documents: DataFrame) -> DataFrame:
     """Documents as posts: a title and an opening from the phrase bank, then the whole text."""
     n = F.col("doc_id")
-    titles = F.array(*[F.lit(t) for t in TITLES])
-    bodies = F.array(*[F.lit(b) for b in BODIES])
-    domains = F.array(*[F.lit(d) for d in lex.DOMAINS])
+    titles, bodies, domains = tx.strings(TITLES), tx.strings(BODIES), tx.strings(lex.DOMAINS)
     made = F.timestamp_add("DAY", (n * 37 % 5000).cast("int"), F.lit("2012-01-01").cast("timestamp_ntz"))
     return documents.select(
         F.concat(F.lit("d"), n).alias("id"), n.alias("doc_id"),
@@ -96,21 +94,21 @@ def structure_posts_v1(kept: DataFrame) -> DataFrame:
 def enrich_posts(structured: DataFrame, lexicon: Mapping[str, float] = lex.DEMO_VALENCE) -> DataFrame:
     """Sentiment, refined durations, event type, emotion and psycholinguistic rates."""
     spoken = tx.fallback_text(F.col("regret_sentence"), F.col("title"))
-    scored = sentiment.inline_sentiment(structured, spoken, lexicon)
-    scored = durations.with_refined_duration(scored)
-    scored = scored.withColumn("event_type", tx.classify_event(
-        F.concat_ws(" ", "full_text", "regret_sentence"), F.col("domain")
-    ))
-    scored = sentiment.lexicon_emotion(scored, tx.fallback_text(F.col("regret_sentence"), F.col("title")))
-    for name, rate in tx.psycholinguistic(F.col("full_text")).items():
-        scored = scored.withColumn(name, rate)
-    return with_engagement(scored)
+    scored = durations.with_refined_duration(sentiment.inline_sentiment(structured, spoken, lexicon))
+    scored = sentiment.lexicon_emotion(scored, spoken)
+    everything = F.concat_ws(" ", "full_text", "regret_sentence")
+    return with_engagement(scored.withColumns({
+        "event_type": tx.classify_event(everything, F.col("domain")),
+        **tx.psycholinguistic(F.col("full_text")),
+    }))
 
 
 def with_engagement(df: DataFrame) -> DataFrame:
-    return df.withColumn("comment_count_log", F.log1p(F.coalesce(F.col("num_comments"), F.lit(0)))).withColumn(
-        "score_log", F.log1p(F.coalesce(F.col("score"), F.lit(0)))
-    ).withColumn("log_post_length", F.log1p(F.length(F.coalesce("full_text", F.lit("")))))
+    return df.withColumns({
+        "comment_count_log": F.log1p(F.coalesce(F.col("num_comments"), F.lit(0))),
+        "score_log": F.log1p(F.coalesce(F.col("score"), F.lit(0))),
+        "log_post_length": F.log1p(F.length(F.coalesce("full_text", F.lit("")))),
+    })
 
 
 def structured_from_documents(documents: DataFrame) -> DataFrame:
