@@ -1,43 +1,51 @@
 """Durations in days read from free text.
 
 Each pattern is run once over the text; what it matched is kept as a short snippet and
-number and unit are read from the snippet.
+number and unit are read from the snippet. Texts are lower-cased.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retroscope.functions import lexicons as lex
-from retroscope.functions import text as tx
+from retroscope.functions.text import bind_sql, holds_sql, quoted
 
 
-_NUMBER = r"(\d+)"
-_UNIT = r"(?i)(day|week|month|year)"
+def unit_days_sql(unit: str) -> str:
+    entries = ", ".join(f"'{u}', {d}L" for u, d in lex.UNIT_DAYS.items())
+    return f"try_element_at(map({entries}), lower({unit}))"
 
 
-def unit_days(unit: Column) -> Column:
-    entries = ", ".join(f"'{u}', {d}L" for u, d in lex.UNIT_DAYS.items())
-    return F.try_element_at(F.expr(f"map({entries})"), F.lower(unit))
+def _days_of(snippet: str) -> str:
+    return unit_days_sql(f"regexp_extract({snippet}, '(day|week|month|year)', 1)")
 
 
-def _number(text: Column) -> Column:
+def _number(snippet: str) -> str:
     """The first digits as a number. Runs too long for one, or long enough to overflow a
     product, become null: they are out of range in any unit."""
-    digits = F.nullif(F.regexp_extract(text, _NUMBER, 1), F.lit("")).try_cast("bigint")
-    return tx.bind(digits, lambda n: F.when(n < 10**9, n))
+    digits = f"try_cast(nullif(regexp_extract({snippet}, '(\\\\d+)', 1), '') AS bigint)"
+    return bind_sql(digits, "_n", "CASE WHEN _n < 1000000000 THEN _n END")
+
 
+def _snippets(text: str, patterns: list[tuple[str, list[str]]]) -> str:
+    """What each pattern matched first, '' where it did not.
 
-def _snippets(text: Column, patterns: list[str]) -> Column:
-    """What each pattern matched first, '' where it did not; the text is computed once."""
-    return tx.bind(text, lambda t: F.array(*[F.regexp_extract(t, p, 0) for p in patterns]))
+    Each comes with words of which any match must hold one; a byte search for those spares
+    most texts the regex engine.
+    """
+    each = ", ".join(
+        f"CASE WHEN {holds_sql('_x', words)} THEN regexp_extract(_x, {quoted('(?U)' + p)}, 0) ELSE '' END"
+        for p, words in patterns
+    )
+    return bind_sql(text, "_x", f"array({each})")
 
 
-def _years_since(snippet: Column, year: Column) -> Column:
+def _years_since(snippet: str, year: str) -> str:
     """Whole years from the year at the snippet's end to ``year``, in days; null if not before it."""
-    named = F.right(snippet, F.lit(4)).try_cast("bigint")
-    return F.when(named < year, (year - named) * F.lit(365))
+    named = f"try_cast(right({snippet}, 4) AS bigint)"
+    return bind_sql(named, "_y", f"CASE WHEN _y < {year} THEN ({year} - _y) * 365 END")
 
 
 def with_duration(
@@ -49,19 +57,16 @@ def with_duration(
     cap: int | None = lex.MAX_DURATION_DAYS,
 ) -> DataFrame:
     """The first pattern that matches decides, also when its value is then out of range."""
-    listed = [*patterns, lex.YEAR_PATTERN]
-    seen = _snippets(F.col(text), [f"(?U){p}" for p in listed])
-    found = F.transform(seen, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    first = F.get(F.filter(found, lambda f: f["s"] != ""), F.lit(0))
-
-    def days(f: Column) -> Column:
-        counted = _number(f["s"]) * unit_days(F.regexp_extract(f["s"], _UNIT, 1))
-        return F.when(f["i"] < len(patterns), counted).otherwise(_years_since(f["s"], F.col(year)))
-
-    value = tx.bind(first, days)
+    seen = _snippets(text, [*patterns, lex.YEAR_PATTERN])
+    found = f"filter(transform({seen}, (_s, _i) -> struct(_s AS s, _i AS i)), _f -> _f.s != '')"
+    value = bind_sql(
+        f"get({found}, 0)", "_h",
+        f"CASE WHEN _h.i < {len(patterns)} THEN {_number('_h.s')} * {_days_of('_h.s')} "
+        f"ELSE {_years_since('_h.s', year)} END",
+    )
     if cap is not None:
-        value = tx.bind(value, lambda v: F.when(v <= cap, v))
-    return df.withColumn(out, value)
+        value = bind_sql(value, "_d", f"CASE WHEN _d <= {cap} THEN _d END")
+    return df.withColumn(out, F.expr(value))
 
 
 def with_refined_duration(
@@ -72,20 +77,17 @@ def with_refined_duration(
 ) -> DataFrame:
     """Fill what is still null: the first pattern with a value in range decides, then a
     month with a year, which is not capped."""
-    rules = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"), F.lit(d).alias("d"))
-                      for _, n, d in lex.REFINED_PATTERNS])
-    listed = [f"(?iU){p}" for p, _, _ in lex.REFINED_PATTERNS] + [f"(?iU){lex.MONTH_YEAR_PATTERN}"]
-
-    def value(s: Column, i: Column) -> Column:
-        n = F.coalesce(F.get(rules, i)["n"], _number(s))
-        return F.floor(n * unit_days(F.regexp_extract(s, _UNIT, 1)) / F.get(rules, i)["d"]).cast("bigint")
-
-    def pick(seen: Column) -> Column:
-        counted = F.transform(F.slice(seen, 1, len(lex.REFINED_PATTERNS)), value)
-        in_range = F.filter(counted, lambda v: v.between(1, lex.MAX_DURATION_DAYS))
-        since = _years_since(F.element_at(seen, -1), F.coalesce(F.col(year), F.lit(lex.DEFAULT_YEAR)))
-        return F.coalesce(F.get(in_range, F.lit(0)), since)
-
-    needed = F.col(out).isNull() & (F.length(F.col(text)) >= lex.REFINED_MIN_CHARS)
-    refined = F.when(needed, tx.bind(_snippets(F.col(text), listed), pick)).otherwise(F.col(out))
-    return df.withColumn(out, refined)
+    n = len(lex.REFINED_PATTERNS)
+    units = ", ".join("CAST(NULL AS bigint)" if u is None else f"{u}L" for _, u, _ in lex.REFINED_PATTERNS)
+    divisors = ", ".join(str(d) for _, _, d in lex.REFINED_PATTERNS)
+    listed = [*[p for p, _, _ in lex.REFINED_PATTERNS], lex.MONTH_YEAR_PATTERN]
+    counted = (
+        f"transform(slice(_seen, 1, {n}), (_s, _i) -> "
+        f"coalesce(get(array({units}), _i), {_number('_s')}) * {_days_of('_s')} DIV get(array({divisors}), _i))"
+    )
+    in_range = f"get(filter({counted}, _v -> _v BETWEEN 1 AND {lex.MAX_DURATION_DAYS}), 0)"
+    since = _years_since("element_at(_seen, -1)", f"coalesce({year}, {lex.DEFAULT_YEAR})")
+    picked = bind_sql(_snippets(f"lower({text})", listed), "_seen", f"coalesce({in_range}, {since})")
+    return df.withColumn(out, F.expr(
+        f"CASE WHEN {out} IS NULL AND length({text}) >= {lex.REFINED_MIN_CHARS} THEN {picked} ELSE {out} END"
+    ))

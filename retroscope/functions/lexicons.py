@@ -68,32 +68,34 @@ URGENCY_WORDS_V1 = [
 # --- fixed values: durations ----------------------------------------------------------
 UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 
-# tried in order; the first that matches decides. Each holds one number and one unit.
+# (pattern, words of which any match holds one); tried in order, the first that matches
+# decides. Each holds one number and one unit.
 DURATION_PATTERNS = [
-    r"(\d+)\s+(day|week|month|year)s?\s+later",
-    r"after\s+(\d+)\s+(day|week|month|year)s?",
-    r"(it'?s been|has been)\s+(\d+)\s+(day|week|month|year)s?",
+    (r"(\d+)\s+(day|week|month|year)s?\s+later", ["later"]),
+    (r"after\s+(\d+)\s+(day|week|month|year)s?", ["after"]),
+    (r"(it'?s been|has been)\s+(\d+)\s+(day|week|month|year)s?", ["s been"]),
 ]
-YEAR_PATTERN = r"(in|back in)\s+(20\d{2})"
+YEAR_PATTERN = (r"(in|back in)\s+(20\d{2})", ["20"])
 
-# (pattern, units meant where no number is written, divisor); an out-of-range value falls
-# through to the next pattern
+# ((pattern, words), units meant where no number is written, divisor); an out-of-range value
+# falls through to the next pattern
 REFINED_PATTERNS = [
-    (r"\ba\s+(day|week|month|year)\s+(later|ago)", 1, 1),
-    (r"a couple(?:\s+of)?\s+(day|week|month|year)s?", 2, 1),
-    (r"a few\s+(day|week|month|year)s?", 3, 1),
-    (r"several\s+(day|week|month|year)s?", 5, 1),
-    (r"half a\s+(year|month)", 1, 2),
-    (r"(\d+)\s+(day|week|month|year)s?\s+ago", None, 1),
-    (r"over\s+(\d+)\s+(day|week|month|year)s?", None, 1),
-    (r"almost\s+(\d+)\s+(day|week|month|year)s?", None, 1),
-    (r"\blast\s+(year|month|week)", 1, 1),
+    ((r"\ba\s+(day|week|month|year)\s+(later|ago)", ["later", "ago"]), 1, 1),
+    ((r"a couple(?:\s+of)?\s+(day|week|month|year)s?", ["a couple"]), 2, 1),
+    ((r"a few\s+(day|week|month|year)s?", ["a few"]), 3, 1),
+    ((r"several\s+(day|week|month|year)s?", ["several"]), 5, 1),
+    ((r"half a\s+(year|month)", ["half a"]), 1, 2),
+    ((r"(\d+)\s+(day|week|month|year)s?\s+ago", ["ago"]), None, 1),
+    ((r"over\s+(\d+)\s+(day|week|month|year)s?", ["over"]), None, 1),
+    ((r"almost\s+(\d+)\s+(day|week|month|year)s?", ["almost"]), None, 1),
+    ((r"\blast\s+(year|month|week)", ["last"]), 1, 1),
 ]
 MONTH_YEAR_PATTERN = (
     r"(?:in|since|around|back in)\s+"
     r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|"
     r"jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-    r"\s+(20\d{2})"
+    r"\s+(20\d{2})",
+    ["20"],
 )
 REFINED_MIN_CHARS = 10
 

@@ -8,7 +8,6 @@ With a full lexicon table the tokens that matter are joined to it.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,39 +19,26 @@ from retroscope.functions import text as tx
 MAX_INLINE = 200
 
 
-def sentiment_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_']+)"), F.lit(1))
-
-
-def _lookup(entries: Mapping[str, float], token: Column) -> Column:
+def _map_sql(entries: Mapping[str, float], token: str) -> str:
     """Value of a token, null if not listed."""
-    def quoted(w: str) -> str:
-        return "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-    table = ", ".join(f"{quoted(k)}, {float(v)}D" for k, v in entries.items())
-    return F.try_element_at(F.expr(f"map({table})"), token)
-
-
-def _negated(token: Column) -> Column:
-    return F.coalesce(F.array_contains(tx.strings(lex.NEGATORS), token), F.lit(False))
+    table = ", ".join(f"{tx.quoted(k)}, {float(v)}D" for k, v in entries.items())
+    return f"try_element_at(map({table}), {token})"
 
 
-def adjusted(valence: Column, before: list[Column]) -> Column:
+def adjusted_sql(valence: str, before: list[str]) -> str:
     """Valence after its context; ``before`` holds the previous tokens, nearest first."""
-    sign = F.signum(valence)
-    boost = reduce(
-        lambda a, b: a + b,
-        [F.coalesce(_lookup(lex.BOOSTERS, t), F.lit(0.0)) * F.lit(damp)
-         for t, damp in zip(before, lex.DISTANCE_DAMPING)],
+    boost = " + ".join(
+        f"coalesce({_map_sql(lex.BOOSTERS, t)}, 0D) * {damp}D" for t, damp in zip(before, lex.DISTANCE_DAMPING)
     )
-    negated = reduce(lambda a, b: a | b, [_negated(t) for t in before])
-    moved = valence + sign * boost
-    return tx.bind(moved, lambda m: F.when(negated, m * F.lit(lex.NEGATION_FACTOR)).otherwise(m))
+    negated = " OR ".join(f"coalesce(array_contains({tx.array_sql(lex.NEGATORS)}, {t}), false)" for t in before)
+    return (f"({valence} + signum({valence}) * ({boost})) "
+            f"* CASE WHEN {negated} THEN {lex.NEGATION_FACTOR}D ELSE 1D END")
 
 
-def _around_but(value: Column, i: Column, but: Column) -> Column:
+def _around_but_sql(value: str, i: str, but: str) -> str:
     """What stands before the first "but" counts half, what follows it half as much again."""
-    return value * F.when(but.isNull() | (but == 0) | (i + 1 == but), 1.0).when(i + 1 < but, 0.5).otherwise(1.5)
+    return (f"{value} * CASE WHEN {but} = 0 OR {i} + 1 = {but} THEN 1D "
+            f"WHEN {i} + 1 < {but} THEN 0.5D ELSE 1.5D END")
 
 
 def _emphasis(text: Column) -> Column:
@@ -82,27 +68,20 @@ def _scores(pos: Column, neg: Column, neutral: Column, emphasis: Column) -> dict
             "neu": share(neutral)}
 
 
-def inline_sentiment(df: DataFrame, text: Column, lexicon: Mapping[str, float] = lex.DEMO_VALENCE,
+def inline_sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] = lex.DEMO_VALENCE,
                      prefix: str = "vader") -> DataFrame:
     """Adds <prefix>_compound/neg/pos/neu without leaving the row."""
     if len(lexicon) > MAX_INLINE:
         raise ValueError("use lexicon_join for a lexicon of this size")
-    staged = df.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn(
-        "_tokens", sentiment_tokens(F.col("_text"))
+    staged = df.withColumn("_text", F.expr(f"coalesce({text}, '')")).withColumn(
+        "_tokens", tx.sentiment_tokens("_text")
     )
-    tokens = F.col("_tokens")
-    but = F.array_position(tokens, "but")
     # only tokens the lexicon lists are looked at in context
-    listed = F.filter(
-        F.transform(tokens, lambda t, i: F.struct(i.alias("i"), _lookup(lexicon, t).alias("v"))),
-        lambda h: h["v"].isNotNull(),
-    )
-
-    def value(h: Column) -> Column:
-        plain = adjusted(h["v"], [F.get(tokens, h["i"] - k) for k in (1, 2, 3)])
-        return _around_but(plain, h["i"], but)
-
-    staged = staged.withColumn("_values", F.transform(listed, value))
+    listed = (f"filter(transform(_tokens, (_w, _i) -> struct(_i AS i, {_map_sql(lexicon, '_w')} AS v)), "
+              "_h -> _h.v IS NOT NULL)")
+    value = adjusted_sql("_h.v", [f"get(_tokens, _h.i - {k})" for k in (1, 2, 3)])
+    value = _around_but_sql(value, "_h.i", "array_position(_tokens, 'but')")
+    staged = staged.withColumn("_values", F.expr(f"transform({listed}, _h -> {value})"))
 
     def side(keep) -> Column:
         part = F.filter("_values", keep)
@@ -114,14 +93,14 @@ def inline_sentiment(df: DataFrame, text: Column, lexicon: Mapping[str, float] =
     return staged.select(*df.columns, *[c.alias(f"{prefix}_{k}") for k, c in scored.items()])
 
 
-def lexicon_join(df: DataFrame, key: str, text: Column, lexicon: DataFrame) -> DataFrame:
+def lexicon_join(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """(key, compound, neg, pos, neu) with ``lexicon`` a (token, valence) table of any size.
 
     Context travels with each token, so only tokens found in the lexicon are shuffled, and
     those are summed per row inside each task first.
     """
-    base = df.select(key, F.coalesce(text, F.lit("")).alias("_text")).withColumn(
-        "_tokens", sentiment_tokens(F.col("_text"))
+    base = df.select(key, F.expr(f"coalesce({text}, '')").alias("_text")).withColumn(
+        "_tokens", tx.sentiment_tokens("_text")
     )
     tokens = F.col("_tokens")
     with_context = F.transform(tokens, lambda t, i: F.struct(
@@ -129,9 +108,8 @@ def lexicon_join(df: DataFrame, key: str, text: Column, lexicon: DataFrame) -> D
     ))
     exploded = base.select(key, F.array_position(tokens, "but").alias("_but"), F.explode(with_context).alias("_e"))
     hits = exploded.select(key, "_but", "_e.*").join(lexicon, "token")
-    plain = adjusted(F.col("valence"), [F.col(f"p{k}") for k in (1, 2, 3)])
-    value = _around_but(plain, F.col("i"), F.col("_but"))
-    sums = hits.withColumn("_v", value).groupBy(key).agg(
+    value = _around_but_sql(adjusted_sql("valence", ["p1", "p2", "p3"]), "i", "_but")
+    sums = hits.withColumn("_v", F.expr(value)).groupBy(key).agg(
         F.struct(F.sum(F.when(F.col("_v") > 0, F.col("_v")).otherwise(0.0)).alias("sum"),
                  F.count_if(F.col("_v") > 0).alias("n")).alias("_pos"),
         F.struct(F.sum(F.when(F.col("_v") < 0, F.col("_v")).otherwise(0.0)).alias("sum"),
@@ -146,28 +124,25 @@ def lexicon_join(df: DataFrame, key: str, text: Column, lexicon: DataFrame) -> D
     return full.select(key, *[c.alias(k) for k, c in scored.items()])
 
 
-def lexicon_emotion(df: DataFrame, text: Column, lexicon: Mapping[str, str] = lex.DEMO_EMOTION) -> DataFrame:
+def lexicon_emotion(df: DataFrame, text: str, lexicon: Mapping[str, str] = lex.DEMO_EMOTION) -> DataFrame:
     """Adds ``emotion`` (most lexicon words; ties to the first in label order; none: neutral)
     and ``emotion_score`` (its share of the words found)."""
-    staged = df.withColumn("_tokens", sentiment_tokens(F.coalesce(text, F.lit(""))))
-    def found(emotion: str) -> Column:
+    def found(emotion: str) -> str:
         words = [w for w, e in lexicon.items() if e == emotion]
-        if not words:
-            return F.lit(0)
-        return F.size(F.filter("_tokens", lambda t: F.array_contains(tx.strings(words), t)))
-
-    staged = staged.withColumn("_counts", F.array(*[found(e) for e in lex.EMOTIONS]))
-    best = F.array_max("_counts")
-    total = F.aggregate("_counts", F.lit(0), lambda a, c: a + c)
-    label = F.get(tx.strings(lex.EMOTIONS), (F.array_position("_counts", best) - 1).cast("int"))
+        return f"size(filter(_tokens, _w -> array_contains({tx.array_sql(words)}, _w)))" if words else "0"
+
+    staged = df.withColumn("_tokens", tx.sentiment_tokens(f"coalesce({text}, '')")).withColumn(
+        "_counts", F.expr(f"array({', '.join(found(e) for e in lex.EMOTIONS)})"))
+    label = f"get({tx.array_sql(lex.EMOTIONS)}, int(array_position(_counts, array_max(_counts)) - 1))"
+    share = "round(array_max(_counts) / aggregate(_counts, 0, (_a, _c) -> _a + _c), 4)"
     return staged.select(
         *df.columns,
-        F.when(best > 0, label).otherwise(F.lit("neutral")).alias("emotion"),
-        F.when(best > 0, F.round(best / total, 4)).otherwise(F.lit(1.0)).alias("emotion_score"),
+        F.expr(f"CASE WHEN array_max(_counts) > 0 THEN {label} ELSE 'neutral' END").alias("emotion"),
+        F.expr(f"CASE WHEN array_max(_counts) > 0 THEN {share} ELSE 1D END").alias("emotion_score"),
     )
 
 
-def model_labels(df: DataFrame, text: Column, make_predict, batch_size: int = 64, out: str = "emotion") -> DataFrame:
+def model_labels(df: DataFrame, text: str, make_predict, batch_size: int = 64, out: str = "emotion") -> DataFrame:
     """Labels from a supplied model: ``make_predict`` loads it once per worker and returns a
     function from a string array to {"label": ..., "score": ...}."""
     from pyspark.ml.functions import predict_batch_udf
@@ -178,14 +153,14 @@ def model_labels(df: DataFrame, text: Column, make_predict, batch_size: int = 64
         return_type=T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]),
         batch_size=batch_size,
     )
-    staged = df.withColumn("_p", predict(tx.fallback_text(F.lit(None), text)))
+    staged = df.withColumn("_p", predict(F.expr(f"coalesce({text}, '')")))
     return staged.select(*df.columns, F.col("_p.label").alias(out), F.round("_p.score", 4).alias(f"{out}_score"))
 
 
-def model_vectors(df: DataFrame, text: Column, make_encode, batch_size: int = 128, out: str = "embedding") -> DataFrame:
+def model_vectors(df: DataFrame, text: str, make_encode, batch_size: int = 128, out: str = "embedding") -> DataFrame:
     """Vectors from a supplied encoder, in batches."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
 
     encode = predict_batch_udf(make_encode, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return df.withColumn(out, encode(F.coalesce(text, F.lit(""))))
+    return df.withColumn(out, encode(F.expr(f"coalesce({text}, '')")))

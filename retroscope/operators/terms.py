@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.functions import lexicons as lex
-from retroscope.functions import text as tx
-
-
-def contrast_words(text: Column, stopwords: Sequence[str] = lex.STOPWORDS) -> Column:
-    return tx.drop_words(tx.tokens(text), stopwords)
 
 
 def term_counts(df: DataFrame, words: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -101,10 +96,6 @@ def word_rates(df: DataFrame, by: str, tokens: Column, words: Sequence[str] = le
 
 
 # --- TF-IDF -------------------------------------------------------------------------
-def with_bigrams(words: Column) -> Column:
-    return F.concat(words, tx.ngrams(words, 2))
-
-
 def term_frequencies(df: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, term, tf). Rows are spread by key first, so everything per row stays in place."""
     spread = df.select(key, terms.alias("_terms")).repartition(F.col(key))

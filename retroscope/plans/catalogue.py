@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retroscope.plans import posts
-from retroscope.sources.readers import table
+from retroscope.sources.readers import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,7 +56,7 @@ def query(spec: str, sql: str | None = None, ctes: list[str] | None = None):
 
 
 def documents(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def structured(spark, d):

@@ -28,7 +28,7 @@ from retroscope.operators import metrics, resample
 
 def spoken(df: DataFrame) -> DataFrame:
     """``spoken``: the text the models read; ``has_time``: whether a duration is known."""
-    return df.withColumn("spoken", tx.fallback_text(F.col("regret_sentence"), F.col("title"))).withColumn(
+    return df.withColumn("spoken", tx.fallback_text()).withColumn(
         "has_time", F.col("time_to_regret_days").isNotNull().cast("int"))
 
 

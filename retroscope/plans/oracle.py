@@ -61,17 +61,17 @@ def years_since(text: str, pattern: str, group: int, year: str) -> str:
 
 def duration(text: str, year: str, patterns=lex.DURATION_PATTERNS, cap=lex.MAX_DURATION_DAYS) -> str:
     options = []
-    for p in patterns:
+    for p, _ in patterns:
         n, u = (2, 3) if p.startswith("(it") else (1, 2)
         days = f"(CASE WHEN {number(text, p, n)} < 1000000000 THEN {number(text, p, n)} END) * ({unit_days(f'regexp_extract({text}, {q(p)}, {u})')})"
         options.append((f"regexp_matches({text}, {q(p)})", days))
-    raw = first_match(options, years_since(text, lex.YEAR_PATTERN, 2, year))
+    raw = first_match(options, years_since(text, lex.YEAR_PATTERN[0], 2, year))
     return raw if cap is None else f"(SELECT CASE WHEN d <= {cap} THEN d END FROM (SELECT {raw} AS d))"
 
 
 def refined(text: str, year: str) -> str:
     options = []
-    for p, fixed, divisor in lex.REFINED_PATTERNS:
+    for (p, _), fixed, divisor in lex.REFINED_PATTERNS:
         amount, u = (str(fixed), 1) if fixed else (number(text, p, 1), 2)
         if not fixed:
             amount = f"(CASE WHEN {amount} < 1000000000 THEN {amount} END)"
@@ -79,7 +79,7 @@ def refined(text: str, year: str) -> str:
         if divisor != 1:
             days = f"({days} // {divisor})"
         options.append(f"(CASE WHEN regexp_matches({text}, {q(p)}) AND {days} BETWEEN 1 AND 3650 THEN {days} END)")
-    options.append("(" + years_since(text, lex.MONTH_YEAR_PATTERN, 1, year) + ")")
+    options.append("(" + years_since(text, lex.MONTH_YEAR_PATTERN[0], 1, year) + ")")
     return f"CASE WHEN length({text}) >= 10 THEN coalesce({', '.join(options)}) END"
 
 

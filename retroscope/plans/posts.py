@@ -45,7 +45,7 @@ BODIES = [
 def posts_of_documents(documents: DataFrame) -> DataFrame:
     """Documents as posts: a title and an opening from the phrase bank, then the whole text."""
     n = F.col("doc_id")
-    titles, bodies, domains = tx.strings(TITLES), tx.strings(BODIES), tx.strings(lex.DOMAINS)
+    titles, bodies, domains = (F.expr(tx.array_sql(x)) for x in (TITLES, BODIES, lex.DOMAINS))
     made = F.timestamp_add("DAY", (n * 37 % 5000).cast("int"), F.lit("2012-01-01").cast("timestamp_ntz"))
     return documents.select(
         F.concat(F.lit("d"), n).alias("id"), n.alias("doc_id"),
@@ -60,46 +60,44 @@ def posts_of_documents(documents: DataFrame) -> DataFrame:
 
 def keep_posts(posts: DataFrame) -> DataFrame:
     """Posts in the first person about something done, hypotheticals left out."""
-    flagged = posts.withColumn("full_text", tx.full_text(F.col("title"), F.col("selftext"))).withColumn(
-        "keep", tx.any_pattern(F.col("full_text"), lex.KEEP_PATTERNS)
-    ).withColumn("exclude", tx.any_pattern(F.col("full_text"), lex.EXCLUDE_PATTERNS))
-    return flagged.where(F.col("keep") & ~F.col("exclude"))
+    flagged = posts.withColumn("full_text", tx.full_text()).withColumns({
+        "keep": tx.any_pattern("full_text", lex.KEEP_PATTERNS),
+        "exclude": tx.any_pattern("full_text", lex.EXCLUDE_PATTERNS),
+    })
+    return flagged.where("keep AND NOT exclude")
 
 
 def structure_posts(kept: DataFrame) -> DataFrame:
     """Sentence, negation, label, urgency and duration of each kept post."""
-    text = F.col("full_text")
-    staged = kept.withColumn("regret_sentence", tx.regret_sentence(text)).withColumn(
-        "negated_regret", tx.any_phrase(text, lex.NEGATED_PHRASES)
-    )
-    acted = tx.any_phrase(text, lex.REVERSAL_ACTIONS)
-    labelled = staged.withColumn(
-        "reversal", (acted & (F.length("regret_sentence") > 0) & ~F.col("negated_regret")).cast("int")
-    ).withColumn("urgency_score", tx.count_phrases(text, lex.URGENCY_WORDS))
+    staged = kept.withColumns({
+        "regret_sentence": tx.regret_sentence(),
+        "negated_regret": tx.any_phrase("full_text", lex.NEGATED_PHRASES),
+        "urgency_score": tx.count_phrases("full_text", lex.URGENCY_WORDS),
+    })
+    told = (F.length("regret_sentence") > 0) & ~F.col("negated_regret")
+    labelled = staged.withColumn("reversal", (told & tx.any_phrase("full_text", lex.REVERSAL_ACTIONS)).cast("int"))
     return durations.with_duration(labelled)
 
 
 def structure_posts_v1(kept: DataFrame) -> DataFrame:
     """The first version: action phrases in the sentence only, three duration patterns, no cap."""
-    text = F.col("full_text")
-    staged = kept.withColumn("regret_sentence", tx.regret_sentence(text)).withColumn(
-        "decision_sentence", tx.decision_sentence(text)
-    )
-    labelled = staged.withColumn(
-        "reversal", tx.any_phrase(F.col("regret_sentence"), lex.REVERSAL_ACTIONS_V1).cast("int")
-    ).withColumn("urgency_score", tx.count_phrases(text, lex.URGENCY_WORDS_V1))
+    staged = kept.withColumns({
+        "regret_sentence": tx.regret_sentence(),
+        "decision_sentence": tx.decision_sentence(),
+        "urgency_score": tx.count_phrases("full_text", lex.URGENCY_WORDS_V1),
+    })
+    labelled = staged.withColumn("reversal", tx.any_phrase("regret_sentence", lex.REVERSAL_ACTIONS_V1).cast("int"))
     return durations.with_duration(labelled, patterns=lex.DURATION_PATTERNS[:2], cap=None)
 
 
 def enrich_posts(structured: DataFrame, lexicon: Mapping[str, float] = lex.DEMO_VALENCE) -> DataFrame:
     """Sentiment, refined durations, event type, emotion and psycholinguistic rates."""
-    spoken = tx.fallback_text(F.col("regret_sentence"), F.col("title"))
-    scored = durations.with_refined_duration(sentiment.inline_sentiment(structured, spoken, lexicon))
-    scored = sentiment.lexicon_emotion(scored, spoken)
-    everything = F.concat_ws(" ", "full_text", "regret_sentence")
+    scored = structured.withColumn("spoken", tx.fallback_text())
+    scored = durations.with_refined_duration(sentiment.inline_sentiment(scored, "spoken", lexicon))
+    scored = sentiment.lexicon_emotion(scored, "spoken")
     return with_engagement(scored.withColumns({
-        "event_type": tx.classify_event(everything, F.col("domain")),
-        **tx.psycholinguistic(F.col("full_text")),
+        "event_type": tx.classify_event("concat_ws(' ', full_text, regret_sentence)"),
+        **tx.psycholinguistic(),
     }))
 
 

@@ -28,10 +28,9 @@ def reversal_rate_by_domain(spark, d):
        "SELECT domain, keep, exclude, count(*) AS n FROM flagged GROUP BY ALL", [sql.POSTS, sql.FLAGGED])
 def keep_and_exclude_flags(spark, d):
     made = posts.posts_of_documents(documents(spark, d))
-    text = tx.full_text(F.col("title"), F.col("selftext"))
-    return made.select(
-        "domain", tx.any_pattern(text, lex.KEEP_PATTERNS).alias("keep"),
-        tx.any_pattern(text, lex.EXCLUDE_PATTERNS).alias("exclude"),
+    return made.withColumn("full_text", tx.full_text()).select(
+        "domain", tx.any_pattern("full_text", lex.KEEP_PATTERNS).alias("keep"),
+        tx.any_pattern("full_text", lex.EXCLUDE_PATTERNS).alias("exclude"),
     ).groupBy("domain", "keep", "exclude").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -111,7 +110,7 @@ def sentiment_correlation(spark, d):
 def sentiment_of_documents(spark, d):
     entries = F.array(*[F.struct(F.lit(w).alias("token"), F.lit(float(v)).alias("valence")) for w, v in lex.DEMO_VALENCE.items()])
     lexicon = spark.range(1).select(F.inline(entries))
-    return sentiment.lexicon_join(documents(spark, d), "doc_id", F.col("text"), lexicon)
+    return sentiment.lexicon_join(documents(spark, d), "doc_id", "text", lexicon)
 
 
 EMOTION = [*BASE, sql.emotion("structured", "id", "spoken")]
@@ -147,9 +146,8 @@ VERB = sql.first_match([(f"contains(substr(full_text, 1, s), {sql.q(v)})", sql.q
        [sql.POSTS, sql.FLAGGED])
 def strong_statement_snippets(spark, d):
     kept = posts.keep_posts(posts.posts_of_documents(documents(spark, d)))
-    text, start = F.col("full_text"), F.col("start")
-    found = kept.select("id", "full_text", tx.first_pattern(text).alias("pattern"), tx.first_pattern_start(text).alias("start"))
-    return found.select("id", "pattern", "start", tx.snippet(text, start).alias("snippet"), tx.action_before(text, start).alias("action"))
+    found = kept.select("id", "full_text", tx.first_pattern("full_text").alias("pattern"), tx.first_pattern_start("full_text").alias("start"))
+    return found.select("id", "pattern", "start", tx.snippet("full_text", "start").alias("snippet"), tx.action_before("full_text", "start").alias("action"))
 
 
 @query("id:s title:s",
@@ -206,7 +204,7 @@ def _annotations(spark, d):
     level = F.get(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (n % 3).cast("int"))
     reply = F.when(n % 11 == 0, "sorry, no").otherwise(F.concat(
         F.lit('```json\n{"decision_type": "move", "reversal_confident": '), verdict, F.lit(', "agency_level": "'), level, F.lit('"}\n```')))
-    parsed = made.select("id", "domain", "reversal", tx.parse_annotation(reply, schemas.ANNOTATION).alias("a"))
+    parsed = made.withColumn("reply", reply).select("id", "domain", "reversal", tx.parse_annotation("reply", schemas.ANNOTATION).alias("a"))
     return parsed.select("id", "domain", "reversal", F.col("a.agency_level").alias("agency_level"),
                          F.col("a.reversal_confident").isNotNull().alias("valid"),
                          F.coalesce(F.col("a.reversal_confident"), F.lit(False)).cast("int").alias("said"))

@@ -22,7 +22,7 @@ def baselines(df: DataFrame, by: str = "domain", outcome: str = "reversal",
     return rate.join(middle.drop("n"), by, "left")
 
 
-def rule_probability(text: Column, compound: Column) -> Column:
+def rule_probability(text: str, compound: Column) -> Column:
     """Base rate, plus action phrases, minus sentiment; kept within .05 and .95."""
     hits = tx.count_phrases(text, lex.SCORING_REVERSAL_WORDS)
     raw = F.lit(0.37) + F.least(hits * F.lit(0.08), F.lit(0.25)) - compound * F.lit(0.05)
@@ -77,16 +77,15 @@ def score(df: DataFrame, text: str = "text", hint: str | None = None,
           domain_names: list[str] | None = None) -> DataFrame:
     """Adds emotion, emotion_confidence, domain, reversal_probability, urgency_score, has_time
     and interpretation. Works on static and streaming tables alike."""
-    staged = df.withColumn("_text", tx.strip(F.coalesce(F.col(text), F.lit(""))))
-    lowered = F.lower(F.col("_text"))
-    staged = sentiment.inline_sentiment(staged, F.col("_text"), lexicon, "_v")
-    staged = sentiment.lexicon_emotion(staged, F.col("_text")).withColumnRenamed("emotion_score", "_confidence")
-    urgency = tx.capped_hits(tx.count_phrases(lowered, lex.URGENCY_WORDS_V1))
-    staged = staged.withColumn("_urgency", urgency).withColumn(
-        "has_time", tx.any_pattern(lowered, lex.TEMPORAL_PATTERNS).cast("int")
-    )
+    staged = df.withColumn("_text", tx.strip(f"coalesce({text}, '')")).withColumn("_low", F.lower("_text"))
+    staged = sentiment.inline_sentiment(staged, "_text", lexicon, "_v")
+    staged = sentiment.lexicon_emotion(staged, "_text").withColumnRenamed("emotion_score", "_confidence")
+    staged = staged.withColumns({
+        "_urgency": tx.capped_hits(tx.count_phrases("_low", lex.URGENCY_WORDS_V1)),
+        "has_time": tx.any_pattern("_low", lex.TEMPORAL_PATTERNS).cast("int"),
+    })
     if domain_model is None:
-        guessed = tx.keyword_domain(lowered)
+        guessed = tx.keyword_domain("_low")
     else:
         names = F.array(*[F.lit(d) for d in (domain_names or lex.DOMAINS)])
         staged = domain_model.transform(staged.withColumn("spoken", F.col("_text"))).select(
@@ -96,14 +95,14 @@ def score(df: DataFrame, text: str = "text", hint: str | None = None,
         guessed = F.when(F.col(hint).isin(lex.DOMAINS), F.col(hint)).otherwise(guessed)
     staged = staged.withColumn("domain", guessed)
     if reversal_model is None:
-        staged = staged.withColumn("reversal_probability", rule_probability(lowered, F.col("_v_compound")))
+        staged = staged.withColumn("reversal_probability", rule_probability("_low", F.col("_v_compound")))
     else:
         from pyspark.ml.functions import vector_to_array
 
         ready = staged.withColumn("spoken", F.col("_text")).withColumn("vader_compound", F.col("_v_compound")).withColumn(
             "vader_neg", F.col("_v_neg")).withColumn(
             # the model was fitted on raw counts over the long list
-            "urgency_score", tx.count_phrases(lowered, lex.URGENCY_WORDS).cast("double"))
+            "urgency_score", tx.count_phrases("_low", lex.URGENCY_WORDS).cast("double"))
         staged = reversal_model.transform(ready).select(
             *staged.columns, F.round(F.get(vector_to_array("probability"), F.lit(1)), 3).alias("reversal_probability"))
     return staged.select(

@@ -61,16 +61,15 @@ def update_score(hits: Column, title: Column) -> Column:
 
 def thread_features(threads: DataFrame, key: str = "id", lexicon=lex.DEMO_VALENCE) -> DataFrame:
     """Reply counts, update signal and mean sentiment of the first live comments."""
-    said = F.lower(F.array_join("op_replies", " "))
     base = threads.select(
         key, "upvote_ratio", F.size("comments").alias("n_top_comments"),
         F.size("op_replies").alias("n_op_replies"), "title",
         live_comments(F.col("comments")).alias("_live"),
-        tx.phrases_found(said, lex.UPDATE_PHRASES).alias("_found"),
+        tx.phrases_found("lower(array_join(op_replies, ' '))", lex.UPDATE_PHRASES).alias("_found"),
         F.coalesce(F.substring(F.get("op_replies", F.lit(0)), 1, 200), F.lit("")).alias("op_reply_preview"),
     )
     scored = sentiment.inline_sentiment(
-        base.select(key, F.explode("_live").alias("_body")), F.col("_body"), lexicon, "_s"
+        base.select(key, F.explode("_live").alias("_body")), "_body", lexicon, "_s"
     ).groupBy(key).agg(F.round(F.avg("_s_compound"), 4).alias("comment_vader_mean"))
     return base.join(scored, key, "left").select(
         key, "upvote_ratio", "n_top_comments", "n_op_replies", "comment_vader_mean",

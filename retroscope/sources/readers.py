@@ -17,6 +17,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly if there are fewer input splits than cores.
+
+    For per-row work that costs more than moving the rows; a no-op on many-file inputs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def require(spark: SparkSession, paths: Sequence[str]) -> None:
     """Fail before any job is planned if an input is missing."""
     jvm = spark.sparkContext._jvm
