@@ -195,9 +195,9 @@ def quantile_bin_rates(df: DataFrame, value: str, outcome: str, q: int = 5) -> D
     edges = ranks.quantiles(filled, "_x", probs).select(
         F.array_distinct(F.array(*probs)).alias("edges")
     ).scalar()
-    index = bins.right_closed(F.col("_x"), edges)
     # the lowest edge belongs to the first bin
-    index = F.greatest(index, F.lit(0))
+    index = F.greatest(bins.right_closed(F.col("_x"), F.col("_edges")), F.lit(0))
+    filled = filled.withColumn("_edges", edges)
     return filled.groupBy(index.alias("bin")).agg(
         F.min("_x").alias("lowest"), F.max("_x").alias("highest"),
         F.avg(outcome).alias("rate"), F.count(F.lit(1)).alias("n"),

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retroscope.plans import posts
+from retroscope.session import scratch_path
+from retroscope.sources import writers
 from retroscope.sources.readers import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +69,20 @@ def enriched(spark, d):
     return posts.enriched_from_documents(documents(spark, d))
 
 
+_LAYERS: dict[tuple[str, str], str] = {}
+
+
+def layer(spark, d):
+    """The enriched posts as an analysis reads them: written once per application, without the
+    long texts, then scanned column by column. Texts are parsed once, not once per analysis."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LAYERS:
+        folder = scratch_path(spark, "layers")
+        slim = enriched(spark, d).drop("selftext", "full_text")
+        _LAYERS[key] = writers.write_layer(slim, folder, "enriched", 1)
+    return spark.read.parquet(_LAYERS[key])
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     from retroscope.plans import (  # noqa: F401

@@ -175,7 +175,7 @@ def emotion(source: str, key: str, text: str, name: str = "emotions") -> str:
 def chi2_p(x: str, dof: str) -> str:
     """Upper tail from the power series of the lower incomplete gamma function."""
     return (f"(CASE WHEN {x} IS NULL OR {dof} < 1 THEN NULL WHEN {x} <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, 3000), "
-            f"lambda k: exp(({dof} / 2.0 + k) * ln({x} / 2.0) - {x} / 2.0 - lgamma({dof} / 2.0 + k + 1)))) END)")
+            f"lambda i_: exp(({dof} / 2.0 + i_) * ln({x} / 2.0) - {x} / 2.0 - lgamma({dof} / 2.0 + i_ + 1)))) END)")
 
 
 def normal_p(z: str) -> str:

@@ -10,7 +10,7 @@ from retroscope.operators import relational as rel
 from retroscope.operators import resample, sentiment
 from retroscope.plans import oracle as sql
 from retroscope.plans import posts, scoring
-from retroscope.plans.catalogue import documents, enriched, query, structured
+from retroscope.plans.catalogue import documents, enriched, layer, query, structured
 from retroscope.sources import comments, schemas, writers
 from retroscope.sources.readers import table
 
@@ -62,7 +62,7 @@ def refined_durations_and_events(spark, d):
 @query("domain:s event_type:s rate:f n:i",
        "SELECT domain, event_type, avg(reversal) AS rate, count(*) AS n FROM enriched GROUP BY ALL HAVING count(*) >= 5", RICH)
 def event_type_rates(spark, d):
-    return rel.rates(enriched(spark, d), ["domain", "event_type"], "reversal", min_n=5)
+    return rel.rates(layer(spark, d), ["domain", "event_type"], "reversal", min_n=5)
 
 
 @query("urgency_score:i reversal:i n:i",
@@ -83,7 +83,7 @@ def psycholinguistic_scores(spark, d):
     f"SELECT domain, '{p}' AS feature, avg({p}) AS mean, stddev_samp({p}) AS std, median({p}) AS median FROM enriched GROUP BY domain"
     for p in PSY), RICH)
 def psycholinguistic_by_domain(spark, d):
-    rows = enriched(spark, d).select("domain", F.inline(F.array(*[
+    rows = layer(spark, d).select("domain", F.inline(F.array(*[
         F.struct(F.lit(p).alias("feature"), F.col(p).alias("x")) for p in PSY])))
     return rel.moments(rows, ["domain", "feature"], "x")
 
@@ -100,7 +100,7 @@ def sentiment_of_posts(spark, d):
 @query("compound_r:f neg_r:f n:i",
        "SELECT corr(compound, reversal) AS compound_r, corr(neg, reversal) AS neg_r, count(*) AS n FROM sentiment JOIN structured USING (id)", SENTIMENT)
 def sentiment_correlation(spark, d):
-    return enriched(spark, d).agg(
+    return layer(spark, d).agg(
         F.corr("vader_compound", "reversal").alias("compound_r"),
         F.corr("vader_neg", "reversal").alias("neg_r"), F.count(F.lit(1)).alias("n"))
 
@@ -124,14 +124,14 @@ def emotion_of_posts(spark, d):
 @query("domain:s emotion:s n:i share:f",
        "SELECT *, n / sum(n) OVER (PARTITION BY domain) AS share FROM (SELECT domain, emotion, count(*) AS n FROM emotions JOIN structured USING (id) GROUP BY ALL)", EMOTION)
 def emotion_shares_by_domain(spark, d):
-    return rel.shares(enriched(spark, d), "domain", "emotion")
+    return rel.shares(layer(spark, d), "domain", "emotion")
 
 
 @query("domain:s " + " ".join(f"share_{e}:f" for e in lex.EMOTIONS),
        "SELECT domain, " + ", ".join(f"count(*) FILTER (emotion = '{e}') / CAST(count(*) AS DOUBLE) AS share_{e}" for e in lex.EMOTIONS)
        + " FROM emotions JOIN structured USING (id) GROUP BY domain", EMOTION)
 def emotion_row_shares(spark, d):
-    return rel.row_shares(enriched(spark, d), "domain", "emotion", lex.EMOTIONS)
+    return rel.row_shares(layer(spark, d), "domain", "emotion", lex.EMOTIONS)
 
 
 FIRST = sql.first_match([(f"regexp_matches(full_text, {sql.q(p)})", sql.q(p)) for p in lex.STRONG_PATTERNS], "NULL")
@@ -159,7 +159,7 @@ def shuffled_reading_sample(spark, d):
 @query("domain:s reversal_rate:f n:i median_time_days:f",
        "SELECT domain, avg(reversal) AS reversal_rate, count(*) AS n, median(time_to_regret_days) AS median_time_days FROM enriched GROUP BY domain", RICH)
 def domain_baselines(spark, d):
-    return scoring.baselines(enriched(spark, d))
+    return scoring.baselines(layer(spark, d))
 
 
 def _scored_sql() -> tuple[str, list[str]]:
