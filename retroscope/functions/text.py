@@ -160,20 +160,24 @@ def contrast_words(text: str, stopwords: Sequence[str] = lex.STOPWORDS) -> Colum
     return F.expr(f"filter({tokens_sql(text)}, _w -> NOT array_contains({array_sql(stopwords)}, _w))")
 
 
-def term_runs(text: str) -> Column:
+def term_runs_sql(text: str) -> str:
     """Runs of two or more word characters."""
-    return F.expr(f"regexp_extract_all(lower({text}), '([\\\\p{{L}}\\\\p{{N}}_]{{2,}})', 1)")
+    return f"regexp_extract_all(lower({text}), '([\\\\p{{L}}\\\\p{{N}}_]{{2,}})', 1)"
+
+
+def terms_and_bigrams(text: str) -> Column:
+    return with_bigrams(term_runs_sql(text))
 
 
 def sentiment_tokens(text: str) -> Column:
     return F.expr(f"regexp_extract_all(lower({text}), '([\\\\p{{L}}\\\\p{{N}}_\\']+)', 1)")
 
 
-def with_bigrams(words: Column) -> Column:
+def with_bigrams(words: str) -> Column:
     """The words, then each adjacent pair joined by one space."""
-    last = F.size(words) - F.lit(1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.concat(words, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, 2))))
+    starts = "if(size(_r) > 1, sequence(1, size(_r) - 1), CAST(array() AS array<int>))"
+    pairs = f"transform({starts}, _i -> concat_ws(' ', slice(_r, _i, 2)))"
+    return F.expr(bind_sql(words, "_r", f"concat(_r, {pairs})"))
 
 
 # --- picks --------------------------------------------------------------------------

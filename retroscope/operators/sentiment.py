@@ -106,7 +106,7 @@ def lexicon_join(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> Data
     with_context = F.transform(tokens, lambda t, i: F.struct(
         t.alias("token"), i.alias("i"), *[F.get(tokens, i - k).alias(f"p{k}") for k in (1, 2, 3)]
     ))
-    exploded = base.select(key, F.array_position(tokens, "but").alias("_but"), F.explode(with_context).alias("_e"))
+    exploded = base.select(key, F.array_position(tokens, "but").alias("_but"), F.explode_outer(with_context).alias("_e"))
     hits = exploded.select(key, "_but", "_e.*").join(lexicon, "token")
     value = _around_but_sql(adjusted_sql("valence", ["p1", "p2", "p3"]), "i", "_but")
     sums = hits.withColumn("_v", F.expr(value)).groupBy(key).agg(

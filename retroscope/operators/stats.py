@@ -254,13 +254,13 @@ def fit_logit(df: DataFrame, outcome: str, features: Sequence[str]) -> dict:
         df.select(F.col(outcome).cast("double").alias("_y"), *[F.col(f).cast("double") for f in names])
     ).select("_x", "_y")
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol="_y", maxIter=100, tol=1e-10
+        family="binomial", link="logit", featuresCol="_x", labelCol="_y", maxIter=50, tol=1e-8
     ).fit(x)
     s = model.summary
     # Spark lists the slopes first and the intercept last
-    coefs = [*model.coefficients, model.intercept]
+    coefs = [*map(float, model.coefficients), float(model.intercept)]
     terms = []
-    for name, b, se, p in zip([*names, "const"], coefs, s.coefficientStandardErrors, s.pValues):
+    for name, b, se, p in zip([*names, "const"], coefs, map(float, s.coefficientStandardErrors), map(float, s.pValues)):
         terms.append({
             "term": name, "coef": float(b), "se": float(se), "odds_ratio": math.exp(b),
             "ci_lower": b - 1.959963984540054 * se, "ci_upper": b + 1.959963984540054 * se,

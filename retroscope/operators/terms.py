@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from retroscope.functions import lexicons as lex
 
 
+def exploded(df: DataFrame, keep: Sequence[str], words: Column) -> DataFrame:
+    """One row per word as ``term``. The outer form keeps Spark from computing the words a
+    second time in a filter for empty lists below the scan."""
+    return df.select(*keep, F.explode_outer(words).alias("term")).where("term IS NOT NULL")
+
+
 def term_counts(df: DataFrame, words: Column, by: Sequence[str] = ()) -> DataFrame:
     """How often each term occurs per group; tasks pre-add before the shuffle."""
-    return df.select(*by, F.explode(words).alias("term")).groupBy(*by, "term").agg(
+    return exploded(df, by, words).groupBy(*by, "term").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -29,8 +35,8 @@ def log_odds(df: DataFrame, words: Column, side: Column, alpha: float = 1.0, min
 
     The vocabulary is counted before rare terms are dropped.
     """
-    sided = df.select(side.cast("int").alias("_side"), words.alias("_words")).where("_side is not null")
-    counts = sided.select("_side", F.explode("_words").alias("term")).groupBy("term").agg(
+    sided = df.withColumn("_side", side.cast("int")).where("_side IS NOT NULL")
+    counts = exploded(sided, ["_side"], words).groupBy("term").agg(
         F.count_if(F.col("_side") == 1).alias("freq_a"), F.count_if(F.col("_side") == 0).alias("freq_b")
     )
     sums = counts.agg(F.struct(
@@ -47,7 +53,7 @@ def log_odds(df: DataFrame, words: Column, side: Column, alpha: float = 1.0, min
 def log_odds_one_vs_rest(df: DataFrame, words: Column, group: str, groups: Sequence[str],
                          alpha: float = 1.0, min_count: int = 10) -> DataFrame:
     """The same for each listed group against all other rows, from one count table."""
-    counts = df.select(F.col(group).alias("_g"), F.explode(words).alias("term")).groupBy("term").agg(
+    counts = exploded(df.withColumn("_g", F.col(group)), ["_g"], words).groupBy("term").agg(
         F.count(F.lit(1)).alias("all"),
         *[F.count_if(F.col("_g") == F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)],
     )
@@ -99,7 +105,7 @@ def word_rates(df: DataFrame, by: str, tokens: Column, words: Sequence[str] = le
 def term_frequencies(df: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, term, tf). Rows are spread by key first, so everything per row stays in place."""
     spread = df.select(key, terms.alias("_terms")).repartition(F.col(key))
-    return spread.select(key, F.explode("_terms").alias("term")).groupBy(key, "term").agg(
+    return exploded(spread, [key], F.col("_terms")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
 

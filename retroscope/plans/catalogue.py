@@ -38,8 +38,8 @@ def _shape(df: DataFrame, spec: str) -> DataFrame:
 def _shape_sql(sql: str, spec: str, ctes: list[str]) -> str:
     out = []
     for name, kind in _columns(spec):
-        c = f"CAST({name} AS {_SQL_TYPES[kind]})"
-        out.append((f"round({c}, 6) + 0.0" if kind == "f" else c) + f" AS {name}")
+        c = f'CAST("{name}" AS {_SQL_TYPES[kind]})'
+        out.append((f"round({c}, 6) + 0.0" if kind == "f" else c) + f' AS "{name}"')
     head = f"WITH {', '.join(ctes)} " if ctes else ""
     return f"{head}SELECT {', '.join(out)} FROM ({sql})"
 

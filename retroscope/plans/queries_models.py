@@ -1 +1,166 @@
-"""Queries."""
+"""Queries that fit models. They are checked on rows only; tests check the parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from retroscope.operators import matching, metrics, stats
+from retroscope.plans import models, scoring
+from retroscope.plans import posts as post_plans
+from retroscope.plans.catalogue import documents, layer, query
+from retroscope.session import scratch_path
+
+NUMERIC = ["vader_compound", "vader_neg", "urgency_score", "has_time"]
+PSM = ["vader_compound", "vader_neg", "urgency_score", "log_post_length", "post_year", "agency_score", "hedging_score",
+       "causal_reasoning_score", "future_orient_score"]
+DOMAINS = ["career", "immigration", "relationships"]
+
+
+def _posts(spark, d):
+    return models.filled(models.spoken(layer(spark, d)), NUMERIC)
+
+
+LOGIT = "model:s n:i pseudo_r2:f aic:f llf:f term:s coef:f se:f odds_ratio:f ci_lower:f ci_upper:f p_value:f"
+
+
+@query(LOGIT)
+def logit_year_by_domain(spark, d):
+    """Outcome on centred year, domain and their products."""
+    rows = layer(spark, d).select("reversal", "post_year", "domain")
+    from retroscope.operators import ranks
+    centre = ranks.quantiles(rows, "post_year", {"m": 0.5}, domain=500).first()["m"]
+    rows = rows.withColumn("year_centered", F.col("post_year") - F.lit(centre))
+    rows, dummies = stats.dummies(rows, "domain", "d", DOMAINS)
+    rows, products = stats.interactions(rows, "year_centered", dummies, "year_x")
+    fit = stats.fit_logit(rows, "reversal", ["year_centered", *dummies, *products])
+    return stats.logit_table(spark, {"year_domain": fit})
+
+
+def _nested(spark, d):
+    # columns that do not separate the outcome on the given posts
+    base = ["post_year", "score_log", "log_post_length"]
+    rows = models.filled(layer(spark, d).select("reversal", "domain", *base), base).persist()
+    wide, dummies = stats.dummies(rows, "domain", "domain", DOMAINS)
+    fits = {"features": stats.fit_logit(rows, "reversal", base), "with_domain": stats.fit_logit(wide, "reversal", [*base, *dummies])}
+    rows.unpersist()
+    return base, fits
+
+
+@query("lr:f dof:i p_value:f")
+def likelihood_ratio_domain(spark, d):
+    _, fits = _nested(spark, d)
+    test = stats.likelihood_ratio(fits["features"], fits["with_domain"])
+    return spark.createDataFrame([(test["lr"], test["dof"], test["p_value"])], "lr double, dof int, p_value double")
+
+
+@query("term:s features:f with_domain:f")
+def coefficient_stability(spark, d):
+    base, fits = _nested(spark, d)
+    return stats.coefficient_stability(stats.logit_table(spark, fits), base, ["features", "with_domain"])
+
+
+@query("model:s cv_auc_mean:f cv_auc_std:f test_auc:f ci_lower:f ci_upper:f best:b")
+def model_comparison(spark, d):
+    out, *_ = models.compare_models(
+        _posts(spark, d), "reversal", "id",
+        {"logistic": lambda n: models.logistic(n, weight="weight"),
+         "forest": lambda n: models.forest(20, 5, weight="weight"),
+         "boosted": lambda n: models.boosted(5, 3)},
+        k=2, reps=200, numeric=NUMERIC, categorical=["domain", "source_subreddit"], min_df=5, max_features=2000)
+    return out
+
+
+@query("rank:i feature:s importance:f")
+def top_features(spark, d):
+    data = models._labelled(_posts(spark, d), "reversal")
+    _, model, names = models.fit_and_score(data, data.limit(1), "id", lambda n: models.forest(20, 5, weight="weight"), numeric=NUMERIC,
+                                           categorical=["domain"], min_df=5, max_features=2000)
+    return models.importances(spark, model, names)
+
+
+@query("c:f weighting:s mean_auc:f best:b")
+def grid_search(spark, d):
+    return models.grid_search(_posts(spark, d), "reversal", "id", strengths=(0.01, 1.0), k=3, numeric=["urgency_score", "has_time"], min_df=5, max_features=2000)
+
+
+@query("held_out:s test_auc:f ci_lower:f ci_upper:f n_train:i n_test:i rate_test:f")
+def leave_one_domain_out(spark, d):
+    return models.leave_one_group_out(_posts(spark, d), "reversal", "id", "domain", DOMAINS, lambda n: models.forest(20, 5, weight="weight"),
+                                      reps=200, numeric=NUMERIC, min_df=3, max_features=2000)
+
+
+@query("features:s mean_auc:f std_auc:f gain:f")
+def engagement_gain(spark, d):
+    base = ["vader_compound", "vader_neg", "urgency_score", "agency_score", "hedging_score", "causal_reasoning_score", "future_orient_score", "social_embed_score"]
+    return models.nested_feature_sets(layer(spark, d), "reversal", "id", base, ["comment_count_log", "score_log"], lambda n: models.forest(20, 5), k=3)
+
+
+@query("threshold:f f1:f auc:f")
+def early_outcome_classifier(spark, d):
+    table, _, _ = models.early_outcome(models.spoken(layer(spark, d)), "id")
+    table = table.persist()
+    best = metrics.best_threshold(metrics.f1_sweep(table, "label", "score"))
+    return best.withColumn("auc", metrics.auc(table, "label", "score").select("auc").scalar())
+
+
+@query("side:s rank:i feature:s coefficient:f")
+def early_outcome_terms(spark, d):
+    _, model, names = models.early_outcome(models.spoken(layer(spark, d)), "id")
+    return models.signed_terms(spark, model, names)
+
+
+def _matched(spark, d, other: str):
+    rows = layer(spark, d).where(F.col("domain").isin("career", other)).withColumn("treated", (F.col("domain") == other).cast("int"))
+    units = models.propensity(rows.select("doc_id", "treated", "reversal", *PSM), "treated", PSM).persist()
+    pairs = matching.match_nearest(units, "doc_id", "treated", "propensity", 0.10).persist()
+    if pairs.count() < 20:
+        pairs = matching.match_nearest(units, "doc_id", "treated", "propensity", 0.20).persist()
+    return units, matching.matched_frame(units, pairs, "doc_id", "treated", ["reversal", *PSM])
+
+
+@query("sample:s control_rate:f treated_rate:f n:i gap:f")
+def matched_domain_gap(spark, d):
+    units, matched = _matched(spark, d, "immigration")
+    return matching.effect_of_matching(matched, units, "treated", "reversal")
+
+
+@query("n11:i n10:i n01:i n00:i chi2:f p_value:f")
+def matched_mcnemar(spark, d):
+    _, matched = _matched(spark, d, "relationships")
+    return stats.mcnemar(matched, "reversal_t", "reversal_c")
+
+
+@query("feature:s smd:f")
+def matched_balance(spark, d):
+    units, matched = _matched(spark, d, "immigration")
+    sides = F.array(*[F.struct(F.lit(v).alias("treated"), *[F.col(f"{c}_{tag}").alias(c) for c in PSM]) for v, tag in ((1, "t"), (0, "c"))])
+    return stats.mean_difference(matched.select(F.inline(sides)), PSM, "treated")
+
+
+@query("treated_index:i control_index:i", """
+  WITH RECURSIVE u AS (SELECT doc_id AS i, CAST(quality = 1 AND toxic = 0 AS INT) = 0 AS treated, (n_chars % 1000) / 1000.0::DOUBLE AS s FROM documents JOIN labels USING (doc_id)),
+    t AS (SELECT i, s, row_number() OVER (ORDER BY i) AS turn FROM u WHERE treated),
+    step(turn, used, pairs) AS (
+      SELECT 0::BIGINT, []::BIGINT[], []::STRUCT(t BIGINT, c BIGINT)[]
+      UNION ALL
+      SELECT step.turn + 1, CASE WHEN c IS NULL THEN used ELSE list_append(used, c) END, CASE WHEN c IS NULL THEN pairs ELSE list_append(pairs, {'t': ti, 'c': c}) END FROM (
+        SELECT step.turn, step.used, step.pairs, t.i AS ti, (SELECT arg_min(u.i, (abs(t.s - u.s), u.i)) FROM u WHERE NOT u.treated AND abs(t.s - u.s) <= 0.05::DOUBLE AND NOT list_contains(step.used, u.i)) AS c
+        FROM step JOIN t ON t.turn = step.turn + 1) step)
+  SELECT p.t AS treated_index, p.c AS control_index FROM (SELECT unnest(pairs) AS p FROM (SELECT pairs FROM step ORDER BY turn DESC LIMIT 1))""")
+def nearest_pairs(spark, d):
+    """The matching rule on a given score, so that another engine can take the same turns."""
+    from retroscope.sources.readers import table
+    rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    units = rows.select("doc_id", (~((F.col("quality") == 1) & (F.col("toxic") == 0))).cast("int").alias("treated"), (F.col("n_chars") % 1000 / 1000.0).alias("s"))
+    return matching.match_nearest(units, "doc_id", "treated", "s", 0.05)
+
+
+@query("id:s domain:s reversal_probability:f")
+def exported_model_scores(spark, d):
+    """Fit, save, load and score with the saved pipelines."""
+    folder = scratch_path(spark, "models")
+    names = models.train_and_export(_posts(spark, d), folder)
+    return scoring.score(
+        post_plans.posts_of_documents(documents(spark, d)).select("id", "selftext"), "selftext",
+        reversal_model=scoring.load_model(f"{folder}/reversal_model"), domain_model=scoring.load_model(f"{folder}/domain_model"),
+        domain_names=names)

@@ -1 +1,51 @@
-"""Queries."""
+"""Queries that run a stream over a table's files and read its result back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from retroscope.plans import oracle as sql
+from retroscope.plans import posts, scoring
+from retroscope.plans.catalogue import query
+from retroscope.plans.queries_posts import BASE, _SCORED
+from retroscope.sources.readers import table
+from retroscope.streaming import streams
+
+
+def _stream(spark, d, name):
+    return streams.file_stream(spark, d, table(spark, d, name).schema, f"{name}.parquet")
+
+
+@query("id:s domain:s reversal:i urgency_score:i time_to_regret_days:f", "SELECT * FROM structured", BASE)
+def stream_structured_posts(spark, d):
+    made = streams.structured_posts(_stream(spark, d, "documents"))
+    return streams.stream_to_table(spark, made.select("id", "domain", "reversal", "urgency_score", "time_to_regret_days"), "structured")
+
+
+@query("user_id:i event_type:s n:i", "SELECT user_id, event_type, 1 AS n FROM events GROUP BY ALL")
+def stream_dedupe(spark, d):
+    events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    once = streams.once_per_key(events, ["user_id", "event_type"], "ts", "365 days")
+    kept = streams.stream_to_table(spark, once.select("user_id", "event_type"), "once")
+    return kept.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("window_start:s event_type:s rate:f n:i", """
+  SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS window_start, event_type, avg(CAST(value > 20 AS INT)) AS rate, count(*) AS n FROM events GROUP BY ALL""")
+def stream_window_rates(spark, d):
+    events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    outcome = (F.col("value") > 20).cast("int")
+    rates = streams.windowed_rates(events, "ts", "event_type", outcome, "1 day", "1 hour")
+    out = streams.stream_to_table(spark, rates, "windows", "append")
+    # windows still open when the input ends are not final, so they come from the batch form
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    batch = streams.windowed_rates(rows, "ts", "event_type", outcome, "1 day", "1 hour")
+    missing = batch.join(out, ["window_start", "event_type"], "left_anti")
+    return out.unionByName(missing).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query("id:s emotion:s domain:s reversal_probability:f urgency_score:f has_time:i", *_SCORED)
+def stream_scored_texts(spark, d):
+    made = posts.posts_of_documents(_stream(spark, d, "documents")).select("id", "selftext")
+    scored = scoring.score(made, "selftext").select("id", "emotion", "domain", "reversal_probability", "urgency_score", "has_time")
+    return streams.stream_to_table(spark, scored, "scored")

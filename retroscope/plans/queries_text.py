@@ -1 +1,138 @@
-"""Queries."""
+"""Queries on terms, topics and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from retroscope.functions import lexicons as lex
+from retroscope.functions import text as tx
+from retroscope.operators import terms, topics
+from retroscope.operators.relational import top_per_group
+from retroscope.plans import oracle as sql
+from retroscope.plans.catalogue import documents, layer, query
+from retroscope.plans.queries_posts import BASE, RICH
+from retroscope.sources.readers import table
+
+
+def _words_cte(source: str, text: str, extra: str) -> list[str]:
+    return [f"words AS (SELECT {extra}, unnest({sql.without_stopwords(sql.tokens(text))}) AS term FROM {source})"]
+
+
+def _log_odds_sql(side: str, a, b, floor: int = 10) -> str:
+    return f"""SELECT term, delta AS log_odds, delta / sqrt(1.0 / (a + 1) + 1.0 / (b + 1)) AS z_score, a AS freq_a, b AS freq_b FROM (
+      SELECT *, ln((a + 1) / CAST(na + v AS DOUBLE)) - ln((b + 1) / CAST(nb + v AS DOUBLE)) AS delta FROM (
+        SELECT *, sum(a) OVER () AS na, sum(b) OVER () AS nb, count(*) OVER () AS v FROM (
+          SELECT term, count(*) FILTER ({side} = {a}) AS a, count(*) FILTER ({side} = {b}) AS b FROM words WHERE {side} IN ({a}, {b}) GROUP BY term))) WHERE a + b >= {floor}"""
+
+
+LOG_ODDS = "term:s log_odds:f z_score:f freq_a:i freq_b:i"
+
+
+@query(LOG_ODDS, _log_odds_sql("quality", 1, 0), _words_cte("(SELECT quality, text FROM documents JOIN labels USING (doc_id))", "text", "quality"))
+def log_odds_quality(spark, d):
+    rows = documents(spark, d).select("doc_id", "text").join(table(spark, d, "labels"), "doc_id")
+    return terms.log_odds(rows, tx.contrast_words("text"), F.col("quality"))
+
+
+@query(LOG_ODDS, _log_odds_sql("reversal", 1, 0), [*BASE, *_words_cte("structured", "spoken", "reversal")])
+def log_odds_reversal(spark, d):
+    return terms.log_odds(layer(spark, d), tx.contrast_words("spoken"), F.col("reversal"))
+
+
+SIDE = "CASE WHEN time_to_regret_days < 180 THEN 1 WHEN time_to_regret_days > 365 THEN 0 END"
+
+
+@query(LOG_ODDS, _log_odds_sql("side", 1, 0) + f" AND (SELECT least(count(*) FILTER ({SIDE} = 1), count(*) FILTER ({SIDE} = 0)) > 50 FROM enriched)",
+       [*RICH, *_words_cte(f"(SELECT spoken, {SIDE} AS side FROM enriched)", "spoken", "side")])
+def log_odds_early_late(spark, d):
+    return terms.log_odds_early_late(layer(spark, d), tx.contrast_words("spoken"), "time_to_regret_days")
+
+
+LANGS = ["de", "en", "es", "fr"]
+
+
+@query("group:s term:s log_odds:f z_score:f freq_a:i freq_b:i rank:i", """
+  SELECT "group", term, delta AS log_odds, z AS z_score, a AS freq_a, b AS freq_b, rank FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY round(z, 9) DESC, term) AS rank FROM (
+    SELECT *, delta / sqrt(1.0 / (a + 1) + 1.0 / (b + 1)) AS z FROM (SELECT *, ln((a + 1) / CAST(na + v AS DOUBLE)) - ln((b + 1) / CAST(nb + v AS DOUBLE)) AS delta FROM (
+      SELECT g."group", t.term, count(*) FILTER (w.lang = g."group") AS a, count(*) FILTER (w.lang <> g."group") AS b, any_value(t.v) AS v, any_value(g.na) AS na, any_value(t.total - g.na) AS nb
+      FROM words w JOIN (SELECT term, count(*) OVER () AS v, sum(c) OVER () AS total FROM (SELECT term, count(*) AS c FROM words GROUP BY term)) t ON w.term = t.term,
+           (SELECT lang AS "group", count(*) AS na FROM words GROUP BY lang) g GROUP BY 1, 2)) WHERE a + b >= 10)) WHERE rank <= 15""",
+       _words_cte("documents", "text", "lang"))
+def log_odds_by_language(spark, d):
+    scored = terms.log_odds_one_vs_rest(documents(spark, d), tx.contrast_words("text"), "lang", LANGS)
+    return top_per_group(scored, ["group"], [F.desc(F.round("z_score", 9)), F.col("term")], 15)
+
+
+def _rates_sql(source: str, text: str, by: str, words: list[str]) -> str:
+    parts = [f"SELECT {by}, '{w}' AS word, count(*) FILTER (t = '{w}') AS n, count(*) FILTER (t = '{w}') / CAST(count(*) AS DOUBLE) * 1000 AS per_1000 FROM tk GROUP BY {by}" for w in words]
+    return " UNION ALL ".join(parts)
+
+
+@query("domain:s word:s n:i per_1000:f", _rates_sql("structured", "spoken", "domain", lex.MODAL_VERBS),
+       [*BASE, f"tk AS (SELECT domain, unnest({sql.tokens('spoken')}) AS t FROM structured)"])
+def modal_rates_by_domain(spark, d):
+    return terms.word_rates(layer(spark, d), "domain", tx.tokens("spoken"))
+
+
+@query("reversal:i word:s n:i per_1000:f", _rates_sql("structured", "spoken", "reversal", lex.MODAL_VERBS),
+       [*BASE, f"tk AS (SELECT reversal, unnest({sql.tokens('spoken')}) AS t FROM structured)"])
+def modal_rates_by_outcome(spark, d):
+    return terms.word_rates(layer(spark, d), "reversal", tx.tokens("spoken"))
+
+
+@query("lang:s term:s n:i", "SELECT lang, term, count(*) AS n FROM words GROUP BY ALL", _words_cte("documents", "text", "lang"))
+def term_counts_by_language(spark, d):
+    return terms.term_counts(documents(spark, d), tx.contrast_words("text"), ["lang"])
+
+
+GRAMS = """runs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS r FROM documents),
+  grams AS (SELECT doc_id, unnest(list_concat(r, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]))) AS term FROM runs),
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+  vocab AS (SELECT term, count(*) AS df, sum(tf) AS c FROM tf GROUP BY term HAVING count(*) >= 5 ORDER BY c DESC, term LIMIT 2000),
+  raw AS (SELECT doc_id, term, tf, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term)),
+  weights AS (SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
+
+
+def _weights(spark, d):
+    return terms.tfidf(documents(spark, d), "doc_id", tx.terms_and_bigrams("text"), min_df=5, max_features=2000)
+
+
+@query("term:s docs:i weight:f", "SELECT term, count(*) AS docs, sum(weight) AS weight FROM weights GROUP BY term", [GRAMS])
+def tfidf_weights(spark, d):
+    return _weights(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("weight"))
+
+
+@query("doc_id:i length:f", "SELECT doc_id, sum(weight * weight) AS length FROM weights GROUP BY doc_id", [GRAMS])
+def tfidf_row_lengths(spark, d):
+    return _weights(spark, d).groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("length"))
+
+
+@query("cleaned_md5:s doc_id:i",
+       r"SELECT doc_id, md5(" + sql.strip(r"regexp_replace(regexp_replace(text, 'http[^\s\x0b]+', '', 'g'), '" + sql.SPACES + "+', ' ', 'g')") + ") AS cleaned_md5 FROM documents")
+def cleaned_texts(spark, d):
+    rows = documents(spark, d).select("doc_id", tx.strip_urls("text").alias("t"))
+    return rows.select("doc_id", F.md5(tx.collapse_spaces("t")).alias("cleaned_md5"))
+
+
+@query("topic:i top_terms:s n:i rate:f")
+def nmf_topics(spark, d):
+    """Topics of the kept posts with their size and reversal rate."""
+    rows = layer(spark, d)
+    weights = terms.tfidf(rows, "id", tx.terms_and_bigrams("spoken"), 5, 10_000)
+    packed, vocabulary = topics.sparse_rows(weights, "id")
+    model = topics.fit_nmf(packed, vocabulary, k=10, iterations=8)
+    assigned = model.transform(packed, "id").select("id", "topic").join(rows.select("id", "reversal"), "id")
+    sizes = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg("reversal").alias("rate"))
+    return model.top_terms(spark).join(sizes, "topic", "left")
+
+
+@query("component:i variance:f cumulative:f")
+def pca_variance(spark, d):
+    _, shares = topics.pca_reduce(table(spark, d, "embeddings"), "vec_id", "embedding", 50)
+    return shares
+
+
+@query("vec_id:i emb_0:f emb_9:f")
+def pca_vectors(spark, d):
+    scores, _ = topics.pca_reduce(table(spark, d, "embeddings"), "vec_id", "embedding", 50)
+    return scores
