@@ -80,7 +80,7 @@ def top_features(spark, d):
 
 @query("c:f weighting:s mean_auc:f best:b")
 def grid_search(spark, d):
-    return models.grid_search(_posts(spark, d), "reversal", "id", strengths=(0.01, 1.0), k=3, numeric=["urgency_score", "has_time"], min_df=5, max_features=2000)
+    return models.grid_search(_posts(spark, d), "reversal", "id", strengths=(0.01, 1.0), k=2, numeric=["urgency_score", "has_time"], min_df=5, max_features=2000)
 
 
 @query("held_out:s test_auc:f ci_lower:f ci_upper:f n_train:i n_test:i rate_test:f")
