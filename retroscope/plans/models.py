@@ -100,25 +100,42 @@ def scores(model, df: DataFrame, key: str) -> DataFrame:
                                       F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
 
 
+def prepare(train: DataFrame, test: DataFrame, key: str, **features):
+    """Fit features on ``train``; both sides as (key, label, features), train with weights.
+
+    The training side is persisted: every fit passes over it many times.
+    """
+    prep, names = fit_features(train, **features)
+    ready = resample.class_weights(prep.transform(train).select(key, "label", "features"), "label").persist()
+    return prep, names, ready, prep.transform(test).select(key, "label", "features")
+
+
 def fit_and_score(train: DataFrame, test: DataFrame, key: str, classifier: Callable[[int], object],
                   **features) -> tuple[DataFrame, PipelineModel, list[str]]:
     """Fit features and classifier on ``train``, score ``test``."""
-    prep, names = fit_features(train, **features)
-    ready = resample.class_weights(prep.transform(train), "label")
-    model = classifier(ready.count()).fit(ready)
-    whole = PipelineModel([*prep.stages, model])
-    return scores(whole, test, key), whole, names
+    prep, names, ready, held = prepare(train, test, key, **features)
+    try:
+        model = classifier(ready.count()).fit(ready)
+    finally:
+        ready.unpersist()
+    return scores(model, held, key), PipelineModel([*prep.stages, model]), names
 
 
-def cross_validate(df: DataFrame, label: str, key: str, classifier: Callable[[int], object], k: int = 5,
-                   seed: int = 42, **features) -> list[float]:
-    """AUC per stratified fold."""
+def cross_validate(df: DataFrame, label: str, key: str, classifiers: dict[str, Callable[[int], object]], k: int = 5,
+                   seed: int = 42, **features) -> dict[str, list[float]]:
+    """AUC per stratified fold and classifier; features are fitted once per fold."""
     data = resample.with_folds(_labelled(df, label), "label", key, k, seed).persist()
+    found: dict[str, list[float]] = {name: [] for name in classifiers}
     try:
-        found = []
         for i in range(k):
-            table, _, _ = fit_and_score(data.where(F.col("fold") != i), data.where(F.col("fold") == i), key, classifier, **features)
-            found.append(metrics.auc(table, "label", "score").first()["auc"])
+            _, _, ready, held = prepare(data.where(F.col("fold") != i), data.where(F.col("fold") == i), key, **features)
+            n = ready.count()
+            held = held.persist()
+            for name, classifier in classifiers.items():
+                table = scores(classifier(n).fit(ready), held, key)
+                found[name].append(metrics.auc(table, "label", "score").first()["auc"])
+            ready.unpersist()
+            held.unpersist()
         return found
     finally:
         data.unpersist()
@@ -128,23 +145,25 @@ def compare_models(df: DataFrame, label: str, key: str, classifiers: dict[str, C
                    k: int = 5, reps: int = 2000, seed: int = 42, **features) -> tuple[DataFrame, str, PipelineModel, list[str]]:
     """Cross-validated and held-out AUC with interval per model, and the best on held-out rows."""
     data = resample.with_split(_labelled(df, label), "label", key, 0.2, seed).persist()
-    spark = df.sparkSession
     try:
         train, test = data.where(~F.col("is_test")), data.where("is_test")
-        rows, best = [], (0.0, "", None, [])
+        folds = cross_validate(train, "label", key, classifiers, k, seed, **features)
+        prep, names, ready, held = prepare(train, test, key, **features)
+        n = ready.count()
+        rows, best = [], (0.0, "", None)
         for name, classifier in classifiers.items():
-            folds = cross_validate(train, "label", key, classifier, k, seed, **features) if k else [float("nan")]
-            table, model, names = fit_and_score(train, test, key, classifier, **features)
-            table = table.persist()
+            model = classifier(n).fit(ready)
+            table = scores(model, held, key).persist()
             area = metrics.auc(table, "label", "score").first()["auc"]
             ends = resample.auc_interval(table, "label", "score", reps, seed).first()
             table.unpersist()
-            rows.append((name, float(np.mean(folds)), float(np.std(folds)), area, ends["ci_lower"], ends["ci_upper"]))
+            rows.append((name, float(np.mean(folds[name])), float(np.std(folds[name])), area, ends["ci_lower"], ends["ci_upper"]))
             if area > best[0]:
-                best = (area, name, model, names)
-        out = spark.createDataFrame(rows, "model string, cv_auc_mean double, cv_auc_std double, test_auc double, "
-                                          "ci_lower double, ci_upper double")
-        return out.withColumn("best", F.col("model") == best[1]), best[1], best[2], best[3]
+                best = (area, name, PipelineModel([*prep.stages, model]))
+        ready.unpersist()
+        out = df.sparkSession.createDataFrame(rows, "model string, cv_auc_mean double, cv_auc_std double, test_auc double, "
+                                                    "ci_lower double, ci_upper double")
+        return out.withColumn("best", F.col("model") == best[1]), best[1], best[2], names
     finally:
         data.unpersist()
 
@@ -217,8 +236,9 @@ def nested_feature_sets(df: DataFrame, label: str, key: str, base: Sequence[str]
                         classifier: Callable[[int], object], k: int = 5, seed: int = 42) -> DataFrame:
     """Fold AUCs of the base columns and of base plus extra, on the same folds."""
     data = filled(df, [*base, *extra])
-    small = cross_validate(data, label, key, classifier, k, seed, numeric=list(base), text=False)
-    large = cross_validate(data, label, key, classifier, k, seed, numeric=[*base, *extra], text=False)
+    one = {"model": classifier}
+    small = cross_validate(data, label, key, one, k, seed, numeric=list(base), text=False)["model"]
+    large = cross_validate(data, label, key, one, k, seed, numeric=[*base, *extra], text=False)["model"]
     rows = [("base", float(np.mean(small)), float(np.std(small)), 0.0),
             ("extended", float(np.mean(large)), float(np.std(large)), float(np.mean(large) - np.mean(small)))]
     return df.sparkSession.createDataFrame(rows, "features string, mean_auc double, std_auc double, gain double")

@@ -58,16 +58,15 @@ def in_named_files(rows: DataFrame, words: Sequence[str]) -> DataFrame:
     return rows.where(F.lower("_file").rlike("|".join(w.lower() for w in words)))
 
 
-def name_head(file: Column = F.col) -> Column:
+def name_head(file: str = "_file") -> Column:
     """What stands before the first underscore of the file name."""
-    column = F.col("_file") if callable(file) else file
-    return F.split_part(column, F.lit("_"), F.lit(1))
+    return F.split_part(F.col(file), F.lit("_"), F.lit(1))
 
 
 def with_source_and_domain(rows: DataFrame, domains: dict[str, str]) -> DataFrame:
     """``source_subreddit`` from the file name and ``domain`` from an explicit table."""
     known = F.create_map(*[x for k, v in domains.items() for x in (F.lit(k.lower()), F.lit(v))])
-    return rows.withColumn("source_subreddit", name_head(F.col("_file"))).withColumn(
+    return rows.withColumn("source_subreddit", name_head()).withColumn(
         "domain", F.try_element_at(known, F.lower("source_subreddit"))
     )
 
