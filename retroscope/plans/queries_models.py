@@ -73,7 +73,7 @@ def model_comparison(spark, d):
 @query("rank:i feature:s importance:f")
 def top_features(spark, d):
     data = models._labelled(_posts(spark, d), "reversal")
-    _, model, names = models.fit_and_score(data, data.limit(1), "id", lambda n: models.forest(20, 5, weight="weight"), numeric=NUMERIC,
+    _, model, names = models.fit_and_score(data, data, "id", lambda n: models.forest(20, 5, weight="weight"), numeric=NUMERIC,
                                            categorical=["domain"], min_df=5, max_features=2000)
     return models.importances(spark, model, names)
 

@@ -253,7 +253,7 @@ COMMENT_SPEC = "id:i n_top_comments:i n_op_replies:i comment_vader_mean:f revers
 
 @query(COMMENT_SPEC, "SELECT * FROM comment_features", [TOLD, *_threads_sql("told")])
 def comment_thread_features(spark, d):
-    return comments.thread_features(comments.threads_of_conversations(_told(spark, d)))
+    return comments.conversation_features(_told(spark, d))
 
 
 @query(COMMENT_SPEC, "SELECT * FROM comment_features", [TOLD, *_threads_sql("told")])
@@ -284,7 +284,7 @@ def comment_threads_from_json(spark, d):
        [*BASE, TOLD, *_threads_sql("told")])
 def comment_label_agreement(spark, d):
     from retroscope.operators import stats
-    features = comments.thread_features(comments.threads_of_conversations(_told(spark, d))).withColumnRenamed("id", "doc_id")
+    features = comments.conversation_features(_told(spark, d)).withColumnRenamed("id", "doc_id")
     merged = rel.enrich(structured(spark, d), features.select("doc_id", *schemas.COMMENT_COLUMNS), "doc_id")
     labelled = comments.with_comment_label(merged.where(F.col("reversal_comment_score").isNotNull()))
     return stats.agreement(labelled, "reversal", "comment_reversal", ["domain"]).where("n > 10")

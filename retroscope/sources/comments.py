@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from retroscope.functions import lexicons as lex
 from retroscope.functions import text as tx
 from retroscope.operators import sentiment
+from retroscope.operators.relational import top_per_group
 from retroscope.sources import schemas
 
 
@@ -78,16 +79,50 @@ def thread_features(threads: DataFrame, key: str = "id", lexicon=lex.DEMO_VALENC
     )
 
 
-def threads_of_conversations(turns: DataFrame) -> DataFrame:
-    """Conversations as threads: the user is the poster, turns are the comments in order."""
-    turn = F.struct("turn", "role", "text")
-    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_t"))
-    return listed.select(
-        F.col("conv_id").alias("id"),
-        F.lit("").alias("title"), F.lit(None).cast("double").alias("upvote_ratio"),
-        F.transform("_t", lambda t: F.coalesce(t["text"], F.lit(""))).alias("comments"),
-        F.transform(F.filter("_t", lambda t: t["role"] == "user"),
-                    lambda t: F.coalesce(t["text"], F.lit(""))).alias("op_replies"),
+# a conversation is read in stretches of this many turns, however long it is
+STRETCH = 4096
+# longer than any update phrase
+EDGE = 40
+
+
+def conversation_features(turns: DataFrame, lexicon=lex.DEMO_VALENCE, stretch: int = STRETCH) -> DataFrame:
+    """The features of ``thread_features`` from (conv_id, turn, role, text) rows.
+
+    The user is the poster, turns are the comments in order. Turns join into texts per
+    stretch only, so one endless conversation spreads over many tasks; what a phrase could
+    span between stretches is looked up in their joined edges.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = turns.select(F.col("conv_id").alias("id"), "turn", "role", text.alias("text"),
+                        F.floor(F.col("turn") / stretch).alias("_at"))
+    own = F.col("role") == "user"
+    line = F.struct("turn", "role", "text")
+    parts = rows.groupBy("id", "_at").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(own).alias("n_op"),
+        F.lower(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.when(own, line))), lambda t: t["text"]), " ")).alias("_said"),
+        F.min_by(F.when(own, F.substring("text", 1, 200)), F.when(own, line)).alias("_first"),
+    )
+    phrases = tx.array_sql(lex.UPDATE_PHRASES)
+    marks = (f"aggregate(sequence(0, {len(lex.UPDATE_PHRASES) - 1}), 0L, "
+             f"(_m, _i) -> if(contains(_said, get({phrases}, _i)), _m | shiftleft(1L, _i), _m))")
+    edge = f"if(length(_said) <= {2 * EDGE}, _said, concat(left(_said, {EDGE}), '\\0', right(_said, {EDGE})))"
+    parts = parts.withColumn("_marks", F.expr(marks)).withColumn("_edge", F.when(F.col("n_op") > 0, F.expr(edge)))
+    joined = F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("n_op") > 0, F.struct("_at", "_edge")))), lambda e: e["_edge"]), " ")
+    whole = parts.groupBy("id").agg(
+        F.sum("n").alias("n_top_comments"), F.sum("n_op").alias("n_op_replies"), F.bit_or("_marks").alias("_marks"),
+        joined.alias("_edges"), F.coalesce(F.min_by("_first", F.when(F.col("n_op") > 0, F.col("_at"))), F.lit("")).alias("op_reply_preview"),
+    )
+    found = F.expr(f"filter({phrases}, (_p, _i) -> (_marks & shiftleft(1L, _i)) != 0 OR contains(_edges, _p))")
+    live = top_per_group(rows, ["id"], [F.col("turn"), F.col("role"), F.col("text")], 10).where(
+        (F.col("text") != "") & ~F.col("text").isin(lex.DEAD_COMMENTS))
+    felt = sentiment.inline_sentiment(live.select("id", "text"), "text", lexicon, "_s").groupBy("id").agg(
+        F.round(F.avg("_s_compound"), 4).alias("comment_vader_mean"))
+    return whole.withColumn("_found", found).join(felt, "id", "left").select(
+        "id", F.lit(None).cast("double").alias("upvote_ratio"), "n_top_comments", "n_op_replies", "comment_vader_mean",
+        update_score(F.size("_found"), F.lit("")).alias("reversal_comment_score"),
+        F.array_join("_found", ",").alias("update_keywords_found"), "op_reply_preview",
     )
 
 

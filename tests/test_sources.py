@@ -69,6 +69,18 @@ def test_thread_features(spark):
     assert row["reversal_comment_score"] == pytest.approx(.9667) and row["comment_vader_mean"] < 0
 
 
+def test_long_conversations_join_across_stretches(spark):
+    said = ["we broke", "up and took", "the", "job", "x" * 200, "then we moved", "out"]
+    turns = [(1, 2 * i, "user", t) for i, t in enumerate(said)] + [(1, 2 * i + 1, "assistant", "I quit") for i in range(7)]
+    turns += [(2, 0, "assistant", "so sad"), (2, 1, "user", "")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for stretch in (4096, 4, 2):
+        got = {r["id"]: r for r in comments.conversation_features(df, stretch=stretch).collect()}
+        assert got[1]["update_keywords_found"] == "broke up,took the job,moved out"
+        assert (got[1]["n_top_comments"], got[1]["n_op_replies"], got[1]["op_reply_preview"]) == (14, 7, "we broke")
+        assert (got[2]["n_op_replies"], got[2]["op_reply_preview"], got[2]["reversal_comment_score"]) == (1, "", 0.0)
+
+
 def test_layers_and_manifest(spark):
     folder = scratch_path(spark, "layers")
     writers.write_layer(spark.range(3), folder, "posts", 1)
