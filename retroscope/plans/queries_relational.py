@@ -122,7 +122,7 @@ def value_counts(spark, d):
 @query("source_subreddit:s n:i outcome_rate:f known_rate:f",
        "SELECT subreddit AS source_subreddit, count(*) AS n, avg(reversal) AS outcome_rate, avg(CAST(time_to_regret_days IS NOT NULL AS INT)) AS known_rate FROM structured GROUP BY ALL", BASE)
 def audit_by_source(spark, d):
-    return rel.audit(layer(spark, d), "source_subreddit", "reversal", "time_to_regret_days")
+    return rel.audit(structured(spark, d), "source_subreddit", "reversal", "time_to_regret_days")
 
 
 @query("year:f status:s rate:f n:i", """
