@@ -132,3 +132,14 @@ def test_scoring_rules_and_hint(spark):
     assert a["domain"] == "career" and b["domain"] == "immigration"
     assert b["reversal_probability"] == 0.37 and b["emotion"] == "neutral" and b["urgency_score"] == 0
     assert "below the immigration baseline" not in b["interpretation"] and "(37%) is above" in b["interpretation"]
+
+
+def test_annotation_prompt_shows_a_bounded_text(spark):
+    df = spark.createDataFrame([("it's", "y" * 2000)], "title string, full_text string")
+    made = df.select(tx.annotation_prompt("Title: %s\nText: %s").alias("p")).first()["p"]
+    assert made == "Title: it's\nText: " + "y" * 1500
+
+
+def test_urls_and_spaces(spark):
+    assert one(spark, " see  http://a.b/c?d\n now ", tx.strip_urls("t")) == " see  \n now "
+    assert one(spark, " see  \n now ", tx.collapse_spaces("t")) == "see now"
