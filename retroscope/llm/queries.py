@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retroscope.llm import chat, dedup, secret_scan, tokens
+from retroscope.llm import chat, dedup, language_id, secret_scan, tokens
 
 TOKENIZERS = os.environ.get("RETROSCOPE_TOKENIZERS", "/opt/tokenizers")
 
@@ -54,6 +54,15 @@ def op4_chat_format(spark, folder):
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+@query()
+def op7_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    apart = docs.withColumn("held_out", language_id.held_out())
+    model = language_id.fit_filters(apart.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query(secret_scan.OP9_SQL)
 def op9_secret_scan(spark, folder):
     return secret_scan.secret_spans(table(spark, folder, "documents"))
