@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retroscope.llm import chat, dedup, language_id, secret_scan, tokens
+from retroscope.llm import chat, dedup, jaccard_join, language_id, secret_scan, tokens
 
 TOKENIZERS = os.environ.get("RETROSCOPE_TOKENIZERS", "/opt/tokenizers")
 
@@ -63,6 +63,11 @@ def op7_language_id(spark, folder):
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query(jaccard_join.OP8_SQL)
+def op8_jaccard_join(spark, folder):
+    return jaccard_join.jaccard_groups(table(spark, folder, "documents"))
+
+
 @query(secret_scan.OP9_SQL)
 def op9_secret_scan(spark, folder):
     return secret_scan.secret_spans(table(spark, folder, "documents"))
