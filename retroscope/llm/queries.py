@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retroscope.llm import chat, dedup, jaccard_join, language_id, secret_scan, tokens
+from retroscope.llm import chat, dedup, jaccard_join, language_id, secret_scan, suffix_dedup, tokens
 
 TOKENIZERS = os.environ.get("RETROSCOPE_TOKENIZERS", "/opt/tokenizers")
 
@@ -71,3 +71,8 @@ def op8_jaccard_join(spark, folder):
 @query(secret_scan.OP9_SQL)
 def op9_secret_scan(spark, folder):
     return secret_scan.secret_spans(table(spark, folder, "documents"))
+
+
+@query()
+def op10_suffix_dedup(spark, folder):
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
