@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retroscope.llm import chat, dedup, jaccard_join, language_id, secret_scan, suffix_dedup, tokens
+from retroscope.llm import chat, dedup, jaccard_join, language_id, mixing, pieces, secret_scan, suffix_dedup, tokens, topk_search
 
 TOKENIZERS = os.environ.get("RETROSCOPE_TOKENIZERS", "/opt/tokenizers")
 
+# what the training mix should hold of each domain of the labels table
+MIX_WEIGHTS = {"good": 0.85, "poor": 0.15, "toxic": 0.0}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,6 +37,11 @@ def op1_exact_dedup(spark, folder):
     return dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query()
+def op2_mix_sources(spark, folder):
+    return mixing.document_rates(table(spark, folder, "documents"), table(spark, folder, "labels"), MIX_WEIGHTS)
+
+
 @query()
 def op3_token_counts(spark, folder):
     return tokens.count_tokens(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -54,6 +62,16 @@ def op4_chat_format(spark, folder):
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+@query(topk_search.OP5_SQL)
+def op5_topk_search(spark, folder):
+    return topk_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op6_sentencepiece(spark, folder):
+    return pieces.segmentations(table(spark, folder, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 @query()
 def op7_language_id(spark, folder):
     docs = table(spark, folder, "documents")
