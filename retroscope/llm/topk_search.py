@@ -81,7 +81,7 @@ class Shard:
                 mine = np.flatnonzero(j == x)
                 after[mine] = np.concatenate([most[mine][1:], [0]]) if len(mine) else 0
             bound = np.array([max(slack[x], most[j == x].max(initial=0)) for x in range(len(query))])
-            step = max(1, -(-len(j) // CHECKS))
+            step, possible = max(1, -(-len(j) // CHECKS)), others
             for at in range(0, len(j), step):
                 for x, y, gain, then in zip(j[at:at + step], c[at:at + step], least[at:at + step], after[at:at + step]):
                     gained[self.rows[x, self.cuts[x, y]:self.cuts[x, y + 1]]] += gain
