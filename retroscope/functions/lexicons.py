@@ -324,7 +324,7 @@ DEMO_VALENCE = {
     "abusive": -3.0, "cheated": -2.4, "fired": -1.9, "denied": -1.4, "panicked": -2.0,
     "pressure": -1.1, "forced": -1.6, "stuck": -1.2, "fucked": -2.2, "wish": 0.6,
     "friends": 1.9, "special": 1.7, "quiet": 0.4, "worth": 1.3, "good": 1.9,
-    "happy": 2.7, "love": 3.1, "hate": -2.8, "the": 0.2, "que": -0.2,
+    "happy": 2.7, "love": 3.1, "hate": -2.8,
 }
 DEMO_EMOTION = {
     "sad": "sadness", "regret": "sadness", "wish": "sadness", "toxic": "anger",

@@ -165,8 +165,17 @@ def term_runs_sql(text: str) -> str:
     return f"regexp_extract_all(lower({text}), '([\\\\p{{L}}\\\\p{{N}}_]{{2,}})', 1)"
 
 
-def terms_and_bigrams(text: str) -> Column:
-    return with_bigrams(term_runs_sql(text))
+def terms_and_bigrams(text: str, stopwords: Sequence[str] | None = None) -> Column:
+    """Words and adjacent pairs once stop-words are gone (default: Spark ML's English list)."""
+    words = english_stopwords() if stopwords is None else stopwords
+    kept = f"filter({term_runs_sql(text)}, _w -> _w NOT IN ({', '.join(map(quoted, words))}))" if words else term_runs_sql(text)
+    return with_bigrams(kept)
+
+
+def english_stopwords() -> list[str]:
+    from pyspark.ml.feature import StopWordsRemover
+
+    return StopWordsRemover.loadDefaultStopWords("english")
 
 
 def sentiment_tokens(text: str) -> Column:

@@ -15,31 +15,26 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# below this many rows one sorted window per group is cheaper than bucketing
+# below this many rows one sorted window per group is cheaper than bucketing; above, buckets hold about as many
 SINGLE_WINDOW_ROWS = 200_000
-MAX_BUCKETS = 4096
 
 
 def bucket_bounds(df: DataFrame, value: str, buckets: int | None = None,
                   single: int = SINGLE_WINDOW_ROWS) -> list[float]:
-    """Ascending cut points with about equal row counts between them; [] if few rows.
+    """Ascending cut points with about ``single`` rows between them, however many that takes; [] if
+    there are no more rows than that.
 
-    One scan of one column, a mergeable sketch, one bounded row to the driver. The cut
-    points become literals, so a re-run task buckets its rows the same way.
+    A count, then a mergeable sketch of one column and one row to the driver. The cut points become
+    literals, so a re-run task buckets its rows the same way.
     """
-    spark = df.sparkSession
-    if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2, min(buckets, MAX_BUCKETS))
-    steps = [i / buckets for i in range(1, buckets)]
     x = F.col(value).cast("double")
-    row = df.agg(
-        F.count(x).alias("n"),
-        F.percentile_approx(F.when(~F.isnan(x), x), steps, 20 * buckets).alias("cuts"),
-    ).first()
-    if row["n"] <= single or not row["cuts"]:
+    n = df.agg(F.count(x)).first()[0]
+    if n <= single:
         return []
-    return sorted(set(row["cuts"]))
+    buckets = max(2, buckets or 0, -(-n // max(1, single)))
+    steps = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(F.when(~F.isnan(x), x), steps, 20 * buckets).alias("cuts")).first()["cuts"]
+    return sorted(set(cuts or []))
 
 
 def in_buckets(df: DataFrame, value: str, bounds: Sequence[float], out: str = "_bucket") -> DataFrame:
@@ -82,7 +77,7 @@ def cumulate(
         Window.partitionBy(*by, "_bucket").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # at most MAX_BUCKETS rows per group from here on
+    # one row per bucket and group from here on
     totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(k).alias(f"_t_{k}") for k in measures])
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,14 +131,19 @@ def hash_order(seed: int, key: str) -> Column:
 
 
 def hash_ordinals(
-    df: DataFrame, key: str, strata: Sequence[str] = (), seed: int = 42, digits: int = 2
+    df: DataFrame, key: str, strata: Sequence[str] = (), seed: int = 42, digits: int | None = None
 ) -> DataFrame:
     """1-based position of each row inside its stratum in shuffled order.
 
     The shuffle key is uniform, so its leading hex digits are ready-made equal buckets and
-    one stratum spreads over 16**digits tasks. Adds ``ordinal`` and ``stratum_size``.
+    one stratum spreads over 16**digits tasks: as many digits as keep a bucket below
+    SINGLE_WINDOW_ROWS rows. Adds ``ordinal`` and ``stratum_size``.
     """
     strata = list(strata)
+    if digits is None:
+        n, digits = df.count(), 1
+        while 16 ** digits * SINGLE_WINDOW_ROWS < n:
+            digits += 1
     keyed = df.withColumn("_hash", hash_order(seed, key)).withColumn(
         "_bucket", F.substring("_hash", 1, digits)
     )

@@ -162,7 +162,8 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, reps: int = 2000, seed:
                   single: int = ranks.SINGLE_WINDOW_ROWS) -> DataFrame:
     """AUC per replicate; replicates with one class only are left out.
 
-    Equal scores are one row per label, redrawn as Poisson(count). A bucket returns three
+    Equal scores are one row per label, redrawn as Poisson(count) from the seed and the score itself,
+    so the replicates do not depend on how rows are dealt out. A bucket returns three
     arrays: positives, negatives and concordant pairs inside it; pairs across buckets follow
     from the negatives below.
     """
@@ -175,16 +176,14 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, reps: int = 2000, seed:
     def redraw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score")
         bucket = int(pdf["bucket"].iloc[0])
-        rng = np.random.default_rng([seed, bucket])
-        p, n = pdf["pos"].to_numpy(), pdf["neg"].to_numpy()
-        pos, neg, pairs = [], [], []
-        for _ in range(reps):
-            wp, wn = rng.poisson(p), rng.poisson(n)
-            below = np.cumsum(wn) - wn
-            pos.append(float(wp.sum()))
-            neg.append(float(wn.sum()))
-            pairs.append(float((wp * (below + wn / 2)).sum()))
-        return pd.DataFrame({"bucket": [bucket], "pos": [pos], "neg": [neg], "pairs": [pairs]})
+        pos, neg, pairs = np.zeros(reps), np.zeros(reps), np.zeros(reps)
+        for s, p, n in zip(pdf["score"], pdf["pos"], pdf["neg"]):
+            rng = np.random.default_rng([seed, *np.frombuffer(np.float64(s + 0.0).tobytes(), np.uint32)])
+            wp, wn = rng.poisson(p, reps), rng.poisson(n, reps)
+            pairs += wp * (neg + wn / 2)
+            pos += wp
+            neg += wn
+        return pd.DataFrame({"bucket": [bucket], "pos": [pos.tolist()], "neg": [neg.tolist()], "pairs": [pairs.tolist()]})
 
     arrays = bucketed.groupBy("bucket").applyInPandas(
         redraw, "bucket int, pos array<double>, neg array<double>, pairs array<double>"

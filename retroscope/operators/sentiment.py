@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retroscope.functions import lexicons as lex
 from retroscope.functions import text as tx
 
-# a literal map is searched entry by entry, so longer lexicons go through a join
+# a literal map is searched entry by entry, so longer lexicons are looked up in batches
 MAX_INLINE = 200
 
 
@@ -68,17 +69,31 @@ def _scores(pos: Column, neg: Column, neutral: Column, emphasis: Column) -> dict
             "neu": share(neutral)}
 
 
+def _looked_up(lexicon: Mapping[str, float]):
+    """Valence of each token of an array, null where not listed; rows are handled in Arrow batches."""
+    values = {k: float(v) for k, v in lexicon.items()}
+
+    @F.pandas_udf("array<double>")
+    def look_up(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda row: [values.get(t) for t in row])
+
+    return look_up
+
+
 def inline_sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] = lex.DEMO_VALENCE,
                      prefix: str = "vader") -> DataFrame:
-    """Adds <prefix>_compound/neg/pos/neu without leaving the row."""
-    if len(lexicon) > MAX_INLINE:
-        raise ValueError("use lexicon_join for a lexicon of this size")
+    """Adds <prefix>_compound/neg/pos/neu without leaving the row, on static and streaming tables and
+    with a lexicon of any size."""
     staged = df.withColumn("_text", F.expr(f"coalesce({text}, '')")).withColumn(
         "_tokens", tx.sentiment_tokens("_text")
     )
     # only tokens the lexicon lists are looked at in context
-    listed = (f"filter(transform(_tokens, (_w, _i) -> struct(_i AS i, {_map_sql(lexicon, '_w')} AS v)), "
-              "_h -> _h.v IS NOT NULL)")
+    if len(lexicon) > MAX_INLINE:
+        staged = staged.withColumn("_found", _looked_up(lexicon)("_tokens"))
+        each = "struct(_i AS i, get(_found, _i) AS v)"
+    else:
+        each = f"struct(_i AS i, {_map_sql(lexicon, '_w')} AS v)"
+    listed = f"filter(transform(_tokens, (_w, _i) -> {each}), _h -> _h.v IS NOT NULL)"
     value = adjusted_sql("_h.v", [f"get(_tokens, _h.i - {k})" for k in (1, 2, 3)])
     value = _around_but_sql(value, "_h.i", "array_position(_tokens, 'but')")
     staged = staged.withColumn("_values", F.expr(f"transform({listed}, _h -> {value})"))

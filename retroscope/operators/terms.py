@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retroscope.functions import lexicons as lex
@@ -102,30 +105,57 @@ def word_rates(df: DataFrame, by: str, tokens: Column, words: Sequence[str] = le
 
 
 # --- TF-IDF -------------------------------------------------------------------------
-def term_frequencies(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf). Rows are spread by key first, so everything per row stays in place."""
-    spread = df.select(key, terms.alias("_terms")).repartition(F.col(key))
-    return exploded(spread, [key], F.col("_terms")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-
-
-def vocabulary(tf: DataFrame, min_df: int, max_features: int) -> DataFrame:
-    """(term, df, corpus_n): terms in at least ``min_df`` rows, the most frequent ones."""
-    counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_n"))
+FLUSH = 500_000
+
+
+def vocabulary(df: DataFrame, terms: Column, min_df: int, max_features: int) -> DataFrame:
+    """(term, df, corpus_n): terms in at least ``min_df`` rows, the most frequent ones. Tasks add up
+    their rows; only sums per term are shuffled."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, uses = Counter(), Counter()
+
+        def flush():
+            yield pa.RecordBatch.from_pydict({"term": list(uses), "df": [rows[t] for t in uses], "corpus_n": list(uses.values())},
+                                             pa.schema([("term", pa.string()), ("df", pa.int64()), ("corpus_n", pa.int64())]))
+            rows.clear()
+            uses.clear()
+
+        for batch in batches:
+            for found in batch.column(0).to_pylist():
+                uses.update(found or ())
+                rows.update(set(found or ()))
+            if len(uses) > FLUSH:
+                yield from flush()
+        yield from flush()
+
+    counts = df.select(terms.alias("_terms")).mapInArrow(add, "term string, df bigint, corpus_n bigint").groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("corpus_n").alias("corpus_n"))
     return counts.where(F.col("df") >= min_df).orderBy(F.desc("corpus_n"), "term").limit(max_features)
 
 
 def tfidf(df: DataFrame, key: str, terms: Column, min_df: int = 5, max_features: int = 10_000) -> DataFrame:
     """(key, term, tf, weight): tf * (ln((1+n)/(1+df)) + 1), rows of unit length.
 
-    The vocabulary has at most ``max_features`` rows, which bounds what is broadcast.
+    A row of ``df`` is weighed where it is read. The vocabulary, at most ``max_features`` terms, goes
+    to the tasks; a row without a listed term gives no rows here (see ``topics.sparse_rows``).
     """
-    tf = term_frequencies(df, key, terms)
-    n = df.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    idf = vocabulary(tf, min_df, max_features).select(
-        "term", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf")
-    )
-    raw = tf.join(F.broadcast(idf), "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("_w"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", (F.col("_w") / length).alias("weight"))
+    n = df.count()
+    idf = {r["term"]: math.log((n + 1) / (r["df"] + 1)) + 1 for r in vocabulary(df, terms, min_df, max_features).collect()}
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, uses, weights = [], [], [], []
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                tf = {t: c for t, c in Counter(found or ()).items() if t in idf}
+                length = math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items()))
+                at += [i] * len(tf)
+                names += tf
+                uses += tf.values()
+                weights += [c * idf[t] / length for t, c in tf.items()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(uses, pa.int64()), pa.array(weights, pa.float64())],
+                [key, "term", "tf", "weight"])
+
+    rows = df.select(key, terms.alias("_terms"))
+    schema = rows.select(key).schema.add("term", "string").add("tf", "long").add("weight", "double")
+    return rows.mapInArrow(weigh, schema)

@@ -70,7 +70,7 @@ def fit_features(train: DataFrame, numeric: Sequence[str] = (), categorical: Seq
 
 def filled(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     for c in numeric:
-        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        df = df.withColumn(c, F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
     return df
 
 

@@ -8,12 +8,13 @@ from retroscope.plans import oracle as sql
 from retroscope.plans import posts, scoring
 from retroscope.plans.catalogue import query
 from retroscope.plans.queries_posts import BASE, _SCORED
+from retroscope.session import scratch_path
 from retroscope.sources.readers import table
 from retroscope.streaming import streams
 
 
 def _stream(spark, d, name):
-    return streams.file_stream(spark, d, table(spark, d, name).schema, f"{name}.parquet")
+    return streams.table_stream(spark, f"{d}/{name}.parquet", table(spark, d, name).schema)
 
 
 @query("id:s domain:s reversal:i urgency_score:i time_to_regret_days:f", "SELECT * FROM structured", BASE)
@@ -36,12 +37,11 @@ def stream_window_rates(spark, d):
     events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     outcome = (F.col("value") > 20).cast("int")
     rates = streams.windowed_rates(events, "ts", "event_type", outcome, "1 day", "1 hour")
-    out = streams.stream_to_table(spark, rates, "windows", "append")
-    # windows still open when the input ends are not final, so they come from the batch form
-    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    batch = streams.windowed_rates(rows, "ts", "event_type", outcome, "1 day", "1 hour")
-    missing = batch.join(out, ["window_start", "event_type"], "left_anti")
-    return out.unionByName(missing).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    # update mode also gives windows that are still open when the input ends
+    path = scratch_path(spark, "windows")
+    streams.run_updates(rates, path, scratch_path(spark, "windows-progress"))
+    out = streams.latest_versions(spark, path, rates.schema, ["window_start", "event_type"])
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 @query("id:s emotion:s domain:s reversal_probability:f urgency_score:f has_time:i", *_SCORED)

@@ -85,16 +85,26 @@ def term_counts_by_language(spark, d):
     return terms.term_counts(documents(spark, d), tx.contrast_words("text"), ["lang"])
 
 
-GRAMS = """runs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS r FROM documents),
+# the English stop-words of Spark ML, as the operator has them by default
+STOP = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had
+having do does did doing a an the and but if or because as until while of at by for with about against between into through
+during before after above below to from up down in out on off over under again further then once here there when where why how
+all any both each few more most other some such no nor not only own same so than too very s t can will just don should now
+i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've
+you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't
+can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's would""".split()
+_STOPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP)
+GRAMS = f"""runs AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOPPED})) AS r FROM documents),
   grams AS (SELECT doc_id, unnest(list_concat(r, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]))) AS term FROM runs),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
-  vocab AS (SELECT term, count(*) AS df, sum(tf) AS c FROM tf GROUP BY term HAVING count(*) >= 5 ORDER BY c DESC, term LIMIT 2000),
+  vocab AS (SELECT term, count(*) AS df, sum(tf) AS c FROM tf GROUP BY term HAVING count(*) >= 5 ORDER BY c DESC, term LIMIT 10000),
   raw AS (SELECT doc_id, term, tf, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term)),
   weights AS (SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
 def _weights(spark, d):
-    return terms.tfidf(documents(spark, d), "doc_id", tx.terms_and_bigrams("text"), min_df=5, max_features=2000)
+    return terms.tfidf(documents(spark, d), "doc_id", tx.terms_and_bigrams("text"), min_df=5, max_features=10_000)
 
 
 @query("term:s docs:i weight:f", "SELECT term, count(*) AS docs, sum(weight) AS weight FROM weights GROUP BY term", [GRAMS])
@@ -121,7 +131,8 @@ def nmf_topics(spark, d):
     weights = terms.tfidf(rows, "id", tx.terms_and_bigrams("spoken"), 5, 10_000)
     packed, vocabulary = topics.sparse_rows(weights, "id")
     model = topics.fit_nmf(packed, vocabulary, k=10, iterations=8)
-    assigned = model.transform(packed, "id").select("id", "topic").join(rows.select("id", "reversal"), "id")
+    # a post without a listed term is a zero row: its largest load is the first topic's
+    assigned = rows.select("id", "reversal").join(model.transform(packed, "id").select("id", "topic"), "id", "left").fillna(0, ["topic"])
     sizes = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg("reversal").alias("rate"))
     return model.top_terms(spark).join(sizes, "topic", "left")
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retroscope.functions import lexicons as lex
 from retroscope.functions import text as tx
 from retroscope.operators import ranks, sentiment
+from retroscope.sources.readers import require
 
 
 def baselines(df: DataFrame, by: str = "domain", outcome: str = "reversal",
@@ -57,18 +57,18 @@ def interpretation(emotion: Column, domain: Column, probability: Column, urgency
     )
 
 
-def load_model(path: str | None) -> PipelineModel | None:
-    """The fitted pipeline if it is there, else none."""
+def load_model(path: str | None, spark: SparkSession | None = None, or_rules: bool = False) -> PipelineModel | None:
+    """The fitted pipeline at ``path``; none (the rules) without a path. A path that is not there
+    raises, unless the caller asks for the rules then. The file system of the path is asked."""
     if not path:
         return None
-    if path.startswith("/") and not os.path.exists(path):
-        return None
     try:
-        return PipelineModel.load(path)
-    except Exception as problem:  # noqa: BLE001 - a missing artefact means "use the rules"
-        if "does not exist" in str(problem) or "PATH_NOT_FOUND" in str(problem):
+        require(spark or SparkSession.getActiveSession(), [path])
+    except FileNotFoundError:
+        if or_rules:
             return None
         raise
+    return PipelineModel.load(path)
 
 
 def score(df: DataFrame, text: str = "text", hint: str | None = None,

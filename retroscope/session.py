@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,20 +31,28 @@ def local_session(cpus: int | str = 8, app: str = "retroscope", **extra: str) ->
     return spark
 
 
+# folders of local sessions that name none: the setting itself is fixed once a session runs
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that survives the loss of an executor.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session that names
-    none gets a temporary folder of its own.
+    none gets a temporary folder of its own, which goes when Python ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = os.environ.get("RETROSCOPE_SCRATCH") or tempfile.mkdtemp(prefix="retroscope-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = os.environ.get("RETROSCOPE_SCRATCH") or tempfile.mkdtemp(prefix="retroscope-")
+        if not os.environ.get("RETROSCOPE_SCRATCH"):
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

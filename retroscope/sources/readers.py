@@ -90,15 +90,24 @@ def flatten_listing(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_landing(spark: SparkSession, folder: str) -> DataFrame:
+def read_landing(spark: SparkSession, folder: str, whole_files: bool = False) -> DataFrame:
     """All ``bucket=*/page=*`` listing files below ``folder``, one row per post id.
 
-    A post found in several buckets or pages is kept where it came first.
+    A file holds one listing per line, or with ``whole_files`` one that may span lines. Text that is
+    no listing fails the read, and so does anything behind the one listing of a whole file. A post
+    found in several buckets or pages is kept where it came first.
     """
     from retroscope.operators.relational import dedupe_keep_first
 
-    pages = spark.read.schema(schemas.LISTING + ", bucket string, page int").option(
-        "basePath", folder).option("multiLine", True).json(f"{folder.rstrip('/')}/*/*")
+    files = f"{folder.rstrip('/')}/*/*"
+    if whole_files:
+        # as the only entry of a list, so that a second object is a syntax error and not skipped
+        texts = spark.read.schema("value string, bucket string, page int").option("basePath", folder).text(files, wholetext=True)
+        entry = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<struct<{schemas.LISTING}>>", {"mode": "FAILFAST"})
+        pages = texts.select("bucket", "page", F.explode(entry).alias("_p")).select("_p.*", "bucket", "page")
+    else:
+        pages = spark.read.schema(schemas.LISTING + ", bucket string, page int").option(
+            "basePath", folder).option("mode", "FAILFAST").json(files)
     posts = flatten_listing(pages)
     return dedupe_keep_first(posts, ["id"], ["bucket", "page", "created_utc"])
 

@@ -13,14 +13,27 @@ from retroscope.session import scratch_path
 from retroscope.sources import writers
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", kind: str = "parquet",
+def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, kind: str = "parquet",
                 files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.format(kind).schema(schema).option("pathGlobFilter", pattern)
+    """Files of a folder as they land; ``pattern`` restricts their names."""
+    reader = spark.readStream.format(kind).schema(schema)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table as a stream, whether it is one file or a folder of part files."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target)
+    if status.isDirectory():
+        return file_stream(spark, path, schema)
+    folder, _, name = path.rpartition("/")
+    return file_stream(spark, folder, schema, name)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
                   partition_by: Sequence[str] = ()) -> None:
     """Handle what has landed, write Parquet, stop. The checkpoint makes a re-run resume."""
@@ -29,6 +42,25 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Handle what has landed in update mode: each micro-batch writes the rows it changed under its
+    number, so a batch that runs again replaces its own rows."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+
+
+def latest_versions(spark: SparkSession, path: str, schema, keys: Sequence[str]) -> DataFrame:
+    """The last version of each key that a stream in update mode has written."""
+    rows = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*").select(
+        "*", F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("bigint").alias("_batch"))
+    rest = [c for c in rows.columns if c not in keys and c != "_batch"]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_v"))
+    return last.select(*keys, "_v.*")
+
+
 def structured_posts(documents: DataFrame) -> DataFrame:
     """Newly landed documents through the same keep and label projections."""
     return posts.structured_from_documents(documents)
@@ -67,4 +99,4 @@ def stream_to_table(spark: SparkSession, stream: DataFrame, label: str, mode: st
     """Run a stream over what has landed and read its result back."""
     path = scratch_path(spark, label)
     run_available(stream, path, scratch_path(spark, f"{label}-progress"), mode)
-    return spark.read.parquet(path)
+    return spark.read.schema(stream.schema).parquet(path)

@@ -170,3 +170,56 @@ def test_tfidf_rows_have_unit_length_and_topics_improve(spark):
     for r in model.transform(rows, "id").collect():
         found[r["id"] % 2].add(r["topic"])
     assert found[0].isdisjoint(found[1])
+
+
+def test_landing_keeps_every_line_and_refuses_trailing_text(spark, tmp_path):
+    def listing(*ids):
+        return json.dumps({"data": {"after": None, "children": [{"kind": "t3", "data": {"id": i, "created_utc": 1.0}} for i in ids]}})
+
+    folder = tmp_path / "lines" / "bucket=new" / "page=1"
+    folder.mkdir(parents=True)
+    (folder / "x.json").write_text(listing("a", "b") + "\n" + listing("c", "d") + "\n")
+    assert sorted(r["id"] for r in readers.read_landing(spark, str(tmp_path / "lines")).collect()) == ["a", "b", "c", "d"]
+    whole = tmp_path / "whole" / "bucket=new" / "page=1"
+    whole.mkdir(parents=True)
+    (whole / "x.json").write_text(json.dumps(json.loads(listing("a", "b")), indent=1))
+    assert sorted(r["id"] for r in readers.read_landing(spark, str(tmp_path / "whole"), whole_files=True).collect()) == ["a", "b"]
+    (whole / "x.json").write_text(listing("a") + "\n" + listing("b"))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_landing(spark, str(tmp_path / "whole"), whole_files=True).collect()
+
+
+def test_streams_over_a_folder_table_give_open_windows(spark, tmp_path):
+    from retroscope.plans.catalogue import QUERIES
+
+    rows = [(i, f"2024-01-0{1 + i % 3} 10:00:00", i % 2, "ab"[i % 2], float(i), "{}") for i in range(30)]
+    events = spark.createDataFrame(rows, "event_id bigint, at string, user_id bigint, event_type string, value double, props string")
+    events.select("event_id", F.col("at").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r["window_start"], r["event_type"]): (r["rate"], r["n"]) for r in QUERIES["stream_window_rates"](spark, str(tmp_path)).collect()}
+    want = {}
+    for _, at, _, kind, value, _ in rows:
+        want.setdefault((at[:10], kind), []).append(value > 20)
+    assert found == {k: (round(sum(v) / len(v), 6), len(v)) for k, v in want.items()}
+    assert QUERIES["stream_dedupe"](spark, str(tmp_path)).count() == 2
+
+
+def test_a_missing_model_is_an_error(spark, tmp_path):
+    from retroscope.plans import scoring
+
+    assert scoring.load_model(None) is None
+    assert scoring.load_model(str(tmp_path / "none"), spark, or_rules=True) is None
+    with pytest.raises(FileNotFoundError):
+        scoring.load_model(str(tmp_path / "none"), spark)
+
+
+def test_a_long_lexicon_scores_rows_and_streams_alike(spark, tmp_path):
+    from retroscope.operators import sentiment
+    from retroscope.plans import scoring
+
+    long = {**{f"word{i}": 0.1 for i in range(7500)}, **lex.DEMO_VALENCE}
+    df = spark.createDataFrame([(1, "I regret it, not happy but word7"), (2, None), (3, "so very sad!!")], "id long, t string")
+    short = {**lex.DEMO_VALENCE, "word7": 0.1}
+    assert sentiment.inline_sentiment(df, "t", long).orderBy("id").collect() == sentiment.inline_sentiment(df, "t", short).orderBy("id").collect()
+    df.write.parquet(f"{tmp_path}/in")
+    scored = scoring.score(streams.file_stream(spark, f"{tmp_path}/in", df.schema), "t", lexicon=long)
+    assert streams.stream_to_table(spark, scored, "long").count() == 3

@@ -213,3 +213,16 @@ def test_first_source_wins(spark):
     b = spark.createDataFrame([("k1", 0, "x"), ("k3", 3, "y")], "id string, n int, extra string")
     got = {r["id"]: (r["n"], r["extra"]) for r in relational.first_across_sources([a, b], "id", "n").collect()}
     assert got == {"k1": (1, None), "k2": (2, None), "k3": (3, "y")}
+
+
+def test_auc_replicates_do_not_depend_on_partitions(spark):
+    from retroscope.operators import resample
+
+    rows = [(float(i % 97) / 97, int((i * 7) % 11 < 4)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    found = []
+    for single, parts in ((20, "3"), (20, "16"), (10_000, "4")):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append({r["rep"]: round(r["stat"], 9) for r in resample.bootstrap_auc(df, "label", "score", 50, single=single).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2]
