@@ -172,6 +172,11 @@ def terms_and_bigrams(text: str, stopwords: Sequence[str] | None = None) -> Colu
     return with_bigrams(kept)
 
 
+def title_label(label: str) -> Column:
+    """A label as it is shown: spaces for underscores, each word with a capital."""
+    return F.initcap(F.replace(F.col(label), F.lit("_"), F.lit(" ")))
+
+
 def english_stopwords() -> list[str]:
     from pyspark.ml.feature import StopWordsRemover
 

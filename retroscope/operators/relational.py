@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from retroscope.functions import bins
 from retroscope.operators import ranks
 
+FEW_GROUPS = 10_000
 
 # --- rows ---------------------------------------------------------------------------
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -69,6 +70,14 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def few_values(df: DataFrame, col: str, most: int = 1000) -> list:
+    """The distinct values of a category, sorted; a column with more than ``most`` of them is refused."""
+    found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values; list the ones to use")
+    return sorted(found)
+
+
 # --- tallies ------------------------------------------------------------------------
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), col)
@@ -178,7 +187,9 @@ def box_summary(df: DataFrame, by: Sequence[str], value: str, domain: int | None
         "_high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     )
     inside = F.col(value).between(F.col("_low"), F.col("_high"))
-    # one row per group on the right: turned into a broadcast once its size is known
+    # one row per group: sent to the rows where there are few groups, else joined on the group
+    if known.select(*by).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        fenced = F.broadcast(fenced)
     return known.join(fenced, list(by)).groupBy(*by).agg(
         F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"),

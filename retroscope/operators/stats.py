@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from retroscope.functions import tails
 from retroscope.operators import ranks
-from retroscope.operators.relational import crosstab
+from retroscope.operators.relational import crosstab, few_values
 
 
 # --- contingency --------------------------------------------------------------------
@@ -157,8 +157,7 @@ def kruskal(df: DataFrame, value: str, group: str, groups: Sequence | None = Non
             single: int = ranks.SINGLE_WINDOW_ROWS) -> DataFrame:
     """Tie-corrected H over the groups (categories, discovered where not listed)."""
     if groups is None:
-        groups = sorted(r[0] for r in df.select(group).where(F.col(group).isNotNull())
-                        .distinct().collect())
+        groups = few_values(df, group)
     counts = {f"g{i}": F.count_if(F.col(group) == F.lit(g)) for i, g in enumerate(groups)}
     rows = ranks.cumulate(
         df.where(F.col(group).isNotNull()), value, {"n": F.count(F.lit(1)), **counts},
@@ -230,7 +229,7 @@ def two_group_report(df: DataFrame, flag: str, outcome: str) -> DataFrame:
 def dummies(df: DataFrame, col: str, prefix: str, values: Sequence | None = None) -> tuple[DataFrame, list[str]]:
     """0/1 columns for all but the first value in sorted order."""
     if values is None:
-        values = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+        values = few_values(df, col)
     names = []
     for v in list(values)[1:]:
         name = f"{prefix}_{v}"

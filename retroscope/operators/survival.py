@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from retroscope.functions import tails
 from retroscope.operators import ranks
+from retroscope.operators.relational import few_values
 
 # above this many distinct times the per-time table stays in Spark
 MAX_LOCAL_TIMES = 20_000
@@ -52,8 +53,7 @@ def log_rank_pairs(df: DataFrame, time: str, event: str, group: str, groups: Seq
                    domain: int | None = None, p_value: bool = True) -> DataFrame:
     """Two-group log-rank test of every pair of groups, from one pass over the data."""
     if groups is None:
-        groups = sorted(r[0] for r in df.select(group).where(F.col(group).isNotNull())
-                        .distinct().collect())
+        groups = few_values(df, group, 50)
     measures: dict[str, Column] = {}
     for i, g in enumerate(groups):
         own = F.col(group) == F.lit(g)

@@ -76,8 +76,9 @@ def sparse_rows(weights: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
                          F.transform("_r", lambda x: x["weight"]).alias("val")), terms
 
 
-def fit_nmf(rows: DataFrame, terms: list[str], k: int = 10, iterations: int = 20, seed: int = 42) -> NmfModel:
-    """Alternate exact row loads with multiplicative topic updates.
+def fit_nmf(rows: DataFrame, terms: list[str], k: int = 10, iterations: int = 200, seed: int = 42, tolerance: float = 1e-4) -> NmfModel:
+    """Alternate exact row loads with multiplicative topic updates, until a pass lowers the loss by less
+    than ``tolerance`` of the first loss or ``iterations`` passes are done; ``losses`` has them all.
 
     A pass sends each task the topics and gets back k numbers per term, so nothing grows
     with the rows and no state is kept between passes: a lost task is simply run again.
@@ -116,6 +117,8 @@ def fit_nmf(rows: DataFrame, terms: list[str], k: int = 10, iterations: int = 20
             gram_part = both[both["pos"] == -1]
             ww[gram_part["at"]] = gram_part["x"]
             losses.append(float(both[both["pos"] == -2]["x"].sum()))
+            if len(losses) > 1 and losses[-2] - losses[-1] < tolerance * losses[0]:
+                break
             ww = ww.reshape(k, k)
             for _ in range(10):
                 h = h * wx / np.maximum(ww @ h, 1e-12)

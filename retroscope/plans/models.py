@@ -11,14 +11,12 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, OneHotEncoder, RegexTokenizer,
     SQLTransformer, StopWordsRemover, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,26 +208,28 @@ def leave_one_group_out(df: DataFrame, label: str, key: str, group: str, groups:
 
 
 def grid_search(df: DataFrame, label: str, key: str, strengths=(0.01, 0.1, 1.0, 5.0), k: int = 5, seed: int = 42,
-                parallelism: int = 4, **features) -> DataFrame:
-    """Fold-mean AUC of every (C, weighting)."""
-    data = _labelled(df, label)
-    prep, _ = fit_features(data, **features)
-    ready = resample.with_folds(data, "label", key, k, seed)
-    ready = resample.class_weights(prep.transform(ready), "label", "balanced").withColumn("none", F.lit(1.0)).persist()
+                **features) -> DataFrame:
+    """Fold-mean AUC of every (C, weighting). Features and class weights of a fold are fitted on its
+    training rows, once for all cells."""
+    data = resample.with_folds(_labelled(df, label), "label", key, k, seed).persist()
+    found: dict[tuple[float, str], list[float]] = {}
     try:
-        n = ready.count()
-        lr = logistic(n)
-        grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in strengths]).addGrid(
-            lr.weightCol, ["none", "balanced"]).build()
-        judge = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
-        fitted = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=judge, numFolds=k, foldCol="fold",
-                                parallelism=parallelism).fit(ready)
-        rows = [(1.0 / (m[lr.regParam] * n), m[lr.weightCol], float(a)) for m, a in zip(grid, fitted.avgMetrics)]
+        for i in range(k):
+            _, _, ready, held = prepare(data.where(F.col("fold") != i), data.where(F.col("fold") == i), key, **features)
+            n = ready.count()
+            held = held.persist()
+            for c in strengths:
+                for weighting, weight in (("none", None), ("balanced", "weight")):
+                    table = scores(logistic(n, c, weight).fit(ready), held, key)
+                    found.setdefault((c, weighting), []).append(metrics.auc(table, "label", "score").first()["auc"])
+            ready.unpersist()
+            held.unpersist()
+        rows = [(c, w, float(np.mean(a))) for (c, w), a in found.items()]
         best = max(r[2] for r in rows)
         return df.sparkSession.createDataFrame([(*r, r[2] == best) for r in rows],
                                                "c double, weighting string, mean_auc double, best boolean")
     finally:
-        ready.unpersist()
+        data.unpersist()
 
 
 def nested_feature_sets(df: DataFrame, label: str, key: str, base: Sequence[str], extra: Sequence[str],

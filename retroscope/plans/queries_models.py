@@ -37,26 +37,31 @@ def logit_year_by_domain(spark, d):
 
 
 def _nested(spark, d):
-    # columns that do not separate the outcome on the given posts
     base = ["post_year", "score_log", "log_post_length"]
-    rows = models.filled(layer(spark, d).select("reversal", "domain", *base), base).persist()
+    rows = models.filled(layer(spark, d).select("reversal", "domain", "source_subreddit", *base), base).persist()
     wide, dummies = stats.dummies(rows, "domain", "domain", DOMAINS)
-    fits = {"features": stats.fit_logit(rows, "reversal", base), "with_domain": stats.fit_logit(wide, "reversal", [*base, *dummies])}
+    widest, sources = stats.dummies(wide, "source_subreddit", "sub")
+    fits = {"features": stats.fit_logit(rows, "reversal", base), "with_domain": stats.fit_logit(wide, "reversal", [*base, *dummies]),
+            "with_subreddit": stats.fit_logit(widest, "reversal", [*base, *dummies, *sources])}
     rows.unpersist()
     return base, fits
 
 
-@query("lr:f dof:i p_value:f")
+@query("step:s lr:f dof:i p_value:f")
 def likelihood_ratio_domain(spark, d):
+    """Domain beyond the features, then subreddit beyond both."""
     _, fits = _nested(spark, d)
-    test = stats.likelihood_ratio(fits["features"], fits["with_domain"])
-    return spark.createDataFrame([(test["lr"], test["dof"], test["p_value"])], "lr double, dof int, p_value double")
+    rows = []
+    for step, small, large in (("domain", "features", "with_domain"), ("subreddit", "with_domain", "with_subreddit")):
+        test = stats.likelihood_ratio(fits[small], fits[large])
+        rows.append((step, test["lr"], test["dof"], test["p_value"]))
+    return spark.createDataFrame(rows, "step string, lr double, dof int, p_value double")
 
 
-@query("term:s features:f with_domain:f")
+@query("term:s features:f with_domain:f with_subreddit:f")
 def coefficient_stability(spark, d):
     base, fits = _nested(spark, d)
-    return stats.coefficient_stability(stats.logit_table(spark, fits), base, ["features", "with_domain"])
+    return stats.coefficient_stability(stats.logit_table(spark, fits), base, ["features", "with_domain", "with_subreddit"])
 
 
 @query("model:s cv_auc_mean:f cv_auc_std:f test_auc:f ci_lower:f ci_upper:f best:b")
@@ -80,7 +85,7 @@ def top_features(spark, d):
 
 @query("c:f weighting:s mean_auc:f best:b")
 def grid_search(spark, d):
-    return models.grid_search(_posts(spark, d), "reversal", "id", strengths=(0.01, 1.0), k=2, numeric=["urgency_score", "has_time"], min_df=5, max_features=2000)
+    return models.grid_search(_posts(spark, d), "reversal", "id", numeric=NUMERIC, min_df=5, max_features=2000)
 
 
 @query("held_out:s test_auc:f ci_lower:f ci_upper:f n_train:i n_test:i rate_test:f")

@@ -59,6 +59,12 @@ def refined_durations_and_events(spark, d):
     return enriched(spark, d)
 
 
+@query("event_type:s label:s n:i", """SELECT event_type, array_to_string(list_transform(string_split(event_type, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS label,
+       count(*) AS n FROM enriched GROUP BY event_type""", RICH)
+def event_labels(spark, d):
+    return layer(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("label", tx.title_label("event_type"))
+
+
 @query("domain:s event_type:s rate:f n:i",
        "SELECT domain, event_type, avg(reversal) AS rate, count(*) AS n FROM enriched GROUP BY ALL HAVING count(*) >= 5", RICH)
 def event_type_rates(spark, d):

@@ -9,6 +9,7 @@ from retroscope.operators import metrics, resample
 from retroscope.operators import relational as rel
 from retroscope.plans import oracle as sql
 from retroscope.plans import posts
+from retroscope.plans.models import filled
 from retroscope.plans.catalogue import documents, layer, query, structured
 from retroscope.plans.queries_posts import BASE, RICH
 from retroscope.session import scratch_path
@@ -49,6 +50,20 @@ def csv_posts(spark, d):
     return readers.read_csv(spark, path).select("id", "title", F.md5("selftext").alias("selftext_md5"), "created_utc", "score")
 
 
+@query("event_id:i k:f kind:f", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS DOUBLE), 0) AS k, 0.0 AS kind FROM events")
+def coerced_and_filled(spark, d):
+    """Text read as numbers: what is none becomes zero and fails nothing."""
+    rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("kind"))
+    return filled(rows, ["k", "kind"])
+
+
+@query("id:s post_year:i", "SELECT id, CAST(year(DATE '2012-01-01' + CAST(doc_id * 37 % 5000 AS INT)) AS INT) AS post_year FROM posts", [sql.POSTS])
+def parsed_years(spark, d):
+    """Creation times read from their text form."""
+    made = posts.posts_of_documents(documents(spark, d))
+    return readers.parse_created(made.select("id", F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss").alias("created_dt")))
+
+
 @query("domain:s n:i reversals:i", "SELECT domain, count(*) AS n, sum(reversal) AS reversals FROM structured GROUP BY domain", BASE)
 def layer_round_trip(spark, d):
     """The structured layer written as a version partitioned by domain, then read by manifest."""

@@ -130,7 +130,7 @@ def nmf_topics(spark, d):
     rows = layer(spark, d)
     weights = terms.tfidf(rows, "id", tx.terms_and_bigrams("spoken"), 5, 10_000)
     packed, vocabulary = topics.sparse_rows(weights, "id")
-    model = topics.fit_nmf(packed, vocabulary, k=10, iterations=8)
+    model = topics.fit_nmf(packed, vocabulary, k=10)
     # a post without a listed term is a zero row: its largest load is the first topic's
     assigned = rows.select("id", "reversal").join(model.transform(packed, "id").select("id", "topic"), "id", "left").fillna(0, ["topic"])
     sizes = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg("reversal").alias("rate"))

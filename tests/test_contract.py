@@ -12,7 +12,7 @@ from retroscope.sources.readers import TABLES
 FOLDER = os.environ.get("RETROSCOPE_DATA", "/root/testdata/sf0.001")
 CHECKED = ["reversal_rate_by_domain", "structured_posts", "refined_durations_and_events", "psycholinguistic_scores", "sentiment_of_posts",
            "scored_texts", "comment_threads_from_json", "dedupe_keep_first", "year_status_rates", "price_box_summary", "quintile_rates",
-           "chi_square_era_by_domain", "two_group_report", "mann_whitney_price", "kaplan_meier_orders", "concordance_posts",
+           "event_labels", "coerced_and_filled", "parsed_years", "chi_square_era_by_domain", "two_group_report", "mann_whitney_price", "kaplan_meier_orders", "concordance_posts",
            "log_odds_quality", "tfidf_weights", "nearest_pairs", "stream_window_rates"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
