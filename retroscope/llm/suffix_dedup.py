@@ -77,7 +77,12 @@ def _runs(data: np.ndarray, bounds: np.ndarray, length: int, window: int, kmer:
 def _scan_runs(docs: DataFrame, length: int, window: int, kmer: int) -> DataFrame:
     """All runs of rows (t1, t2, text)."""
     def scan(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            # of equal texts in a task one is read
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            fresh = [i for i, name in enumerate(names) if name not in seen and not seen.add(name)]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = buffer_of(batch.column(2))
             for i, j in blocks(offsets, BLOCK):
@@ -236,14 +241,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     heads = cut_lineage(rows.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "rows")).alias("head"), F.sum("rows").alias("copies"))
                         .select("t1", "t2", F.col("head.doc_id").alias("head"), F.col("head.rows").alias("head_rows"), "copies"))
 
+    # all of this needs the runs of a core together: one exchange serves it
+    core, around = Window.partitionBy("key"), Window.partitionBy("key", "ctx")
     runs = _scan_runs(keyed.where(F.octet_length("text") >= length).select("t1", "t2", "text"), length, window, kmer)
-    several = runs.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").drop("m")
-    # runs of equal texts fall together here
-    runs = cut_lineage(cut_lineage(several).distinct())
-    kinds = cut_lineage(runs.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "anchor", "far", "near")).alias("one")))
-    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    kinds = cut_lineage(kinds.join(keys, "key"))
-    shared = cut_lineage(runs.join(kinds.select("key", "ctx"), ["key", "ctx"]).select("t1", "t2").distinct().join(heads, ["t1", "t2"]))
+    runs = runs.withColumn("all", F.count("*").over(core)).where(F.col("all") > 1).dropDuplicates(["key", "ctx", "t1", "t2", "anchor"])
+    runs = (runs.withColumn("n", F.count("*").over(around))
+            .withColumn("turn", F.row_number().over(around.orderBy("t1", "t2", "anchor")))
+            .withColumn("all", F.count("*").over(core)).withColumn("kinds", F.count_if(F.col("turn") == 1).over(core)))
+    runs = cut_lineage(runs.where(F.col("all") > 1).drop("all"))
+    shared = cut_lineage(runs.select("t1", "t2").distinct().join(heads, ["t1", "t2"]))
 
     want = shared.select(F.col("t1").alias("w1"), F.col("t2").alias("w2"), "head")
     texts = keyed.join(want, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select("t1", "t2", "text")
@@ -251,13 +257,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
         texts = texts.dropDuplicates(["t1", "t2"])
     texts = cut_lineage(texts)
 
-    contested = cut_lineage(_contexts(kinds.where("kinds > 1").select("key", "ctx", "one.*"), texts, length, window))
+    one_each = runs.where("kinds > 1 AND turn = 1").select("key", "ctx", "t1", "t2", "anchor", "far", "near")
+    contested = cut_lineage(_contexts(one_each, texts, length, window))
     buckets = max(1, contested.count() // ROWS + 1)
-    part = (contested.withColumn("bucket", F.pmod(F.hash("key"), F.lit(buckets))).groupBy("bucket")
-            .applyInArrow(_resolve(length, window), "key bigint, ctx bigint, least int, most int"))
-    full = kinds.where("n > 1").select("key", "ctx", F.lit(0).alias("least"), F.lit(window - 1).alias("most"))
-    marks = cut_lineage(part.join(full.select("key", "ctx"), ["key", "ctx"], "left_anti").unionByName(full))
-    spans = runs.join(marks, ["key", "ctx"]).select(
+    marks = (contested.withColumn("bucket", F.pmod(F.hash("key"), F.lit(buckets))).groupBy("bucket")
+             .applyInArrow(_resolve(length, window), "key bigint, ctx bigint, least int, most int"))
+    # runs with equal surroundings repeat in full, others as far as their contexts say
+    partial = runs.where("n = 1 AND kinds > 1").join(marks, ["key", "ctx"])
+    full = runs.where("n > 1").withColumns({"least": F.lit(0), "most": F.lit(window - 1)})
+    columns = ["t1", "t2", "anchor", "far", "near", "least", "most"]
+    spans = partial.select(*columns).union(full.select(*columns)).select(
         "t1", "t2", (F.col("anchor") - F.least("most", "far")).alias("start"),
         (F.col("anchor") - F.greatest("least", "near") + length).alias("end"))
     cuts = _cut_out(spans, texts)
