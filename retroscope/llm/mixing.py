@@ -24,8 +24,8 @@ from retroscope.session import cut_lineage
 LABELLED = 10_000  # most labelled rows the classifier is fitted on: those of smallest id hash
 FEATURES = 1 << 14
 PULL = 1e-3  # how strongly rates are drawn to one
-STEPS = 200
-TOLERANCE = 1e-7
+STEPS = 100
+TOLERANCE = 1e-4  # of all tokens: done when a step moves no domain by more
 
 
 @dataclass
@@ -95,7 +95,8 @@ def _grid(column: pa.Array, width: int) -> np.ndarray:
 def fit_rates(profile: DataFrame, mix: Mix, weights: dict[str, float], pull: float = PULL, steps: int = STEPS,
               tolerance: float = TOLERANCE) -> Mix:
     """Projected gradient on 1/2 sum_k (a_k - target_k)^2 / mass_k + pull/2 sum_d s_d (rate_d - 1)^2, where
-    a_k is the share of tokens that domain k gets, mass_k what it has, s_d the share of document d.
+    a_k is the share of tokens that domain k gets, mass_k what documents with a rate above zero have of
+    it (so that steps do not shrink once others are out), s_d the share of document d.
 
     Targets are ``weights`` of the largest budget that no weighted domain has to repeat tokens for. A
     domain without a weight has target 0, one without tokens is left out. ``profile`` has _tokens and _p.
@@ -105,37 +106,40 @@ def fit_rates(profile: DataFrame, mix: Mix, weights: dict[str, float], pull: flo
         return mix
 
     def sums(residuals: np.ndarray) -> np.ndarray:
+        """Tokens that each domain gets, tokens it has in documents with a rate, all tokens."""
         def add(batches):
-            total = np.zeros(width + 1)
+            total = np.zeros(2 * width + 1)
             for b in batches:
                 p, tokens = _grid(b.column(1), width), b.column(0).to_numpy()
-                total[:width] += (tokens * _replay(p, residuals, pull)) @ p
-                total[width] += tokens.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(total)], ["k", "s"])
+                rate = _replay(p, residuals, pull)
+                total[:width] += (tokens * rate) @ p
+                total[width:2 * width] += tokens[rate > 0] @ p[rate > 0]
+                total[2 * width] += tokens.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "s"])
 
         found = profile.select("_tokens", "_p").mapInArrow(add, "k bigint, s double").groupBy("k").agg(F.sum("s").alias("s"))
-        out = np.zeros(width + 1)
+        out = np.zeros(2 * width + 1)
         for r in found.collect():
             out[r.k] = r.s
         return out
 
     first = sums(np.empty((0, width)))
-    if first[width] <= 0:
+    all_tokens = first[-1]
+    if all_tokens <= 0:
         return mix
-    mass = first[:width] / first[width]
+    mass = first[:width] / all_tokens
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in mix.domains])
     share = np.where(mass > 0, share, 0.0)
     if share.sum() <= 0:
         return mix
     share = share / share.sum()
     budget = min(mass[k] / share[k] for k in range(width) if share[k] > 0)
-    scale = np.where(mass > 0, 1 / np.maximum(mass, 1e-12), 0.0)
-    residuals, reached, done = np.empty((0, width)), mass, False
+    residuals, reached, active, done = np.empty((0, width)), mass, mass, False
     for _ in range(steps):
-        residuals = np.vstack([residuals, (reached - budget * share) * scale])
-        now = sums(residuals)[:width] / first[width]
-        done = bool(np.abs(now - reached).max() < tolerance)
-        reached = now
+        residuals = np.vstack([residuals, np.where(active > 1e-12, (reached - budget * share) / np.maximum(active, 1e-12), 0.0)])
+        now = sums(residuals) / all_tokens
+        done = bool(np.abs(now[:width] - reached).max() < tolerance)
+        reached, active = now[:width], now[width:2 * width]
         if done:
             break
     return Mix(mix.domains, mix.model, residuals, dict(zip(mix.domains, (reached / budget).tolist())), done)
