@@ -226,6 +226,13 @@ def two_group_report(df: DataFrame, flag: str, outcome: str) -> DataFrame:
 
 
 # --- logistic models ----------------------------------------------------------------
+def notable(df: DataFrame, order: Sequence, p: str = "p_value", level: float = 0.1, otherwise: int = 10, most: int = 15) -> DataFrame:
+    """The rows of a result table to show: those below the level, or the first ``otherwise`` where none
+    is; never more than ``most``, in the given order."""
+    hits = df.where(F.col(p) < level)
+    return df.orderBy(*order).limit(min(otherwise, most)) if hits.isEmpty() else hits.orderBy(*order).limit(most)
+
+
 def dummies(df: DataFrame, col: str, prefix: str, values: Sequence | None = None) -> tuple[DataFrame, list[str]]:
     """0/1 columns for all but the first value in sorted order."""
     if values is None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from retroscope.plans import posts
 from retroscope.session import scratch_path
 from retroscope.sources import writers
-from retroscope.sources.readers import spread, table
+from retroscope.sources.readers import file_state, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,13 +69,14 @@ def enriched(spark, d):
     return posts.enriched_from_documents(documents(spark, d))
 
 
-_LAYERS: dict[tuple[str, str], str] = {}
+_LAYERS: dict[tuple, str] = {}
 
 
 def layer(spark, d):
-    """The enriched posts as an analysis reads them: written once per application, without the
-    long texts, then scanned column by column. Texts are parsed once, not once per analysis."""
-    key = (spark.sparkContext.applicationId, d)
+    """The enriched posts as an analysis reads them: written once per application and state of the
+    table, without the long texts, then scanned column by column. Texts are parsed once, not once
+    per analysis."""
+    key = (spark.sparkContext.applicationId, d, file_state(spark, f"{d}/documents.parquet"))
     if key not in _LAYERS:
         folder = scratch_path(spark, "layers")
         slim = enriched(spark, d).drop("selftext", "full_text")

@@ -37,6 +37,13 @@ def require(spark: SparkSession, paths: Sequence[str]) -> None:
             raise FileNotFoundError(f"Missing: {p}")
 
 
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of the files of a table: equal while the table has not changed."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(target)))
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str = schemas.RAW_POST) -> DataFrame:
     """Quoted multi-line CSV with a header; ``_file`` keeps where a row came from."""
     paths = [path] if isinstance(path, str) else list(path)

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -226,3 +227,24 @@ def test_auc_replicates_do_not_depend_on_partitions(spark):
         found.append({r["rep"]: round(r["stat"], 9) for r in resample.bootstrap_auc(df, "label", "score", 50, single=single).collect()})
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found[0] == found[1] == found[2]
+
+
+def test_notable_rows(spark):
+    from retroscope.operators import stats
+
+    df = spark.createDataFrame([(i, i / 100) for i in range(40)], "i int, p_value double")
+    assert [r["i"] for r in stats.notable(df, ["i"]).collect()] == list(range(10))
+    assert [r["i"] for r in stats.notable(df.where("i < 30"), ["i"], level=0.2).collect()] == list(range(15))
+    assert [r["i"] for r in stats.notable(df.where("i >= 20"), ["i"]).collect()] == list(range(20, 30))
+
+
+def test_the_layer_follows_its_table(spark, tmp_path):
+    from retroscope.plans import catalogue
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet") if os.path.isdir("/root/testdata/sf0.001") else None
+    if source is None:
+        pytest.skip("tables not present")
+    source.limit(5).write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.layer(spark, str(tmp_path)).count() == 5
+    source.limit(9).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.layer(spark, str(tmp_path)).count() == 9
