@@ -12,8 +12,8 @@ from retroscope.llm import chat, dedup, jaccard_join, language_id, mixing, piece
 
 TOKENIZERS = os.environ.get("RETROSCOPE_TOKENIZERS", "/opt/tokenizers")
 
-# what the training mix should hold of each domain of the labels table
-MIX_WEIGHTS = {"good": 0.85, "poor": 0.15, "toxic": 0.0}
+# what the training mix should hold of each domain of the labels table; good documents are the scarce side, so they stay
+MIX_WEIGHTS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
