@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.llm.bytehash import blocks, buffer_of, mix, running, stretch
-from retroscope.session import cut_lineage
+from retroscope.session import cut_lineage, discard
 
 LENGTH = 400
 WINDOW = 128
@@ -188,7 +188,7 @@ def _contexts(runs: DataFrame, texts: DataFrame, length: int, window: int) -> Da
                                                  ["key", "ctx", "far", "near", "before", "after"])
 
     by_text = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "ctx", "anchor", "far", "near")).alias("runs"))
-    return texts.join(by_text, ["t1", "t2"]).select("text", "runs").mapInArrow(
+    return texts.join(by_text.hint("merge"), ["t1", "t2"]).select("text", "runs").mapInArrow(
         cut, "key bigint, ctx bigint, far int, near int, before binary, after binary")
 
 
@@ -218,7 +218,7 @@ def _cut_out(spans: DataFrame, texts: DataFrame) -> DataFrame:
                                              ["t1", "t2", "gone", "cuts", "rest"])
 
     by_text = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return texts.join(by_text, ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(
+    return texts.join(by_text.hint("merge"), ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(
         cut, "t1 bigint, t2 bigint, gone bigint, cuts bigint, rest string")
 
 
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     shared = cut_lineage(runs.select("t1", "t2").distinct().join(heads, ["t1", "t2"]))
 
     want = shared.select(F.col("t1").alias("w1"), F.col("t2").alias("w2"), "head")
-    texts = keyed.join(want, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select("t1", "t2", "text")
+    texts = keyed.join(want.hint("merge"), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select("t1", "t2", "text")
     if not shared.where("head_rows > 1").isEmpty():
         texts = texts.dropDuplicates(["t1", "t2"])
     texts = cut_lineage(texts)
@@ -269,7 +269,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     spans = partial.select(*columns).union(full.select(*columns)).select(
         "t1", "t2", (F.col("anchor") - F.least("most", "far")).alias("start"),
         (F.col("anchor") - F.greatest("least", "near") + length).alias("end"))
-    cuts = _cut_out(spans, texts)
+    cuts = cut_lineage(_cut_out(spans, texts))
+    discard(runs, shared, texts, contested)
 
     gone = F.coalesce("copies", F.lit(1)) > 1
     joined = meta.join(cuts, ["t1", "t2"], "left").join(heads.select("t1", "t2", "copies"), ["t1", "t2"], "left")
