@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.session import cut_lineage
@@ -12,26 +12,28 @@ def components(links: DataFrame) -> DataFrame:
     """v, root for every node of ``links`` (a, b): root is the smallest node that links lead to.
 
     Each round hooks neighbours onto the smallest one they see, so the number of rounds grows with
-    the logarithm of the component size; a star has one row per node, so hubs are joined on, not
-    gathered. Loops and repeated links are allowed; no links give no rows.
+    the logarithm of the component size. A hub's rows are joined to its smallest neighbour, which
+    Spark may split; only smaller neighbours, few once hubs are hooked, are seen together. Loops and
+    repeated links are allowed; no links give no rows.
     """
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    state = _signature(edges)
     while True:
-        # each node's smallest neighbour, itself included; larger neighbours move there
-        both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = cut_lineage(large.distinct())
+        # larger neighbours of a node move to its smallest, or to itself
+        both = edges.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("e")).select("e.*")
+        low = both.groupBy("v").agg(F.min("u").alias("m"))
+        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.least("v", "m").alias("u")).distinct()
         # smaller neighbours of a node, and the node itself, move to the smallest of them
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        moved = large.join(least, "v")
-        small = cut_lineage(moved.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(
-            least.select("v", F.col("m").alias("u"))).where("v <> u").distinct())
-        # done when every node hangs on one node that hangs on none
-        hung = small.groupBy("v").agg(F.count("*").alias("n"))
-        loose = hung.where("n > 1").limit(1).unionByName(
-            small.select(F.col("u").alias("v")).distinct().join(hung, "v").limit(1))
-        if loose.isEmpty():
-            return small.select("v", F.col("u").alias("root")).unionByName(
-                small.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
-        edges = small
+        small = large.withColumn("m", F.min("u").over(Window.partitionBy("v")))
+        moved = small.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
+        edges = cut_lineage(moved.select("e.*").where("v <> u").distinct())
+        now = _signature(edges)
+        if now == state:
+            roots = edges.select(F.col("u").alias("v")).distinct().select("v", F.col("v").alias("root"))
+            return edges.select("v", F.col("u").alias("root")).unionByName(roots)
+        state = now
+
+
+def _signature(edges: DataFrame) -> tuple:
+    """Tells two sets of edges apart."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u")), F.sum(F.xxhash64("u", "v") % (1 << 30))).first())

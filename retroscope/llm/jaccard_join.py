@@ -6,11 +6,12 @@
 2. A second scan sends the part of each set that any partner must touch: its n - ceil(3n/4) + 1 least
    frequent shingles. Classes that share one of these form a cell; all links lie inside cells.
 3. Cells are searched by size and by count vectors. A cell of up to LEAF classes is one leaf of points.
-   In a larger one, dealt over tasks, points are packed into leaves with bounding boxes and a bounded
-   number of members per round ask which leaves and points can reach them. Members that links already
-   join are not asked again, so a large group of near copies costs rows, not pairs.
+   In a larger one, dealt over tasks, points are packed into leaves with bounding boxes and a few
+   members per round ask which leaves and points can reach them, first the one that shares most with
+   others. Members that links already join are not asked about each other, so a large group of near
+   copies costs rows, not pairs.
 4. A pair stays while the summed minima of its counts reach the overlap that it needs; those that
-   stay are verified on their texts.
+   stay are verified on their texts, first one per class and then what the links so far leave open.
 5. Links give components.
 """
 
@@ -25,14 +26,14 @@ from pyspark.sql import functions as F
 
 from retroscope.llm.bytehash import blocks, buffer_of, mix, running, stretch
 from retroscope.llm.components import components
-from retroscope.session import cut_lineage
+from retroscope.session import cut_lineage, discard
 
 WORDS = 5
-GROUPS = 64  # of the bound; summed to POINT coordinates in the boxes
-POINT = 8
+GROUPS = 256
+FULL = 255  # top of a count; a set that reaches it has all counts there and is never excluded
 SKETCH = 1 << 16
 LEAF = 128
-LEADERS = 256
+LEADERS = 256  # most members of a cell that ask in one round
 PART = 4096  # members of a large cell per task
 BLOCK = 1 << 20
 ROWS = 500_000
@@ -79,9 +80,9 @@ def _key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _counts(s: np.ndarray) -> bytes:
-    """Shingles per hash group; a set too large for the field is given the top value everywhere, which bounds anything."""
-    n = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-    return (np.full(GROUPS, 65535) if n.max() >= 65535 else n).astype("<u2").tobytes()
+    """Shingles per hash group."""
+    n = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return (np.full(GROUPS, FULL) if n.max() >= FULL else n).astype(np.uint8).tobytes()
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -148,8 +149,14 @@ def _pairs_in_leaves(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
-def _points(column: pa.ChunkedArray, width: int, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype(np.int64)
+def _points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
+
+
+def _reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that sets of these counts can share."""
+    most = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
+    return np.where((x[..., 0] == FULL) & (x == FULL).all(axis=-1) | (y[..., 0] == FULL) & (y == FULL).all(axis=-1), 1 << 60, most)
 
 
 def _needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -162,21 +169,21 @@ def _search(asking: pa.Table, members: pa.Table) -> pa.Table:
     if not asking.num_rows or not members.num_rows:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     rep, n, label = (members.column(c).to_numpy() for c in ("rep", "n", "label"))
-    points = _points(members.column("counts"), GROUPS, "<u2").reshape(-1, POINT, GROUPS // POINT).sum(axis=2)
+    points = _points(members.column("counts"))
     order = np.lexsort((points.argmax(axis=1), n))
     rep, n, label, points = rep[order], n[order], label[order], points[order]
     starts = np.arange(0, len(n), 64)
     top, low, high = np.maximum.reduceat(points, starts), np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
     out = [np.empty((2, 0), np.int64)]
-    asked = _points(asking.column("counts"), GROUPS, "<u2").reshape(-1, POINT, GROUPS // POINT).sum(axis=2)
-    for q, size, mine, at in zip(asking.column("rep").to_numpy(), asking.column("n").to_numpy(), asking.column("label").to_numpy(), asked):
-        near = np.flatnonzero((np.minimum(top, at).sum(axis=1) >= _needed(size, low)) & (4 * high >= 3 * size) & (4 * size >= 3 * low))
+    for q, size, mine, at in zip(asking.column("rep").to_numpy(), asking.column("n").to_numpy(), asking.column("label").to_numpy(),
+                                 _points(asking.column("counts"))):
+        near = np.flatnonzero((_reach(top, at) >= _needed(size, low)) & (4 * high >= 3 * size) & (4 * size >= 3 * low))
         if not len(near):
             continue
         i = (starts[near][:, None] + np.arange(64)).ravel()
         i = i[i < len(n)]
-        i = i[(label[i] != mine) & (np.minimum(points[i], at).sum(axis=1) >= _needed(size, n[i]))
-              & (4 * np.minimum(n[i], size) >= 3 * np.maximum(n[i], size))]
+        i = i[(label[i] != mine) & (4 * np.minimum(n[i], size) >= 3 * np.maximum(n[i], size))]
+        i = i[_reach(points[i], at) >= _needed(size, n[i])]
         out.append(np.stack([np.minimum(rep[i], q), np.maximum(rep[i], q)]))
     pairs = np.unique(np.concatenate(out, axis=1), axis=1)
     return pa.table({"a": pairs[0], "b": pairs[1]})
@@ -186,17 +193,15 @@ def _within_bounds(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """The pairs whose summed minima over all groups reach the overlap they need."""
     def bound(batches):
         for batch in batches:
-            x, y = (_points(batch.column(i), GROUPS, "<u2") for i in (2, 3))
-            n = [batch.column(i).to_numpy() for i in (4, 5)]
-            keep = np.minimum(x, y).sum(axis=1) >= _needed(*n)
+            keep = _reach(_points(batch.column(2)), _points(batch.column(3))) >= _needed(batch.column(4).to_numpy(), batch.column(5).to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    side = lambda c: vectors.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
+    side = lambda c: vectors.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "counts_a", "counts_b", "n_a", "n_b")
     return both.mapInArrow(bound, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are links, by the sets of their whole texts."""
     def verify(batches):
         for batch in batches:
@@ -206,42 +211,58 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(100 * both >= 75 * (len(x) + len(y) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut_lineage(docs.join(wanted, "doc_id"))
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(verify, "a bigint, b bigint")
 
 
-def _large_cells(members: DataFrame, large: DataFrame, vectors: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
-    """Links inside cells of more than LEAF classes, enough of them that their components are right."""
-    rows = cut_lineage(members.join(large, "token").join(vectors, ["rep", "n"]))
-    asked = None
+def _spanning_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among ``pairs``, enough of them that their components are those of all links: first each
+    class with its smallest partner, then the pairs whose ends are still apart."""
+    first = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = cut_lineage(_verified(first, texts))
+    roots = cut_lineage(components(links))
+    side = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = cut_lineage(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    found = cut_lineage(links.unionByName(_verified(rest, texts)))
+    discard(first, links, roots, rest)
+    return found
+
+
+def _large_cells(rows: DataFrame, vectors: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``links`` and of the links inside cells of more than LEAF classes."""
+    asked, most = None, 1
     while True:
-        roots = components(links).select(F.col("v").alias("rep"), "root")
+        roots = cut_lineage(components(links)).select(F.col("v").alias("rep"), "root")
         labelled = cut_lineage(rows.join(roots, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root"))
         groups = labelled.groupBy("token", "label").agg(F.count("*").alias("size"))
         largest = groups.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"))
         open_cells = largest.where("labels > 1").select("token", F.col("top.label").alias("top"))
         left = labelled.join(open_cells, "token")
-        free = left.where("label <> top").join(groups, ["token", "label"])
+        free = left
         if asked is not None:
-            free = free.join(asked, ["token", "rep"], "left_anti")
-        # the first round asks one member a cell: it joins a group of near copies at once
-        turn = F.row_number().over(Window.partitionBy("token").orderBy("size", "label", "rep"))
-        leaders = cut_lineage(free.withColumn("turn", turn).where(F.col("turn") <= (1 if asked is None else LEADERS))
-                              .select("token", "rep", "n", "counts", "label", "m"))
+            free = left.where("label <> top").join(asked, ["token", "rep"], "left_anti")
+        # one member of each component before the second of any, those in most cells first
+        inside = F.row_number().over(Window.partitionBy("token", "label").orderBy(F.desc("cells"), "rep"))
+        turn = F.row_number().over(Window.partitionBy("token").orderBy("inside", F.desc("cells"), "rep"))
+        chosen = free.withColumn("inside", inside).where(F.col("inside") <= most)
+        leaders = cut_lineage(chosen.withColumn("turn", turn).where(F.col("turn") <= most)
+                              .select("token", "rep", "label", "m"))
         if leaders.isEmpty():
-            return links
+            discard(labelled, leaders)
+            return roots
         parts = F.ceil(F.col("m") / PART).cast("int")
-        spread = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m")
-        dealt = left.withColumn("part", F.pmod(F.hash("rep"), parts)).select("token", "part", "rep", "n", "counts", "label")
+        # only here do rows carry their points
+        spread = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m").join(vectors.toDF(*vectors.columns), "rep")
+        dealt = left.select("token", F.pmod(F.hash("rep"), parts).alias("part"), "rep", "label").join(vectors, "rep")
         found = (spread.groupBy("token", "part").cogroup(dealt.groupBy("token", "part"))
                  .applyInArrow(_search, "a bigint, b bigint").distinct())
-        pairs = cut_lineage(_within_bounds(found, vectors))
-        links = cut_lineage(links.unionByName(_verified(pairs, docs)))
+        links = cut_lineage(roots.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(_verified(found, texts)))
         mine = leaders.select("token", "rep")
         asked = mine if asked is None else cut_lineage(asked.unionByName(mine))
+        discard(labelled)
+        most = min(most * 8, LEADERS)
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -274,11 +295,14 @@ def jaccard_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     small = members.join(cells.where(F.col("m") <= LEAF), "token").select("token", "rep", "n")
     found = (small.withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets))).groupBy("bucket")
              .applyInArrow(_pairs_in_leaves, "a bigint, b bigint").distinct())
-    links = cut_lineage(_verified(cut_lineage(_within_bounds(found, vectors)), docs))
-    large = cells.where(F.col("m") > LEAF)
-    if not large.isEmpty():
-        links = _large_cells(members, large, vectors, docs, links)
-    roots = cut_lineage(components(links)).select(F.col("v").alias("rep"), "root")
+    pairs = cut_lineage(_within_bounds(found, vectors))
+    large = cut_lineage(members.join(cells.where(F.col("m") > LEAF), "token"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("rep")).distinct()
+    texts = cut_lineage(docs.join(wanted.hint("merge"), "doc_id"))
+    cells_of = large.groupBy("rep").agg(F.count("*").alias("cells"))
+    large = cut_lineage(large.join(cells_of, "rep").select("token", "rep", "m", "cells").distinct())
+    roots = _large_cells(large, vectors, texts, _spanning_links(pairs, texts))
+    discard(vectors, shared, members, cells, pairs, texts, large)
     named = classes.join(roots, "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("component_id"))
     grouped = full.join(named, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
