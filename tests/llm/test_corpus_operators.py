@@ -370,6 +370,32 @@ def test_pieces_round_trip(spark):
     assert {r.n_pieces for r in judged if r.doc_id in (3, 4)} == {0}
 
 
+def test_pieces_are_those_of_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    given = [r for r in queries.table(spark, SMALL, "documents").select("doc_id", "text").collect()]
+    rows = [(r.doc_id, r.text) for r in given if "▁" not in (r.text or "")]
+    rows += [(d, t) for d, t in ODD if d and "▁" not in (t or "")] + [(10**9, " " * 37 + "x  "), (10**9 + 1, "a" * 5000), (10**9 + 2, "🎉é\r\n\tthe")]
+    want = sorted((d, tuple(sp.encode(t or ""))) for d, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted((r.doc_id, tuple(r.pieces)) for r in pieces.encode(docs, PIECES).collect()) == want
+    judged = pieces.segmentations(docs, PIECES).collect()
+    assert sorted((r.doc_id, r.pieces_sha256) for r in judged) == sorted(
+        (d, hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()) for d, ids in want)
+    # additive scores: log frequencies of the merged pieces; no segmentation beats the first, the main one included
+    counts = Counter(i for _, ids in want for i in ids)
+    logs = pieces.log_frequencies(docs, PIECES)
+    total = sum(counts.values()) + sp.get_piece_size()
+    assert np.allclose(logs, [math.log((counts[i] + 1) / total) for i in range(sp.get_piece_size())])
+    own = {d: sum(logs[i] for i in ids) for d, ids in want if d > 14}
+    assert all(r.scores[0] >= own[r.doc_id] - 1e-6 for r in judged if r.doc_id in own and r.scores)
+    lattice = pieces.Lattice(PIECES, logs)
+    for text in ("ababa the", "日x é", "  in"):
+        ways = lattice.ways(text, 4)
+        assert np.allclose([s for s, _ in pieces.combine(ways, 4)], [b[0] for b in all_paths(lattice, " " + text)[:4]])
+
+
 def labelled(n=300):
     rnd = random.Random(6)
     rows, labels = [], []
