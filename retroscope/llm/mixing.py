@@ -1,9 +1,9 @@
 """Mixing to target weights by soft membership.
 
 A classifier fitted on a labelled table gives each document a probability per domain. Non-negative
-rates per document are then fitted by projected gradient steps, so that the expected tokens of each
-domain come close to their targets while rates stay near one. A rate depends on its document and on
-the residuals of the steps so far (a few numbers), so tasks replay them: nothing is kept per
+rates per document are then fitted, so that the expected tokens of each domain come close to their
+targets while rates stay near one. At the optimum a rate follows from its document and one price per
+domain, so the fit looks for the prices (the dual problem, convex and smooth): nothing is kept per
 document between steps, and one step is one pass that sums a few numbers over a narrow table.
 """
 
@@ -24,19 +24,23 @@ from retroscope.session import cut_lineage
 LABELLED = 10_000  # most labelled rows the classifier is fitted on: those of smallest id hash
 FEATURES = 1 << 14
 PULL = 1e-3  # how strongly rates are drawn to one
-STEPS = 100
-TOLERANCE = 1e-4  # of all tokens: done when a step moves no domain by more
+STEPS = 500  # most passes
+TOLERANCE = 1e-6  # of all tokens: done when no domain's optimality condition is missed by more
 
 
 @dataclass
 class Mix:
-    """Fitted classifier and steps. ``reached`` is the share of the budget that each domain gets."""
+    """Fitted classifier and prices. ``targets`` and ``reached`` are the shares of the budget that each domain
+    should get and gets; ``residual`` is how far the optimality condition is missed, in shares of all tokens."""
 
     domains: list[str]
     model: LogisticRegressionModel | None
-    residuals: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+    prices: np.ndarray | None = None
+    targets: dict[str, float] = field(default_factory=dict)
     reached: dict[str, float] = field(default_factory=dict)
     converged: bool = True
+    residual: float = 0.0
+    passes: int = 0
 
 
 def document_domain() -> Column:
@@ -80,12 +84,9 @@ def with_posteriors(docs: DataFrame, mix: Mix, text: str = "text") -> DataFrame:
         "_features", "_probability", "_raw", "_prediction")
 
 
-def _replay(p: np.ndarray, residuals: np.ndarray, pull: float) -> np.ndarray:
-    """Rates after the steps so far."""
-    rate = np.ones(len(p))
-    for e in residuals:
-        rate = np.maximum(0.0, rate - (p @ e + pull * (rate - 1)) / (1 + pull))
-    return rate
+def _rates(p: np.ndarray, prices: np.ndarray | None, pull: float) -> np.ndarray:
+    """The best rates at these prices; ones without any."""
+    return np.ones(len(p)) if prices is None else np.maximum(0.0, 1 - p @ prices / pull)
 
 
 def _grid(column: pa.Array, width: int) -> np.ndarray:
@@ -94,9 +95,13 @@ def _grid(column: pa.Array, width: int) -> np.ndarray:
 
 def fit_rates(profile: DataFrame, mix: Mix, weights: dict[str, float], pull: float = PULL, steps: int = STEPS,
               tolerance: float = TOLERANCE) -> Mix:
-    """Projected gradient on 1/2 sum_k (a_k - target_k)^2 / mass_k + pull/2 sum_d s_d (rate_d - 1)^2, where
-    a_k is the share of tokens that domain k gets, mass_k what documents with a rate above zero have of
-    it (so that steps do not shrink once others are out), s_d the share of document d.
+    """Rates with the least 1/2 sum_k (a_k - target_k)^2 / mass_k + pull/2 sum_d s_d (rate_d - 1)^2, where
+    a_k is the share of tokens that domain k gets, mass_k what documents with a rate above zero have of it
+    (lowered in rounds, from all it has, until that moves nothing), s_d the share of document d.
+
+    The rates are max(0, 1 - p_d * prices / pull) where prices_k = (a_k - target_k) / mass_k. Newton steps
+    with halving find the prices; what is left of that equation is the optimality residual, and the fit
+    has converged only when it is below ``tolerance`` for each domain.
 
     Targets are ``weights`` of the largest budget that no weighted domain has to repeat tokens for. A
     domain without a weight has target 0, one without tokens is left out. ``profile`` has _tokens and _p.
@@ -105,44 +110,75 @@ def fit_rates(profile: DataFrame, mix: Mix, weights: dict[str, float], pull: flo
     if not width:
         return mix
 
-    def sums(residuals: np.ndarray) -> np.ndarray:
-        """Tokens that each domain gets, tokens it has in documents with a rate, all tokens."""
+    def sums(prices: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray]:
+        """All tokens; what each domain gets; tokens by squared rate; of documents with a rate, what they have of each domain and products of memberships."""
         def add(batches):
-            total = np.zeros(2 * width + 1)
+            total = np.zeros(width * width + 2 * width + 2)
             for b in batches:
                 p, tokens = _grid(b.column(1), width), b.column(0).to_numpy()
-                rate = _replay(p, residuals, pull)
-                total[:width] += (tokens * rate) @ p
-                total[width:2 * width] += tokens[rate > 0] @ p[rate > 0]
-                total[2 * width] += tokens.sum()
+                rate = _rates(p, prices, pull)
+                total[0] += tokens.sum()
+                total[1] += tokens @ rate ** 2
+                total[2:2 + width] += (tokens * rate) @ p
+                on = rate > 0
+                total[2 + width:2 + 2 * width] += tokens[on] @ p[on]
+                total[2 + 2 * width:] += ((p[on] * tokens[on, None]).T @ p[on]).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "s"])
 
         found = profile.select("_tokens", "_p").mapInArrow(add, "k bigint, s double").groupBy("k").agg(F.sum("s").alias("s"))
-        out = np.zeros(2 * width + 1)
+        out = np.zeros(width * width + 2 * width + 2)
         for r in found.collect():
             out[r.k] = r.s
-        return out
+        every = out[0] or 1.0
+        return out[0], out[2:2 + width] / every, out[1] / every, out[2 + width:2 + 2 * width] / every, out[2 + 2 * width:].reshape(width, width) / every
 
-    first = sums(np.empty((0, width)))
-    all_tokens = first[-1]
+    at = np.zeros(width)
+    all_tokens, gets, squares, active, curve = sums(at)
     if all_tokens <= 0:
         return mix
-    mass = first[:width] / all_tokens
+    mass = gets
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in mix.domains])
     share = np.where(mass > 0, share, 0.0)
     if share.sum() <= 0:
         return mix
     share = share / share.sum()
     budget = min(mass[k] / share[k] for k in range(width) if share[k] > 0)
-    residuals, reached, active, done = np.empty((0, width)), mass, mass, False
-    for _ in range(steps):
-        residuals = np.vstack([residuals, np.where(active > 1e-12, (reached - budget * share) / np.maximum(active, 1e-12), 0.0)])
-        now = sums(residuals) / all_tokens
-        done = bool(np.abs(now[:width] - reached).max() < tolerance)
-        reached, active = now[:width], now[width:2 * width]
-        if done:
+    target, held = budget * share, mass > 0
+
+    def dual(x: np.ndarray, squares: float) -> float:
+        return float(mass @ x ** 2 / 2 + target @ x + pull / 2 * squares)
+
+    passes = 1
+    while True:
+        value, missed = dual(at, squares), np.where(held, mass * at + target - gets, 0.0)
+        while np.abs(missed).max() > tolerance and passes < steps:
+            hessian = np.diag(np.where(held, mass, 1.0)) + curve / pull
+            move, size = -np.linalg.solve(hessian, missed), 1.0
+            while passes < steps:
+                to = at + size * move
+                _, gets, squares, active, curve = sums(to)
+                passes += 1
+                left = np.where(held, mass * to + target - gets, 0.0)
+                # near the end the value no longer tells steps apart, the residual does
+                if dual(to, squares) <= value + 1e-4 * size * float(missed @ move) or np.abs(left).max() < np.abs(missed).max() / 2:
+                    break
+                size /= 2
+            at, value, missed = to, dual(to, squares), left
+        lower = np.where(active > 1e-12, np.minimum(mass, active), mass)
+        missed = np.where(held, lower * at + target - gets, 0.0)
+        if np.abs(missed).max() <= tolerance or passes >= steps:
             break
-    return Mix(mix.domains, mix.model, residuals, dict(zip(mix.domains, (reached / budget).tolist())), done)
+        mass = lower
+    residual = float(np.abs(missed).max())
+    named = lambda x: dict(zip(mix.domains, (x / budget).tolist()))
+    return Mix(mix.domains, mix.model, at, named(target), named(gets), residual <= tolerance, residual, passes)
+
+
+def _settled(mix: Mix) -> Mix:
+    if not mix.converged:
+        raise RuntimeError(f"rates not fitted after {mix.passes} passes: optimality missed by {mix.residual:.3g} of all tokens, "
+                           f"reached {mix.reached} for {mix.targets}")
+    return mix
 
 
 def with_rates(profile: DataFrame, mix: Mix, pull: float = PULL) -> DataFrame:
@@ -150,11 +186,11 @@ def with_rates(profile: DataFrame, mix: Mix, pull: float = PULL) -> DataFrame:
     width = len(mix.domains)
     if not width:
         return profile.withColumn("_rate", F.lit(1.0))
-    residuals = mix.residuals
+    prices = mix.prices
 
     def rate(batches):
         for b in batches:
-            r = _replay(_grid(b.column(b.schema.get_field_index("_p")), width), residuals, pull)
+            r = _rates(_grid(b.column(b.schema.get_field_index("_p")), width), prices, pull)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], schema=b.schema.append(pa.field("_rate", pa.float64())))
 
     return profile.mapInArrow(rate, profile.select("*").schema.add("_rate", "double"))
@@ -168,7 +204,9 @@ def copies(rate: Column, id: Column, seed: int = 7) -> Column:
 
 def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: Column | None = None,
                    text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, posteriors (by domain, in order of their names), rate, copies per row.
+    """doc_id, n_tokens, posteriors (by domain, in order of their names), rate, copies per row, and in the same
+    order as the posteriors domain_targets and domain_reached: shares of the budget, alike in all rows (null
+    where no rates were fitted). A fit that is not at its optimum raises.
 
     Null text counts as empty: no tokens, the probabilities of a text without words. Repeated rows are
     documents of their own; ties do not arise. Without labelled rows of two domains every document
@@ -177,9 +215,12 @@ def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
     mix = fit_domains(docs, labels, document_domain() if domain is None else domain, text, id)
     narrow = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text"))
     profile = cut_lineage(with_posteriors(narrow, mix, "_text").select("doc_id", "_tokens", "_p"))
-    rated = with_rates(profile, fit_rates(profile, mix, weights))
+    mix = _settled(fit_rates(profile, mix, weights))
+    rated = with_rates(profile, mix)
+    shares = lambda x: F.lit(None).cast("array<double>") if not x else F.array(*[F.lit(float(x[d])) for d in mix.domains])
     return rated.select("doc_id", F.col("_tokens").cast("bigint").alias("n_tokens"), F.col("_p").alias("posteriors"),
-                        F.col("_rate").alias("rate"), copies(F.col("_rate"), F.col("doc_id")).alias("copies"))
+                        F.col("_rate").alias("rate"), copies(F.col("_rate"), F.col("doc_id")).alias("copies"),
+                        shares(mix.targets).alias("domain_targets"), shares(mix.reached).alias("domain_reached"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: Column | None = None,
@@ -187,7 +228,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
     """The documents in the target mix, all columns kept: each row as often as its copies say."""
     mix = fit_domains(docs, labels, document_domain() if domain is None else domain, text, id)
     profile = cut_lineage(with_posteriors(docs.select(F.col(text).alias("_text")), mix, "_text").select("_tokens", "_p"))
-    mix = fit_rates(profile, mix, weights)
+    mix = _settled(fit_rates(profile, mix, weights))
     rows = with_posteriors(docs.select(*docs.columns), mix, text)
     rated = with_rates(rows, mix).withColumn("_copies", copies(F.col("_rate"), F.col(id)))
     return rated.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

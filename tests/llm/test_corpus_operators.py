@@ -428,6 +428,29 @@ def test_mixing_reaches_its_targets(spark):
     assert Counter(r.doc_id for r in out.collect()) == +want
 
 
+def test_mixing_ends_at_the_optimum(spark):
+    rnd = np.random.default_rng(3)
+    p, tokens = rnd.dirichlet([0.5, 0.7, 0.2], 400), rnd.integers(1, 500, 400).astype(float)
+    profile = spark.createDataFrame([(float(t), x.tolist()) for t, x in zip(tokens, p)], "_tokens double, _p array<double>").repartition(3)
+    weights = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
+    mix = mixing.fit_rates(profile, mixing.Mix(["good", "poor", "toxic"], None), weights)
+    rows = mixing.with_rates(profile, mix).collect()
+    p, s, rate = (np.array([r[c] for r in rows]) for c in ("_p", "_tokens", "_rate"))
+    s /= s.sum()
+    mass = s @ p
+    target = min(mass[0] / 0.95, mass[1] / 0.05) * np.array([0.95, 0.05, 0.0])
+    mass = s[rate > 0] @ p[rate > 0]
+    # the gradient of the objective by a rate, over the share of its document: zero, or not below zero where the rate is zero
+    slope = p @ (((s * rate) @ p - target) / mass) + mixing.PULL * (rate - 1)
+    assert mix.converged and np.abs(np.where(rate > 0, slope, np.minimum(slope, 0))).max() < 1e-4
+    budget = target.sum()
+    assert np.allclose([mix.reached[d] for d in mix.domains], (s * rate) @ p / budget, atol=1e-9) and mix.targets["good"] == pytest.approx(0.95)
+    short = mixing.fit_rates(profile, mix, weights, steps=2)
+    assert not short.converged
+    with pytest.raises(RuntimeError, match="optimality"):
+        mixing._settled(short)
+
+
 def test_mixing_with_one_domain_or_none(spark):
     docs = table_of(spark, [(1, "a"), (2, "b"), (3, None)])
     one = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
