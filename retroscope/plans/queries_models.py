@@ -69,35 +69,35 @@ def model_comparison(spark, d):
     out, *_ = models.compare_models(
         _posts(spark, d), "reversal", "id",
         {"logistic": lambda n: models.logistic(n, weight="weight"),
-         "forest": lambda n: models.forest(20, 5, weight="weight"),
-         "boosted": lambda n: models.boosted(5, 3)},
-        k=2, reps=200, numeric=NUMERIC, categorical=["domain", "source_subreddit"], min_df=5, max_features=2000)
+         "forest": lambda n: models.forest(300, 20, weight="weight"),
+         "boosted": lambda n: models.boosted(200, 5)},
+        k=5, reps=2000, numeric=NUMERIC, categorical=["domain", "source_subreddit"], min_df=5, max_features=20_000)
     return out
 
 
 @query("rank:i feature:s importance:f")
 def top_features(spark, d):
     data = models._labelled(_posts(spark, d), "reversal")
-    _, model, names = models.fit_and_score(data, data, "id", lambda n: models.forest(20, 5, weight="weight"), numeric=NUMERIC,
-                                           categorical=["domain"], min_df=5, max_features=2000)
+    _, model, names = models.fit_and_score(data, data, "id", lambda n: models.forest(300, 20, weight="weight"), numeric=NUMERIC,
+                                           categorical=["domain"], min_df=5, max_features=20_000)
     return models.importances(spark, model, names)
 
 
 @query("c:f weighting:s mean_auc:f best:b")
 def grid_search(spark, d):
-    return models.grid_search(_posts(spark, d), "reversal", "id", numeric=NUMERIC, min_df=5, max_features=2000)
+    return models.grid_search(_posts(spark, d), "reversal", "id", numeric=NUMERIC, min_df=5, max_features=25_000)
 
 
 @query("held_out:s test_auc:f ci_lower:f ci_upper:f n_train:i n_test:i rate_test:f")
 def leave_one_domain_out(spark, d):
-    return models.leave_one_group_out(_posts(spark, d), "reversal", "id", "domain", DOMAINS, lambda n: models.forest(20, 5, weight="weight"),
-                                      reps=200, numeric=NUMERIC, min_df=3, max_features=2000)
+    return models.leave_one_group_out(_posts(spark, d), "reversal", "id", "domain", DOMAINS, lambda n: models.forest(300, 20, weight="weight"),
+                                      reps=2000, numeric=NUMERIC, min_df=3, max_features=15_000)
 
 
 @query("features:s mean_auc:f std_auc:f gain:f")
 def engagement_gain(spark, d):
     base = ["vader_compound", "vader_neg", "urgency_score", "agency_score", "hedging_score", "causal_reasoning_score", "future_orient_score", "social_embed_score"]
-    return models.nested_feature_sets(layer(spark, d), "reversal", "id", base, ["comment_count_log", "score_log"], lambda n: models.forest(20, 5), k=3)
+    return models.nested_feature_sets(layer(spark, d), "reversal", "id", base, ["comment_count_log", "score_log"], lambda n: models.forest(200, 10), k=5)
 
 
 @query("threshold:f f1:f auc:f")

@@ -162,7 +162,7 @@ P = resample.PRIME
   SELECT event_type, mean, n, ci_lower, ci_upper FROM (SELECT event_type, avg(value) AS mean, count(value) AS n FROM events GROUP BY 1)
     JOIN (SELECT event_type, quantile_cont(stat, 0.025) AS ci_lower, quantile_cont(stat, 0.975) AS ci_upper FROM m GROUP BY 1) USING (event_type)""")
 def bootstrap_means(spark, d):
-    return resample.mean_interval(table(spark, d, "events"), "event_type", "event_id", "value", reps=200)
+    return resample.mean_interval(table(spark, d, "events"), "event_type", "event_id", "value", reps=2000)
 
 
 @query("domain:s rate:f n:i ci_lower:f ci_upper:f")
@@ -327,4 +327,4 @@ def best_f1_threshold(spark, d):
 
 @query("ci_lower:f ci_upper:f reps:i")
 def auc_interval(spark, d):
-    return resample.auc_interval(_scores(spark, d), "label", "score", reps=200)
+    return resample.auc_interval(_scores(spark, d), "label", "score", reps=2000)
