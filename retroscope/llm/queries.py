@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retroscope.llm import chat, dedup, jaccard_join, language_id, mixing, pieces, secret_scan, suffix_dedup, tokens, topk_search
+from retroscope.llm import (
+    chat, dedup, fill_middle, jaccard_join, language_id, mixing, pieces, prefix_trie, rotated_codes, secret_scan, suffix_dedup, tokens, topk_search,
+)
 
 TOKENIZERS = os.environ.get("RETROSCOPE_TOKENIZERS", "/opt/tokenizers")
 
@@ -94,3 +96,20 @@ def op9_secret_scan(spark, folder):
 @query()
 def op10_suffix_dedup(spark, folder):
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+@query(prefix_trie.OP11_SQL)
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+@query(fill_middle.OP12_SQL)
+def op12_fill_middle(spark, folder):
+    out = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+@query()
+def op13_nearest_vectors(spark, folder):
+    return rotated_codes.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
