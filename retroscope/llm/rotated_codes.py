@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 A vector is taken relative to one of a few centres, rotated at random, and kept as the signs of its
-components: D bits, packed. With x the unit vector of those signs, o the vector's own direction and q the
+components: D bits, packed (D is twice the width or more). With x the unit vector of those signs, o the vector's own direction and q the
 query's, <o, q> is estimated by <x, q> / <x, o>; the correction scalar <x, o> and the length of the vector
 are kept beside the bits. The estimate is off by about sqrt((1 - <x,o>^2) / (<x,o>^2 (D - 1))) in one
 standard deviation, so a distance has a lower bound that holds but for a chance EPSILON sets. The query is
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from retroscope.session import cut_lineage, discard
 
 SEED = 20
-EPSILON = 3.5  # standard deviations a bound allows for
+EPSILON = 2.5  # standard deviations a bound allows for
+SPREAD = 2  # bits per component: a vector filled up with zeros has more signs, which halves the variance of its estimates
 BITS = 8
 SAMPLE = 4_096  # rows the centres are fitted on, and first distances measured against
 CENTRES = 16
@@ -53,8 +54,9 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 
 def rotated(x: np.ndarray, seed: int = SEED) -> np.ndarray:
     """Rows turned by a random rotation: three rounds of random signs and a Hadamard transform. Rows are
-    filled up to a power of two (64 at least), so that no matrix of the square of the width is needed."""
-    width = max(64, 1 << max(0, x.shape[1] - 1).bit_length())
+    filled up with zeros to SPREAD times their width, and on to a power of two (64 at least), so that no
+    matrix of the square of the width is needed."""
+    width = max(64, 1 << max(0, SPREAD * x.shape[1] - 1).bit_length())
     out = np.zeros((len(x), width))
     out[:, :x.shape[1]] = x
     rng = np.random.default_rng(seed)
