@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-A vector is taken relative to one of a few centres, rotated at random, and kept as the signs of its
-components: D bits, packed (D is twice the width or more). With x the unit vector of those signs, o the vector's own direction and q the
-query's, <o, q> is estimated by <x, q> / <x, o>; the correction scalar <x, o> and the length of the vector
-are kept beside the bits. The estimate is off by about sqrt((1 - <x,o>^2) / (<x,o>^2 (D - 1))) in one
+A vector is taken relative to one of a few centres, filled up with zeros, rotated at random, and kept as
+the signs of its D components, packed. With x the unit vector of those signs, o the vector's own direction
+and q the query's, <o, q> is estimated by <x, q> / <x, o>; the correction scalar <x, o> and the length of the
+vector are kept beside the bits. The estimate is off by about sqrt((1 - <x,o>^2) / (<x,o>^2 (D - 1))) in one
 standard deviation, so a distance has a lower bound that holds but for a chance EPSILON sets. The query is
 rounded to whole numbers of BITS bits; with these its product with the signs is a weighted sum of popcounts,
 and what rounding costs is bounded by the length of the rounding error. Vectors are looked at exactly by

@@ -221,7 +221,7 @@ def test_estimates_stay_within_their_bound():
     x, q = rng.normal(size=(2000, 64)), rng.normal(size=(20, 64))
     centres = rotated_codes.fit_centres(x, 4)
     near_, bits, length, scalar = rotated_codes.encode(x, centres)
-    shard = rotated_codes.Codes(np.arange(2000), x, near_, bits, length, scalar, rotated_codes.rotated(centres), rotated_codes.EPSILON)
+    shard = rotated_codes.Codes(np.arange(2000), x, near_, bits, length, scalar, rotated_codes.rotated(centres), 3.5)
     tight = rotated_codes.Codes(np.arange(2000), x, near_, bits, length, scalar, rotated_codes.rotated(centres), 0.0)
     held = []
     for one, turned in zip(q, rotated_codes.rotated(q)):
