@@ -56,14 +56,28 @@ def cumulate(
 ) -> DataFrame:
     """One row per (by, value): each measure, its sum over smaller values, its group total.
 
-    ``measures`` are aggregate columns. ``domain`` states a known bound on the number of
-    distinct values per group (days below a cap, say), which spares the sketch.
+    ``measures`` are aggregate columns. ``domain`` says that values are whole numbers, nearly all of
+    them below it (days below a cap, say): the range is then cut evenly, which spares the sketch.
     Columns out: by, value, m, m_before, m_total.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull())
-    bounds = [] if domain and domain <= single else bucket_bounds(rows, value, single=single)
+    if domain:
+        bounds = list(range(single, domain, single))
+    else:
+        bounds = bucket_bounds(rows, value, single=single)
     pre = rows.groupBy(*by, value).agg(*[m.alias(k) for k, m in measures.items()])
+    return scan(pre, value, list(measures), by, bounds)
+
+
+def scan(pre: DataFrame, value: str, measures: Sequence[str], by: Sequence[str] = (), bounds: Sequence[float] = ()) -> DataFrame:
+    """Rows of distinct (by, value): each measure, its sum over smaller values, its group total.
+
+    Two passes over segments of the value range: sums of whole segments first, then the rows of each
+    segment on top of the segments before it. Without ``bounds`` a group is one segment. Columns of
+    ``pre`` other than those named are dropped.
+    """
+    by = list(by)
     if not bounds:
         group = Window.partitionBy(*by)
         below = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

@@ -152,17 +152,18 @@ def covariate_balance(spark, d):
 # --- intervals ----------------------------------------------------------------------
 H0, STEPS = sql.poisson_weight("event_id", "rep", 42)
 P = resample.PRIME
+REPLICATES = 2_000
 
 
 @query("event_type:s mean:f n:i ci_lower:f ci_upper:f", f"""
   WITH w AS (SELECT event_type, rep, value, len(list_filter({STEPS}, lambda s: s <= h / {P}.0::DOUBLE)) AS w FROM (
          SELECT *, (h1 * h1 + rep + 7) % {P} AS h FROM (SELECT *, (h0 * h0 + h0) % {P} AS h1 FROM (
-           SELECT event_type, value, rep, {H0} AS h0 FROM events, (SELECT unnest(range(1, 201)) AS rep))))),
+           SELECT event_type, value, rep, {H0} AS h0 FROM events, (SELECT unnest(range(1, {REPLICATES + 1})) AS rep))))),
        m AS (SELECT event_type, rep, sum(w * value) / sum(w) AS stat FROM w GROUP BY ALL)
   SELECT event_type, mean, n, ci_lower, ci_upper FROM (SELECT event_type, avg(value) AS mean, count(value) AS n FROM events GROUP BY 1)
     JOIN (SELECT event_type, quantile_cont(stat, 0.025) AS ci_lower, quantile_cont(stat, 0.975) AS ci_upper FROM m GROUP BY 1) USING (event_type)""")
 def bootstrap_means(spark, d):
-    return resample.mean_interval(table(spark, d, "events"), "event_type", "event_id", "value", reps=2000)
+    return resample.mean_interval(table(spark, d, "events"), "event_type", "event_id", "value", reps=REPLICATES)
 
 
 @query("domain:s rate:f n:i ci_lower:f ci_upper:f")
@@ -234,18 +235,37 @@ def log_rank_domains(spark, d):
     return survival.log_rank_pairs(layer(spark, d).where("time_to_regret_days > 0"), "time_to_regret_days", "reversal", "domain", domain=3651)
 
 
-@query("term:s coef:f hazard_ratio:f se:f p_value:f n:i events:i")
+# coefficients at which likelihood and gradient are compared
+STATED = {"l_quantity": 0.01, "l_discount": 0.5}
+
+
+@query("term:s score:f log_likelihood:f n:i events:i", f"""
+  WITH RECURSIVE {TIMES}, r AS (SELECT *, exp({STATED['l_quantity']}::DOUBLE * l_quantity + {STATED['l_discount']}::DOUBLE * l_discount) AS w FROM times),
+    per AS (SELECT days, sum(w) AS s, sum(w * l_quantity) AS sq, sum(w * l_discount) AS sd, sum(event) AS m, sum(w * event) AS d, sum(w * event * l_quantity) AS dq,
+      sum(w * event * l_discount) AS dd, sum(event * ln(w)) AS eta, sum(event * l_quantity) AS xq, sum(event * l_discount) AS xd FROM r GROUP BY days),
+    risk AS (SELECT * REPLACE (sum(s) OVER w AS s, sum(sq) OVER w AS sq, sum(sd) OVER w AS sd) FROM per WINDOW w AS (ORDER BY days DESC)),
+    steps AS (SELECT *, k / CAST(m AS DOUBLE) AS f FROM (SELECT *, unnest(range(CAST(m AS BIGINT))) AS k FROM risk WHERE m > 0)),
+    added AS (SELECT sum(ln(s - f * d)) AS l, sum((sq - f * dq) / (s - f * d)) AS gq, sum((sd - f * dd) / (s - f * d)) AS gd FROM steps),
+    plain AS (SELECT sum(eta) AS eta, sum(xq) AS xq, sum(xd) AS xd FROM per), size AS (SELECT count(*) AS n, sum(event) AS events FROM times)
+  SELECT 'l_quantity' AS term, xq - gq AS score, eta - l AS log_likelihood, n, events FROM added, plain, size
+  UNION ALL SELECT 'l_discount', xd - gd, eta - l, n, events FROM added, plain, size""")
+def cox_score_orders(spark, d):
+    """Efron likelihood and gradient at stated coefficients, risk sums in several buckets."""
+    return survival.cox_score(_times(spark, d), "days", "event", list(STATED), list(STATED.values()), times=500)
+
+
+@query("term:s coef:f hazard_ratio:f se:f p_value:f n:i events:i converged:b")
 def cox_orders(spark, d):
     fit = survival.cox_fit(_times(spark, d), "days", "event", ["l_quantity", "l_discount"])
     return survival.cox_table(spark, fit)
 
 
-@query("term:s coef:f hazard_ratio:f se:f p_value:f n:i events:i")
+@query("term:s coef:f hazard_ratio:f se:f p_value:f n:i events:i converged:b")
 def cox_posts(spark, d):
     rows = layer(spark, d).where("time_to_regret_days > 0")
     rows, dummies = stats.dummies(rows, "domain", "domain", ["career", "immigration", "relationships"])
     rows, moods = stats.dummies(rows, "emotion", "emo", ["anger", "disgust", "fear", "joy", "neutral", "sadness", "surprise"])
-    covariates = ["vader_compound", "vader_neg", "urgency_score", "log_post_length", *dummies]
+    covariates = ["vader_compound", "vader_neg", "urgency_score", "log_post_length", *dummies, *moods]
     fit = survival.cox_fit(rows.select("time_to_regret_days", "reversal", *covariates), "time_to_regret_days", "reversal", covariates, penalizer=0.01)
     return survival.cox_table(spark, fit)
 
