@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ from retroscope.operators import ranks
 
 FEW_GROUPS = 10_000
 
+
+def vector_sum(c: str) -> Column:
+    """Sum of equally long arrays, as one aggregate however long they are."""
+    return vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
+
+
 # --- rows ---------------------------------------------------------------------------
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the first in ``order``.

@@ -172,10 +172,27 @@ def model_labels(df: DataFrame, text: str, make_predict, batch_size: int = 64, o
     return staged.select(*df.columns, F.col("_p.label").alias(out), F.round("_p.score", 4).alias(f"{out}_score"))
 
 
-def model_vectors(df: DataFrame, text: str, make_encode, batch_size: int = 128, out: str = "embedding") -> DataFrame:
-    """Vectors from a supplied encoder, in batches."""
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql import types as T
+def lexicon_predictor(lexicon: Mapping[str, str] = lex.DEMO_EMOTION):
+    """``lexicon_emotion`` as a model that can be handed to ``model_labels``."""
+    words, emotions = dict(lexicon), list(lex.EMOTIONS)
+
+    def load():
+        import re
+
+        import numpy as np
+
+        run = re.compile(r"[\w']+")
+
+        def predict(texts):
+            labels, scores = [], []
+            for text in texts:
+                found = [words[w] for w in run.findall(text.lower()) if w in words]
+                counts = [found.count(e) for e in emotions]
+                most = max(counts)
+                labels.append(emotions[counts.index(most)] if most else "neutral")
+                scores.append(most / len(found) if most else 1.0)
+            return {"label": np.array(labels, dtype=object), "score": np.array(scores)}
+
+        return predict
 
-    encode = predict_batch_udf(make_encode, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return df.withColumn(out, encode(F.expr(f"coalesce({text}, '')")))
+    return load

@@ -13,14 +13,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retroscope.functions import tails
 from retroscope.operators import ranks
-from retroscope.operators.relational import few_values
+from retroscope.operators.relational import few_values, vector_sum
 
 # distinct times of a segment: the running sums of a curve or a risk set never span more in one window or pass
 SEGMENT = 1_024
@@ -174,11 +172,6 @@ def _contributions(v: np.ndarray, risk: np.ndarray, p: int) -> np.ndarray:
     return np.concatenate([[v[:, 2 * q + p + 1].sum() - log_sum.sum()], gradient, info.ravel()])
 
 
-def _vector_sum(c: str) -> Column:
-    """Sum of equally long arrays, as one aggregate however long they are."""
-    return vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
-
-
 def _per_time_sums(data: DataFrame, names: Sequence[str], beta: np.ndarray, mean, std, bounds: Sequence[float]) -> DataFrame:
     """(bucket, time, v): vector sums per distinct time, combined inside each task first."""
     p = len(names)
@@ -211,7 +204,7 @@ def _per_time_sums(data: DataFrame, names: Sequence[str], beta: np.ndarray, mean
             yield out(times, rows)
 
     parts = data.mapInPandas(partial, "bucket int, time double, v array<double>")
-    return parts.groupBy("bucket", "time").agg(_vector_sum("v"))
+    return parts.groupBy("bucket", "time").agg(vector_sum("v"))
 
 
 def _likelihood(per_time: DataFrame, p: int, several: bool):
@@ -225,7 +218,7 @@ def _likelihood(per_time: DataFrame, p: int, several: bool):
     after: dict[int, np.ndarray] = {}
     if several:
         per_time = per_time.persist()
-        totals = per_time.select("bucket", F.slice("v", 1, q).alias("v")).groupBy("bucket").agg(_vector_sum("v")).collect()
+        totals = per_time.select("bucket", F.slice("v", 1, q).alias("v")).groupBy("bucket").agg(vector_sum("v")).collect()
         run = np.zeros(q)
         for row in sorted(totals, key=lambda r: -r["bucket"]):
             after[row["bucket"]] = run
@@ -248,7 +241,7 @@ def _likelihood(per_time: DataFrame, p: int, several: bool):
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
     ordered = per_time.repartition("bucket").sortWithinPartitions("bucket", F.desc("time")).select("bucket", "v")
-    summed = ordered.mapInArrow(contribute, "v array<double>").agg(_vector_sum("v")).first()["v"]
+    summed = ordered.mapInArrow(contribute, "v array<double>").agg(vector_sum("v")).first()["v"]
     if several:
         per_time.unpersist()
     flat = np.array(summed, dtype=float)

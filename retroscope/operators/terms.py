@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,57 +105,51 @@ def word_rates(df: DataFrame, by: str, tokens: Column, words: Sequence[str] = le
 
 
 # --- TF-IDF -------------------------------------------------------------------------
-FLUSH = 500_000
-
-
 def vocabulary(df: DataFrame, terms: Column, min_df: int, max_features: int) -> DataFrame:
-    """(term, df, corpus_n): terms in at least ``min_df`` rows, the most frequent ones. Tasks add up
-    their rows; only sums per term are shuffled."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, uses = Counter(), Counter()
-
-        def flush():
-            yield pa.RecordBatch.from_pydict({"term": list(uses), "df": [rows[t] for t in uses], "corpus_n": list(uses.values())},
-                                             pa.schema([("term", pa.string()), ("df", pa.int64()), ("corpus_n", pa.int64())]))
-            rows.clear()
-            uses.clear()
-
-        for batch in batches:
-            for found in batch.column(0).to_pylist():
-                uses.update(found or ())
-                rows.update(set(found or ()))
-            if len(uses) > FLUSH:
-                yield from flush()
-        yield from flush()
-
-    counts = df.select(terms.alias("_terms")).mapInArrow(add, "term string, df bigint, corpus_n bigint").groupBy("term").agg(
-        F.sum("df").alias("df"), F.sum("corpus_n").alias("corpus_n"))
+    """(term, df, corpus_n): terms in at least ``min_df`` rows, the most frequent ones. A row's terms are
+    sorted, so the first use of each tells itself by the one before it; tasks add up before the shuffle."""
+    held = df.select(F.array_sort(terms).alias("_terms"))
+    first = lambda t, i: F.when(i == 0, 1).when(F.get("_terms", i - 1) == t, 0).otherwise(1)
+    uses = held.select(F.explode_outer(F.transform("_terms", lambda t, i: F.struct(t.alias("term"), first(t, i).alias("d")))).alias("_u"))
+    counts = uses.groupBy("_u.term").agg(F.sum("_u.d").alias("df"), F.count(F.lit(1)).alias("corpus_n")).where("term IS NOT NULL")
     return counts.where(F.col("df") >= min_df).orderBy(F.desc("corpus_n"), "term").limit(max_features)
 
 
+def tfidf_vectors(df: DataFrame, key: str, terms: Column, min_df: int = 5, max_features: int = 10_000) -> tuple[DataFrame, list[str]]:
+    """(key, idx, tf, val) per row and the vocabulary in alphabetic order: the positions of a row's listed
+    terms, their counts, and tf * (ln((1+n)/(1+df)) + 1) scaled to unit length. No shuffle but that of the
+    vocabulary, no Python: counts come from a hash map of the vocabulary, at most ``max_features`` terms,
+    that the plan carries to the tasks. A row without a listed term has empty arrays."""
+    n = df.count()
+    found = sorted((r["term"], r["df"]) for r in vocabulary(df, terms, min_df, max_features).collect())
+    names = [t for t, _ in found]
+    # the model wants a term and a weight at least: a term with a null sign occurs in no row
+    padded = names or ["\0"]
+    idf = [math.log((n + 1) / (d + 1)) + 1 for _, d in found] or [0.0]
+    rows = df.select(key, F.coalesce(terms, F.array().cast("array<string>")).alias("_terms"))
+    counted = CountVectorizerModel.from_vocabulary(padded, "_terms", "_tf").transform(rows)
+    weighed = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_raw").transform(counted)
+    scaled = Normalizer(p=2.0, inputCol="_raw", outputCol="_val").transform(weighed)
+    # sparse vectors keep their positions through both steps
+    tf, val = F.unwrap_udt("_tf"), F.unwrap_udt("_val")
+    return scaled.select(key, tf["indices"].alias("idx"), tf["values"].alias("tf"), val["values"].alias("val")), names
+
+
+def named(cells: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows with an ``idx`` of a vocabulary, with ``term`` in its place."""
+    index = cells.sparkSession.createDataFrame(list(enumerate(names)), "idx int, term string")
+    return cells.join(F.broadcast(index), "idx").drop("idx")
+
+
 def tfidf(df: DataFrame, key: str, terms: Column, min_df: int = 5, max_features: int = 10_000) -> DataFrame:
-    """(key, term, tf, weight): tf * (ln((1+n)/(1+df)) + 1), rows of unit length.
+    """(key, term, tf, weight): ``tfidf_vectors`` as rows. A row without a listed term gives none here."""
+    vectors, names = tfidf_vectors(df, key, terms, min_df, max_features)
+    cells = vectors.select(key, F.inline(F.arrays_zip("idx", "tf", "val")))
+    return named(cells, names).select(key, "term", F.col("tf").cast("bigint").alias("tf"), F.col("val").alias("weight"))
 
-    A row of ``df`` is weighed where it is read. The vocabulary, at most ``max_features`` terms, goes
-    to the tasks; a row without a listed term gives no rows here (see ``topics.sparse_rows``).
-    """
-    n = df.count()
-    idf = {r["term"]: math.log((n + 1) / (r["df"] + 1)) + 1 for r in vocabulary(df, terms, min_df, max_features).collect()}
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, names, uses, weights = [], [], [], []
-            for i, found in enumerate(batch.column(1).to_pylist()):
-                tf = {t: c for t, c in Counter(found or ()).items() if t in idf}
-                length = math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items()))
-                at += [i] * len(tf)
-                names += tf
-                uses += tf.values()
-                weights += [c * idf[t] / length for t, c in tf.items()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(uses, pa.int64()), pa.array(weights, pa.float64())],
-                [key, "term", "tf", "weight"])
-
-    rows = df.select(key, terms.alias("_terms"))
-    schema = rows.select(key).schema.add("term", "string").add("tf", "long").add("weight", "double")
-    return rows.mapInArrow(weigh, schema)
+
+def term_totals(df: DataFrame, terms: Column, min_df: int = 5, max_features: int = 10_000) -> DataFrame:
+    """(term, docs, weight): rows that hold a term and its summed weight, added up before it gets its name."""
+    vectors, names = tfidf_vectors(df.select("*", F.lit(0).alias("_row")), "_row", terms, min_df, max_features)
+    cells = vectors.select(F.inline(F.arrays_zip("idx", "val")))
+    return named(cells.groupBy("idx").agg(F.count(F.lit(1)).alias("docs"), F.sum("val").alias("weight")), names)

@@ -69,7 +69,7 @@ def enriched(spark, d):
     return posts.enriched_from_documents(documents(spark, d))
 
 
-_LAYERS: dict[tuple, str] = {}
+_LAYERS: dict[tuple, str | tuple[str, str]] = {}
 
 
 def layer(spark, d):
@@ -84,6 +84,20 @@ def layer(spark, d):
     return spark.read.parquet(_LAYERS[key])
 
 
+def model_layer(spark, d):
+    """The layer with ``topic`` and ``emb_`` columns, and the topics' terms; written once, like the layer."""
+    from retroscope.plans import models
+
+    key = (spark.sparkContext.applicationId, d, file_state(spark, f"{d}/documents.parquet"), "model")
+    if key not in _LAYERS:
+        folder = scratch_path(spark, "layers")
+        rows, model = models.with_topics(layer(spark, d), "id")
+        writers.write_layer(model.top_terms(spark), folder, "topics", 1)
+        _LAYERS[key] = (writers.write_layer(models.with_vectors(rows, "id"), folder, "enriched", 2), f"{folder}/topics/v1")
+    rows, names = _LAYERS[key]
+    return spark.read.parquet(rows), spark.read.parquet(names)
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     from retroscope.plans import (  # noqa: F401

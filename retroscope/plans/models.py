@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retroscope.functions import text as tx
-from retroscope.operators import metrics, resample
+from retroscope.operators import metrics, resample, terms, topics, vectors
 
 
 def spoken(df: DataFrame) -> DataFrame:
@@ -30,6 +30,23 @@ def spoken(df: DataFrame) -> DataFrame:
         "has_time", F.col("time_to_regret_days").isNotNull().cast("int"))
 
 
+def with_topics(df: DataFrame, key: str, k: int = 10, iterations: int = 500, min_df: int = 5, max_features: int = 10_000) -> tuple[DataFrame, topics.NmfModel]:
+    """``topic`` of each row by a factorisation of its 1-2-grams, and the model. A row without a listed
+    term is a zero row: its largest load is the first topic's."""
+    packed, names = terms.tfidf_vectors(df, key, tx.terms_and_bigrams("spoken"), min_df, max_features)
+    model = topics.fit_nmf(packed, names, k, iterations)
+    return df.join(model.transform(packed, key).select(key, "topic"), key), model
+
+
+def with_vectors(df: DataFrame, key: str, components: int = 50, keep: int = 10, dim: int = 384) -> DataFrame:
+    """``emb_0`` and so on: the first components of each row's sentence vector."""
+    words = tx.tokens("spoken")
+    encoder = vectors.fit_hashing(df, words, dim)
+    raw = vectors.encode(df.select(key, vectors.joined(words).alias("_words")), "_words", encoder.load)
+    reduced, _ = topics.pca_reduce(raw, key, "embedding", components, keep)
+    return df.join(reduced.drop("components"), key)
+
+
 def fit_text(train: DataFrame, min_df: int = 5, max_features: int = 20_000, text: str = "spoken") -> PipelineModel:
     """1-2-gram TF-IDF of unit length; the vocabulary has at most ``max_features`` terms."""
     ready = [

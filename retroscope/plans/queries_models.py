@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from retroscope.operators import matching, metrics, stats
 from retroscope.plans import models, scoring
 from retroscope.plans import posts as post_plans
-from retroscope.plans.catalogue import documents, layer, query
+from retroscope.plans.catalogue import documents, layer, model_layer, query
 from retroscope.session import scratch_path
 
 NUMERIC = ["vader_compound", "vader_neg", "urgency_score", "has_time"]
@@ -16,6 +16,9 @@ PSM = ["vader_compound", "vader_neg", "urgency_score", "log_post_length", "post_
 DOMAINS = ["career", "immigration", "relationships"]
 
 
+EMBEDDED = [f"emb_{i}" for i in range(10)]
+
+
 def _posts(spark, d):
     return models.filled(models.spoken(layer(spark, d)), NUMERIC)
 
@@ -90,8 +93,10 @@ def grid_search(spark, d):
 
 @query("held_out:s test_auc:f ci_lower:f ci_upper:f n_train:i n_test:i rate_test:f")
 def leave_one_domain_out(spark, d):
-    return models.leave_one_group_out(_posts(spark, d), "reversal", "id", "domain", DOMAINS, lambda n: models.forest(300, 20, weight="weight"),
-                                      reps=2000, numeric=NUMERIC, min_df=3, max_features=15_000)
+    columns = [*NUMERIC, *EMBEDDED]
+    rows = models.filled(models.spoken(model_layer(spark, d)[0]), columns)
+    return models.leave_one_group_out(rows, "reversal", "id", "domain", DOMAINS, lambda n: models.forest(300, 20, weight="weight"),
+                                      reps=2000, numeric=columns, min_df=3, max_features=15_000)
 
 
 @query("features:s mean_auc:f std_auc:f gain:f")

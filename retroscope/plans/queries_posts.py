@@ -127,6 +127,13 @@ def emotion_of_posts(spark, d):
     return enriched(spark, d)
 
 
+@query("id:s emotion:s emotion_score:f", "SELECT * FROM emotions", EMOTION)
+def emotion_by_model(spark, d):
+    """The same through the hook for models, in batches; the model here is the lexicon."""
+    rows = layer(spark, d).select("id", "spoken")
+    return sentiment.model_labels(rows, "spoken", sentiment.lexicon_predictor())
+
+
 @query("domain:s emotion:s n:i share:f",
        "SELECT *, n / sum(n) OVER (PARTITION BY domain) AS share FROM (SELECT domain, emotion, count(*) AS n FROM emotions JOIN structured USING (id) GROUP BY ALL)", EMOTION)
 def emotion_shares_by_domain(spark, d):

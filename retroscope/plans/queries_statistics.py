@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from retroscope.functions import bins
 from retroscope.operators import metrics, ranks, resample, stats, survival
 from retroscope.plans import oracle as sql
-from retroscope.plans.catalogue import layer, query
+from retroscope.plans.catalogue import layer, model_layer, query
 from retroscope.plans.queries_posts import BASE, EMOTION, PSY, RICH, SENTIMENT
 from retroscope.plans.queries_relational import ERA
 from retroscope.sources.readers import table
@@ -262,10 +262,10 @@ def cox_orders(spark, d):
 
 @query("term:s coef:f hazard_ratio:f se:f p_value:f n:i events:i converged:b")
 def cox_posts(spark, d):
-    rows = layer(spark, d).where("time_to_regret_days > 0")
+    rows = model_layer(spark, d)[0].where("time_to_regret_days > 0")
     rows, dummies = stats.dummies(rows, "domain", "domain", ["career", "immigration", "relationships"])
     rows, moods = stats.dummies(rows, "emotion", "emo", ["anger", "disgust", "fear", "joy", "neutral", "sadness", "surprise"])
-    covariates = ["vader_compound", "vader_neg", "urgency_score", "log_post_length", *dummies, *moods]
+    covariates = ["vader_compound", "vader_neg", "urgency_score", "log_post_length", "topic", *dummies, *moods]
     fit = survival.cox_fit(rows.select("time_to_regret_days", "reversal", *covariates), "time_to_regret_days", "reversal", covariates, penalizer=0.01)
     return survival.cox_table(spark, fit)
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retroscope.functions import lexicons as lex
 from retroscope.functions import text as tx
-from retroscope.operators import terms, topics
-from retroscope.operators.relational import top_per_group
+from retroscope.operators import terms, topics, vectors
+from retroscope.operators.relational import mean_pivot, top_per_group
 from retroscope.plans import oracle as sql
-from retroscope.plans.catalogue import documents, layer, query
+from retroscope.plans.catalogue import documents, layer, model_layer, query
 from retroscope.plans.queries_posts import BASE, RICH
 from retroscope.sources.readers import table
 
@@ -95,12 +96,18 @@ i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you'
 you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't
 can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's would""".split()
 _STOPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP)
-GRAMS = f"""runs AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOPPED})) AS r FROM documents),
-  grams AS (SELECT doc_id, unnest(list_concat(r, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]))) AS term FROM runs),
-  tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+
+
+def _grams(source: str, key: str, text: str) -> str:
+    return f"""runs AS (SELECT {key}, list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOPPED})) AS r FROM {source}),
+  grams AS (SELECT {key}, unnest(list_concat(r, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]))) AS term FROM runs),
+  tf AS (SELECT {key}, term, count(*) AS tf FROM grams GROUP BY ALL),
   vocab AS (SELECT term, count(*) AS df, sum(tf) AS c FROM tf GROUP BY term HAVING count(*) >= 5 ORDER BY c DESC, term LIMIT 10000),
-  raw AS (SELECT doc_id, term, tf, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term)),
-  weights AS (SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
+  raw AS (SELECT {key}, term, tf, tf * (ln((1.0 + (SELECT count(*) FROM {source})) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term)),
+  weights AS (SELECT {key}, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM raw)"""
+
+
+GRAMS = _grams("documents", "doc_id", "text")
 
 
 def _weights(spark, d):
@@ -109,7 +116,7 @@ def _weights(spark, d):
 
 @query("term:s docs:i weight:f", "SELECT term, count(*) AS docs, sum(weight) AS weight FROM weights GROUP BY term", [GRAMS])
 def tfidf_weights(spark, d):
-    return _weights(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("weight"))
+    return terms.term_totals(documents(spark, d), tx.terms_and_bigrams("text"), 5, 10_000)
 
 
 @query("doc_id:i length:f", "SELECT doc_id, sum(weight * weight) AS length FROM weights GROUP BY doc_id", [GRAMS])
@@ -124,17 +131,61 @@ def cleaned_texts(spark, d):
     return rows.select("doc_id", F.md5(tx.collapse_spaces("t")).alias("cleaned_md5"))
 
 
-@query("topic:i top_terms:s n:i rate:f")
+@query("topic:i top_terms:s label:s n:i rate:f")
 def nmf_topics(spark, d):
     """Topics of the kept posts with their size and reversal rate."""
-    rows = layer(spark, d)
-    weights = terms.tfidf(rows, "id", tx.terms_and_bigrams("spoken"), 5, 10_000)
-    packed, vocabulary = topics.sparse_rows(weights, "id")
-    model = topics.fit_nmf(packed, vocabulary, k=10)
-    # a post without a listed term is a zero row: its largest load is the first topic's
-    assigned = rows.select("id", "reversal").join(model.transform(packed, "id").select("id", "topic"), "id", "left").fillna(0, ["topic"])
-    sizes = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg("reversal").alias("rate"))
-    return model.top_terms(spark).join(sizes, "topic", "left")
+    rows, names = model_layer(spark, d)
+    sizes = rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg("reversal").alias("rate"))
+    return names.join(sizes, "topic", "left")
+
+
+@query("topic:i career:f immigration:f relationships:f")
+def topic_reversal_by_domain(spark, d):
+    """Reversal rate per topic and domain, 0 where a topic has no post of the domain."""
+    rows, _ = model_layer(spark, d)
+    return mean_pivot(rows, "topic", "domain", ["career", "immigration", "relationships"], "reversal")
+
+
+# topics that are given; the terms among them that the posts hold often enough count
+THEMES = [["quitting", "offer", "job", "manager", "interview", "resigned"], ["moving", "visa", "left", "family", "moved"],
+          ["broke", "going", "cheated", "wish", "listened"], ["waiting", "pressure", "deadline", "rushed", "late"]]
+_LOADS = ", ".join(f"coalesce(sum(weight) FILTER (term IN ({', '.join(map(sql.q, g))})), 0) / greatest(1, (SELECT count(*) FROM vocab WHERE term IN ({', '.join(map(sql.q, g))}))) AS w{i}, "
+                   f"(SELECT count(*) FROM vocab WHERE term IN ({', '.join(map(sql.q, g))})) AS m{i}" for i, g in enumerate(THEMES))
+
+
+@query("topic:i n:i load:f residual:f", f"""
+  SELECT topic, count(*) AS n, sum(load) AS load, sum(residual) AS residual FROM (
+    SELECT list_position(l, list_max(l)) - 1 AS topic, list_max(l) AS load, square - ({' + '.join(f'w{i} * w{i} * m{i}' for i in range(len(THEMES)))}) AS residual FROM (
+      SELECT *, [{', '.join(f'w{i}' for i in range(len(THEMES)))}] AS l FROM (
+        SELECT s.id, coalesce(sum(weight * weight), 0) AS square, {_LOADS} FROM structured s LEFT JOIN weights USING (id) GROUP BY s.id))) GROUP BY topic""",
+       [*BASE, _grams("structured", "id", "spoken")])
+def stated_topics(spark, d):
+    """Loads, largest topic and loss of the posts under given topics: what a pass of the factorisation does."""
+    packed, names = terms.tfidf_vectors(layer(spark, d), "id", tx.terms_and_bigrams("spoken"), 5, 10_000)
+    found = topics.stated_model(names, THEMES).transform(packed, "id")
+    return found.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.array_max("loads")).alias("load"), F.sum("residual").alias("residual"))
+
+
+DIM = 384
+VECTORS = f"""said AS (SELECT id, unnest({sql.tokens('spoken')}) AS w FROM structured), slots AS (SELECT id, md5(w) AS m FROM said),
+  held AS (SELECT m[1:4] AS kind, count(DISTINCT id) AS df FROM slots GROUP BY 1),
+  cells AS (SELECT id, CAST('0x' || m[5:8] AS BIGINT) % {DIM} AS pos, sum(CASE WHEN m[9] < '8' THEN 1 ELSE -1 END * (ln(((SELECT count(*) FROM structured) + 1.0) / (df + 1)) + 1)) AS v
+    FROM slots JOIN held ON kind = m[1:4] GROUP BY 1, 2),
+  unit AS (SELECT id, pos, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS value FROM cells)"""
+
+
+@query("id:s pos:i value:f", "SELECT * FROM unit WHERE abs(value) > 1e-9", [*BASE, VECTORS])
+def sentence_vectors(spark, d):
+    """Every part of the posts' vectors that is not zero, by batch inference with the fitted encoder."""
+    rows, words = layer(spark, d), tx.tokens("spoken")
+    encoder = vectors.fit_hashing(rows, words, DIM)
+    made = vectors.encode(rows.select("id", vectors.joined(words).alias("words")), "words", encoder.load, element=T.DoubleType())
+    return made.select("id", F.posexplode("embedding").alias("pos", "value")).where(F.abs("value") > 1e-9)
+
+
+@query("id:s " + " ".join(f"emb_{i}:f" for i in range(10)))
+def reduced_sentence_vectors(spark, d):
+    return model_layer(spark, d)[0]
 
 
 @query("component:i variance:f cumulative:f")

@@ -163,10 +163,10 @@ def test_tfidf_rows_have_unit_length_and_topics_improve(spark):
     weights = terms.tfidf(df, "id", tx.terms_and_bigrams("t"), 2, 50).persist()
     lengths = weights.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("l")).collect()
     assert all(r["l"] == pytest.approx(1) for r in lengths)
-    rows, vocabulary = topics.sparse_rows(weights, "id")
+    rows, vocabulary = terms.tfidf_vectors(df, "id", tx.terms_and_bigrams("t"), 2, 50)
     model = topics.fit_nmf(rows, vocabulary, k=2, iterations=5)
     assert all(b <= a + 1e-9 for a, b in zip(model.losses, model.losses[1:]))
-    found = {r["id"] % 2: set() for r in model.transform(rows, "id").collect()}
+    found = {0: set(), 1: set()}
     for r in model.transform(rows, "id").collect():
         found[r["id"] % 2].add(r["topic"])
     assert found[0].isdisjoint(found[1])
@@ -190,17 +190,19 @@ def test_landing_keeps_every_line_and_refuses_trailing_text(spark, tmp_path):
 
 
 def test_streams_over_a_folder_table_give_open_windows(spark, tmp_path):
-    from retroscope.plans.catalogue import QUERIES
+    from retroscope.plans import catalogue
+
+    catalogue.load_all()
 
     rows = [(i, f"2024-01-0{1 + i % 3} 10:00:00", i % 2, "ab"[i % 2], float(i), "{}") for i in range(30)]
     events = spark.createDataFrame(rows, "event_id bigint, at string, user_id bigint, event_type string, value double, props string")
     events.select("event_id", F.col("at").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
-    found = {(r["window_start"], r["event_type"]): (r["rate"], r["n"]) for r in QUERIES["stream_window_rates"](spark, str(tmp_path)).collect()}
+    found = {(r["window_start"], r["event_type"]): (r["rate"], r["n"]) for r in catalogue.QUERIES["stream_window_rates"](spark, str(tmp_path)).collect()}
     want = {}
     for _, at, _, kind, value, _ in rows:
         want.setdefault((at[:10], kind), []).append(value > 20)
     assert found == {k: (round(sum(v) / len(v), 6), len(v)) for k, v in want.items()}
-    assert QUERIES["stream_dedupe"](spark, str(tmp_path)).count() == 2
+    assert catalogue.QUERIES["stream_dedupe"](spark, str(tmp_path)).count() == 2
 
 
 def test_a_missing_model_is_an_error(spark, tmp_path):
