@@ -7,17 +7,18 @@ with counts, sufficient statistics); tail probabilities are computed on the resu
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.functions import tails
 from retroscope.operators import ranks
-from retroscope.operators.relational import crosstab, few_values
+from retroscope.operators.relational import crosstab, few_values, vector_sum
+from retroscope.session import cut_lineage
 
 
 # --- contingency --------------------------------------------------------------------
@@ -253,49 +254,223 @@ def interactions(df: DataFrame, base: str, others: Sequence[str], prefix: str) -
     return df, names
 
 
-def fit_logit(df: DataFrame, outcome: str, features: Sequence[str]) -> dict:
-    """Maximum-likelihood logit with inference: a dict of fit figures and a coefficient list."""
+TINY = 1e-9  # share of a column's spread that must be left once the columns before it are taken out
+APART = 0.1  # movement of a row's predictor under one more step, from which the row counts as told apart
+
+
+def _design(df: DataFrame, outcome: str, names: Sequence[str]) -> DataFrame:
+    """(y, x): complete rows, x an array in the order of the names."""
+    rows = df.select(F.col(outcome).cast("double").alias("y"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names)]).na.drop()
+    return rows.select("y", F.array(*[f"x{i}" for i in range(len(names))]).cast("array<double>").alias("x"))
+
+
+def _row_sums(rows: DataFrame, p: int, sums, width: int, least: bool = False) -> np.ndarray:
+    """One pass: ``sums(y, x)`` of ``width`` numbers per batch, added up in the task and then across tasks;
+    with ``least`` the smallest of each instead."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.full(width, np.inf) if least else np.zeros(width)
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, p)
+                part = sums(b.column(0).to_numpy(), x)
+                total = np.minimum(total, part) if least else total + part
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
+
+    parts = rows.mapInArrow(partial, "v array<double>")
+    if least:
+        found = parts.agg(*[F.min(F.get("v", F.lit(i))) for i in range(width)]).first()
+        return np.array(found, float)
+    return np.array(parts.agg(vector_sum("v")).first()["v"], float)
+
+
+def independent_columns(gram: np.ndarray) -> list[str]:
+    """Per column of a design, from its Gram matrix with the constant first: ``kept``, or ``constant`` or
+    ``collinear`` where it adds nothing to the constant and the kept columns before it. A Cholesky
+    factorisation in the order of the columns that passes over pivots without a rest."""
+    n = gram[0, 0]
+    centred = gram[1:, 1:] - np.outer(gram[1:, 0], gram[0, 1:]) / max(n, 1)
+    size = np.diag(gram)[1:]
+    rest, out = centred.copy(), []
+    for j in range(len(centred)):
+        if centred[j, j] <= TINY * max(size[j], 1e-300):
+            out.append("constant")
+        elif rest[j, j] <= TINY * centred[j, j]:
+            out.append("collinear")
+        else:
+            out.append("kept")
+            rest = rest - np.outer(rest[:, j], rest[j]) / rest[j, j]
+    return out
+
+
+def _gram(rows: DataFrame, p: int) -> np.ndarray:
+    def sums(y, x):
+        wide = np.hstack([np.ones((len(x), 1)), x, y[:, None]])
+        return (wide.T @ wide).ravel()
+
+    return _row_sums(rows, p, sums, (p + 2) ** 2).reshape(p + 2, p + 2)
+
+
+def _logit_sums(beta: np.ndarray, keep: np.ndarray, mean: np.ndarray, std: np.ndarray):
+    """Log-likelihood, score and information at ``beta``, for the constant and the scaled kept columns."""
+    def sums(y, x):
+        z = np.hstack([np.ones((len(x), 1)), (x[:, keep] - mean) / std])
+        eta = z @ beta
+        chance = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+        weight = chance * (1 - chance)
+        return np.concatenate([[(y * eta - np.logaddexp(0, eta)).sum()], z.T @ (y - chance), ((z * weight[:, None]).T @ z).ravel()])
+
+    return sums
+
+
+def _maximise(rows: DataFrame, p: int, keep: list[int], gram: np.ndarray, max_iter: int, tol: float) -> dict:
+    """Newton's method on scaled columns, halving steps that lower the likelihood. ``step`` is the step
+    that would come next: it vanishes at a maximum, and goes on where the likelihood has none."""
+    n = gram[0, 0]
+    mean = gram[0, 1:-1][keep] / n
+    std = np.sqrt(np.diag(gram)[1:-1][keep] / n - mean ** 2)
+    q = len(keep) + 1
+    beta, step, last, converged = np.zeros(q), np.zeros(q), -np.inf, False
+    for passes in range(1, max_iter + 1):
+        found = _row_sums(rows, p, _logit_sums(beta, keep, mean, std), 1 + q + q * q)
+        if found[0] < last - 1e-9 * abs(last):
+            step = step / 2
+            beta = beta - step
+            continue
+        score, info = found[1:q + 1], found[q + 1:].reshape(q, q)
+        # without a maximum the likelihood creeps up by a factor a pass: a small gain of it ends the passes too
+        converged = bool(abs(found[0] - last) <= tol * (abs(found[0]) + tol))
+        last, step = found[0], np.linalg.pinv(info) @ score
+        if converged:
+            break
+        beta = beta + step
+    return {"llf": float(last), "beta": beta, "step": step, "score": score, "info": info, "mean": mean, "std": std, "passes": passes, "converged": converged}
+
+
+def _told_apart(rows: DataFrame, p: int, keep: list[int], fit: dict):
+    """(y, x) rows that the next step does not move, or None if it is no proof of separation.
+
+    Along a direction that puts no row on its wrong side the likelihood rises for ever. The next step is
+    such a direction if it moves each row to the side of its outcome or not at all.
+    """
+    step, mean, std = fit["step"], fit["mean"], fit["std"]
+
+    def move(y, x):
+        return np.where(y > 0.5, 1, -1) * (step[0] + ((x[:, keep] - mean) / std) @ step[1:])
+
+    low, high = _row_sums(rows, p, lambda y, x: np.array([(m := move(y, x)).min(), -m.max()]), 2, least=True) * [1, -1]
+    if not (high >= APART and low >= -APART * 0.1):
+        return None
+
+    def still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, p)
+                yield b.filter(pa.array(move(b.column(0).to_numpy(), x) < APART))
+
+    return rows.mapInArrow(still, "y double, x array<double>")
+
+
+def fit_logit(df: DataFrame, outcome: str, features: Sequence[str], max_iter: int = 60, tol: float = 1e-10) -> dict:
+    """Maximum-likelihood logit with inference: a dict of fit figures and a coefficient list.
+
+    Columns that the constant and earlier columns give already are found before the fit, from the Gram
+    matrix, and left out (``constant``, ``collinear``). Where columns tell outcomes apart, the likelihood
+    has no maximum: the rows that are told apart have probability one in the limit, terms that only they
+    can tell are ``separated``, without a finite coefficient, and the others get the maximum over the rows
+    that remain. ``status`` of every other term is ``estimated``; ``score`` is the likelihood's slope at the
+    estimate over those rows. ``params`` counts the constant, estimated and separated terms. Complete rows
+    only. Each pass sends one vector of sums per task.
+    """
     names = list(features)
-    x = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="skip").transform(
-        df.select(F.col(outcome).cast("double").alias("_y"), *[F.col(f).cast("double") for f in names])
-    ).select("_x", "_y")
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol="_y", maxIter=50, tol=1e-8
-    ).fit(x)
-    s = model.summary
-    # Spark lists the slopes first and the intercept last
-    coefs = [*map(float, model.coefficients), float(model.intercept)]
-    terms = []
-    for name, b, se, p in zip([*names, "const"], coefs, map(float, s.coefficientStandardErrors), map(float, s.pValues)):
-        terms.append({
-            "term": name, "coef": float(b), "se": float(se), "odds_ratio": math.exp(b),
-            "ci_lower": b - 1.959963984540054 * se, "ci_upper": b + 1.959963984540054 * se,
-            "p_value": float(p),
-        })
-    return {
-        "n": int(s.numInstances), "params": len(terms), "llf": -s.deviance / 2,
-        "aic": s.deviance + 2 * len(terms), "pseudo_r2": 1 - s.deviance / s.nullDeviance,
-        "terms": terms,
-    }
+    p = len(names)
+    rows = _design(df, outcome, names).persist()
+    whole = rows
+    try:
+        gram = _gram(rows, p)
+        n, hits = float(gram[0, 0]), float(gram[0, -1])
+        status = independent_columns(gram[:-1, :-1])
+        rank = 1 + status.count("kept")
+        for _ in range(p + 1):
+            keep = [j for j, s in enumerate(status) if s == "kept"]
+            if gram[0, 0] == 0 or gram[0, -1] in (0, gram[0, 0]):  # one outcome only: nothing left to tell
+                fit = None
+                status = ["separated" if s == "kept" else s for s in status]
+                break
+            fit = _maximise(rows, p, keep, gram, max_iter, tol)
+            rest = _told_apart(rows, p, keep, fit) if np.abs(fit["step"]).max() > 1e-4 else None
+            if rest is None:
+                break
+            # each round starts from a written part of the rows, so plans do not pile up
+            rows = cut_lineage(rest)
+            gram = _gram(rows, p)
+            # in the order of the names; a column these rows no longer need was told by the others
+            left = independent_columns(gram[:-1, :-1][np.ix_([0, *[j + 1 for j in keep]], [0, *[j + 1 for j in keep]])])
+            for j, s in zip(keep, left):
+                if s != "kept":
+                    status[j] = "separated"
+        else:
+            fit["converged"] = False
+        share = hits / n if n else 0.5
+        null = n * (share * math.log(share) + (1 - share) * math.log(1 - share)) if 0 < share < 1 else 0.0
+        llf = fit["llf"] if fit else 0.0
+        return {
+            "n": int(n), "params": rank, "llf": llf, "aic": 2 * rank - 2 * llf, "pseudo_r2": 1 - llf / null if null else 0.0,
+            "converged": bool(fit is None or fit["converged"]), "passes": fit["passes"] if fit else 0, "terms": _logit_terms(names, status, fit),
+        }
+    finally:
+        whole.unpersist()
+
+
+def _logit_terms(names: list[str], status: list[str], fit: dict | None) -> list[dict]:
+    out = {name: {"term": name, "status": s, "coef": None, "se": None, "odds_ratio": None, "ci_lower": None, "ci_upper": None, "p_value": None,
+                  "score": None} for name, s in [*zip(names, status), ("const", "estimated" if fit else "separated")]}
+    if fit:
+        kept = [n for n, s in zip(names, status) if s == "kept"]
+        # from scaled columns back to the given ones
+        back = np.diag([1.0, *1 / fit["std"]])
+        back[0, 1:] = -fit["mean"] / fit["std"]
+        cov = back @ np.linalg.pinv(fit["info"]) @ back.T
+        score = [fit["score"][0], *(fit["score"][1:] * fit["std"] + fit["mean"] * fit["score"][0])]
+        for name, b, se, g in zip(["const", *kept], back @ fit["beta"], np.sqrt(np.maximum(np.diag(cov), 0)), score):
+            reach = 1.959963984540054 * se
+            out[name].update(status="estimated", coef=float(b), se=float(se), odds_ratio=_exp(b), ci_lower=float(b - reach), ci_upper=float(b + reach),
+                             p_value=float(tails.normal_two_sided(b / se)) if se > 0 else None, score=float(g))
+    return list(out.values())
+
+
+def _exp(b: float) -> float:
+    return math.exp(min(float(b), 700.0))
+
+
+def logit_score(df: DataFrame, outcome: str, beta: dict[str, float]) -> DataFrame:
+    """(term, score, llf, n): log-likelihood and its slope at stated coefficients; ``const`` is the constant."""
+    names = [f for f in beta if f != "const"]
+    rows, p = _design(df, outcome, names), len(names)
+    at = np.array([beta.get("const", 0.0), *[beta[f] for f in names]])
+    found = _row_sums(rows, p, _logit_sums(at, np.arange(p), np.zeros(p), np.ones(p)), 1 + (p + 1) + (p + 1) ** 2)
+    n = int(round(_gram(rows, p)[0, 0]))
+    return df.sparkSession.createDataFrame([(t, float(g), float(found[0]), n) for t, g in zip(["const", *names], found[1:p + 2])],
+                                           "term string, score double, llf double, n long")
 
 
 def likelihood_ratio(small: dict, large: dict) -> dict:
+    """Twice the gain in likelihood against the added parameters; no p value where none is added."""
     stat = 2 * (large["llf"] - small["llf"])
     dof = large["params"] - small["params"]
-    return {"lr": stat, "dof": dof, "p_value": tails.chi2_tail(stat, dof)}
+    return {"lr": stat, "dof": dof, "p_value": tails.chi2_tail(max(stat, 0.0), dof) if dof > 0 else None}
 
 
 def logit_table(spark, fits: dict[str, dict]) -> DataFrame:
     """Coefficients of named fits as rows."""
     rows = [
         (name, fit["n"], fit["pseudo_r2"], fit["aic"], fit["llf"], t["term"], t["coef"], t["se"],
-         t["odds_ratio"], t["ci_lower"], t["ci_upper"], t["p_value"])
+         t["odds_ratio"], t["ci_lower"], t["ci_upper"], t["p_value"], t["status"], t["score"], fit["converged"])
         for name, fit in fits.items() for t in fit["terms"]
     ]
     return spark.createDataFrame(
         rows, "model string, n long, pseudo_r2 double, aic double, llf double, term string, "
               "coef double, se double, odds_ratio double, ci_lower double, ci_upper double, "
-              "p_value double")
+              "p_value double, status string, score double, converged boolean")
 
 
 def coefficient_stability(table: DataFrame, terms: Sequence[str], models: Sequence[str]) -> DataFrame:

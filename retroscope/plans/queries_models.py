@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from retroscope.operators import matching, metrics, stats
 from retroscope.plans import models, scoring
+from retroscope.plans import oracle as sql
 from retroscope.plans import posts as post_plans
 from retroscope.plans.catalogue import documents, layer, model_layer, query
+from retroscope.plans.queries_posts import RICH
 from retroscope.session import scratch_path
 
 NUMERIC = ["vader_compound", "vader_neg", "urgency_score", "has_time"]
@@ -23,7 +25,7 @@ def _posts(spark, d):
     return models.filled(models.spoken(layer(spark, d)), NUMERIC)
 
 
-LOGIT = "model:s n:i pseudo_r2:f aic:f llf:f term:s coef:f se:f odds_ratio:f ci_lower:f ci_upper:f p_value:f"
+LOGIT = "model:s n:i pseudo_r2:f aic:f llf:f term:s status:s coef:f se:f odds_ratio:f ci_lower:f ci_upper:f p_value:f converged:b"
 
 
 @query(LOGIT)
@@ -39,21 +41,56 @@ def logit_year_by_domain(spark, d):
     return stats.logit_table(spark, {"year_domain": fit})
 
 
+# coefficients at which likelihood and slope are compared with plain SQL
+STATED = {"const": -0.3, "vader_compound": 0.4, "vader_neg": -1.2, "urgency_score": 0.15, "has_time": -0.25}
+_ETA = " + ".join(["-0.3::DOUBLE", *(f"{b!r}::DOUBLE * {t}" for t, b in STATED.items() if t != "const")])
+
+
+@query("term:s score:f llf:f n:i", f"""
+  WITH x AS (SELECT reversal AS y, coalesce(compound, 0) AS vader_compound, coalesce(neg, 0) AS vader_neg, urgency_score, CAST(e.time_to_regret_days IS NOT NULL AS INT) AS has_time
+      FROM enriched e JOIN sentiment USING (id)),
+    p AS (SELECT *, {_ETA} AS eta, y - 1 / (1 + exp(-({_ETA}))) AS gap FROM x)
+  """ + " UNION ALL ".join(f"SELECT '{t}' AS term, sum(gap{'' if t == 'const' else ' * ' + t}) AS score, sum(y * eta - ln(1 + exp(eta))) AS llf, count(*) AS n FROM p" for t in STATED),
+       [*RICH, sql.sentiment("structured", "id", "spoken")])
+def logit_score_posts(spark, d):
+    """Likelihood of the logit on the features and its slope, at stated coefficients."""
+    return stats.logit_score(_posts(spark, d), "reversal", STATED)
+
+
+# one fit of the three models per application and layer, as several questions are put to them
+_FITS: dict[tuple, dict] = {}
+
+
 def _nested(spark, d):
-    base = ["post_year", "score_log", "log_post_length"]
-    rows = models.filled(layer(spark, d).select("reversal", "domain", "source_subreddit", *base), base).persist()
-    wide, dummies = stats.dummies(rows, "domain", "domain", DOMAINS)
-    widest, sources = stats.dummies(wide, "source_subreddit", "sub")
-    fits = {"features": stats.fit_logit(rows, "reversal", base), "with_domain": stats.fit_logit(wide, "reversal", [*base, *dummies]),
-            "with_subreddit": stats.fit_logit(widest, "reversal", [*base, *dummies, *sources])}
-    rows.unpersist()
-    return base, fits
+    """Features alone, with domain, with subreddit (which in the posts' world names the domain too)."""
+    rows = _posts(spark, d).select("id", "reversal", "domain", F.coalesce("source_subreddit", F.lit("unknown")).alias("source_subreddit"), *NUMERIC)
+    key = (spark.sparkContext.applicationId, *rows.inputFiles())
+    if key not in _FITS:
+        rows = rows.persist()
+        wide, dummies = stats.dummies(rows, "domain", "domain", DOMAINS)
+        wide, sources = stats.dummies(wide, "source_subreddit", "sub")
+        _FITS[key] = {"features": stats.fit_logit(rows, "reversal", NUMERIC), "with_domain": stats.fit_logit(wide, "reversal", [*NUMERIC, *dummies]),
+                      "with_subreddit": stats.fit_logit(wide, "reversal", [*NUMERIC, *sources])}
+        rows.unpersist()
+    return _FITS[key]
+
+
+@query(LOGIT)
+def nested_logits(spark, d):
+    return stats.logit_table(spark, _nested(spark, d))
+
+
+@query("model:s flat:b", "SELECT * FROM (VALUES ('features', true), ('with_domain', true), ('with_subreddit', true)) v(model, flat)")
+def logit_slopes_at_estimate(spark, d):
+    """Whether the likelihood of each model is flat at its estimate."""
+    rows = stats.logit_table(spark, _nested(spark, d))
+    return rows.groupBy("model").agg((F.coalesce(F.max(F.abs("score")), F.lit(0.0)) < 1e-4).alias("flat"))
 
 
 @query("step:s lr:f dof:i p_value:f")
 def likelihood_ratio_domain(spark, d):
-    """Domain beyond the features, then subreddit beyond both."""
-    _, fits = _nested(spark, d)
+    """Domain beyond the features, then subreddit beyond domain."""
+    fits = _nested(spark, d)
     rows = []
     for step, small, large in (("domain", "features", "with_domain"), ("subreddit", "with_domain", "with_subreddit")):
         test = stats.likelihood_ratio(fits[small], fits[large])
@@ -63,8 +100,7 @@ def likelihood_ratio_domain(spark, d):
 
 @query("term:s features:f with_domain:f with_subreddit:f")
 def coefficient_stability(spark, d):
-    base, fits = _nested(spark, d)
-    return stats.coefficient_stability(stats.logit_table(spark, fits), base, ["features", "with_domain", "with_subreddit"])
+    return stats.coefficient_stability(stats.logit_table(spark, _nested(spark, d)), NUMERIC, ["features", "with_domain", "with_subreddit"])
 
 
 @query("model:s cv_auc_mean:f cv_auc_std:f test_auc:f ci_lower:f ci_upper:f best:b")
