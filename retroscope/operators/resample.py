@@ -1,26 +1,27 @@
 """Bootstrap intervals and samples.
 
-Three forms, by what the statistic needs:
-
-* row weights: every row gets a Poisson(1) weight per replicate, computed from its key, so
-  the draw does not depend on how rows are partitioned. Each task keeps two arrays per
-  group and sends those, so the shuffle carries replicates, not replicates times rows.
-* counts: data with few distinct values is counted first and the counts are redrawn, which
-  is the ordinary bootstrap of the rows, whatever their number.
-* scores: AUC per replicate from score buckets, again Poisson weights.
+One resampler serves all statistics: every row gets a Poisson(1) weight per replicate that is computed from
+its key, so a draw does not depend on how rows are dealt out, and a lost task draws the same again. What a
+statistic needs of the weighted rows is one of two things:
+
+* sums: any expression over weighted sums of columns (means, rates, ratios, correlations). A task keeps a
+  number per term and replicate and sends those, so the shuffle carries replicates, not rows times replicates.
+* order: weights by ascending value, for quantiles of values from a bounded domain, and for the AUC, where
+  buckets of scores are gone through once and keep three numbers per replicate.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retroscope.operators import ranks
+from retroscope.operators.relational import vector_sum
 
 # cumulative Poisson(1) probabilities for 0, 1, 2, ...
 POISSON_STEPS = [
@@ -29,20 +30,91 @@ POISSON_STEPS = [
     0.999998874797402, 0.9999998885745217,
 ]
 PRIME = 2147483647
-CHUNK = 4096
+CHUNK = 512
+HELD = 1 << 24  # numbers a task holds before it hands its sums on
+BLOCK = 250  # replicates of a task that needs an order
+BUCKET = 20_000  # rows between two cut points of scores; a score with more rows is a bucket of its own
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2 ** 31 - 1, in place, for 0 <= x < 2 ** 62."""
+    for _ in range(2):
+        high = x >> 31
+        x &= PRIME
+        x += high
+    x -= PRIME * (x >= PRIME)
+    return x
 
 
 def poisson_weights(keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
     """Weights (key x rep): two squarings modulo a prime as the hash, then the inverse CDF."""
     k = (keys.astype(np.int64) % PRIME)[:, None]
     r = reps.astype(np.int64)[None, :]
-    h = (k * 48271 + r * 69621 + seed * 16807 + 12345) % PRIME
-    h = (h * h + h) % PRIME
-    h = (h * h + r + 7) % PRIME
-    return np.searchsorted(np.array(POISSON_STEPS), h / float(PRIME), side="right")
+    h = _reduced(k * 48271 + (r * 69621 + seed * 16807 + 12345))
+    h = _reduced(h * h + h)
+    h = _reduced(h * h + (r + 7)).astype(np.int32)
+    out = np.zeros(h.shape, np.uint8)
+    for step in POISSON_STEPS:
+        out += h >= np.ceil(step * PRIME)
+    return out
+
+
+def key_number(df: DataFrame, key: str) -> Column:
+    """A whole number per key: the key itself, or a hash of it."""
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    return F.col(key).cast("bigint") if whole else F.pmod(F.xxhash64(key), F.lit(PRIME))
+
+
+def replicate_sums(df: DataFrame, by: Sequence[str], key: str | Column, terms: dict[str, Column], reps: int = 2000, seed: int = 42) -> DataFrame:
+    """(by, v) with v the weighted sums of the terms, replicate after replicate of the first term, then of
+    the next. Null terms count as 0. ``key`` is a non-negative whole number (see ``key_number``)."""
+    by, numbers = list(by), np.arange(1, reps + 1)
+    rows = df.select(*by, (F.col(key) if isinstance(key, str) else key).cast("bigint").alias("_k"),
+                     F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in terms.values()]).alias("_t")).where("_k IS NOT NULL")
+    wide = len(terms)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
 
+        def out() -> pa.RecordBatch:
+            cols = [pa.array([g[i] for g in held], types[i]) for i in range(len(by))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([v.ravel() for v in held.values()], pa.list_(pa.float64()))], [*by, "v"])
 
-def interval(df: DataFrame, by: list[str], stat: str, level: float = 0.95) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.field(i).type for i in range(len(by))]
+            groups = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))))) if by else [()] * batch.num_rows
+            places: dict[tuple, list[int]] = {}
+            for i, g in enumerate(groups):
+                places.setdefault(g, []).append(i)
+            keys = batch.column(len(by)).to_numpy()
+            values = batch.column(len(by) + 1).flatten().to_numpy().reshape(-1, wide)
+            for g, at in places.items():
+                sums = held.setdefault(g, np.zeros((wide, reps)))
+                for start in range(0, len(at), CHUNK):
+                    part = at[start:start + CHUNK]
+                    sums += values[part].T @ poisson_weights(keys[part], numbers, seed).astype(float)
+                if len(held) * wide * reps > HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    schema = T.StructType([*rows.select(*by).schema.fields, T.StructField("v", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(partial, schema).groupBy(*by).agg(vector_sum("v"))
+
+
+def bootstrap(df: DataFrame, by: Sequence[str], key: str | Column, terms: dict[str, Column], stat: Column, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """(by, rep, stat): a statistic per group and replicate, given as an expression over weighted sums of
+    the named terms, ``{"n": lit(1), "s": col("x")}`` and ``col("s") / col("n")`` for a mean."""
+    sums = replicate_sums(df, by, key, terms, reps, seed)
+    cells = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda i: F.struct(
+        (i + 1).alias("rep"), *[F.get("v", i + F.lit(j * reps)).alias(name) for j, name in enumerate(terms)]))
+    return sums.select(*by, F.inline(cells)).select(*by, "rep", stat.alias("stat"))
+
+
+def interval(df: DataFrame, by: Sequence[str], stat: str = "stat", level: float = 0.95) -> DataFrame:
     """Percentile interval over replicates; one bounded list of replicates per group."""
     tail = (1 - level) / 2
     ends = F.percentile(stat, F.array(F.lit(tail), F.lit(1 - tail)))
@@ -51,103 +123,56 @@ def interval(df: DataFrame, by: list[str], stat: str, level: float = 0.95) -> Da
     )
 
 
-def bootstrap_mean(df: DataFrame, group: str, key: str, value: str, reps: int = 2000,
-                   seed: int = 42) -> DataFrame:
-    """Mean per (group, rep) under row weights. ``key`` is a non-negative integer id."""
-    numbers = np.arange(1, reps + 1)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
-        for batch in batches:
-            for g, part in batch.groupby("g", sort=False):
-                w_sum, v_sum = kept.setdefault(g, (np.zeros(reps), np.zeros(reps)))
-                keys, values = part["k"].to_numpy(), part["v"].to_numpy()
-                for at in range(0, len(keys), CHUNK):
-                    w = poisson_weights(keys[at:at + CHUNK], numbers, seed)
-                    w_sum += w.sum(axis=0)
-                    v_sum += values[at:at + CHUNK] @ w
-        if kept:
-            yield pd.DataFrame({
-                "g": list(kept), "w": [w for w, _ in kept.values()], "wv": [v for _, v in kept.values()]
-            })
-
-    kind = df.schema[group].dataType.simpleString()
-    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(
-        F.col(group).alias("g"), F.col(key).cast("bigint").alias("k"),
-        F.col(value).cast("double").alias("v"),
-    )
-    sums = rows.mapInPandas(partial, f"g {kind}, w array<double>, wv array<double>")
-    spread = sums.select("g", F.posexplode(F.arrays_zip("w", "wv")).alias("rep", "_s"))
-    return spread.groupBy(F.col("g").alias(group), (F.col("rep") + 1).alias("rep")).agg(
-        (F.sum("_s.wv") / F.nullif(F.sum("_s.w"), F.lit(0.0))).alias("stat")
-    )
+def bootstrap_mean(df: DataFrame, group: str, key: str, value: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """Mean per (group, rep); rows without value or group take no part."""
+    known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    return bootstrap(known, [group], key_number(df, key), {"_n": F.lit(1), "_s": F.col(value)}, F.col("_s") / F.nullif("_n", F.lit(0.0)), reps, seed)
 
 
-def mean_interval(df: DataFrame, group: str, key: str, value: str, reps: int = 2000,
-                  seed: int = 42) -> DataFrame:
-    """Group mean, size and bootstrap interval."""
-    ends = interval(bootstrap_mean(df, group, key, value, reps, seed), [group], "stat")
+def mean_interval(df: DataFrame, group: str, key: str, value: str, reps: int = 2000, seed: int = 42, min_n: int = 0) -> DataFrame:
+    """Group mean, size and bootstrap interval; null interval below ``min_n``."""
+    ends = interval(bootstrap_mean(df, group, key, value, reps, seed), [group])
     plain = df.groupBy(group).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-    return plain.join(ends.drop("reps"), group, "left")
+    return _gated(plain.join(ends.drop("reps"), group, "left"), min_n)
 
 
-def bootstrap_counts(counts: DataFrame, group: str, value: str, n: str = "n", stat: str = "mean",
-                     reps: int = 2000, seed: int = 42, blocks: int = 8) -> DataFrame:
-    """Mean or median per (group, rep) from a (group, value, n) table of few values each.
+def rate_interval(df: DataFrame, group: str, key: str, outcome: str, reps: int = 2000, seed: int = 42, min_n: int = 0) -> DataFrame:
+    """Rate, size and interval of a 0/1 outcome."""
+    return mean_interval(df.where(F.col(outcome).isNotNull()), group, key, outcome, reps, seed, min_n).withColumnRenamed("mean", "rate")
 
-    Replicates are split over tasks; a task holds one group's distinct values.
-    """
-    per_block = -(-reps // blocks)
-    kind = counts.schema[group].dataType.simpleString()
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        g, block = pdf["g"].iloc[0], int(pdf["block"].iloc[0])
-        v, c = pdf["v"].to_numpy(), pdf["n"].to_numpy()
-        size = int(c.sum())
-        first = block * per_block
-        todo = max(0, min(per_block, reps - first))
-        rng = np.random.default_rng([seed, zlib.crc32(str(g).encode()), block])
-        drawn = rng.multinomial(size, c / size, size=todo)
-        if stat == "mean":
-            out = drawn @ v / size
-        else:
-            reached = drawn.cumsum(axis=1)
-            low = (reached > (size - 1) // 2).argmax(axis=1)
-            high = (reached > size // 2).argmax(axis=1)
-            out = (v[low] + v[high]) / 2
-        return pd.DataFrame({"g": [g] * todo, "rep": np.arange(first, first + todo), "stat": out})
-
-    rows = counts.select(
-        F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.col(n).alias("n"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-    return rows.groupBy("g", "block").applyInPandas(
-        draw, f"g {kind}, rep int, stat double"
-    ).withColumnRenamed("g", group)
 
+def bootstrap_median(df: DataFrame, group: str, key: str, value: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """(group, rep, stat): median per group and replicate of a value with a bounded number of different
+    values (days below a cap, say). Weights are added up per value first; a task then holds the values of
+    one group for BLOCK replicates. Null where a replicate is empty."""
+    known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, F.col(value).cast("double").alias("_v"), key_number(df, key).alias("_key"))
+    cells = replicate_sums(known, [group, "_v"], "_key", {"n": F.lit(1)}, reps, seed)
+    blocks = -(-reps // BLOCK)
+    split = cells.select(group, "_v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.slice("v", b * BLOCK + 1, F.lit(BLOCK)))).alias("block", "w"))
 
-def rate_interval(df: DataFrame, group: str, outcome: str, reps: int = 2000, seed: int = 42,
-                  min_n: int = 0) -> DataFrame:
-    """Rate, size and interval of a few-valued outcome; null interval below ``min_n``."""
-    counts = df.where(F.col(outcome).isNotNull()).groupBy(group, outcome).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    plain = counts.groupBy(group).agg(
-        (F.sum(F.col(outcome) * F.col("n")) / F.sum("n")).alias("rate"), F.sum("n").alias("n")
-    )
-    ends = interval(bootstrap_counts(counts, group, outcome, reps=reps, seed=seed), [group], "stat")
-    return _gated(plain.join(ends.drop("reps"), group, "left"), min_n)
+    def middle(t: pa.Table) -> pa.Table:
+        value = t.column("_v").to_numpy()
+        order = np.argsort(value)
+        weights = np.stack(t.column("w").to_pylist())[order]
+        reached, value = weights.cumsum(axis=0), value[order]
+        total = reached[-1]
+        low, high = ((reached > np.floor(at)).argmax(axis=0) for at in ((total - 1) / 2, total / 2))
+        stat = np.where(total > 0, (value[low] + value[high]) / 2, np.nan)
+        first = t.column("block")[0].as_py() * BLOCK + 1
+        return pa.table({group: pa.array([t.column(group)[0].as_py()] * len(stat), t.schema.field(group).type),
+                         "rep": pa.array(np.arange(first, first + len(stat)), pa.int32()), "stat": pa.array(stat)})
+
+    schema = T.StructType([df.schema[group], T.StructField("rep", T.IntegerType()), T.StructField("stat", T.DoubleType())])
+    found = split.groupBy(group, "block").applyInArrow(middle, schema)
+    return found.withColumn("stat", F.when(~F.isnan("stat"), F.col("stat")))
 
 
-def median_interval(df: DataFrame, group: str, value: str, reps: int = 2000, seed: int = 42,
-                    min_n: int = 10, domain: int = 3651) -> DataFrame:
+def median_interval(df: DataFrame, group: str, key: str, value: str, reps: int = 2000, seed: int = 42, min_n: int = 10, domain: int = 3651) -> DataFrame:
     """Exact median, size and interval of a value with a bounded number of distinct values."""
     known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
     plain = ranks.quantiles(known, value, {"median": 0.5}, [group], domain)
-    drawn = bootstrap_counts(counts, group, value, stat="median", reps=reps, seed=seed)
-    return _gated(plain.join(interval(drawn, [group], "stat").drop("reps"), group, "left"), min_n)
+    drawn = bootstrap_median(known, group, key, value, reps, seed)
+    return _gated(plain.join(interval(drawn, [group]).drop("reps"), group, "left"), min_n)
 
 
 def _gated(df: DataFrame, min_n: int) -> DataFrame:
@@ -158,52 +183,97 @@ def _gated(df: DataFrame, min_n: int) -> DataFrame:
     return df
 
 
-def bootstrap_auc(df: DataFrame, label: str, score: str, reps: int = 2000, seed: int = 42,
-                  single: int = ranks.SINGLE_WINDOW_ROWS) -> DataFrame:
-    """AUC per replicate; replicates with one class only are left out.
+def _in_order(reps: int, seed: int):
+    """Rows by (bucket, score): per bucket the weights of positives and negatives and the pairs that are in
+    order, ties half, each per replicate. Keeps one chunk and the running sums."""
+    numbers = np.arange(1, reps + 1)
 
-    Equal scores are one row per label, redrawn as Poisson(count) from the seed and the score itself,
-    so the replicates do not depend on how rows are dealt out. A bucket returns three
-    arrays: positives, negatives and concordant pairs inside it; pairs across buckets follow
-    from the negatives below.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # state: positives, negatives and pairs below the open score, then its own positives and negatives
+        bucket = state = score = None
+
+        def fresh():
+            return [np.zeros(reps) for _ in range(5)]
+
+        def closed():
+            # the last score's ties
+            p, n = state[0] + state[3], state[1] + state[4]
+            return (bucket, p, n, state[2] + state[3] * (state[1] + state[4] / 2))
+
+        def out(done):
+            cols = list(zip(*done)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(list(c), pa.list_(pa.float64())) for c in cols[1:]]], ["bucket", "pos", "neg", "pairs"])
+
+        for batch in batches:
+            done = []
+            buckets, scores, label, key = (batch.column(i).to_numpy() for i in range(4))
+            for start in range(0, batch.num_rows, CHUNK):
+                stop = min(start + CHUNK, batch.num_rows)
+                cuts = [start, *(start + 1 + np.flatnonzero(np.diff(buckets[start:stop]))), stop]
+                for a, z in zip(cuts, cuts[1:]):
+                    if buckets[a] != bucket:
+                        if bucket is not None:
+                            done.append(closed())
+                        bucket, state, score = int(buckets[a]), fresh(), None
+                    weights = poisson_weights(key[a:z], numbers, seed).astype(float)
+                    first = np.concatenate([[0], 1 + np.flatnonzero(np.diff(scores[a:z]))])
+                    p = np.add.reduceat(weights * label[a:z, None], first, axis=0)
+                    n = np.add.reduceat(weights * (1 - label[a:z, None]), first, axis=0)
+                    if score is not None and scores[a] == score:
+                        p[0] += state[3]
+                        n[0] += state[4]
+                    elif score is not None:
+                        state[2] += state[3] * (state[1] + state[4] / 2)
+                        state[0] += state[3]
+                        state[1] += state[4]
+                    # all but the last score of the chunk are complete
+                    below = state[1] + np.cumsum(n, axis=0) - n
+                    state[2] += (p[:-1] * (below[:-1] + n[:-1] / 2)).sum(axis=0)
+                    state[0] += p[:-1].sum(axis=0)
+                    state[1] += n[:-1].sum(axis=0)
+                    state[3], state[4], score = p[-1], n[-1], scores[z - 1]
+            yield out(done)
+        if bucket is not None:
+            yield out([closed()])
+
+    return run
+
+
+def bootstrap_auc(df: DataFrame, label: str, score: str, key: str, reps: int = 2000, seed: int = 42, single: int = BUCKET) -> DataFrame:
+    """(rep, stat): AUC per replicate; replicates with one class only are left out.
+
+    Scores are cut into buckets of about ``single`` rows. A task goes through the rows of its buckets by
+    score; a score that has more rows is a bucket of its own, whose weights are sums that any task can add
+    up. Pairs across buckets follow from the negatives below.
     """
-    cells = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
-        F.col(score).cast("double").alias("score")
-    ).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    bounds = ranks.bucket_bounds(df, score, single=min(single, 20_000))
-    bucketed = ranks.in_buckets(cells, "score", bounds, "bucket")
-
-    def redraw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("score")
-        bucket = int(pdf["bucket"].iloc[0])
-        pos, neg, pairs = np.zeros(reps), np.zeros(reps), np.zeros(reps)
-        for s, p, n in zip(pdf["score"], pdf["pos"], pdf["neg"]):
-            rng = np.random.default_rng([seed, *np.frombuffer(np.float64(s + 0.0).tobytes(), np.uint32)])
-            wp, wn = rng.poisson(p, reps), rng.poisson(n, reps)
-            pairs += wp * (neg + wn / 2)
-            pos += wp
-            neg += wn
-        return pd.DataFrame({"bucket": [bucket], "pos": [pos.tolist()], "neg": [neg.tolist()], "pairs": [pairs.tolist()]})
-
-    arrays = bucketed.groupBy("bucket").applyInPandas(
-        redraw, "bucket int, pos array<double>, neg array<double>, pairs array<double>"
-    )
-    per_rep = arrays.select(
-        "bucket", F.posexplode(F.arrays_zip("pos", "neg", "pairs")).alias("rep", "_s")
-    ).select("bucket", "rep", "_s.*")
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
+        (F.col(score).cast("double") + F.lit(0.0)).alias("score"), F.col(label).cast("int").alias("label"), key_number(df, key).alias("key"))
+    hot = sorted(r[0] for r in rows.groupBy("score").count().where(F.col("count") > single).select("score").collect())  # at most rows / single
+    cuts = ranks.bucket_bounds(rows, "score", single=single)
+    bounds = sorted({*cuts, *hot, *(float(np.nextafter(h, np.inf)) for h in hot)} - {float("inf"), float("-inf")})
+    bucketed = ranks.in_buckets(rows, "score", bounds, "bucket")
+    alone = F.col("score").isin(hot) if hot else F.lit(False)
+    schema = "bucket int, pos array<double>, neg array<double>, pairs array<double>"
+    parts = (bucketed.where(~alone).repartition("bucket").sortWithinPartitions("bucket", "score").select("bucket", "score", "label", "key")
+             .mapInArrow(_in_order(reps, seed), schema))
+    if hot:
+        sums = replicate_sums(bucketed.where(alone), ["bucket"], "key", {"p": F.col("label"), "n": 1 - F.col("label")}, reps, seed)
+        halves = sums.select("bucket", F.slice("v", 1, reps).alias("pos"), F.slice("v", reps + 1, reps).alias("neg"))
+        parts = parts.union(halves.withColumn("pairs", F.zip_with("pos", "neg", lambda p, n: p * n / 2)))
+    per_rep = parts.select("bucket", F.posexplode(F.arrays_zip("pos", "neg", "pairs")).alias("rep", "_s")).select("bucket", "rep", "_s.*")
     below = Window.partitionBy("rep").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     joined = per_rep.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
     return joined.groupBy("rep").agg(
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
         F.sum(F.col("pairs") + F.col("pos") * F.col("_below")).alias("_c"),
     ).where((F.col("_p") > 0) & (F.col("_n") > 0)).select(
-        "rep", (F.col("_c") / (F.col("_p") * F.col("_n"))).alias("stat")
+        (F.col("rep") + 1).alias("rep"), (F.col("_c") / (F.col("_p") * F.col("_n"))).alias("stat")
     )
 
 
-def auc_interval(df: DataFrame, label: str, score: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+def auc_interval(df: DataFrame, label: str, score: str, key: str, reps: int = 2000, seed: int = 42) -> DataFrame:
     """Interval of the AUC; (.5, .5) where no replicate has both classes."""
-    ends = interval(bootstrap_auc(df, label, score, reps, seed), [], "stat")
+    ends = interval(bootstrap_auc(df, label, score, key, reps, seed), [])
     half: Column = F.lit(0.5)
     return ends.select(F.coalesce("ci_lower", half).alias("ci_lower"),
                        F.coalesce("ci_upper", half).alias("ci_upper"), "reps")

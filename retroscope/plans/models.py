@@ -170,7 +170,7 @@ def compare_models(df: DataFrame, label: str, key: str, classifiers: dict[str, C
             model = classifier(n).fit(ready)
             table = scores(model, held, key).persist()
             area = metrics.auc(table, "label", "score").first()["auc"]
-            ends = resample.auc_interval(table, "label", "score", reps, seed).first()
+            ends = resample.auc_interval(table, "label", "score", key, reps, seed).first()
             table.unpersist()
             rows.append((name, float(np.mean(folds[name])), float(np.std(folds[name])), area, ends["ci_lower"], ends["ci_upper"]))
             if area > best[0]:
@@ -213,7 +213,7 @@ def leave_one_group_out(df: DataFrame, label: str, key: str, group: str, groups:
             table, _, _ = fit_and_score(train, test, key, classifier, **features)
             table = table.persist()
             m = metrics.auc(table, "label", "score").first()
-            ends = resample.auc_interval(table, "label", "score", reps, seed).first()
+            ends = resample.auc_interval(table, "label", "score", key, reps, seed).first()
             table.unpersist()
             n_test = m["n_pos"] + m["n_neg"]
             rows.append((g, m["auc"], ends["ci_lower"], ends["ci_upper"], train.count(), n_test, m["n_pos"] / n_test,

@@ -221,8 +221,10 @@ def mann_whitney(source: str, value: str, label: str, first, second) -> str:
       FROM ({midranks(f"(SELECT * FROM {source} WHERE {label} IN ({first}, {second}))", value)})) GROUP BY n1))"""
 
 
-def poisson_weight(key: str, rep: str, seed: int) -> str:
+def replicates(source: str, columns: str, key: str, reps: int, name: str = "drawn", seed: int = 42) -> str:
+    """CTEs that end in ``name``: the columns of a source per replicate, with the row's weight as ``w``."""
     p = resample.PRIME
-    h0 = f"(({key} % {p}) * 48271 + {rep} * 69621 + {seed * 16807 + 12345}) % {p}"
-    steps = "[" + ", ".join(f"{s}::DOUBLE" for s in resample.POISSON_STEPS) + "]"
-    return h0, steps
+    steps = " + ".join(f"CAST(h2 >= ceil({s * p!r}::DOUBLE) AS INT)" for s in resample.POISSON_STEPS)
+    return f"""{name}_0 AS (SELECT {columns}, rep, (({key} % {p}) * 48271 + rep * 69621 + {seed * 16807 + 12345}) % {p} AS h0 FROM {source}, (SELECT unnest(range(1, {reps + 1})) AS rep)),
+  {name}_1 AS (SELECT * REPLACE ((h0 * h0 + h0) % {p} AS h0) FROM {name}_0), {name}_2 AS (SELECT *, (h0 * h0 + rep + 7) % {p} AS h2 FROM {name}_1),
+  {name} AS (SELECT * EXCLUDE (h0, h2), {steps} AS w FROM {name}_2)"""

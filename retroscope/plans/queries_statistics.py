@@ -150,30 +150,50 @@ def covariate_balance(spark, d):
 
 
 # --- intervals ----------------------------------------------------------------------
-H0, STEPS = sql.poisson_weight("event_id", "rep", 42)
-P = resample.PRIME
 REPLICATES = 2_000
 
 
+def _ends(by: str, source: str = "m") -> str:
+    return f"SELECT {by}, quantile_cont(stat, 0.025) AS ci_lower, quantile_cont(stat, 0.975) AS ci_upper FROM {source} GROUP BY 1"
+
+
 @query("event_type:s mean:f n:i ci_lower:f ci_upper:f", f"""
-  WITH w AS (SELECT event_type, rep, value, len(list_filter({STEPS}, lambda s: s <= h / {P}.0::DOUBLE)) AS w FROM (
-         SELECT *, (h1 * h1 + rep + 7) % {P} AS h FROM (SELECT *, (h0 * h0 + h0) % {P} AS h1 FROM (
-           SELECT event_type, value, rep, {H0} AS h0 FROM events, (SELECT unnest(range(1, {REPLICATES + 1})) AS rep))))),
-       m AS (SELECT event_type, rep, sum(w * value) / sum(w) AS stat FROM w GROUP BY ALL)
-  SELECT event_type, mean, n, ci_lower, ci_upper FROM (SELECT event_type, avg(value) AS mean, count(value) AS n FROM events GROUP BY 1)
-    JOIN (SELECT event_type, quantile_cont(stat, 0.025) AS ci_lower, quantile_cont(stat, 0.975) AS ci_upper FROM m GROUP BY 1) USING (event_type)""")
+  WITH {sql.replicates('events', 'event_type, value', 'event_id', REPLICATES)},
+       m AS (SELECT event_type, rep, sum(w * value) / sum(w) AS stat FROM drawn GROUP BY ALL)
+  SELECT event_type, mean, n, ci_lower, ci_upper FROM (SELECT event_type, avg(value) AS mean, count(value) AS n FROM events GROUP BY 1) JOIN ({_ends('event_type')}) USING (event_type)""")
 def bootstrap_means(spark, d):
     return resample.mean_interval(table(spark, d, "events"), "event_type", "event_id", "value", reps=REPLICATES)
 
 
-@query("domain:s rate:f n:i ci_lower:f ci_upper:f")
+@query("domain:s ci_lower:f ci_upper:f", f"""
+  WITH {sql.replicates('(SELECT domain, doc_id, urgency_score AS x, reversal AS y FROM enriched)', 'domain, x, y', 'doc_id', REPLICATES)},
+       s AS (SELECT domain, rep, CAST(sum(w) AS DOUBLE) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * y * y) AS yy, sum(w * x * y) AS xy FROM drawn GROUP BY ALL),
+       m AS (SELECT domain, rep, (xy - x * y / n) / nullif(sqrt((xx - x * x / n) * (yy - y * y / n)), 0) AS stat FROM s) {_ends('domain')}""", RICH)
+def bootstrap_correlations(spark, d):
+    """A statistic that is none of the ready ones: urgency against outcome, as an expression over weighted sums."""
+    x, y, s = F.col("urgency_score"), F.col("reversal"), F.col
+    spread = (s("xx") - s("x") * s("x") / s("n")) * (s("yy") - s("y") * s("y") / s("n"))
+    stat = (s("xy") - s("x") * s("y") / s("n")) / F.nullif(F.sqrt(spread), F.lit(0.0))
+    drawn = resample.bootstrap(layer(spark, d), ["domain"], "doc_id", {"n": F.lit(1), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}, stat, REPLICATES)
+    return resample.interval(drawn, ["domain"])
+
+
+@query("domain:s rate:f n:i ci_lower:f ci_upper:f", f"""
+  WITH {sql.replicates('enriched', 'domain, reversal', 'doc_id', REPLICATES)}, m AS (SELECT domain, rep, sum(w * reversal) / sum(w) AS stat FROM drawn GROUP BY ALL)
+  SELECT domain, rate, n, CASE WHEN n >= 10 THEN ci_lower END AS ci_lower, CASE WHEN n >= 10 THEN ci_upper END AS ci_upper
+  FROM (SELECT domain, avg(reversal) AS rate, count(*) AS n FROM enriched GROUP BY 1) JOIN ({_ends('domain')}) USING (domain)""", RICH)
 def reversal_rate_intervals(spark, d):
-    return resample.rate_interval(layer(spark, d), "domain", "reversal", min_n=10)
+    return resample.rate_interval(layer(spark, d), "domain", "doc_id", "reversal", REPLICATES, min_n=10)
 
 
-@query("domain:s median:f n:i ci_lower:f ci_upper:f")
+@query("domain:s median:f n:i ci_lower:f ci_upper:f", f"""
+  WITH known AS (SELECT domain, doc_id, time_to_regret_days AS v FROM enriched WHERE time_to_regret_days IS NOT NULL), {sql.replicates('known', 'domain, v', 'doc_id', REPLICATES)},
+       run AS (SELECT domain, rep, v, sum(sum(w)) OVER (PARTITION BY domain, rep ORDER BY v) AS upto, sum(sum(w)) OVER (PARTITION BY domain, rep) AS total FROM drawn GROUP BY domain, rep, v),
+       m AS (SELECT domain, rep, (min(v) FILTER (upto > (total - 1) // 2) + min(v) FILTER (upto > total // 2)) / 2.0 AS stat FROM run GROUP BY ALL)
+  SELECT domain, median, n, CASE WHEN n >= 10 THEN ci_lower END AS ci_lower, CASE WHEN n >= 10 THEN ci_upper END AS ci_upper
+  FROM (SELECT domain, median(v) AS median, count(*) AS n FROM known GROUP BY 1) JOIN ({_ends('domain')}) USING (domain)""", RICH)
 def duration_median_intervals(spark, d):
-    return resample.median_interval(layer(spark, d), "domain", "time_to_regret_days")
+    return resample.median_interval(layer(spark, d), "domain", "doc_id", "time_to_regret_days", REPLICATES)
 
 
 # --- survival -----------------------------------------------------------------------
@@ -285,7 +305,7 @@ SCORES = "scores AS (SELECT CAST(l_returnflag = 'R' AS INT) AS label, (l_extende
 
 
 def _scores(spark, d):
-    return table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"),
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
                                               (F.col("l_extendedprice") % 1000 / 1000.0).alias("score"))
 
 
@@ -345,6 +365,22 @@ def best_f1_threshold(spark, d):
     return metrics.best_threshold(metrics.f1_sweep(_scores(spark, d), "label", "score"))
 
 
+def _auc_sql(source: str) -> str:
+    return f"""
+  WITH {sql.replicates(source, 'label, score', 'key', REPLICATES)},
+       c AS (SELECT rep, score, CAST(sum(w * label) AS DOUBLE) AS p, CAST(sum(w * (1 - label)) AS DOUBLE) AS n FROM drawn GROUP BY ALL),
+       r AS (SELECT rep, p, n, sum(n) OVER (PARTITION BY rep ORDER BY score ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+       m AS (SELECT rep, sum(p * (upto - n / 2)) / (sum(p) * sum(n)) AS stat FROM r GROUP BY rep HAVING sum(p) > 0 AND sum(n) > 0)
+  SELECT coalesce(quantile_cont(stat, 0.025), 0.5) AS ci_lower, coalesce(quantile_cont(stat, 0.975), 0.5) AS ci_upper, count(*) AS reps FROM m"""
+
+
+@query("ci_lower:f ci_upper:f reps:i", _auc_sql("(SELECT reversal AS label, hedging_score + urgency_score AS score, doc_id AS key FROM enriched)"), RICH)
+def auc_interval_posts(spark, d):
+    rows = layer(spark, d).select("reversal", "doc_id", (F.col("hedging_score") + F.col("urgency_score")).alias("risk"))
+    return resample.auc_interval(rows, "reversal", "risk", "doc_id", REPLICATES)
+
+
+# without SQL: a window over 2,000 times all rows; auc_interval_posts asks the same of fewer rows
 @query("ci_lower:f ci_upper:f reps:i")
 def auc_interval(spark, d):
-    return resample.auc_interval(_scores(spark, d), "label", "score", reps=2000)
+    return resample.auc_interval(_scores(spark, d), "label", "score", "key", reps=REPLICATES)

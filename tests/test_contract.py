@@ -13,7 +13,8 @@ FOLDER = os.environ.get("RETROSCOPE_DATA", "/root/testdata/sf0.001")
 CHECKED = ["reversal_rate_by_domain", "structured_posts", "refined_durations_and_events", "psycholinguistic_scores", "sentiment_of_posts",
            "scored_texts", "comment_threads_from_json", "dedupe_keep_first", "year_status_rates", "price_box_summary", "quintile_rates",
            "event_labels", "coerced_and_filled", "parsed_years", "chi_square_era_by_domain", "two_group_report", "mann_whitney_price", "kaplan_meier_orders", "concordance_posts",
-           "log_odds_quality", "tfidf_weights", "cox_score_orders", "bootstrap_means", "kaplan_meier_eras", "nearest_pairs", "stream_window_rates"]
+           "log_odds_quality", "tfidf_weights", "cox_score_orders", "bootstrap_means", "bootstrap_correlations", "reversal_rate_intervals", "duration_median_intervals", "auc_interval_posts",
+           "kaplan_meier_eras", "logit_score_posts", "logit_slopes_at_estimate", "stated_topics", "sentence_vectors", "emotion_by_model", "nearest_pairs", "stream_window_rates"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 

@@ -16,6 +16,9 @@ def test_queries_ask_for_full_settings(monkeypatch):
 
     monkeypatch.setattr(queries_models, "_posts", lambda spark, d: None)
     monkeypatch.setattr(queries_models, "layer", lambda spark, d: None)
+    monkeypatch.setattr(queries_models, "model_layer", lambda spark, d: (None, None))
+    monkeypatch.setattr(models, "spoken", lambda df: None)
+    monkeypatch.setattr(models, "filled", lambda df, numeric: None)
     monkeypatch.setattr(queries_statistics, "table", lambda spark, d, name: None)
     monkeypatch.setattr(queries_statistics, "_scores", lambda spark, d: None)
     monkeypatch.setattr(models, "_labelled", lambda df, label: None)
@@ -40,6 +43,7 @@ def test_queries_ask_for_full_settings(monkeypatch):
     assert seen["grid_search"][1]["max_features"] == 25_000
     args, kw = seen["leave_one_group_out"]
     assert args[5](0) == (300, 20) and (kw["reps"], kw["max_features"]) == (2000, 15_000)
+    assert kw["numeric"][-10:] == [f"emb_{i}" for i in range(10)]
     args, kw = seen["nested_feature_sets"]
     assert args[5](0) == (200, 10) and kw["k"] == 5
     assert seen["mean_interval"][1]["reps"] == seen["auc_interval"][1]["reps"] == 2000

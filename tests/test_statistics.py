@@ -127,23 +127,23 @@ def test_bootstrap_auc_centres_on_auc(spark, single):
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 400)
     s = rng.normal(size=400) + y
-    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
+    df = spark.createDataFrame([(i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, s))], "id long, y int, s double")
     point = metrics.auc(df, "y", "s").first()["auc"]
-    reps = [r["stat"] for r in resample.bootstrap_auc(df, "y", "s", reps=200, single=single).collect()]
+    reps = [r["stat"] for r in resample.bootstrap_auc(df, "y", "s", "id", reps=200, single=single).collect()]
     assert len(reps) == 200 and abs(np.mean(reps) - point) < .01 and .01 < np.std(reps) < .04
 
 
 def test_bootstrap_intervals(spark):
     df = spark.createDataFrame([(i, "a", i % 4 == 0) for i in range(1000)], "id long, g string, y boolean").withColumn("y", F.col("y").cast("int"))
     by_row = resample.mean_interval(df, "g", "id", "y", reps=400).first()
-    by_count = resample.rate_interval(df, "g", "y", reps=400).first()
+    by_count = resample.rate_interval(df, "g", "id", "y", reps=400).first()
     se = math.sqrt(.25 * .75 / 1000)
     for row in (by_row, by_count):
         assert row["ci_lower"] == pytest.approx(.25 - 1.96 * se, abs=.008)
         assert row["ci_upper"] == pytest.approx(.25 + 1.96 * se, abs=.008)
     again = resample.mean_interval(df.repartition(7), "g", "id", "y", reps=400).first()
     assert again["ci_lower"] == pytest.approx(by_row["ci_lower"])  # the draw ignores partitioning
-    small = resample.rate_interval(df.limit(9), "g", "y", reps=50, min_n=10).first()
+    small = resample.rate_interval(df.limit(9), "g", "id", "y", reps=50, min_n=10).first()
     assert small["n"] == 9 and small["ci_lower"] is None
 
 
@@ -219,12 +219,12 @@ def test_first_source_wins(spark):
 def test_auc_replicates_do_not_depend_on_partitions(spark):
     from retroscope.operators import resample
 
-    rows = [(float(i % 97) / 97, int((i * 7) % 11 < 4)) for i in range(1000)]
-    df = spark.createDataFrame(rows, "score double, label int")
+    rows = [(i, float(i % 97) / 97, int((i * 7) % 11 < 4)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, score double, label int")
     found = []
     for single, parts in ((20, "3"), (20, "16"), (10_000, "4")):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        found.append({r["rep"]: round(r["stat"], 9) for r in resample.bootstrap_auc(df, "label", "score", 50, single=single).collect()})
+        found.append({r["rep"]: round(r["stat"], 9) for r in resample.bootstrap_auc(df, "label", "score", "id", 50, single=single).collect()})
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found[0] == found[1] == found[2]
 
