@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.functions import tails
-from retroscope.operators import ranks
+from retroscope.operators import ranks, resample
 from retroscope.operators.relational import crosstab, few_values, vector_sum
 from retroscope.session import cut_lineage
 
@@ -226,6 +226,21 @@ def two_group_report(df: DataFrame, flag: str, outcome: str) -> DataFrame:
     )
 
 
+def two_group_intervals(df: DataFrame, flag: str, outcome: str, key: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """(side, rate, n, ci_lower, ci_upper): the rates of the report, each with its bootstrap interval."""
+    sided = df.where(F.col(flag).isNotNull()).withColumn("side", F.when(F.col(flag) == 1, "in").otherwise("out"))
+    return resample.rate_interval(sided, "side", key, outcome, reps, seed)
+
+
+def two_group_nested(df: DataFrame, flag: str, outcome: str, inner: str, more_than: int = 20) -> DataFrame:
+    """Rates and sizes of both sides inside each value of ``inner`` with more than so many rows; no rate where a side is empty."""
+    cells = cells_2x2(df, flag, outcome, [inner])
+    n1, n0 = F.col("n11") + F.col("n10"), F.col("n01") + F.col("n00")
+    return cells.where(n1 + n0 > more_than).select(
+        inner, (F.col("n11") / F.nullif(n1, F.lit(0))).alias("rate_in"), n1.alias("n_in"),
+        (F.col("n01") / F.nullif(n0, F.lit(0))).alias("rate_out"), n0.alias("n_out"))
+
+
 # --- logistic models ----------------------------------------------------------------
 def notable(df: DataFrame, order: Sequence, p: str = "p_value", level: float = 0.1, otherwise: int = 10, most: int = 15) -> DataFrame:
     """The rows of a result table to show: those below the level, or the first ``otherwise`` where none

@@ -221,6 +221,18 @@ def mann_whitney(source: str, value: str, label: str, first, second) -> str:
       FROM ({midranks(f"(SELECT * FROM {source} WHERE {label} IN ({first}, {second}))", value)})) GROUP BY n1))"""
 
 
+def t_p(t: str, dof: str) -> str:
+    """Both tails beyond t > 0 for whole degrees of freedom: the finite series in sine and cosine."""
+    def series(top: str, ratio: str) -> str:
+        return (f"(SELECT 1 + coalesce(sum(x), 0) FROM (SELECT exp(sum(ln({ratio} * {dof} / ({dof} + {t} * {t}))) OVER (ORDER BY k)) AS x FROM "
+                f"(SELECT unnest(range(1, CAST({top} AS BIGINT) + 1)) AS k)))")
+
+    sine, cosine = f"({t} / sqrt({dof} + {t} * {t}))", f"sqrt({dof} / ({dof} + {t} * {t}))"
+    even = f"{sine} * {series(f'{dof} // 2 - 1', '(2.0 * k - 1) / (2.0 * k)')}"
+    odd = f"2 / pi() * (atan({t} / sqrt({dof})) + CASE WHEN {dof} > 1 THEN {sine} * {cosine} * {series(f'({dof} - 3) // 2', '2.0 * k / (2.0 * k + 1)')} ELSE 0 END)"
+    return f"(1 - CASE WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
 def replicates(source: str, columns: str, key: str, reps: int, name: str = "drawn", seed: int = 42) -> str:
     """CTEs that end in ``name``: the columns of a source per replicate, with the row's weight as ``w``."""
     p = resample.PRIME

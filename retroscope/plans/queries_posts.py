@@ -269,21 +269,46 @@ def comment_thread_features(spark, d):
     return comments.conversation_features(_told(spark, d))
 
 
-@query(COMMENT_SPEC, "SELECT * FROM comment_features", [TOLD, *_threads_sql("told")])
+# as threads: a user's turn that follows another's is a reply to it, all others stand at the top
+_NESTED = [
+    """turns AS (SELECT *, coalesce(role = 'user' AND before <> 'user', false) AS nested FROM (SELECT conv_id AS id, role, coalesce(text, '') AS body,
+      row_number() OVER w AS place, lag(role) OVER w AS before FROM told WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)))""",
+    """live AS (SELECT id || '/' || place AS k, id, body FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) AS top FROM turns WHERE NOT nested)
+      WHERE top <= 10 AND body NOT IN ('', '[deleted]', '[removed]'))""",
+    *_threads_sql("told")[2:3],
+    f"""threads AS (SELECT *, list_filter({sql.listed(lex.UPDATE_PHRASES)}, lambda p: contains(said, p)) AS found FROM (
+      SELECT id, count(*) FILTER (NOT nested) AS n_top_comments, count(*) FILTER (role = 'user') AS n_op_replies,
+        lower(coalesce(string_agg(body, ' ' ORDER BY place) FILTER (role = 'user'), '')) AS said,
+        coalesce(arg_min(substr(body, 1, 200), place) FILTER (role = 'user'), '') AS op_reply_preview FROM turns GROUP BY id))""",
+]
+
+
+@query(COMMENT_SPEC + " upvote_ratio:f", """
+  SELECT t.id, id % 10 / 10.0 AS upvote_ratio, n_top_comments, n_op_replies, comment_vader_mean, op_reply_preview, array_to_string(found, ',') AS update_keywords_found,
+    round(least(least(len(found) / 3.0::DOUBLE, 1.0::DOUBLE) + CASE WHEN id % 3 = 0 THEN 0.3::DOUBLE ELSE 0 END, 1.0::DOUBLE), 4) AS reversal_comment_score
+  FROM threads t LEFT JOIN (SELECT id, round(avg(compound), 4) AS comment_vader_mean FROM felt JOIN live USING (k) GROUP BY id) USING (id)""", [TOLD, *_NESTED])
 def comment_threads_from_json(spark, d):
-    """The same conversations as nested thread JSON, parsed back."""
+    """The same conversations as thread JSON with nested replies, titles and vote ratios, parsed back."""
     turn = F.struct("turn", "role", "text")
     listed = _told(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_t"))
+
     def listing(children):
         return F.to_json(F.struct(F.struct(children.alias("children")).alias("data")))
 
-    poster = F.struct(F.lit("user").alias("author"), F.lit("").alias("title"))
-    said = F.transform("_t", lambda t: F.struct(
-        F.lit("t1").alias("kind"),
-        F.struct(t["text"].alias("body"), t["role"].alias("author"), F.lit("").alias("replies")).alias("data"),
-    ))
+    def comment(t, replies):
+        return F.struct(F.lit("t1").alias("kind"), F.struct(t["text"].alias("body"), t["role"].alias("author"), replies.alias("replies")).alias("data"))
+
+    def nested(t, i):
+        return (t["role"] == "user") & F.coalesce(F.get("_t", i - 1)["role"] != "user", F.lit(False)) & (i > 0)
+
+    marked = listed.withColumn("_n", F.transform("_t", lambda t, i: F.struct(t["role"].alias("role"), t["text"].alias("text"), nested(t, i).alias("nested"), i.alias("i"))))
+    answer = lambda t: F.get("_n", t["i"] + 1)
+    replies = lambda t: F.when(answer(t)["nested"], listing(F.array(comment(answer(t), F.lit(""))))).otherwise("")
+    said = F.transform(F.filter("_n", lambda t: ~t["nested"]), lambda t: comment(t, replies(t)))
+    n = F.col("conv_id")
+    poster = F.struct(F.lit("user").alias("author"), F.when(n % 3 == 0, "An UPDATE at last").otherwise("A question").alias("title"), (n % 10 / 10).alias("upvote_ratio"))
     payload = F.concat(F.lit("["), listing(F.array(F.struct(poster.alias("data")))), F.lit(","), listing(said), F.lit("]"))
-    raw = listed.select(F.col("conv_id").alias("id"), payload.alias("payload"))
+    raw = marked.select(n.alias("id"), payload.alias("payload"))
     return comments.thread_features(comments.parse_threads(raw))
 
 

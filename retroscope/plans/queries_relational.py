@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retroscope.functions import bins
+from retroscope.functions import text as tx
 from retroscope.operators import metrics, resample
 from retroscope.operators import relational as rel
 from retroscope.plans import oracle as sql
@@ -50,6 +51,66 @@ def csv_posts(spark, d):
     return readers.read_csv(spark, path).select("id", "title", F.md5("selftext").alias("selftext_md5"), "created_utc", "score")
 
 
+def _csv_of(made):
+    return made.select("id", "subreddit", "title", "selftext", F.lit(0.0).alias("created_utc"), F.lit(None).cast("string").alias("created_dt"),
+                       "num_comments", "score", F.lit("/p").alias("permalink"), F.lit("/u").alias("url"))
+
+
+@query("id:s title:s score:i", "SELECT id, title, score FROM posts", [sql.POSTS])
+def latest_snapshot_posts(spark, d):
+    """Snapshots 2, 9 and 10 of a growing collection: the last by number holds all posts, and it alone is read."""
+    made, folder = posts.posts_of_documents(documents(spark, d)), scratch_path(spark, "snapshots")
+    for number, part in ((2, 1), (9, 2), (10, 3)):
+        writers.write_csv(_csv_of(made.where(F.col("doc_id") % 3 < part)), f"{folder}/career_stable_regret_{number}.csv")
+    return readers.read_latest(spark, f"{folder}/career_stable_regret_*.csv")
+
+
+# the sources that stand in for file names, and the domain of each
+NAMED = {"src1": "career", "src2": "immigration", "src3": "relationships"}
+
+
+@query("id:s source_subreddit:s domain:s origin:s", f"""
+  SELECT id, subreddit AS source_subreddit, CASE subreddit {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMED.items())} END AS domain, 'crawl' AS origin
+  FROM posts WHERE regexp_matches(subreddit, 'src1|src2')""", [sql.POSTS])
+def posts_of_named_files(spark, d):
+    """A file per source, those with a word in their name read; source from the name, domain and origin stated."""
+    made, folder = posts.posts_of_documents(documents(spark, d)), scratch_path(spark, "named")
+    for source in rel.few_values(made, "source_subreddit"):
+        writers.write_csv(_csv_of(made.where(F.col("source_subreddit") == F.lit(source))), f"{folder}/{source}_stable_regret.csv")
+    rows = readers.read_named(spark, f"{folder}/*.csv", ["src1", "SRC2"])
+    return readers.with_source_and_domain(rows, NAMED).withColumn("origin", F.lit("crawl"))
+
+
+@query("id:s title:s score:i", "SELECT id, title, score FROM posts ORDER BY score DESC, id LIMIT 200", [sql.POSTS])
+def first_rows_of_scan(spark, d):
+    made = posts.posts_of_documents(documents(spark, d))
+    return readers.sample_rows(made.withColumn("order", -F.col("score")), 200, ["order", "id"])
+
+
+@query("vec_id:i width:i total:f", "SELECT vec_id, len(embedding) AS width, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS total FROM embeddings")
+def stored_vectors(spark, d):
+    """Vectors through the array sink and back."""
+    path = scratch_path(spark, "vectors")
+    writers.write_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", path)
+    back = spark.read.parquet(path)
+    return back.select("vec_id", F.size("vector").alias("width"), F.aggregate("vector", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias("total"))
+
+
+@query("domain:s rate:f n:i", "SELECT domain, round(avg(reversal), 4) AS rate, count(*) AS n FROM structured GROUP BY domain", BASE)
+def stored_results(spark, d):
+    """Result rows as JSON documents through the result sink and back."""
+    path = scratch_path(spark, "results")
+    writers.write_results(writers.result_document(rel.rates(structured(spark, d), ["domain"], "reversal"), "domain"), path)
+    back = spark.read.schema("domain string, document string").json(path)
+    return back.select("domain", F.from_json("document", "rate double, n bigint").alias("r")).select("domain", "r.*")
+
+
+@query("id:s prompt_md5:s", """SELECT id, md5('Title: ' || title || chr(10) || 'Post: ' || substr(full_text, 1, 1500)) AS prompt_md5 FROM structured""", BASE)
+def annotation_prompts(spark, d):
+    made = structured(spark, d).withColumn("prompt", tx.annotation_prompt("Title: %s\nPost: %s"))
+    return made.select("id", F.md5("prompt").alias("prompt_md5"))
+
+
 @query("event_id:i k:f kind:f", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS DOUBLE), 0) AS k, 0.0 AS kind FROM events")
 def coerced_and_filled(spark, d):
     """Text read as numbers: what is none becomes zero and fails nothing."""
@@ -123,9 +184,16 @@ def lookup_join_top(spark, d):
     return top.join(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", "left")
 
 
-@query("sub:s n:i", "SELECT coalesce(subreddit, 'unknown') AS sub, count(*) AS n FROM structured GROUP BY ALL", BASE)
+@query("kind:s sub:s n:i", """
+  SELECT 'second' AS kind, coalesce(subreddit, 'unknown') AS sub, count(*) AS n FROM structured GROUP BY ALL
+  UNION ALL SELECT 'first', CASE WHEN doc_id % 5 > 0 THEN subreddit ELSE 'unknown' END, count(*) FROM structured GROUP BY ALL""", BASE)
 def fuller_source_column(spark, d):
-    return rel.fuller_column(layer(spark, d), "subreddit", "source_subreddit", "sub").groupBy("sub").agg(F.count(F.lit(1)).alias("n"))
+    """The fuller of two columns where the first lacks a fifth of its values, and where the second lacks half of them."""
+    rows, known = layer(spark, d), lambda c, held: F.when(held, F.col(c))
+    poorer_first = rows.withColumn("subreddit", known("subreddit", F.col("doc_id") % 5 > 0))
+    poorer_second = poorer_first.withColumn("source_subreddit", known("source_subreddit", F.col("doc_id") % 2 == 0))
+    cases = [rel.fuller_column(r, "subreddit", "source_subreddit", "sub").select(F.lit(kind).alias("kind"), "sub") for kind, r in (("second", poorer_first), ("first", poorer_second))]
+    return rel.union_with_drift(cases).groupBy("kind", "sub").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- tallies ------------------------------------------------------------------------

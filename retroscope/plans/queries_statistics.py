@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from retroscope.functions import bins
@@ -65,11 +66,35 @@ def _fisher_sql(source: str, flag: str, outcome: str) -> str:
     return re.sub(r"lgamma_\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"lgamma((\1) + 1)", text)
 
 
+GREAT = "(SELECT CAST(post_year IN (2021, 2022) AS INT) AS great, reversal, doc_id, event_type FROM enriched WHERE domain = 'career')"
+
+
+@query("side:s rate:f n:i ci_lower:f ci_upper:f", f"""
+  WITH g AS (SELECT CASE WHEN great = 1 THEN 'in' ELSE 'out' END AS side, reversal, doc_id FROM {GREAT}), {sql.replicates('g', 'side, reversal', 'doc_id', 2000)},
+       m AS (SELECT side, rep, sum(w * reversal) / sum(w) AS stat FROM drawn GROUP BY ALL)
+  SELECT side, rate, n, ci_lower, ci_upper FROM (SELECT side, avg(reversal) AS rate, count(*) AS n FROM g GROUP BY 1)
+    JOIN (SELECT side, quantile_cont(stat, 0.025) AS ci_lower, quantile_cont(stat, 0.975) AS ci_upper FROM m GROUP BY 1) USING (side)""", RICH)
+def two_group_intervals(spark, d):
+    """The two rates of the report with their intervals."""
+    return stats.two_group_intervals(_great(spark, d), "great", "reversal", "doc_id")
+
+
+@query("event_type:s rate_in:f n_in:i rate_out:f n_out:i",
+       f"""SELECT event_type, avg(reversal) FILTER (great = 1) AS rate_in, count(*) FILTER (great = 1) AS n_in, avg(reversal) FILTER (great = 0) AS rate_out,
+             count(*) FILTER (great = 0) AS n_out FROM {GREAT} WHERE event_type <> 'unknown' GROUP BY event_type HAVING count(*) > 20""", RICH)
+def two_group_nested(spark, d):
+    """The report's comparison once more inside each kind of event that has more than 20 posts."""
+    return stats.two_group_nested(_great(spark, d).where("event_type <> 'unknown'"), "great", "reversal", "event_type")
+
+
+def _great(spark, d):
+    return layer(spark, d).where("domain = 'career'").withColumn("great", F.col("post_year").isin(2021, 2022).cast("int"))
+
+
 @query("rate_in:f n_in:i rate_out:f n_out:i odds_ratio:f p_value:f",
        _fisher_sql("(SELECT CAST(post_year IN (2021, 2022) AS INT) AS great, reversal FROM structured WHERE domain = 'career')", "great", "reversal"), BASE)
 def two_group_report(spark, d):
-    career = layer(spark, d).where("domain = 'career'").withColumn("great", F.col("post_year").isin(2021, 2022).cast("int"))
-    return stats.two_group_report(career, "great", "reversal")
+    return stats.two_group_report(_great(spark, d), "great", "reversal")
 
 
 @query("n11:i n10:i n01:i n00:i chi2:f p_value:f",
@@ -135,10 +160,33 @@ def kruskal_social(spark, d):
     return stats.kruskal(layer(spark, d), "social_embed_score", "domain", ["career", "immigration", "relationships"])
 
 
-@query("feature:s r:f n:i t:f", " UNION ALL ".join(
-    f"SELECT '{p}' AS feature, corr({p}, reversal) AS r, count(*) AS n, corr({p}, reversal) * sqrt((count(*) - 2) / (1 - corr({p}, reversal) ** 2)) AS t FROM enriched" for p in PSY), RICH)
+def _points(feature: str) -> str:
+    return f"SELECT '{feature}' AS feature, corr({feature}, reversal) AS r, count(*) AS n FROM enriched"
+
+
+@query("feature:s r:f n:i t:f p_value:f", f"SELECT *, {sql.t_p('abs(t)', '(n - 2)')} AS p_value FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM ({' UNION ALL '.join(map(_points, PSY))}))", RICH)
 def point_biserial_features(spark, d):
-    return stats.point_biserial(layer(spark, d), PSY, "reversal", p_value=False)
+    return stats.point_biserial(layer(spark, d), PSY, "reversal")
+
+
+@query("event_type:s domain:s chi2:f p_value:f", f"""
+  WITH c AS (SELECT domain, event_type, CAST(count(*) FILTER (reversal = 1) AS DOUBLE) AS hits, CAST(count(*) AS DOUBLE) AS n FROM enriched GROUP BY ALL),
+    r AS (SELECT *, n - hits AS miss, sum(n) OVER w AS total, sum(hits) OVER w AS all_hits FROM c WINDOW w AS (PARTITION BY domain)),
+    t AS (SELECT domain, event_type, greatest(0, abs(hits - e) - least(abs(hits - e), 0.5)) ** 2 * (1 / n + 1 / (total - n)) * (1 / all_hits + 1 / (total - all_hits)) * total AS chi2
+      FROM (SELECT *, n * all_hits / total AS e FROM r) WHERE total > n AND all_hits > 0 AND total > all_hits),
+    p AS (SELECT *, {sql.chi2_p('chi2', '1')} AS p_value FROM t)
+  SELECT * FROM (SELECT * FROM p WHERE p_value < 0.1 ORDER BY round(p_value, 9), domain, event_type LIMIT 15)
+  UNION ALL SELECT * FROM (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p WHERE p_value < 0.1) ORDER BY round(p_value, 9), domain, event_type LIMIT 10)""", RICH)
+def notable_event_types(spark, d):
+    """Each kind of event against all others of its domain: the tests to show."""
+    counts = layer(spark, d).groupBy("domain", "event_type").agg(F.sum("reversal").alias("hits"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("domain")
+    counts = counts.withColumn("all_hits", F.sum("hits").over(whole)).withColumn("all", F.sum("n").over(whole))
+    cells = ((1, 1, "hits"), (1, 0, "n - hits"), (0, 1, "all_hits - hits"), (0, 0, "all - all_hits - n + hits"))
+    sides = counts.select("domain", "event_type", F.inline(F.array(*[
+        F.struct(F.lit(own).alias("own"), F.lit(hit).alias("hit"), F.expr(c).cast("bigint").alias("n")) for own, hit, c in cells]))).where("n > 0")
+    tests = stats.chi_square_of_cells(sides, "own", "hit", ["domain", "event_type"]).where("chi2 IS NOT NULL")
+    return stats.notable(tests, [F.round("p_value", 9), "domain", "event_type"])
 
 
 @query("feature:s smd:f", " UNION ALL ".join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from retroscope.plans import oracle as sql
@@ -9,6 +10,7 @@ from retroscope.plans import posts, scoring
 from retroscope.plans.catalogue import query
 from retroscope.plans.queries_posts import BASE, _SCORED
 from retroscope.session import scratch_path
+from retroscope.sources import writers
 from retroscope.sources.readers import table
 from retroscope.streaming import streams
 
@@ -49,3 +51,44 @@ def stream_scored_texts(spark, d):
     made = posts.posts_of_documents(_stream(spark, d, "documents")).select("id", "selftext")
     scored = scoring.score(made, "selftext").select("id", "emotion", "domain", "reversal_probability", "urgency_score", "has_time")
     return streams.stream_to_table(spark, scored, "scored")
+
+
+class _Stopped(RuntimeError):
+    pass
+
+
+@query("id:s emotion:s domain:s reversal_probability:f urgency_score:f has_time:i versions:i logged:i",
+       f"SELECT *, 1 AS versions, 1 AS logged FROM ({_SCORED[0]})", _SCORED[1])
+def stream_resumed_store(spark, d):
+    """A stream into a keyed store that is stopped twice, before and after a batch is noted, and taken up again."""
+    landing, progress, store, log = (scratch_path(spark, f"resume-{x}") for x in ("landing", "progress", "store", "log"))
+    made = posts.posts_of_documents(table(spark, d, "documents")).select("id", "selftext")
+    made.repartition(6).write.parquet(landing)
+    stream = streams.file_stream(spark, landing, made.schema, files_per_trigger=1)
+    notes, ends = writers.Ledger(spark, f"{progress}/ledger"), {1: "before", 3: "after"}
+
+    def handle(batch, number):
+        scored = scoring.score(batch, "selftext").persist()
+        writers.put_batch(scored, store, number)
+        writers.log_batch(scored, log, number)
+        scored.unpersist()
+        end = ends.pop(number, None)
+        if end == "after":
+            notes.note(number)
+        if end:
+            raise _Stopped(end)
+
+    def run():
+        try:
+            streams.once_per_batch(stream, progress, handle).awaitTermination()
+        except StreamingQueryException:
+            return False
+        return True
+
+    while not run():
+        pass
+    written = spark.read.option("basePath", store).parquet(f"{store}/batch=*")
+    versions = written.groupBy("id").agg(F.count(F.lit(1)).alias("versions"))
+    logged = spark.read.option("basePath", log).parquet(f"{log}/batch=*").groupBy("id").agg(F.count(F.lit(1)).alias("logged"))
+    latest = streams.latest_versions(spark, store, written.drop("batch").schema, ["id"])
+    return latest.join(versions, "id").join(logged, "id")

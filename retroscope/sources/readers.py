@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,25 +45,47 @@ def file_state(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(target)))
 
 
+def listed(spark: SparkSession, pattern: str) -> list[tuple[str, str]]:
+    """(name, path) of the files, and folders of part files, that a pattern names: the listing alone, nothing is opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted((s.getPath().getName(), s.getPath().toString()) for s in found or ())
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str = schemas.RAW_POST) -> DataFrame:
-    """Quoted multi-line CSV with a header; ``_file`` keeps where a row came from."""
+    """Quoted multi-line CSV with a header; ``_file`` keeps the name of the file, or folder of part files, a row came from."""
     paths = [path] if isinstance(path, str) else list(path)
     rows = spark.read.schema(schema).csv(
         paths, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False
     )
-    return rows.select("*", F.col("_metadata.file_name").alias("_file"),
-                       F.col("_metadata.file_path").alias("_path"))
+    place = F.col("_metadata.file_path")
+    return rows.select("*", F.regexp_extract(place, r"([^/]+?)(/part-[^/]*)?$", 1).alias("_file"), place.alias("_path"))
+
+
+def latest_snapshot(spark: SparkSession, pattern: str, number: str = r"_(\d+)\.csv$") -> str:
+    """The snapshot with the largest number in its name, compared as a number."""
+    numbered = [(int(m.group(1)), path) for name, path in listed(spark, pattern) if (m := re.search(number, name))]
+    if not numbered:
+        raise FileNotFoundError(f"Missing: {pattern}")
+    return max(numbered)[1]
+
+
+def read_latest(spark: SparkSession, pattern: str, number: str = r"_(\d+)\.csv$") -> DataFrame:
+    """Rows of the latest snapshot; no other file is read."""
+    return read_csv(spark, latest_snapshot(spark, pattern, number))
 
 
-def latest_snapshot(rows: DataFrame, pattern: str = r"_(\d+)\.csv$") -> DataFrame:
-    """Rows of the file with the largest number in its name, compared as a number."""
-    numbered = rows.withColumn("_number", F.regexp_extract("_file", pattern, 1).try_cast("bigint"))
-    return numbered.where(F.col("_number") == numbered.agg(F.max("_number").alias("m")).scalar()).drop("_number")
+def named_files(spark: SparkSession, pattern: str, words: Sequence[str]) -> list[str]:
+    """Files whose name holds one of the words, whatever the case."""
+    found = [path for name, path in listed(spark, pattern) if any(w.lower() in name.lower() for w in words)]
+    if not found:
+        raise FileNotFoundError(f"Missing: {pattern} with one of {list(words)}")
+    return found
 
 
-def in_named_files(rows: DataFrame, words: Sequence[str]) -> DataFrame:
-    """Rows of files whose name holds one of the words, whatever the case."""
-    return rows.where(F.lower("_file").rlike("|".join(w.lower() for w in words)))
+def read_named(spark: SparkSession, pattern: str, words: Sequence[str]) -> DataFrame:
+    """Rows of the files whose name holds one of the words; no other file is read."""
+    return read_csv(spark, named_files(spark, pattern, words))
 
 
 def name_head(file: str = "_file") -> Column:

@@ -83,3 +83,33 @@ def upsert(df: DataFrame, open_writer: Callable[[], Callable[[list[tuple[str, di
 def append_log(scored: DataFrame, path: str) -> None:
     """Append scored rows with the time they were scored."""
     scored.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def log_batch(scored: DataFrame, path: str, number: int) -> None:
+    """The same for a numbered batch, whose rows a repeat replaces."""
+    scored.withColumn("logged_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def put_batch(df: DataFrame, path: str, number: int) -> None:
+    """A keyed store in Parquet: each batch is a version, which a repeat replaces."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+class Ledger:
+    """Which batches are done: one empty file per batch number, made when all its writes are."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self.jvm = path.rstrip("/"), spark.sparkContext._jvm
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _place(self, number: int):
+        place = self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{number}")
+        return place, place.getFileSystem(self.conf)
+
+    def holds(self, number: int) -> bool:
+        place, fs = self._place(number)
+        return fs.exists(place)
+
+    def note(self, number: int) -> None:
+        place, fs = self._place(number)
+        fs.create(place, True).close()

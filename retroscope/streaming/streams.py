@@ -79,20 +79,41 @@ def windowed_rates(stream: DataFrame, time: str, by: str, outcome: Column, width
     ).select(F.col("window.start").alias("window_start"), by, "rate", "n")
 
 
-def score_and_upsert(stream: DataFrame, text: str, checkpoint: str, open_writer: Callable, key: str = "id",
-                     log_path: str | None = None, **score_options) -> StreamingQuery:
-    """Score each micro-batch, send it to the keyed store, note it in the log."""
-    def handle(batch: DataFrame, _: int) -> None:
+def once_per_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], ledger: str | None = None) -> StreamingQuery:
+    """Hand each micro-batch to ``handle`` and note its number once that has returned.
+
+    A stream that stops between a batch's writes and its own checkpoint repeats the batch when it comes
+    back: a noted batch is passed over, one that was not noted is handled again, so ``handle`` has to put its
+    rows under the batch's number or their keys. The ledger lies in the checkpoint unless it is named, as
+    batch numbers mean nothing without it.
+    """
+    notes = writers.Ledger(stream.sparkSession, ledger or f"{checkpoint.rstrip('/')}/ledger")
+
+    def run(batch: DataFrame, number: int) -> None:
+        if not notes.holds(number):
+            handle(batch, number)
+            notes.note(number)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def score_and_upsert(stream: DataFrame, text: str, checkpoint: str, open_writer: Callable | None = None, key: str = "id",
+                     log_path: str | None = None, store: str | None = None, ledger: str | None = None, **score_options) -> StreamingQuery:
+    """Score each micro-batch once, send it to the keyed store (a writer or a Parquet folder), note it in the log."""
+    def handle(batch: DataFrame, number: int) -> None:
         scored = scoring.score(batch, text, **score_options).persist()
         try:
-            writers.upsert(writers.publishable(scored, scored.columns), open_writer, key)
+            ready = writers.publishable(scored, scored.columns)
+            if open_writer:
+                writers.upsert(ready, open_writer, key)
+            if store:
+                writers.put_batch(ready, store, number)
             if log_path:
-                writers.append_log(scored, log_path)
+                writers.log_batch(scored, log_path, number)
         finally:
             scored.unpersist()
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    return once_per_batch(stream, checkpoint, handle, ledger)
 
 
 def stream_to_table(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:

@@ -26,11 +26,18 @@ def test_csv_names_snapshots_and_multi_line_fields(spark, tmp_path):
     csv(tmp_path, "visa_buckets_1000.csv", row.format("new1"), row.format("new2"))
     csv(tmp_path, "visa_stable_regret_0.csv")
     rows = readers.read_csv(spark, str(tmp_path / "visa_buckets_*.csv"))
-    newest = readers.latest_snapshot(rows).collect()
+    latest = readers.read_latest(spark, str(tmp_path / "visa_buckets_*.csv"))
+    assert [f.rpartition("/")[2] for f in latest.inputFiles()] == ["visa_buckets_1000.csv"]  # the others are not even opened
+    newest = latest.collect()
     assert sorted(r["id"] for r in newest) == ["new1", "new2"]  # by number, not by letters
     assert newest[0]["selftext"] == "line one\n\nline, two" and newest[0]["title"] == 'a "quoted" title'
     assert readers.read_csv(spark, str(tmp_path / "visa_stable_regret_0.csv")).count() == 0
-    named = readers.in_named_files(readers.read_csv(spark, str(tmp_path / "*.csv")), lex.IMMIGRATION_FILE_WORDS)
+    csv(tmp_path, "broken.csv", "not, a row")
+    named = readers.read_named(spark, str(tmp_path / "*.csv"), lex.IMMIGRATION_FILE_WORDS)
+    assert len(named.inputFiles()) == 3
+    for missing in (lambda: readers.read_latest(spark, str(tmp_path / "none_*.csv")), lambda: readers.read_named(spark, str(tmp_path / "*.csv"), ["zzz"])):
+        with pytest.raises(FileNotFoundError):
+            missing()
     tagged = readers.with_source_and_domain(named, {"visa": "immigration"}).select("source_subreddit", "domain").distinct().collect()
     assert [(r[0], r[1]) for r in tagged] == [("visa", "immigration")]
     with pytest.raises(FileNotFoundError):
@@ -225,3 +232,30 @@ def test_a_long_lexicon_scores_rows_and_streams_alike(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     scored = scoring.score(streams.file_stream(spark, f"{tmp_path}/in", df.schema), "t", lexicon=long)
     assert streams.stream_to_table(spark, scored, "long").count() == 3
+
+
+def test_a_batch_is_handled_until_it_is_noted_and_then_no_more(spark, tmp_path):
+    landing, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    spark.createDataFrame([(i,) for i in range(40)], "id long").repartition(4).write.parquet(landing)
+    stream = streams.file_stream(spark, landing, "id long", files_per_trigger=1)
+    notes, seen = writers.Ledger(spark, f"{progress}/ledger"), []
+
+    def run(stops):
+        def handle(batch, number):
+            writers.put_batch(batch, str(tmp_path / "store"), number)
+            seen.append(number)
+            if stops == "before" and number == 1:
+                raise RuntimeError("stopped")
+            if stops == "after" and number == 2:
+                notes.note(number)
+                raise RuntimeError("stopped")
+
+        streams.once_per_batch(stream, progress, handle).awaitTermination()
+
+    for stops in ("before", "after"):
+        with pytest.raises(Exception, match="stopped"):
+            run(stops)
+    run(None)
+    assert seen == [0, 1, 1, 2, 3] and all(notes.holds(i) for i in range(4)) and not notes.holds(4)
+    rows = spark.read.parquet(str(tmp_path / "store"))
+    assert rows.count() == 40 and rows.select("id").distinct().count() == 40
