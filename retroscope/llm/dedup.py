@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retroscope.llm.names import free
 from retroscope.session import cut_lineage
 
 # Fixed value: white space of the contract, each run of which counts as one space.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
+BROADCAST = 1_000_000  # narrow rows that are sent to all tasks
 
 def normalised(text: str | Column) -> Column:
     """The text as it is compared; null counts as empty."""
@@ -56,20 +58,46 @@ def exact_groups(docs: DataFrame, text: str = "text", id: str = "doc_id",
                          "text_sha256")
 
 
-def drop_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+def drop_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
     """The documents without exact copies, all columns kept. Rows that repeat an id with the same
-    text are copies as well and one of them stays; an id with several texts is judged text by text."""
-    marks = cut_lineage(exact_groups(docs, text, id))
-    ids = cut_lineage(marks.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.count("*").alias("_rows"), F.count_if("kept").alias("_kept")).where("_kept > 0"))
-    rows = docs.join(ids, F.col(id).eqNullSafe(F.col("_id")))
-    plain = rows.where("_rows = 1").select(*docs.columns)
-    if ids.where("_rows > 1").isEmpty():
-        return plain
-    kept = marks.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    several = rows.where("_rows > 1").select(*docs.columns).withColumn("_norm", normalised(text))
-    several = several.join(kept, F.col(id).eqNullSafe(F.col("_id")) & (F.sha2("_norm", 256) == F.col("_sha")))
-    return plain.unionByName(several.dropDuplicates([id, "_norm"]).select(*docs.columns))
+    text are copies as well and one of them stays; an id with several texts is judged text by text.
+
+    Groups are counted by hash and id alone. Bytes are compared only under hashes of several rows, where
+    copies collapse before the shuffle, and the rows that go are taken out by hash and id: a text with a
+    hash of its own never moves. Lists of up to BROADCAST hashes go to the tasks; longer ones meet the rows
+    in a sorted join.
+    """
+    h, norm = free(docs.columns, "hash", "norm")
+    keyed = docs.withColumn(h, hashed(normalised(text)))
+    ids = keyed.select(F.col(id).alias("doc_id"), F.col(h).alias("hash")).groupBy("hash", "doc_id").agg(F.count("*").alias("c"))
+    ids = cut_lineage(ids)
+    groups = cut_lineage(ids.groupBy("hash").agg(
+        F.sum("c").alias("n"), F.min("doc_id").alias("keep"), F.coalesce(F.min_by("c", "doc_id"), F.sum("c")).alias("same")).where("n > 1"))
+    # several rows under one hash: what their bytes say
+    shared = keyed.join(_sized(groups.select(F.col("hash").alias(h))), h, "left_semi").withColumn(norm, normalised(text))
+    kinds = cut_lineage(shared.groupBy(F.col(h).alias("hash"), F.col(norm).alias("norm")).agg(F.min(id).alias("keep")).select("hash", "keep", F.sha2("norm", 256).alias("sha")))
+    apart = cut_lineage(kinds.groupBy("hash").count().where("count > 1").select("hash"))
+    alike = groups if apart.isEmpty() else cut_lineage(groups.join(apart, "hash", "left_anti"))
+    gone = cut_lineage(ids.join(_sized(alike.select("hash", "keep")), "hash").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).select("hash", "doc_id"))
+    losers = _sized(gone.select(F.col("hash").alias("g_hash"), F.col("doc_id").alias("g_id"))).alias("g")
+    rest = keyed.alias("k").join(losers, (F.col(f"k.{h}") == F.col("g.g_hash")) & F.col(f"k.{id}").eqNullSafe(F.col("g.g_id")), "left_anti")
+    repeated = alike.where("same > 1").select(F.col("hash").alias(h))
+    if not repeated.isEmpty():
+        again = _sized(repeated)
+        rest = rest.join(again, h, "left_anti").unionByName(rest.join(again, h, "left_semi").dropDuplicates([h]))
+    if apart.isEmpty():
+        return rest.select(*docs.columns)
+    # different texts under one hash are told apart by their bytes
+    these = _sized(apart.select(F.col("hash").alias(h)))
+    mixed = keyed.join(these, h, "left_semi").withColumn(norm, normalised(text)).alias("k")
+    kept = kinds.join(apart, "hash").select(F.col("sha").alias("g_sha"), F.col("keep").alias("g_id")).alias("g")
+    mixed = mixed.join(kept, (F.sha2(F.col(f"k.{norm}"), 256) == F.col("g.g_sha")) & F.col(f"k.{id}").eqNullSafe(F.col("g.g_id")), "left_semi")
+    return rest.join(these, h, "left_anti").select(*docs.columns).unionByName(mixed.dropDuplicates([norm]).select(*docs.columns))
+
+
+def _sized(keys: DataFrame) -> DataFrame:
+    """Keys of a written table, for the tasks where they are few enough, for a sorted join otherwise."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys.hint("merge")
 
 
 OP1_SQL = r"""

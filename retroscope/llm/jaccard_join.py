@@ -4,15 +4,17 @@
    key, the counts of its shingles by hash group, and for the whole corpus a sketch of how often
    shingles occur. Equal sets become one class.
 2. A second scan sends the part of each set that any partner must touch: its n - ceil(3n/4) + 1 least
-   frequent shingles. Classes that share one of these form a cell; all links lie inside cells.
+   frequent shingles. Classes that share one of these form a cell; all links lie inside cells, and cells
+   of the same members are one.
 3. Cells are searched by size and by count vectors. A cell of up to LEAF classes is one leaf of points.
    In a larger one, dealt over tasks, points are packed into leaves with bounding boxes and a few
    members per round ask which leaves and points can reach them, first the one that shares most with
    others. Members that links already join are not asked about each other, so a large group of near
    copies costs rows, not pairs.
-4. A pair stays while the summed minima of its counts reach the overlap that it needs; those that
-   stay are verified on their texts, first one per class and then what the links so far leave open.
-5. Links give components.
+4. A pair stays while the summed minima of its counts, and then bitmaps of its shingles, allow the overlap
+   that it needs; those that stay are verified on their texts, first one per class and then what the
+   links so far leave open. Texts and bitmaps are dealt by class once, and pairs go to them.
+5. Links give components of classes; an id with several texts joins their classes.
 """
 
 from __future__ import annotations
@@ -21,17 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.llm.bytehash import blocks, buffer_of, mix, running, stretch
 from retroscope.llm.components import components
+from retroscope.operators.relational import vector_sum
 from retroscope.session import cut_lineage, discard
 
 WORDS = 5
 GROUPS = 256
 FULL = 255  # top of a count; a set that reaches it has all counts there and is never excluded
-SKETCH = 1 << 16
+SKETCH = 1 << 20  # most slots of the sketch: 8 MB a task
+SLOTS = 1 << 12  # slots of a block of it
+BITS = 8  # of a bitmap per shingle, rounded up to a power of two
+BROADCAST = 1_000_000  # narrow rows that are sent to all tasks
 LEAF = 128
 LEADERS = 256  # most members of a cell that ask in one round
 PART = 4096  # members of a large cell per task
@@ -85,10 +92,16 @@ def _counts(s: np.ndarray) -> bytes:
     return (np.full(GROUPS, FULL) if n.max() >= FULL else n).astype(np.uint8).tobytes()
 
 
-def _profile(docs: DataFrame) -> DataFrame:
-    """Per row (doc_id, n, k1, k2, counts), and rows (slot, seen) of the sketch."""
+def _slots(docs: DataFrame) -> int:
+    """Slots of the sketch: a power of two in proportion to the corpus, from a block up to SKETCH."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(SKETCH, max(SLOTS, 1 << (int(size) // 64).bit_length()))
+
+
+def _profile(docs: DataFrame, slots: int) -> DataFrame:
+    """Per row (doc_id, n, k1, k2, counts), and rows (block, seen) of the sketch, a block of slots each."""
     def scan(batches):
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch = np.zeros(slots, np.int64)
         for batch in batches:
             n, k1, k2, counts = [], [], [], []
             for s in shingle_sets(batch.column(1)):
@@ -97,22 +110,25 @@ def _profile(docs: DataFrame) -> DataFrame:
                 k1.append(key[0])
                 k2.append(key[1])
                 counts.append(_counts(s))
-                np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(sketch, (s & np.uint64(slots - 1)).astype(np.int64), 1)
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.array(counts, pa.binary()), none, none], names)
-        at = np.flatnonzero(sketch)
+                 pa.array(counts, pa.binary()), none, pa.nulls(len(n), pa.list_(pa.float64()))], names)
+        blocks_ = sketch.reshape(-1, SLOTS).astype(float)
+        at = np.flatnonzero(blocks_.any(axis=1))
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), none, none, none, pa.nulls(len(at), pa.binary()),
-                                          pa.array(at), pa.array(sketch[at])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at, pa.int64()),
+                                          pa.array(list(blocks_[at]), pa.list_(pa.float64()))], names)
 
-    names = ["doc_id", "n", "k1", "k2", "counts", "slot", "seen"]
-    return docs.mapInArrow(scan, "doc_id bigint, n bigint, k1 bigint, k2 bigint, counts binary, slot bigint, seen bigint")
+    names = ["doc_id", "n", "k1", "k2", "counts", "block", "seen"]
+    return docs.mapInArrow(scan, "doc_id bigint, n bigint, k1 bigint, k2 bigint, counts binary, block bigint, seen array<double>")
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """token, k1: what a partner of the set must share with it."""
+    """token, rep: what a partner of the set must share with it."""
+    slots = len(sketch)
+
     def scan(batches):
         done: set[tuple[int, int]] = set()
         for batch in batches:
@@ -122,14 +138,14 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if not len(s) or key in done:
                     continue
                 done.add(key)
-                rare = np.argsort(sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
+                rare = np.argsort(sketch[(s & np.uint64(slots - 1)).astype(np.int64)], kind="stable")
                 part = s[rare[:len(s) - (3 * len(s) + 3) // 4 + 1]]
                 tokens.append(part.view(np.int64))
                 keys.append(np.full(len(part), key[0]))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(keys), pa.int64())], ["token", "k1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(keys), pa.int64())], ["token", "rep"])
 
-    return docs.mapInArrow(scan, "token bigint, k1 bigint")
+    return docs.mapInArrow(scan, "token bigint, rep bigint")
 
 
 def _pairs_in_leaves(table: pa.Table) -> pa.Table:
@@ -201,67 +217,133 @@ def _within_bounds(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.mapInArrow(bound, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that are links, by the sets of their whole texts."""
-    def verify(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3))):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= 75 * (len(x) + len(y) - both) and both > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(verify, "a bigint, b bigint")
-
-
-def _spanning_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _bitmap(s: np.ndarray) -> bytes:
+    """One bit per shingle, at a place its hash gives."""
+    width = max(64, 1 << (BITS * max(1, len(s)) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _most_shared(x: bytes, n: int, y: bytes, m: int) -> int:
+    """The most that sets of n and m shingles with these bitmaps can share: a bit that only one of them
+    has stands for a shingle the other lacks. The longer bitmap is folded to the length of the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] | a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] | b[len(b) // 2:]
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
+class Texts:
+    """One text per class that may have a partner, and its bitmap, dealt by class once and for all: a join
+    moves pairs to them. The rows are read again from the table where an executor is lost."""
+
+    def __init__(self, docs: DataFrame, wanted: DataFrame):
+        spark = docs.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def scan(batches):
+            for batch in batches:
+                keys, bits, n = [], [], []
+                for s in shingle_sets(batch.column(1)):
+                    keys.append(_key(s)[0])
+                    bits.append(_bitmap(s))
+                    n.append(len(s))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), batch.column(1)],
+                                                 ["doc_id", "rep", "n", "bits", "text"])
+
+        few = wanted.count() <= BROADCAST
+        ids = wanted.select(F.col("head").alias("doc_id")).distinct()
+        held = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+        # an id with several texts brings them all; those of other classes go again
+        classes = wanted.select("rep", F.col("head").alias("doc_id"))
+        made = held.mapInArrow(scan, "doc_id bigint, rep bigint, n bigint, bits binary, text string")
+        made = made.join(F.broadcast(classes) if few else classes.hint("merge"), ["rep", "doc_id"], "left_semi")
+        self.rows = made.drop("doc_id").repartition(parts, "rep").dropDuplicates(["rep"]).persist(StorageLevel.DISK_ONLY)
+
+    def drop(self) -> None:
+        self.rows.unpersist()
+
+    def _beside(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        side = lambda c: self.rows.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]).hint("merge")
+        return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{x}_{c}" for x in columns for c in "ab"])
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that their bitmaps cannot exclude."""
+        def judge(batches):
+            for batch in batches:
+                n, m, x, y = (c.to_pylist() for c in batch.columns[2:6])
+                ok = [_most_shared(p, i, q, j) >= -(-3 * (i + j) // 7) for i, j, p, q in zip(n, m, x, y)]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return self._beside(pairs, "n", "bits").mapInArrow(judge, "a bigint, b bigint")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are links, by the sets of their whole texts."""
+        def verify(batches):
+            for batch in batches:
+                ok = []
+                for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3))):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * both >= 75 * (len(x) + len(y) - both) and both > 0)
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return self._beside(pairs, "text").mapInArrow(verify, "a bigint, b bigint")
+
+
+def _spanning_links(pairs: DataFrame, texts: Texts) -> DataFrame:
     """Links among ``pairs``, enough of them that their components are those of all links: first each
     class with its smallest partner, then the pairs whose ends are still apart."""
     first = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = cut_lineage(_verified(first, texts))
+    links = cut_lineage(texts.verified(first))
     roots = cut_lineage(components(links))
     side = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"root_{c}"))
     rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = cut_lineage(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    found = cut_lineage(links.unionByName(_verified(rest, texts)))
+    found = cut_lineage(links.unionByName(texts.verified(rest)))
     discard(first, links, roots, rest)
     return found
 
 
-def _large_cells(rows: DataFrame, vectors: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of ``links`` and of the links inside cells of more than LEAF classes."""
+def _large_cells(rows: DataFrame, vectors: DataFrame, texts: Texts, links: DataFrame) -> DataFrame:
+    """Components of ``links`` and of the links inside cells of more than LEAF classes. ``rows``: a class
+    with its cells (token, m) as an array; only cells that hold several components go on."""
     asked, most = None, 1
     while True:
         roots = cut_lineage(components(links)).select(F.col("v").alias("rep"), "root")
-        labelled = cut_lineage(rows.join(roots, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root"))
+        labelled = rows.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("label"), F.size("cells").alias("cells"), F.inline("cells"))
+        labelled = cut_lineage(labelled)
         groups = labelled.groupBy("token", "label").agg(F.count("*").alias("size"))
         largest = groups.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"))
         open_cells = largest.where("labels > 1").select("token", F.col("top.label").alias("top"))
-        left = labelled.join(open_cells, "token")
-        free = left
+        left = cut_lineage(labelled.join(open_cells, "token"))
+        discard(labelled)
+        free_ = left
         if asked is not None:
-            free = left.where("label <> top").join(asked, ["token", "rep"], "left_anti")
+            free_ = left.where("label <> top").join(asked, ["token", "rep"], "left_anti")
         # one member of each component before the second of any, those in most cells first
         inside = F.row_number().over(Window.partitionBy("token", "label").orderBy(F.desc("cells"), "rep"))
         turn = F.row_number().over(Window.partitionBy("token").orderBy("inside", F.desc("cells"), "rep"))
-        chosen = free.withColumn("inside", inside).where(F.col("inside") <= most)
+        chosen = free_.withColumn("inside", inside).where(F.col("inside") <= most)
         leaders = cut_lineage(chosen.withColumn("turn", turn).where(F.col("turn") <= most)
                               .select("token", "rep", "label", "m"))
         if leaders.isEmpty():
-            discard(labelled, leaders)
+            discard(left, leaders)
             return roots
         parts = F.ceil(F.col("m") / PART).cast("int")
         # only here do rows carry their points
         spread = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m").join(vectors.toDF(*vectors.columns), "rep")
         dealt = left.select("token", F.pmod(F.hash("rep"), parts).alias("part"), "rep", "label").join(vectors, "rep")
-        found = (spread.groupBy("token", "part").cogroup(dealt.groupBy("token", "part"))
-                 .applyInArrow(_search, "a bigint, b bigint").distinct())
-        links = cut_lineage(roots.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(_verified(found, texts)))
-        mine = leaders.select("token", "rep")
-        asked = mine if asked is None else cut_lineage(asked.unionByName(mine))
-        discard(labelled)
+        found = cut_lineage(spread.groupBy("token", "part").cogroup(dealt.groupBy("token", "part"))
+                            .applyInArrow(_search, "a bigint, b bigint").distinct())
+        possible = cut_lineage(texts.possible(found))
+        links = cut_lineage(roots.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(texts.verified(possible)))
+        rows = cut_lineage(left.groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("cells")))
+        asked_now = leaders.select("token", "rep")
+        asked = cut_lineage(asked_now if asked is None else asked.unionByName(asked_now))
+        discard(left, leaders, found, possible)
         most = min(most * 8, LEADERS)
 
 
@@ -275,45 +357,65 @@ def jaccard_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     has no component if there is none. An empty table gives no rows. Shingles are compared as 64-bit hashes.
     """
     docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    profile = cut_lineage(_profile(docs))
-    sets = profile.where("slot IS NULL")
+    slots = _slots(docs)
+    profile = cut_lineage(_profile(docs, slots))
+    sets = profile.where("block IS NULL").drop("block", "seen")
     full = sets.where("n > 0")
-    slots = profile.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("seen").alias("seen")).toArrow()
-    sketch = np.zeros(SKETCH, np.int64)
-    sketch[slots.column("slot").to_numpy()] = slots.column("seen").to_numpy()
-
-    classes = cut_lineage(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
-    heads = classes.where("rep IS NOT NULL")
-    vectors = cut_lineage(full.join(heads, ["k1", "k2", "n"]).where("doc_id = rep")
-                          .select("rep", "n", "counts").dropDuplicates(["rep", "n"]))
-    shared = _prefixes(docs, sketch).withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1")
-    shared = cut_lineage(shared.select("token", "k1"))
-    members = cut_lineage(shared.distinct().join(heads, "k1").select("token", "rep", "n"))
-    cells = cut_lineage(members.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"))
-
+    sketch = np.zeros(slots, np.int32)
+    for row in profile.where("block IS NOT NULL").groupBy("block").agg(vector_sum("seen")).toArrow().to_pylist():
+        sketch[row["block"] * SLOTS:(row["block"] + 1) * SLOTS] = np.minimum(row["seen"], 2 ** 31 - 1)
+
+    # a class of equal sets: its first key names it, one of its documents stands for it
+    classes = cut_lineage(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("head"), F.first("counts").alias("counts")).withColumnRenamed("k1", "rep"))
+    vectors = classes.where("head IS NOT NULL").select("rep", "n", "counts")
+    # one exchange serves the copies of a set in several tasks, the size of a cell and what it holds
+    cell, held = Window.partitionBy("token"), F.xxhash64("rep")
+    shared = _prefixes(docs.where("doc_id IS NOT NULL"), sketch).repartition("token").dropDuplicates(["token", "rep"])
+    shared = shared.select("token", "rep", F.count("*").over(cell).alias("m"), F.bit_xor(held).over(cell).alias("x"), F.sum(F.shiftright(held, 24)).over(cell).alias("s")).where("m > 1")
+    # cells of the same members are one cell, named after them
+    members = cut_lineage(shared.select(F.xxhash64("m", "x", "s").alias("token"), "rep", "m").distinct())
+    small = members.where(F.col("m") <= LEAF).join(vectors.select("rep", "n"), "rep").select("token", "rep", "n")
     buckets = max(1, -(-members.count() // ROWS)) * 8
-    small = members.join(cells.where(F.col("m") <= LEAF), "token").select("token", "rep", "n")
     found = (small.withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets))).groupBy("bucket")
              .applyInArrow(_pairs_in_leaves, "a bigint, b bigint").distinct())
-    pairs = cut_lineage(_within_bounds(found, vectors))
-    large = cut_lineage(members.join(cells.where(F.col("m") > LEAF), "token"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("rep")).distinct()
-    texts = cut_lineage(docs.join(wanted.hint("merge"), "doc_id"))
-    cells_of = large.groupBy("rep").agg(F.count("*").alias("cells"))
-    large = cut_lineage(large.join(cells_of, "rep").select("token", "rep", "m", "cells").distinct())
-    roots = _large_cells(large, vectors, texts, _spanning_links(pairs, texts))
-    discard(vectors, shared, members, cells, pairs, texts, large)
-    named = classes.join(roots, "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("component_id"))
+    near = cut_lineage(_within_bounds(found, vectors))
+    large = cut_lineage(members.where(F.col("m") > LEAF).groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("cells")))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
+    wanted = cut_lineage(wanted.join(classes.where("head IS NOT NULL").select("rep", "head"), "rep"))
+    texts = Texts(docs, wanted)
+    try:
+        pairs = cut_lineage(texts.possible(near))
+        links = _spanning_links(pairs, texts)
+        several = _classes_of_one_id(full)
+        if several is not None:
+            links = cut_lineage(links.unionByName(several))
+        roots = _large_cells(large, vectors, texts, links)
+    finally:
+        texts.drop()
+    discard(members, near, large, wanted, pairs)
+    placed = classes.join(roots, "rep", "left").select("rep", "k2", "n", "head", F.coalesce("root", "rep").alias("root"))
+    named = placed.join(placed.groupBy("root").agg(F.min("head").alias("component_id")), "root").select(F.col("rep").alias("k1"), "k2", "n", "component_id")
     grouped = full.join(named, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone)
 
 
+def _classes_of_one_id(full: DataFrame) -> DataFrame | None:
+    """Links between the classes of an id that has different texts; None if there are none."""
+    ids = full.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a <> z")
+    ids = cut_lineage(ids.select("doc_id", "a"))
+    if ids.isEmpty():
+        return None
+    return full.join(ids, "doc_id").where("a <> k1").select("a", F.col("k1").alias("b")).distinct()
+
+
 def keep_one_per_group(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The document that names each component; rows without an id stay if nothing equals them."""
     groups = cut_lineage(jaccard_groups(docs, text, id))
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col(id).eqNullSafe(F.col("_stays"))).select(*docs.columns)
+    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    goes = cut_lineage(groups.select("doc_id").distinct().join(stays, F.col("doc_id").eqNullSafe(F.col("stay")), "left_anti"))
+    few = goes.count() <= BROADCAST
+    return docs.alias("d").join((F.broadcast(goes) if few else goes.hint("merge")).alias("g"), F.col(f"d.{id}").eqNullSafe(F.col("g.doc_id")), "left_anti")
 
 
 OP8_SQL = r"""

@@ -171,7 +171,7 @@ def language_hits(model: LanguageFilters, texts: pa.Array) -> tuple[np.ndarray,
 
 
 def _judge(docs: DataFrame, model: LanguageFilters, text: str, carried: list[str]) -> DataFrame:
-    """The carried columns and, after them, _language and _share."""
+    """The carried columns and, after them, the language and its share."""
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -208,5 +208,8 @@ def identify(docs: DataFrame, model: LanguageFilters, text: str = "text", id: st
 
 def keep_identified(docs: DataFrame, model: LanguageFilters, least: float, text: str = "text") -> DataFrame:
     """The rows whose text is in a learned language with a score of ``least`` or more, all columns kept."""
-    judged = _judge(docs, model, text, docs.columns)
-    return judged.where((F.col("_language") != "und") & (F.col("_share") >= least)).drop("_language", "_share")
+    # by place: a caller's columns may have any names
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    judged = _judge(docs.toDF(*places), model, places[docs.columns.index(text)], places)
+    kept = judged.where((F.col("_language") != "und") & (F.col("_share") >= least)).select(*places)
+    return kept.toDF(*docs.columns)

@@ -229,6 +229,9 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
     mix = fit_domains(docs, labels, document_domain() if domain is None else domain, text, id)
     profile = cut_lineage(with_posteriors(docs.select(F.col(text).alias("_text")), mix, "_text").select("_tokens", "_p"))
     mix = _settled(fit_rates(profile, mix, weights))
-    rows = with_posteriors(docs.select(*docs.columns), mix, text)
-    rated = with_rates(rows, mix).withColumn("_copies", copies(F.col("_rate"), F.col(id)))
-    return rated.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # by place: a caller's columns may have any names
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    place = dict(zip(docs.columns, places))
+    rated = with_rates(with_posteriors(docs.toDF(*places), mix, place[text]), mix).withColumn("_copies", copies(F.col("_rate"), F.col(place[id])))
+    kept = rated.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*places)
+    return kept.toDF(*docs.columns)

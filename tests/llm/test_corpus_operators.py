@@ -68,6 +68,44 @@ def test_drop_copies(spark):
     assert kept == want
 
 
+@pytest.mark.parametrize("hashed", [dedup.content_hash, lambda n: F.unhex(F.substring(F.md5(n), 1, 1).cast("string")), lambda n: F.lit(b"1")])
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_drop_copies_also_where_hashes_collide(spark, monkeypatch, hashed, most):
+    monkeypatch.setattr(dedup, "BROADCAST", most)
+    rows = [*ODD, (2, "another"), (15, "another"), (20, "twice"), (20, "twice"), (21, "twice"), (None, ""), (None, "alone")]
+    clash = table_of(spark, rows).withColumn("g_id", F.lit(5)).withColumn("Hash_", F.lit("x"))
+    got = dedup.drop_copies(clash, hashed=hashed)
+    assert got.columns == clash.columns
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    want = {(norm(t), min((d for d, u in rows if norm(u) == norm(t) and d is not None), default=None)) for _, t in rows}
+    kept = [(norm(r.text), r.doc_id) for r in got.collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == want
+
+
+def test_callers_columns_may_have_any_names(spark):
+    names = ["_tokens", "_p", "_copies", "_words", "_language", "_share", "_stays", "_id", "_rows", "_kept", "_text", "c0", "g_id", "stay"]
+    docs = table_of(spark, [(i, f"the same old words again {i % 3} " * 4) for i in range(12)])
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id bigint, quality int, toxic int")
+    made = [language_id.keep_identified(docs, language_id.fit_filters(docs), 0.0), dedup.drop_copies(docs), jaccard_join.keep_one_per_group(docs),
+            mixing.mixed(docs, labels, {"good": 0.5, "poor": 0.5})]
+    for out in made:
+        assert out.columns == docs.columns
+        assert out.count() and all(r[n] == f"own {n}" for r in out.collect() for n in [*CLASHES, *names])
+
+
+def test_bitmaps_never_say_too_little():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n, m, both = rng.integers(1, 400, 3)
+        both = min(n, m, both)
+        pool = rng.integers(0, 2 ** 63, n + m).astype(np.uint64)
+        x, y = pool[:n], np.concatenate([pool[:both], pool[n:n + m - both]])
+        most = jaccard_join._most_shared(jaccard_join._bitmap(x), len(x), jaccard_join._bitmap(y), len(y))
+        assert both <= most <= min(n, m)
+
+
 def test_empty_tables(spark):
     none = table_of(spark, ODD).where("false")
     assert dedup.exact_groups(none).count() == 0
@@ -239,6 +277,9 @@ def test_jaccard_repeated_ids_and_one_per_group(spark):
     rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "z y"), (None, "z y"), (None, "q"), (4, None)]
     got = collect(jaccard_join.jaccard_groups(table_of(spark, rows)))
     assert got == sorted([(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 1, 3), (None, 1, 3), (None, 1, None), (4, 0, 4)], key=str)
+    a, b = (" ".join(f"{c}{i}" for i in range(12)) for c in "pq")
+    double = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (5, a + " y z"), (5, "other words that link with nothing at all"), (0, "other words that link with nothing at all")]
+    assert collect(jaccard_join.jaccard_groups(table_of(spark, double))) == brute_groups(double)
     kept = jaccard_join.keep_one_per_group(table_of(spark, rows))
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4, None} and set(CLASHES) < set(kept.columns)
 
