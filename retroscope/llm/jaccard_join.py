@@ -40,7 +40,7 @@ SLOTS = 1 << 12  # slots of a block of it
 BITS = 8  # of a bitmap per shingle, rounded up to a power of two
 BROADCAST = 1_000_000  # narrow rows that are sent to all tasks
 LEAF = 128
-LEADERS = 256  # most members of a cell that ask in one round
+LEADERS = 4096  # most members of a cell that ask in one round
 PART = 4096  # members of a large cell per task
 BLOCK = 1 << 20
 ROWS = 500_000
@@ -295,31 +295,36 @@ class Texts:
 
 def _spanning_links(pairs: DataFrame, texts: Texts) -> DataFrame:
     """Links among ``pairs``, enough of them that their components are those of all links: first each
-    class with its smallest partner, then the pairs whose ends are still apart."""
+    class with its smallest partner, then the pairs whose ends are still apart. Where classes have hardly
+    more than one partner, all pairs are verified at once."""
     first = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = cut_lineage(texts.verified(first))
-    roots = cut_lineage(components(links))
+    if pairs.count() <= 2 * first.count():
+        found = cut_lineage(texts.verified(pairs))
+        discard(first)
+        return found
+    roots = cut_lineage(components(texts.verified(first)))
     side = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"root_{c}"))
     rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = cut_lineage(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    found = cut_lineage(links.unionByName(texts.verified(rest)))
-    discard(first, links, roots, rest)
+    stars = roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
+    found = cut_lineage(stars.unionByName(texts.verified(rest)))
+    discard(first, roots, rest)
     return found
 
 
 def _large_cells(rows: DataFrame, vectors: DataFrame, texts: Texts, links: DataFrame) -> DataFrame:
     """Components of ``links`` and of the links inside cells of more than LEAF classes. ``rows``: a class
     with its cells (token, m) as an array; only cells that hold several components go on."""
-    asked, most = None, 1
+    asked, most, last = None, 1, False
     while True:
         roots = cut_lineage(components(links)).select(F.col("v").alias("rep"), "root")
+        if last:
+            return roots
         labelled = rows.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("label"), F.size("cells").alias("cells"), F.inline("cells"))
-        labelled = cut_lineage(labelled)
         groups = labelled.groupBy("token", "label").agg(F.count("*").alias("size"))
         largest = groups.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"))
         open_cells = largest.where("labels > 1").select("token", F.col("top.label").alias("top"))
         left = cut_lineage(labelled.join(open_cells, "token"))
-        discard(labelled)
         free_ = left
         if asked is not None:
             free_ = left.where("label <> top").join(asked, ["token", "rep"], "left_anti")
@@ -329,22 +334,25 @@ def _large_cells(rows: DataFrame, vectors: DataFrame, texts: Texts, links: DataF
         chosen = free_.withColumn("inside", inside).where(F.col("inside") <= most)
         leaders = cut_lineage(chosen.withColumn("turn", turn).where(F.col("turn") <= most)
                               .select("token", "rep", "label", "m"))
-        if leaders.isEmpty():
-            discard(left, leaders)
+        asking = leaders.count()
+        if not asking:
             return roots
+        # when all that may still ask do so in this round, no other can find more
+        last = asked is not None and asking == free_.count()
         parts = F.ceil(F.col("m") / PART).cast("int")
         # only here do rows carry their points
         spread = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m").join(vectors.toDF(*vectors.columns), "rep")
         dealt = left.select("token", F.pmod(F.hash("rep"), parts).alias("part"), "rep", "label").join(vectors, "rep")
-        found = cut_lineage(spread.groupBy("token", "part").cogroup(dealt.groupBy("token", "part"))
-                            .applyInArrow(_search, "a bigint, b bigint").distinct())
-        possible = cut_lineage(texts.possible(found))
-        links = cut_lineage(roots.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(texts.verified(possible)))
-        rows = cut_lineage(left.groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("cells")))
+        found = (spread.groupBy("token", "part").cogroup(dealt.groupBy("token", "part"))
+                 .applyInArrow(_search, "a bigint, b bigint").distinct())
+        stars = roots.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+        links = cut_lineage(stars.unionByName(texts.verified(found)))
         asked_now = leaders.select("token", "rep")
-        asked = cut_lineage(asked_now if asked is None else asked.unionByName(asked_now))
-        discard(left, leaders, found, possible)
-        most = min(most * 8, LEADERS)
+        asked = asked_now if asked is None else asked.unionByName(asked_now)
+        if not last:
+            rows = cut_lineage(left.groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("cells")))
+        discard(left)
+        most = min(most * 64, LEADERS)
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
