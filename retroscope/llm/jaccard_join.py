@@ -35,7 +35,7 @@ from retroscope.session import cut_lineage, discard
 WORDS = 5
 GROUPS = 256
 FULL = 255  # top of a count; a set that reaches it has all counts there and is never excluded
-SKETCH = 1 << 20  # most slots of the sketch: 8 MB a task
+SKETCH = 1 << 18  # most slots of the sketch: 2 MB a task
 SLOTS = 1 << 12  # slots of a block of it
 BITS = 8  # of a bitmap per shingle, rounded up to a power of two
 BROADCAST = 1_000_000  # narrow rows that are sent to all tasks
@@ -237,8 +237,8 @@ def _most_shared(x: bytes, n: int, y: bytes, m: int) -> int:
 
 
 class Texts:
-    """One text per class that may have a partner, and its bitmap, dealt by class once and for all: a join
-    moves pairs to them. The rows are read again from the table where an executor is lost."""
+    """One text per class that may have a partner, dealt by class once and for all so that a join moves pairs
+    to it, and its bitmap. Texts are read again from the table where an executor is lost."""
 
     def __init__(self, docs: DataFrame, wanted: DataFrame):
         spark = docs.sparkSession
@@ -247,27 +247,30 @@ class Texts:
         def scan(batches):
             for batch in batches:
                 keys, bits, n = [], [], []
-                for s in shingle_sets(batch.column(1)):
+                for s in shingle_sets(batch.column(2)):
                     keys.append(_key(s)[0])
                     bits.append(_bitmap(s))
                     n.append(len(s))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), batch.column(1)],
-                                                 ["doc_id", "rep", "n", "bits", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())],
+                                                 ["doc_id", "mark", "rep", "n", "bits"])
 
         few = wanted.count() <= BROADCAST
-        ids = wanted.select(F.col("head").alias("doc_id")).distinct()
-        held = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+        sized = lambda keys: F.broadcast(keys) if few else keys.hint("merge")
+        marked = docs.withColumn("mark", F.xxhash64("text"))
+        held = marked.join(sized(wanted.select(F.col("head").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        made = held.select("doc_id", "mark", "text").mapInArrow(scan, "doc_id bigint, mark bigint, rep bigint, n bigint, bits binary")
         # an id with several texts brings them all; those of other classes go again
-        classes = wanted.select("rep", F.col("head").alias("doc_id"))
-        made = held.mapInArrow(scan, "doc_id bigint, rep bigint, n bigint, bits binary, text string")
-        made = made.join(F.broadcast(classes) if few else classes.hint("merge"), ["rep", "doc_id"], "left_semi")
-        self.rows = made.drop("doc_id").repartition(parts, "rep").dropDuplicates(["rep"]).persist(StorageLevel.DISK_ONLY)
+        made = made.join(sized(wanted.select("rep", F.col("head").alias("doc_id"))), ["rep", "doc_id"], "left_semi")
+        self.marks = cut_lineage(made.dropDuplicates(["rep"]))
+        rows = marked.join(sized(self.marks.select("doc_id", "mark", "rep")), ["doc_id", "mark"]).select("rep", "text")
+        self.rows = rows.repartition(parts, "rep").dropDuplicates(["rep"]).persist(StorageLevel.DISK_ONLY)
 
     def drop(self) -> None:
         self.rows.unpersist()
+        discard(self.marks)
 
-    def _beside(self, pairs: DataFrame, *columns: str) -> DataFrame:
-        side = lambda c: self.rows.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]).hint("merge")
+    def _beside(self, pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+        side = lambda c: rows.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]).hint("merge")
         return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{x}_{c}" for x in columns for c in "ab"])
 
     def possible(self, pairs: DataFrame) -> DataFrame:
@@ -278,7 +281,7 @@ class Texts:
                 ok = [_most_shared(p, i, q, j) >= -(-3 * (i + j) // 7) for i, j, p, q in zip(n, m, x, y)]
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return self._beside(pairs, "n", "bits").mapInArrow(judge, "a bigint, b bigint")
+        return self._beside(pairs, self.marks, "n", "bits").mapInArrow(judge, "a bigint, b bigint")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links, by the sets of their whole texts."""
@@ -290,7 +293,7 @@ class Texts:
                     ok.append(100 * both >= 75 * (len(x) + len(y) - both) and both > 0)
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return self._beside(pairs, "text").mapInArrow(verify, "a bigint, b bigint")
+        return self._beside(pairs, self.rows, "text").mapInArrow(verify, "a bigint, b bigint")
 
 
 def _spanning_links(pairs: DataFrame, texts: Texts) -> DataFrame:
