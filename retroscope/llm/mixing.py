@@ -232,6 +232,9 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
     # by place: a caller's columns may have any names
     places = [f"c{i}" for i in range(len(docs.columns))]
     place = dict(zip(docs.columns, places))
-    rated = with_rates(with_posteriors(docs.toDF(*places), mix, place[text]), mix).withColumn("_copies", copies(F.col("_rate"), F.col(place[id])))
+    # the rate of ``with_rates`` as an expression: whole documents stay out of Python
+    price = [] if mix.prices is None else [float(x) for x in mix.prices]
+    rate = F.greatest(F.lit(0.0), 1 - sum((F.get("_p", F.lit(j)) * x for j, x in enumerate(price)), F.lit(0.0)) / PULL)
+    rated = with_posteriors(docs.toDF(*places), mix, place[text]).withColumn("_copies", copies(rate, F.col(place[id])))
     kept = rated.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*places)
     return kept.toDF(*docs.columns)
