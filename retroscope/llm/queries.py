@@ -61,7 +61,7 @@ def op4_chat_format(spark, folder):
     return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
-        F.length("formatted").cast("bigint").alias("formatted_chars"))
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
 
 
 @query(topk_search.OP5_SQL)
