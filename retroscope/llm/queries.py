@@ -95,7 +95,7 @@ def op9_secret_scan(spark, folder):
 
 @query()
 def op10_suffix_dedup(spark, folder):
-    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).withColumn("kept_bytes", F.col("n_bytes") - F.col("n_removed"))
 
 
 @query(prefix_trie.OP11_SQL)
