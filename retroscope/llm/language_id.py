@@ -20,6 +20,7 @@ SHARE = 0.1  # a language holds a gram if it uses it at least this often, agains
 WINDOW = 1 << 19
 FLUSH = 2_000_000
 MOST_LANGUAGES = 1024
+RARE = 0.001  # of unseen texts may lie further from their language than the threshold of rejection is measured by
 
 # multipliers of the hash family, odd numbers from the digits of the golden ratio and of e
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xB7E151628AED2A6B, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -213,3 +214,28 @@ def keep_identified(docs: DataFrame, model: LanguageFilters, least: float, text:
     judged = _judge(docs.toDF(*places), model, places[docs.columns.index(text)], places)
     kept = judged.where((F.col("_language") != "und") & (F.col("_share") >= least)).select(*places)
     return kept.toDF(*docs.columns)
+
+
+def rejection_share(held: DataFrame, model: LanguageFilters, text: str = "text", lang: str = "lang", rare: float = RARE) -> float:
+    """The share of grams below which a text is in none of the learned languages, from labelled texts the model
+    has not seen (``held``): midway between the share that all but one in ``1 / rare`` have in their own
+    language and the median of the best share that another language has in them. Rows without a text, a
+    learned language or a letter say nothing, nor do those that another language explains better than their
+    own (wrong labels); where none is left, 0: only texts without a letter are rejected then."""
+    labelled = held.where(F.col(lang).isin(model.languages) & F.col(text).rlike(r"\p{L}"))
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, hits = language_hits(model, batch.column(0))
+            own, at = pc.index_in(batch.column(1), pa.array(model.languages)).to_numpy(), np.arange(batch.num_rows)
+            said = hits[own, at]
+            hits[own, at] = 0.0
+            other = hits.max(axis=0)
+            ok = (said > 0) & (said >= other)
+            yield pa.RecordBatch.from_arrays([pa.array(said[ok] / total[ok]), pa.array(other[ok] / total[ok])], ["own", "other"])
+
+    if not model.languages:
+        return 0.0
+    found = labelled.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(shares, "own double, other double")
+    own, other = found.agg(F.percentile_approx("own", rare), F.percentile_approx("other", 0.5)).first()
+    return 0.0 if own is None else (own + other) / 2

@@ -205,6 +205,25 @@ def test_secret_owners(spark):
     assert by == {True: (5, 5, False), False: (1, 2, True)}
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="tables not present")
+def test_language_threshold_rejects_other_languages_and_keeps_the_learned(spark):
+    docs = queries.table(spark, SMALL, "documents").select("doc_id", "text", "lang")
+    strange = ["de kat zit op de mat en kijkt naar buiten terwijl het regent in de straten van de stad", "xq zrk vvbt plmw qqjx hhgf ttrw zzkp",
+               "il gatto dorme sul divano mentre fuori piove a dirotto sulle strade", "talossa on kaksi ikkunaa ja ovi joka avautuu pihalle"]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(strange)], "doc_id bigint, text string, lang string")
+    kept = {r[0] for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), SMALL).select("doc_id").collect()}
+    assert kept == {r[0] for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+
+
+def test_language_threshold_without_evidence(spark):
+    learn = table_of(spark, [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de")])
+    model = language_id.fit_filters(learn)
+    assert language_id.rejection_share(learn.where("false"), model) == 0.0
+    assert language_id.rejection_share(table_of(spark, [(1, None, "en"), (2, "", "en"), (3, "the cat", "xx"), (4, "12", "de")]), model) == 0.0
+    assert language_id.rejection_share(learn, language_id.fit_filters(learn.where("false"))) == 0.0
+    assert 0.3 < language_id.rejection_share(learn, model) < 1.0
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="tables not present")
 def test_language_held_out_accuracy(spark):
     got = queries.op7_language_id(spark, SMALL).join(queries.table(spark, SMALL, "documents").select("doc_id", "lang"), "doc_id")
