@@ -27,6 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retroscope.llm.batches import batches_of
 from retroscope.llm.bytehash import blocks, buffer_of, mix, running, stretch
 from retroscope.llm.components import components
 from retroscope.operators.relational import vector_sum
@@ -42,7 +43,8 @@ BROADCAST = 1_000_000  # narrow rows that are sent to all tasks
 LEAF = 128
 LEADERS = 4096  # most members of a cell that ask in one round
 PART = 4096  # members of a large cell per task
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+BATCH = 1000  # rows, with texts, counts or bitmaps, that a Python worker gets at once
 ROWS = 500_000
 
 _SPACE = np.zeros(256, bool)
@@ -151,18 +153,20 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 def _pairs_in_leaves(table: pa.Table) -> pa.Table:
     """Pairs (a, b) of fitting size inside each cell of the bucket."""
     token, rep, n = (table.column(c).to_numpy() for c in ("token", "rep", "n"))
+    names, rep = np.unique(rep, return_inverse=True)
     order = np.lexsort((rep, token))
     token, rep, n = token[order], rep[order], n[order]
-    found = [np.empty((2, 0), np.int64)]
+    # a pair is one number
+    found = [np.empty(0, np.int64)]
     for d in range(1, LEAF):
         same = np.flatnonzero(token[d:] == token[:-d])
         if not len(same):
             break
         x, y = n[same], n[same + d]
         same = same[4 * np.minimum(x, y) >= 3 * np.maximum(x, y)]
-        found.append(np.unique(np.stack([rep[same], rep[same + d]]), axis=1))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.table({"a": pairs[0], "b": pairs[1]})
+        found.append(np.unique(rep[same] * len(names) + rep[same + d]))
+    pairs = np.unique(np.concatenate(found))
+    return pa.table({"a": names[pairs // max(1, len(names))], "b": names[pairs % max(1, len(names))]})
 
 
 def _points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -190,8 +194,12 @@ def _search(asking: pa.Table, members: pa.Table) -> pa.Table:
     rep, n, label, points = rep[order], n[order], label[order], points[order]
     starts = np.arange(0, len(n), 64)
     top, low, high = np.maximum.reduceat(points, starts), np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
-    out = [np.empty((2, 0), np.int64)]
-    for q, size, mine, at in zip(asking.column("rep").to_numpy(), asking.column("n").to_numpy(), asking.column("label").to_numpy(),
+    asks = asking.column("rep").to_numpy()
+    names = np.unique(np.concatenate([rep, asks]))
+    place, turn = np.searchsorted(names, rep), np.searchsorted(names, asks)
+    # a pair is one number
+    out = [np.empty(0, np.int64)]
+    for q, size, mine, at in zip(turn, asking.column("n").to_numpy(), asking.column("label").to_numpy(),
                                  _points(asking.column("counts"))):
         near = np.flatnonzero((_reach(top, at) >= _needed(size, low)) & (4 * high >= 3 * size) & (4 * size >= 3 * low))
         if not len(near):
@@ -200,9 +208,9 @@ def _search(asking: pa.Table, members: pa.Table) -> pa.Table:
         i = i[i < len(n)]
         i = i[(label[i] != mine) & (4 * np.minimum(n[i], size) >= 3 * np.maximum(n[i], size))]
         i = i[_reach(points[i], at) >= _needed(size, n[i])]
-        out.append(np.stack([np.minimum(rep[i], q), np.maximum(rep[i], q)]))
-    pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pa.table({"a": pairs[0], "b": pairs[1]})
+        out.append(np.minimum(place[i], q) * len(names) + np.maximum(place[i], q))
+    pairs = np.unique(np.concatenate(out))
+    return pa.table({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
 
 
 def _within_bounds(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -368,42 +376,43 @@ def jaccard_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     has no component if there is none. An empty table gives no rows. Shingles are compared as 64-bit hashes.
     """
     docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    slots = _slots(docs)
-    profile = cut_lineage(_profile(docs, slots))
-    sets = profile.where("block IS NULL").drop("block", "seen")
-    full = sets.where("n > 0")
-    sketch = np.zeros(slots, np.int32)
-    for row in profile.where("block IS NOT NULL").groupBy("block").agg(vector_sum("seen")).toArrow().to_pylist():
-        sketch[row["block"] * SLOTS:(row["block"] + 1) * SLOTS] = np.minimum(row["seen"], 2 ** 31 - 1)
-
-    # a class of equal sets: its first key names it, one of its documents stands for it
-    classes = cut_lineage(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("head"), F.first("counts").alias("counts")).withColumnRenamed("k1", "rep"))
-    vectors = classes.where("head IS NOT NULL").select("rep", "n", "counts")
-    # one exchange serves the copies of a set in several tasks, the size of a cell and what it holds
-    cell, held = Window.partitionBy("token"), F.xxhash64("rep")
-    shared = _prefixes(docs.where("doc_id IS NOT NULL"), sketch).repartition("token").dropDuplicates(["token", "rep"])
-    shared = shared.select("token", "rep", F.count("*").over(cell).alias("m"), F.bit_xor(held).over(cell).alias("x"), F.sum(F.shiftright(held, 24)).over(cell).alias("s")).where("m > 1")
-    # cells of the same members are one cell, named after them
-    members = cut_lineage(shared.select(F.xxhash64("m", "x", "s").alias("token"), "rep", "m").distinct())
-    small = members.where(F.col("m") <= LEAF).join(vectors.select("rep", "n"), "rep").select("token", "rep", "n")
-    buckets = max(1, -(-members.count() // ROWS)) * 8
-    found = (small.withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets))).groupBy("bucket")
-             .applyInArrow(_pairs_in_leaves, "a bigint, b bigint").distinct())
-    near = cut_lineage(_within_bounds(found, vectors))
-    large = cut_lineage(members.where(F.col("m") > LEAF).groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("cells")))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
-    wanted = cut_lineage(wanted.join(classes.where("head IS NOT NULL").select("rep", "head"), "rep"))
-    texts = Texts(docs, wanted)
-    try:
-        pairs = cut_lineage(texts.possible(near))
-        links = _spanning_links(pairs, texts)
-        several = _classes_of_one_id(full)
-        if several is not None:
-            links = cut_lineage(links.unionByName(several))
-        roots = _large_cells(large, vectors, texts, links)
-    finally:
-        texts.drop()
-    discard(members, near, large, wanted, pairs)
+    with batches_of(docs.sparkSession, BATCH):
+        slots = _slots(docs)
+        profile = cut_lineage(_profile(docs, slots))
+        sets = profile.where("block IS NULL").drop("block", "seen")
+        full = sets.where("n > 0")
+        sketch = np.zeros(slots, np.int32)
+        for row in profile.where("block IS NOT NULL").groupBy("block").agg(vector_sum("seen")).toArrow().to_pylist():
+            sketch[row["block"] * SLOTS:(row["block"] + 1) * SLOTS] = np.minimum(row["seen"], 2 ** 31 - 1)
+
+        # a class of equal sets: its first key names it, one of its documents stands for it
+        classes = cut_lineage(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("head"), F.first("counts").alias("counts")).withColumnRenamed("k1", "rep"))
+        vectors = classes.where("head IS NOT NULL").select("rep", "n", "counts")
+        # one exchange serves the copies of a set in several tasks, the size of a cell and what it holds
+        cell, held = Window.partitionBy("token"), F.xxhash64("rep")
+        shared = _prefixes(docs.where("doc_id IS NOT NULL"), sketch).repartition("token").dropDuplicates(["token", "rep"])
+        shared = shared.select("token", "rep", F.count("*").over(cell).alias("m"), F.bit_xor(held).over(cell).alias("x"), F.sum(F.shiftright(held, 24)).over(cell).alias("s")).where("m > 1")
+        # cells of the same members are one cell, named after them
+        members = cut_lineage(shared.select(F.xxhash64("m", "x", "s").alias("token"), "rep", "m").distinct())
+        small = members.where(F.col("m") <= LEAF).join(vectors.select("rep", "n"), "rep").select("token", "rep", "n")
+        buckets = max(1, -(-members.count() // ROWS)) * 8
+        found = (small.withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets))).groupBy("bucket")
+                 .applyInArrow(_pairs_in_leaves, "a bigint, b bigint").distinct())
+        near = cut_lineage(_within_bounds(found, vectors))
+        large = cut_lineage(members.where(F.col("m") > LEAF).groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("cells")))
+        wanted = near.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
+        wanted = cut_lineage(wanted.join(classes.where("head IS NOT NULL").select("rep", "head"), "rep"))
+        texts = Texts(docs, wanted)
+        try:
+            pairs = cut_lineage(texts.possible(near))
+            links = _spanning_links(pairs, texts)
+            several = _classes_of_one_id(full)
+            if several is not None:
+                links = cut_lineage(links.unionByName(several))
+            roots = _large_cells(large, vectors, texts, links)
+        finally:
+            texts.drop()
+        discard(members, near, large, wanted, pairs)
     placed = classes.join(roots, "rep", "left").select("rep", "k2", "n", "head", F.coalesce("root", "rep").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("head").alias("component_id")), "root").select(F.col("rep").alias("k1"), "k2", "n", "component_id")
     grouped = full.join(named, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
