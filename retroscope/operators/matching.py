@@ -5,69 +5,86 @@ free, the lowest index among equally near ones, if it lies within the caliper.
 
 Rows further apart than the caliper never meet, so the score line falls into independent
 components. Components of a checked size run the rule as it stands, one task each. Larger
-ones use the equivalent deferred acceptance: every treated row proposes to its nearest
-control that has not turned it down, every control keeps the lowest index that asked.
-That can run in rounds of equi-joins on the control's position, with no pair lists.
+ones use the equivalent deferred acceptance, in which the order of the proposals is free:
+every treated row proposes to its nearest control that has not turned it down, every
+control keeps the lowest index that asked. The controls of such a line are dealt to segments
+of a checked size. In a round each segment settles all rows that are there, by the rule, and
+a row that finds a nearer control possible in another segment goes there for the next round.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.operators import ranks
-from retroscope.session import cut_lineage
+from retroscope.session import cut_lineage, discard
 
 LOCAL_ROWS = 200_000
-WINDOW = 8
+UNSEEN = np.iinfo(np.int64).min  # in place of the index of a control that is not known yet
 
 
-def _take_turns(treated: np.ndarray, t_score: np.ndarray, control: np.ndarray, c_score: np.ndarray,
-                caliper: float) -> list[tuple[int, int]]:
-    """The rule itself on one component; free neighbours are found by path-compressed links."""
-    order = np.lexsort((control, c_score))
-    control, c_score = control[order], c_score[order]
-    n = len(control)
-    right = list(range(n + 1))       # next free position at or after i (n = none)
-    left = list(range(-1, n))        # left[i + 1]: next free position at or before i (-1 = none)
-
-    def find_right(i: int) -> int:
-        root = i
+class _Free:
+    """Controls in order of score and index; free neighbours are found by path-compressed links."""
+
+    def __init__(self, control: np.ndarray, c_score: np.ndarray):
+        order = np.lexsort((control, c_score))
+        self.scores = c_score[order]
+        self.control, self.score = control[order].tolist(), self.scores.tolist()
+        self.block = np.searchsorted(self.scores, self.scores, side="left").tolist()
+        n = self.n = len(order)
+        self.right = list(range(n + 1))       # next free position at or after i (n = none)
+        self.left = list(range(-1, n))        # left[i + 1]: next free position at or before i (-1 = none)
+
+    def places(self, t_score: np.ndarray) -> list[int]:
+        """For each score the number of controls below it."""
+        return np.searchsorted(self.scores, t_score, side="left").tolist()
+
+    def _find_right(self, i: int) -> int:
+        right, root = self.right, i
         while right[root] != root:
             root = right[root]
         while right[i] != root:
             right[i], i = root, right[i]
         return root
 
-    def find_left(i: int) -> int:
+    def above(self, at: int) -> int:
+        """The first free position from ``at`` on; -1 if there is none."""
+        spot = self._find_right(at)
+        return spot if spot < self.n else -1
+
+    def below(self, at: int) -> int:
+        """Of the free positions before ``at`` the lowest index of the highest score; -1 if there is none."""
+        left, i = self.left, at - 1
         root = i
         while left[root + 1] != root:
             root = left[root + 1]
         while left[i + 1] != root:
             left[i + 1], i = root, left[i + 1]
-        return root
+        return self._find_right(self.block[root]) if root >= 0 else -1
+
+    def take(self, spot: int) -> None:
+        self.right[spot], self.left[spot + 1] = spot + 1, spot - 1
 
-    block = np.searchsorted(c_score, c_score, side="left")
+
+def _take_turns(treated: np.ndarray, t_score: np.ndarray, control: np.ndarray, c_score: np.ndarray,
+                caliper: float) -> list[tuple[int, int]]:
+    """The rule itself on one component."""
+    free = _Free(control, c_score)
+    at, scores = free.places(t_score), t_score.tolist()
     pairs = []
-    for k in np.argsort(treated, kind="stable"):
-        score = t_score[k]
-        at = int(np.searchsorted(c_score, score, side="left"))
-        options = []
-        r = find_right(at)
-        if r < n:
-            options.append((abs(score - c_score[r]), control[r], r))
-        low = find_left(at - 1)
-        if low >= 0:
-            low = find_right(int(block[low]))  # lowest index among equal scores
-            options.append((abs(score - c_score[low]), control[low], low))
-        if options:
-            dist, c, spot = min(options)
+    for k in np.argsort(treated, kind="stable").tolist():
+        spots = [spot for spot in (free.above(at[k]), free.below(at[k])) if spot >= 0]
+        if spots:
+            dist, c, spot = min((abs(scores[k] - free.score[x]), free.control[x], x) for x in spots)
             if dist <= caliper:
-                pairs.append((int(treated[k]), int(c)))
-                right[spot] = spot + 1
-                left[spot + 1] = spot - 1
+                pairs.append((int(treated[k]), c))
+                free.take(spot)
     return pairs
 
 
@@ -100,110 +117,147 @@ def match_nearest(units: DataFrame, index: str, treated: str, score: str, calipe
     if largest is None or largest <= local_rows:
         return small
     large = placed.where(F.col("size") > local_rows).select("i", "side", "s")
-    return small.unionByName(_deferred_acceptance(large, caliper))
-
-
-def _positions(controls: DataFrame) -> DataFrame:
-    """Position of each control walking right (score, index up) and left (score down, index up)."""
-    whole = ranks.cumulate(controls, "s", {"n": F.count(F.lit(1))})
-    tied = ranks.cumulate(controls, "i", {"k": F.count(F.lit(1))}, by=["s"])
-    above = F.col("n_total") - F.col("n_before") - F.col("n")
-    return tied.join(whole, "s").select(
-        F.col("i").alias("c"), F.col("s").alias("c_s"),
-        (F.col("n_before") + F.col("k_before")).alias("pos_right"),
-        (above + F.col("k_before")).alias("pos_left"),
-    )
+    return small.unionByName(_in_segments(large, caliper, max(1, local_rows)))
 
 
-def _deferred_acceptance(rows: DataFrame, caliper: float, window: int = WINDOW) -> DataFrame:
-    controls = cut_lineage(_positions(rows.where("side = 0").select("i", "s")))
-    n_controls = controls.count()
-    # where each treated score falls among the controls
-    spots = ranks.cumulate(rows, "s", {"c": F.count_if(F.col("side") == 0)}).select(
-        "s", F.col("c_before").alias("at_right"),
-        (F.col("c_total") - F.col("c_before")).alias("at_left"),
-    )
-    free = cut_lineage(
-        rows.where("side = 1").select(F.col("i").alias("t"), "s").join(spots, "s")
-        .withColumn("width", F.lit(window))
-    )
-    held = None
-    while True:
-        probes = free.select(
-            "t", "s", "at_right", "at_left", "width",
-            F.explode(F.array(F.lit("right"), F.lit("left"))).alias("way"),
-        ).select(
-            "*", F.when(F.col("way") == "right", F.col("at_right")).otherwise(F.col("at_left")).alias("at")
-        ).select("*", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("pos"))
-        probes = probes.where(F.col("pos") < n_controls)
-        stated = controls if held is None else controls.join(held, "c", "left")
-        holder = F.lit(None).cast("bigint") if held is None else F.col("holder")
-        ways = stated.select("c", "c_s", holder.alias("holder"), F.explode(F.array(
-            F.struct(F.lit("right").alias("way"), F.col("pos_right").alias("pos")),
-            F.struct(F.lit("left").alias("way"), F.col("pos_left").alias("pos")),
-        )).alias("_w")).select("c", "c_s", "holder", "_w.*")
-        near = probes.join(ways, ["way", "pos"]).withColumn("dist", F.abs(F.col("s") - F.col("c_s")))
-        willing = (F.col("dist") <= caliper) & (F.col("holder").isNull() | (F.col("holder") > F.col("t")))
-        option = F.when(willing, F.struct("dist", "c", "pos"))
-        per_way = near.groupBy("t", "way").agg(
-            F.min(option).alias("best"), F.max("dist").alias("reach"), F.count(F.lit(1)).alias("seen")
-        )
+@dataclass
+class _Segments:
+    """Lowest and highest score of each segment, ascending; equal scores lie in one segment or in
+    segments of their own, cut by index. ``next_left``: the segment that follows to the left (-1: none)."""
+    low: np.ndarray
+    high: np.ndarray
 
-        def of(way: str, field: str):
-            return F.max(F.when(F.col("way") == way, F.col(field))).alias(f"{field}_{way}")
+    def __post_init__(self) -> None:
+        # segments of one score are walked by index up, whichever way one comes
+        m = len(self.low)
+        alike = np.concatenate([[False], (self.low[1:] == self.low[:-1]) & (self.high[1:] == self.high[:-1]), [False]])
+        self.first = np.arange(m)
+        for k in range(1, m):
+            if alike[k]:
+                self.first[k] = self.first[k - 1]
+        before = np.where(self.first > 0, self.first[np.maximum(self.first - 1, 0)], -1)
+        self.next_left = np.where(alike[1:], np.arange(m) + 1, before)
 
-        merged = free.join(
-            per_way.groupBy("t").agg(*[of(w, f) for w in ("right", "left") for f in ("best", "reach", "seen")]),
-            "t", "left",
-        )
+    def gap_right(self, k: int, score: float) -> float:
+        """The least distance to a control from segment ``k`` on; infinite past the last."""
+        return max(float(self.low[k]) - score, 0.0) if k < len(self.low) else float("inf")
 
-        def side(way: str):
-            """First willing control, nearest one that may still be willing, next start."""
-            best, reach, seen = F.col(f"best_{way}"), F.col(f"reach_{way}"), F.col(f"seen_{way}")
-            ended = seen.isNull() | (seen < F.col("width")) | (reach > caliper)
-            unknown = F.when(best.isNotNull() | ended, F.lit(None)).otherwise(reach)
-            start = F.when(best.isNotNull(), best["pos"]).otherwise(
-                F.col(f"at_{way}") + F.coalesce(seen, F.lit(0))
-            )
-            return best, unknown, start
-
-        b_r, u_r, s_r = side("right")
-        b_l, u_l, s_l = side("left")
-        asked = F.least(F.struct(b_r["dist"].alias("d"), b_r["c"].alias("c")),
-                        F.struct(b_l["dist"].alias("d"), b_l["c"].alias("c")))
-        asked = F.when(b_r.isNull(), F.struct(b_l["dist"].alias("d"), b_l["c"].alias("c"))).when(
-            b_l.isNull(), F.struct(b_r["dist"].alias("d"), b_r["c"].alias("c"))).otherwise(asked)
-        bound = F.coalesce(F.least(u_r, u_l), F.lit(float("inf")))
-        moved = merged.select(
-            "t", "s", s_r.alias("at_right"), s_l.alias("at_left"), "width",
-            asked.alias("asked"), bound.alias("bound"),
-            (b_r.isNull() & b_l.isNull() & u_r.isNull() & u_l.isNull()).alias("gone"),
-        )
-        # ask only if nothing unseen can be as near; otherwise look further next round
-        sure = F.col("asked")["c"].isNotNull() & (F.col("asked")["d"] < F.col("bound"))
-        moved = cut_lineage(moved.where(~F.col("gone")).withColumn(
-            "want", F.when(sure, F.col("asked")["c"])
-        ).withColumn("width", F.when(sure, F.lit(window)).otherwise(F.col("width") * 2)).drop("asked", "bound", "gone"))
-        if moved.isEmpty():
-            break
-        asks = moved.where(F.col("want").isNotNull()).select(
-            F.col("want").alias("c"), F.col("t").alias("holder"), "s", "at_right", "at_left"
-        )
-        kept = held if held is not None else asks.limit(0)
-        contest = kept.unionByName(asks)
-        winners = contest.groupBy("c").agg(F.min_by(F.struct(*contest.columns), "holder").alias("_w")).select("_w.*")
-        held_next = cut_lineage(winners)
-        # whoever is not held any more, or asked in vain, is free
-        everyone = kept.select(F.col("holder").alias("t"), "s", "at_right", "at_left",
-                               F.lit(window).alias("width")).unionByName(
-            moved.select("t", "s", "at_right", "at_left", "width"))
-        free = cut_lineage(everyone.join(held_next.select(F.col("holder").alias("t")), "t", "left_anti"))
-        held = held_next
-        if free.isEmpty():
+    def gap_left(self, k: int, score: float) -> float:
+        return max(score - float(self.high[k]), 0.0) if k >= 0 else float("inf")
+
+
+_STATE = "t bigint, s double, seg int, held bigint, r_at int, r_d double, r_c bigint, l_at int, l_d double, l_c bigint"
+_FIELDS = [("t", pa.int64()), ("s", pa.float64()), ("seg", pa.int32()), ("held", pa.int64()), ("r_at", pa.int32()),
+           ("r_d", pa.float64()), ("r_c", pa.int64()), ("l_at", pa.int32()), ("l_d", pa.float64()), ("l_c", pa.int64())]
+
+
+def _state(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[] for _ in _FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(cols, _FIELDS)], schema=pa.schema(_FIELDS))
+
+
+def _enter(t: np.ndarray, s: np.ndarray, segments: _Segments, caliper: float) -> list[tuple]:
+    """Treated rows where their nearest control may be; rows with none in reach are left out."""
+    right = np.searchsorted(segments.high, s, side="left").tolist()
+    lower = (np.searchsorted(segments.low, s, side="left") - 1).tolist()
+    rows = []
+    for i, score, r_at, k in zip(t.tolist(), s.tolist(), right, lower):
+        l_at = int(segments.first[k]) if k >= 0 else -1
+        r_d, l_d = segments.gap_right(r_at, score), segments.gap_left(l_at, score)
+        if min(r_d, l_d) <= caliper:
+            rows.append((i, score, r_at if r_d <= l_d else l_at, None, r_at, r_d, UNSEEN, l_at, l_d, UNSEEN))
+    return rows
+
+
+def _settle(k: int, control: np.ndarray, c_score: np.ndarray, rows: list[tuple], segments: _Segments, caliper: float) -> list[tuple]:
+    """The rule among all treated rows that are in segment ``k``. A row takes the control that is nearest
+    here, unless one elsewhere may be as near: then it moves there and asks nobody here. For the side it
+    leaves it remembers the nearest control that was not refused, which can only get further."""
+    free = _Free(control, c_score)
+    at = free.places(np.array([r[1] for r in rows]))
+    out = []
+    for p in sorted(range(len(rows)), key=lambda j: rows[j][0]):
+        t, s, _, _, r_at, r_d, r_c, l_at, l_d, l_c = rows[p]
+        spot_r = spot_l = -1
+        if r_at == k:
+            spot_r = free.above(at[p])
+            if spot_r >= 0:
+                r_d, r_c = abs(s - free.score[spot_r]), free.control[spot_r]
+            else:
+                r_at, r_c = k + 1, UNSEEN
+                r_d = segments.gap_right(r_at, s)
+        if l_at == k:
+            spot_l = free.below(at[p])
+            if spot_l >= 0:
+                l_d, l_c = abs(s - free.score[spot_l]), free.control[spot_l]
+            else:
+                l_at, l_c = int(segments.next_left[k]), UNSEEN
+                l_d = segments.gap_left(l_at, s)
+        if min(r_d, l_d) > caliper:
+            continue
+        to_right = (r_d, r_c) < (l_d, l_c)
+        spot, held = (spot_r if to_right else spot_l), None
+        if spot >= 0:
+            held = free.control[spot]
+            free.take(spot)
+        out.append((t, s, k if spot >= 0 else r_at if to_right else l_at, held, r_at, r_d, r_c, l_at, l_d, l_c))
+    return out
+
+
+def _deal(rows: DataFrame, local_rows: int) -> tuple[DataFrame, _Segments]:
+    """Controls (c, s, seg) in segments of about ``local_rows`` rows, cut by score and, where one score has
+    more controls than that, by index. The driver gets two numbers per segment."""
+    cuts = ranks.bucket_bounds(rows, "s", single=local_rows)
+    controls = rows.where("side = 0").select(F.col("i").alias("c"), "s")
+    crowded = controls.where(F.col("s").isin(cuts)).groupBy("s").count().where(F.col("count") > local_rows).select("s")
+    often = sorted(r.s for r in crowded.collect())
+    bounds = sorted({*cuts, *(float(np.nextafter(v, np.inf)) for v in often)})
+    part = F.lit(0)
+    for v in often:
+        inner = ranks.bucket_bounds(controls.where(F.col("s") == v), "c", single=local_rows)
+        place = sum(((F.col("c") >= F.lit(b)).cast("int") for b in inner), F.lit(0))
+        part = F.when(F.col("s") == v, place).otherwise(part)
+    placed = ranks.in_buckets(controls, "s", bounds).withColumn("part", part)
+    found = placed.groupBy("_bucket", "part").agg(F.min("s").alias("low"), F.max("s").alias("high")).orderBy("_bucket", "part").collect()
+    names = F.array(*[F.struct(F.lit(r["_bucket"]).alias("b"), F.lit(r["part"]).alias("p")) for r in found])
+    seg = (F.array_position(names, F.struct(F.col("_bucket").alias("b"), F.col("part").alias("p"))) - 1).cast("int")
+    return (placed.select("c", "s", seg.alias("seg")),
+            _Segments(np.array([r["low"] for r in found], float), np.array([r["high"] for r in found], float)))
+
+
+def _in_segments(rows: DataFrame, caliper: float, local_rows: int) -> DataFrame:
+    """Deferred acceptance between the segments of the line, until no treated row has to move."""
+    spark = rows.sparkSession
+    if rows.where("side = 0").isEmpty():
+        return spark.createDataFrame([], "treated_index long, control_index long")
+    controls, segments = _deal(rows, local_rows)
+    controls = cut_lineage(controls)
+
+    def enter(batches):
+        for batch in batches:
+            yield _state(_enter(batch.column(0).to_numpy(), batch.column(1).to_numpy(), segments, caliper))
+
+    def settle(key, here: pa.Table, there: pa.Table) -> pa.Table:
+        found = _settle(key[0].as_py(), here["c"].to_numpy(), here["s"].to_numpy(),
+                        list(zip(*[there[name].to_pylist() for name, _ in _FIELDS])), segments, caliper)
+        return pa.Table.from_batches([_state(found)])
+
+    state = cut_lineage(rows.where("side = 1").select("i", "s").mapInArrow(enter, _STATE))
+    while True:
+        waiting = state.where("held IS NULL")
+        sizes = {r.seg: r.n for r in waiting.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not sizes:
             break
-    if held is None:
-        return rows.sparkSession.createDataFrame([], "treated_index long, control_index long")
-    return held.select(F.col("holder").alias("treated_index"), F.col("c").alias("control_index"))
+        # where more wait than a task takes, the lowest indexes go in and the others stay for the next round
+        goes = F.col("seg").isin(list(sizes))
+        for k, n in sizes.items():
+            if n > 2 * local_rows:
+                last = waiting.where(F.col("seg") == k).agg(F.percentile_approx("t", local_rows / n, 1000)).first()[0]
+                goes = goes & ~((F.col("seg") == k) & F.col("held").isNull() & (F.col("t") > last))
+        moved = controls.where(F.col("seg").isin(list(sizes))).groupBy("seg").cogroup(state.where(goes).groupBy("seg")).applyInArrow(settle, _STATE)
+        last_state, state = state, cut_lineage(moved.unionByName(state.where(~goes)))
+        discard(last_state)
+    return state.select(F.col("t").alias("treated_index"), F.col("held").alias("control_index"))
 
 
 def matched_frame(units: DataFrame, pairs: DataFrame, index: str, treated: str, cols: list[str]) -> DataFrame:
