@@ -68,7 +68,7 @@ def stream_resumed_store(spark, d):
     notes, ends = writers.Ledger(spark, f"{progress}/ledger"), {1: "before", 3: "after"}
 
     def handle(batch, number):
-        scored = scoring.score(batch, "selftext").persist()
+        scored = scoring.score(streams.dealt(batch), "selftext").persist()
         writers.put_batch(scored, store, number)
         writers.log_batch(scored, log, number)
         scored.unpersist()

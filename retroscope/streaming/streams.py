@@ -79,6 +79,11 @@ def windowed_rates(stream: DataFrame, time: str, by: str, outcome: Column, width
     ).select(F.col("window.start").alias("window_start"), by, "rate", "n")
 
 
+def dealt(batch: DataFrame) -> DataFrame:
+    """The rows of a micro-batch over all cores: a batch of one file is one task, whatever its rows cost."""
+    return batch.repartition(4 * batch.sparkSession.sparkContext.defaultParallelism)
+
+
 def once_per_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], ledger: str | None = None) -> StreamingQuery:
     """Hand each micro-batch to ``handle`` and note its number once that has returned.
 
@@ -101,7 +106,7 @@ def score_and_upsert(stream: DataFrame, text: str, checkpoint: str, open_writer:
                      log_path: str | None = None, store: str | None = None, ledger: str | None = None, **score_options) -> StreamingQuery:
     """Score each micro-batch once, send it to the keyed store (a writer or a Parquet folder), note it in the log."""
     def handle(batch: DataFrame, number: int) -> None:
-        scored = scoring.score(batch, text, **score_options).persist()
+        scored = scoring.score(dealt(batch), text, **score_options).persist()
         try:
             ready = writers.publishable(scored, scored.columns)
             if open_writer:

@@ -259,3 +259,13 @@ def test_a_batch_is_handled_until_it_is_noted_and_then_no_more(spark, tmp_path):
     assert seen == [0, 1, 1, 2, 3] and all(notes.holds(i) for i in range(4)) and not notes.holds(4)
     rows = spark.read.parquet(str(tmp_path / "store"))
     assert rows.count() == 40 and rows.select("id").distinct().count() == 40
+
+
+def test_a_batch_of_one_file_is_scored_by_all_cores(spark, tmp_path):
+    landing, log = str(tmp_path / "in"), str(tmp_path / "log")
+    spark.createDataFrame([(str(i), f"I quit {i}") for i in range(400)], "id string, text string").coalesce(1).write.parquet(landing)
+    stream = streams.file_stream(spark, landing, "id string, text string", files_per_trigger=1)
+    streams.score_and_upsert(stream, "text", str(tmp_path / "progress"), log_path=log).awaitTermination()
+    assert spark.read.parquet(log).select("id").distinct().count() == 400
+    files = spark.read.parquet(log).select("_metadata.file_name").distinct().count()
+    assert files >= spark.sparkContext.defaultParallelism
