@@ -31,31 +31,58 @@ POISSON_STEPS = [
 ]
 PRIME = 2147483647
 CHUNK = 512
+SUMMED = 128  # rows that are summed at once
+CACHED = 1 << 14  # numbers of a block that is hashed at once
 HELD = 1 << 24  # numbers a task holds before it hands its sums on
 BLOCK = 250  # replicates of a task that needs an order
-BUCKET = 20_000  # rows between two cut points of scores; a score with more rows is a bucket of its own
+BUCKET = 50_000  # rows between two cut points of scores; a score with more rows is a bucket of its own
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo 2 ** 31 - 1, in place, for 0 <= x < 2 ** 62."""
-    for _ in range(2):
-        high = x >> 31
-        x &= PRIME
-        x += high
-    x -= PRIME * (x >= PRIME)
-    return x
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2 ** 31 - 1 for 0 <= x < 2 ** 62, in 32 bits."""
+    low = (x & np.uint64(PRIME)).astype(np.uint32)
+    low += (x >> np.uint64(31)).astype(np.uint32)
+    return _less_prime(low)
+
+
+def _less_prime(x: np.ndarray) -> np.ndarray:
+    """x less the prime where it is not below it: below, the difference wraps round to a larger number."""
+    return np.minimum(x, x - np.uint32(PRIME), out=x)
+
+
+def _step_table() -> tuple[np.ndarray, np.ndarray]:
+    """The first hash of each weight, and the weight by the upper bits of a hash; UNSURE where both sides of
+    a step have the same upper bits."""
+    steps = np.ceil(np.array(POISSON_STEPS) * PRIME).astype(np.uint32)
+    lowest = np.arange(1 << (31 - SHIFT), dtype=np.int64) << SHIFT
+    table = np.searchsorted(steps, lowest, "right").astype(np.uint8)
+    table[table != np.searchsorted(steps, lowest + (1 << SHIFT) - 1, "right")] = UNSURE
+    return steps, table
+
+
+SHIFT, UNSURE = 15, 255
+STEPS, WEIGHTS = _step_table()
 
 
 def poisson_weights(keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
-    """Weights (key x rep): two squarings modulo a prime as the hash, then the inverse CDF."""
-    k = (keys.astype(np.int64) % PRIME)[:, None]
-    r = reps.astype(np.int64)[None, :]
-    h = _reduced(k * 48271 + (r * 69621 + seed * 16807 + 12345))
-    h = _reduced(h * h + h)
-    h = _reduced(h * h + (r + 7)).astype(np.int32)
-    out = np.zeros(h.shape, np.uint8)
-    for step in POISSON_STEPS:
-        out += h >= np.ceil(step * PRIME)
+    """Weights (key x rep): two squarings modulo a prime as the hash, then the inverse CDF. Worked on in
+    blocks of rows that stay in a core's cache."""
+    k = (keys.astype(np.int64) % PRIME * 48271 % PRIME).astype(np.uint32)
+    r = ((reps.astype(np.int64) * 69621 + seed * 16807 + 12345) % PRIME).astype(np.uint32)
+    last = reps.astype(np.uint64) + np.uint64(7)
+    out = np.empty((len(k), len(r)), np.uint8)
+    rows = max(1, CACHED // max(1, len(r)))
+    for start in range(0, len(k), rows):
+        h = _less_prime(k[start:start + rows, None] + r).astype(np.uint64)
+        h = _folded(h * (h + np.uint64(1))).astype(np.uint64)
+        h *= h
+        h += last
+        h = _folded(h)
+        part = out[start:start + rows]
+        np.take(WEIGHTS, h >> np.uint32(SHIFT), out=part, mode="clip")
+        unsure = part == UNSURE
+        if unsure.any():
+            part[unsure] = np.searchsorted(STEPS, h[unsure], "right")
     return out
 
 
@@ -92,8 +119,8 @@ def replicate_sums(df: DataFrame, by: Sequence[str], key: str | Column, terms: d
             values = batch.column(len(by) + 1).flatten().to_numpy().reshape(-1, wide)
             for g, at in places.items():
                 sums = held.setdefault(g, np.zeros((wide, reps)))
-                for start in range(0, len(at), CHUNK):
-                    part = at[start:start + CHUNK]
+                for start in range(0, len(at), SUMMED):
+                    part = at[start:start + SUMMED]
                     sums += values[part].T @ poisson_weights(keys[part], numbers, seed).astype(float)
                 if len(held) * wide * reps > HELD:
                     yield out()
@@ -183,6 +210,14 @@ def _gated(df: DataFrame, min_n: int) -> DataFrame:
     return df
 
 
+def _run_sums(weights: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each start to the next. Up to 25 weights of at most 10 fit into a byte."""
+    inside = np.arange(len(weights)) - np.repeat(first, np.diff([*first, len(weights)]))
+    cut = np.flatnonzero(inside % 25 == 0)
+    short = np.add.reduceat(weights, cut, axis=0, dtype=np.uint8)
+    return np.add.reduceat(short, np.flatnonzero(inside[cut] == 0), axis=0, dtype=np.uint32)
+
+
 def _in_order(reps: int, seed: int):
     """Rows by (bucket, score): per bucket the weights of positives and negatives and the pairs that are in
     order, ties half, each per replicate. Keeps one chunk and the running sums."""
@@ -215,10 +250,15 @@ def _in_order(reps: int, seed: int):
                         if bucket is not None:
                             done.append(closed())
                         bucket, state, score = int(buckets[a]), fresh(), None
-                    weights = poisson_weights(key[a:z], numbers, seed).astype(float)
-                    first = np.concatenate([[0], 1 + np.flatnonzero(np.diff(scores[a:z]))])
-                    p = np.add.reduceat(weights * label[a:z, None], first, axis=0)
-                    n = np.add.reduceat(weights * (1 - label[a:z, None]), first, axis=0)
+                    # sums of the runs of one score and label, then a row per score
+                    turn = a + np.lexsort((label[a:z], scores[a:z]))
+                    first = np.concatenate([[True], (np.diff(scores[turn]) != 0) | (np.diff(label[turn]) != 0)]).nonzero()[0]
+                    weights = poisson_weights(key[turn], numbers, seed)
+                    runs = _run_sums(weights, first)
+                    place = np.concatenate([[0], np.cumsum(np.diff(scores[turn[first]]) != 0)])
+                    positive = label[turn[first]] == 1
+                    p, n = np.zeros((place[-1] + 1, reps)), np.zeros((place[-1] + 1, reps))
+                    p[place[positive]], n[place[~positive]] = runs[positive], runs[~positive]
                     if score is not None and scores[a] == score:
                         p[0] += state[3]
                         n[0] += state[4]

@@ -71,3 +71,40 @@ def test_replicates_without_rows_or_with_one_class(spark):
     row = resample.auc_interval(df, "y", "s", "id", 20).first()
     assert tuple(row) == (0.5, 0.5, 0)
     assert resample.mean_interval(df.where("false"), "y", "id", "s", 20).count() == 0
+
+
+def test_weights_follow_their_definition_in_little_memory():
+    import tracemalloc
+
+    keys, reps = np.array([0, 1, 7, 2147483646, 2147483647, 2 ** 40 + 5, *range(1000, 1500)]), np.arange(1, 2001)
+    tracemalloc.start()
+    found = resample.poisson_weights(keys, reps, 42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a byte per weight and blocks of a fixed size, so the work stays in a core's cache
+    assert peak < 2 * found.size
+    for i in (*range(6), 300):
+        for r in (1, 2, 999, 2000):
+            h = (int(keys[i]) % resample.PRIME * 48271 + r * 69621 + 42 * 16807 + 12345) % resample.PRIME
+            h = (h * h + h) % resample.PRIME
+            h = (h * h + r + 7) % resample.PRIME
+            assert found[i, r - 1] == sum(h >= np.ceil(s * resample.PRIME) for s in resample.POISSON_STEPS)
+
+
+@pytest.mark.parametrize("levels", [3, 40, 10 ** 6])
+def test_pairs_in_order_against_plain_counts(levels):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(levels)
+    n, reps = 1300, 5
+    bucket, score = np.sort(rng.integers(0, 2, n)).astype(np.int32), rng.integers(0, levels, n) / 8
+    order = np.lexsort((score, bucket))
+    score, label, key = score[order], rng.integers(0, 2, n).astype(np.int32), rng.integers(0, 10 ** 6, n)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, score, label, key)], list("bslk"))
+    rows = pa.Table.from_batches(list(resample._in_order(reps, 42)([batch]))).to_pylist()
+    for row, b in zip(rows, (0, 1)):
+        w = resample.poisson_weights(key[bucket == b], np.arange(1, reps + 1), 42).astype(float)
+        s, y = score[bucket == b], label[bucket == b]
+        won = np.where(s[:, None] > s, 1.0, np.where(s[:, None] == s, 0.5, 0.0)) * np.outer(y, 1 - y)
+        assert row["bucket"] == b and row["pos"] == list(y @ w) and row["neg"] == list((1 - y) @ w)
+        assert row["pairs"] == [w[:, r] @ won @ w[:, r] for r in range(reps)]
