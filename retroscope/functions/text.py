@@ -259,8 +259,9 @@ def keyword_domain(text: str, keywords=lex.DOMAIN_KEYWORDS) -> Column:
     return F.expr(bind_sql(counts, "_c", first))
 
 
-def psycholinguistic(text: str = "full_text") -> dict[str, Column]:
-    """Five phrase rates per thousand words of a lower-cased text."""
+def psycholinguistic(text: str = "full_text", words: str | None = None) -> dict[str, Column]:
+    """Five phrase rates per thousand words of a lower-cased text; ``words`` names a column that has
+    ``word_count`` of it, which costs as much as the phrases, so that it is made once."""
     def n(phrases: Sequence[str]) -> str:
         return count_phrases_sql(text, phrases)
 
@@ -271,7 +272,7 @@ def psycholinguistic(text: str = "full_text") -> dict[str, Column]:
         "causal_reasoning_score": n(lex.CAUSAL),
         "future_orient_score": n(lex.FUTURE),
     }
-    return {name: F.expr(f"{c} / {word_count_sql(text)} * 1000D") for name, c in counts.items()}
+    return {name: F.expr(f"{c} / {words or word_count_sql(text)} * 1000D") for name, c in counts.items()}
 
 
 def parse_annotation(reply: str, schema: str) -> Column:

@@ -95,10 +95,10 @@ def enrich_posts(structured: DataFrame, lexicon: Mapping[str, float] = lex.DEMO_
     scored = structured.withColumn("spoken", tx.fallback_text())
     scored = durations.with_refined_duration(sentiment.inline_sentiment(scored, "spoken", lexicon))
     scored = sentiment.lexicon_emotion(scored, "spoken")
-    return with_engagement(scored.withColumns({
+    return with_engagement(scored.withColumn("_words", tx.word_count("full_text")).withColumns({
         "event_type": tx.classify_event("concat_ws(' ', full_text, regret_sentence)"),
-        **tx.psycholinguistic(),
-    }))
+        **tx.psycholinguistic(words="_words"),
+    }).drop("_words"))
 
 
 def with_engagement(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from retroscope.functions import lexicons as lex
 from retroscope.operators import relational, terms, topics
 from retroscope.functions import text as tx
+from retroscope.plans import posts
 from retroscope.session import cut_lineage, scratch_path
 from retroscope.sources import comments, readers, writers
 from retroscope.streaming import streams
@@ -269,3 +270,25 @@ def test_a_batch_of_one_file_is_scored_by_all_cores(spark, tmp_path):
     assert spark.read.parquet(log).select("id").distinct().count() == 400
     files = spark.read.parquet(log).select("_metadata.file_name").distinct().count()
     assert files >= spark.sparkContext.defaultParallelism
+
+
+def test_spread_gives_more_tasks_to_more_splits(spark):
+    """As many splits as cores is no reason to stay: a split is up to 128 MB, whose texts take over a minute."""
+    from retroscope.sources import readers
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(1000)
+    assert readers.spread(rows.repartition(1)).rdd.getNumPartitions() == 2 * cores
+    assert readers.spread(rows.repartition(cores)).rdd.getNumPartitions() == 8 * cores
+    assert readers.spread(rows.repartition(10 * cores)).rdd.getNumPartitions() == 80 * cores
+
+
+def test_words_are_counted_once_for_all_rates(spark):
+    rows = spark.createDataFrame([("d1", 1, "career", "t", "I regret it because we will see, maybe", 2020, 1, 2)],
+                                 "id string, doc_id long, domain string, title string, selftext string, post_year int, num_comments int, score int")
+    kept = rows.selectExpr("*", "lower(concat(title, '\n', selftext)) AS full_text", "'' AS regret_sentence", "false AS negated_regret",
+                           "0 AS urgency_score", "0 AS reversal", "CAST(NULL AS bigint) AS time_to_regret_days")
+    made = posts.enrich_posts(kept)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "_words" not in made.columns and plan.count("split(full_text") + plan.count("split(lower") <= 1
+    row = made.first()
+    assert row.social_embed_score >= 0 and row.future_orient_score > 0
