@@ -173,6 +173,11 @@ def combine(ways: list[list[tuple[float, tuple[int, ...]]]], n: int) -> list[tup
     return [(total - loss, taken) for loss, taken in best]
 
 
+def paths(ways: list[list[tuple[float, tuple[int, ...]]]], taken: dict[int, int]) -> list[int]:
+    """The ids of one of the n best: of each stretch its best way, or the one that is taken in its place."""
+    return list(chain.from_iterable(w[taken.get(i, 0)][1] for i, w in enumerate(ways)))
+
+
 def _lattice(path: str, n: int, logs: np.ndarray | None = None) -> Lattice:
     key, state = f"{n}:{path}", b"" if logs is None else hashlib.sha256(logs.tobytes()).digest()
     if key not in _LATTICES or _LATTICES[key][0] != state:
@@ -237,13 +242,22 @@ def log_frequencies(docs: DataFrame, model: str, text: str = "text") -> np.ndarr
 
 def segmentations(docs: DataFrame, model: str, n: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_pieces, scores (sums of log frequencies of the n best segmentations, descending),
-    pieces_sha256 (of the ids as 32-bit little-endian numbers) and round_trip (whether decoding the ids
-    gives the text back), per row. The ids are those of ``encode``; they need not be the best by score."""
-    def row(lattice: Lattice, t: str):
-        ids = array("i", chain.from_iterable(lattice.merges(lattice.parts(t))))
-        scores = [s for s, _ in combine(lattice.ways(t, n), n)]
-        return len(ids), scores, hashlib.sha256(ids.tobytes()).hexdigest(), lattice.decode(ids) == t
+    pieces_sha256 (of the ids as 32-bit little-endian numbers), round_trip (whether decoding the ids, and
+    those of each of the n best, gives the text back) and best_sha256 (of the ids of the n best, best first),
+    per row. ``pieces_sha256`` is of the ids of ``encode``; they need not be the best by score."""
+    def digest(ids) -> str:
+        return hashlib.sha256(array("i", ids).tobytes()).hexdigest()
 
-    names = {"n_pieces": pa.int64(), "scores": pa.list_(pa.float64()), "pieces_sha256": pa.string(), "round_trip": pa.bool_()}
-    return _apply(docs, model, text, n, [id], names, "n_pieces bigint, scores array<double>, pieces_sha256 string, round_trip boolean", row,
+    def row(lattice: Lattice, t: str):
+        ids = list(chain.from_iterable(lattice.merges(lattice.parts(t))))
+        ways = lattice.ways(t, n)
+        best = combine(ways, n)
+        found = [paths(ways, taken) for _, taken in best]
+        back = all(lattice.decode(x) == t for x in (ids, *found))
+        return len(ids), [s for s, _ in best], digest(ids), back, [digest(x) for x in found]
+
+    names = {"n_pieces": pa.int64(), "scores": pa.list_(pa.float64()), "pieces_sha256": pa.string(), "round_trip": pa.bool_(),
+             "best_sha256": pa.list_(pa.string())}
+    return _apply(docs, model, text, n, [id], names,
+                  "n_pieces bigint, scores array<double>, pieces_sha256 string, round_trip boolean, best_sha256 array<string>", row,
                   log_frequencies(docs, model, text))

@@ -430,6 +430,20 @@ def test_pieces_round_trip(spark):
     assert {r.n_pieces for r in judged if r.doc_id in (3, 4)} == {0}
 
 
+def test_the_n_best_come_back_as_ids(spark):
+    """The search's paths are results, not its scores alone: held against all paths of short texts."""
+    import hashlib
+    rows = [(1, "the"), (2, "hello"), (3, ""), (4, "日本x")]
+    docs = table_of(spark, rows)
+    lattice = pieces.Lattice(PIECES, pieces.log_frequencies(docs, PIECES))
+    judged = {r.doc_id: r for r in pieces.segmentations(docs, PIECES, n=3).collect()}
+    for key, text in rows:
+        brute = all_paths(lattice, " " + text) if text else [(0.0, ())]
+        named = {hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(): score for score, ids in brute}
+        r = judged[key]
+        assert r.round_trip and [named[x] for x in r.best_sha256] == r.scores == [s for s, _ in brute[:3]]
+
+
 def test_pieces_are_those_of_the_library(spark):
     import sentencepiece
 
