@@ -7,8 +7,11 @@ score) tables and are judged by the exact metrics of operators.metrics.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import product
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
@@ -22,6 +25,10 @@ from pyspark.sql import functions as F
 
 from retroscope.functions import text as tx
 from retroscope.operators import metrics, resample, terms, topics, vectors
+from retroscope.session import shared_dir
+
+ROWS = 20_000  # of a task that fits: a small table costs few tasks a pass, a large one gets more tasks, not longer ones
+AT_ONCE = 3  # folds, and fits within a fold: a fit is a line of short jobs that leaves cores idle
 
 
 def spoken(df: DataFrame) -> DataFrame:
@@ -47,15 +54,54 @@ def with_vectors(df: DataFrame, key: str, components: int = 50, keep: int = 10,
     return df.join(reduced.drop("components"), key)
 
 
-def fit_text(train: DataFrame, min_df: int = 5, max_features: int = 20_000, text: str = "spoken") -> PipelineModel:
-    """1-2-gram TF-IDF of unit length; the vocabulary has at most ``max_features`` terms."""
-    ready = [
+def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows for many passes: dealt by key in tasks of about ROWS rows, in order, and persisted. What
+    made them ends at the shuffle, so no pass carries it, and fits that draw rows draw the same ones."""
+    return df.repartition(max(1, -(-n // ROWS)), key).sortWithinPartitions(key).persist()
+
+
+def side_by_side(spark, jobs: Sequence[Callable[[], object]]) -> list:
+    """What the functions return, AT_ONCE of them at a time."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
+def _checkpoints(spark) -> None:
+    """A folder for boosting, which ends the lineage of its errors every ten rounds if there is one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def _term_stages(text: str) -> list:
+    """1-2-grams of a text as ``_terms``."""
+    return [
         RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
         StopWordsRemover(inputCol="_w", outputCol="_kept"),
         NGram(n=2, inputCol="_kept", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
     ]
-    prepared = PipelineModel(ready).transform(train)
+
+
+def studied(df: DataFrame, label: str, key: str, extra: Sequence[str] = (), numeric: Sequence[str] = (),
+            categorical: Sequence[str] = (), text: bool = True, **_) -> DataFrame:
+    """The columns a study reads, texts as terms: they are cut once for all fits, not once a fold and pass."""
+    rows = _labelled(df, label)
+    if text:
+        rows = PipelineModel(_term_stages("spoken")).transform(rows)
+    columns = [key, "label", *extra, *numeric, *categorical, *(["_terms"] if text else [])]
+    return rows.select(*dict.fromkeys(columns))
+
+
+def _apply(prep: PipelineModel, df: DataFrame) -> DataFrame:
+    """Features of rows with a text, or with the terms ``studied`` made of it."""
+    cut = len(_term_stages("")) if "_terms" in df.columns else 0
+    return PipelineModel(prep.stages[cut:]).transform(df)
+
+
+def fit_text(train: DataFrame, min_df: int = 5, max_features: int = 20_000, text: str = "spoken") -> PipelineModel:
+    """1-2-gram TF-IDF of unit length; the vocabulary has at most ``max_features`` terms."""
+    ready = _term_stages(text)
+    prepared = train if "_terms" in train.columns else PipelineModel(ready).transform(train)
     counts = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=min_df, vocabSize=max_features).fit(prepared)
     idf = IDF(inputCol="_tf", outputCol="_unused").fit(counts.transform(prepared))
     weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_tfidf")
@@ -118,11 +164,11 @@ def scores(model, df: DataFrame, key: str) -> DataFrame:
 def prepare(train: DataFrame, test: DataFrame, key: str, **features):
     """Fit features on ``train``; both sides as (key, label, features), train with weights.
 
-    The training side is persisted: every fit passes over it many times.
+    The training side is dealt and persisted: every fit passes over it many times.
     """
     prep, names = fit_features(train, **features)
-    ready = resample.class_weights(prep.transform(train).select(key, "label", "features"), "label").persist()
-    return prep, names, ready, prep.transform(test).select(key, "label", "features")
+    ready = resample.class_weights(_apply(prep, train).select(key, "label", "features"), "label")
+    return prep, names, dealt(ready, key, train.count()), _apply(prep, test).select(key, "label", "features")
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, key: str, classifier: Callable[[int], object],
@@ -139,19 +185,27 @@ def fit_and_score(train: DataFrame, test: DataFrame, key: str, classifier: Calla
 def cross_validate(df: DataFrame, label: str, key: str, classifiers: dict[str, Callable[[int], object]], k: int = 5,
                    seed: int = 42, **features) -> dict[str, list[float]]:
     """AUC per stratified fold and classifier; features are fitted once per fold."""
-    data = resample.with_folds(_labelled(df, label), "label", key, k, seed).persist()
-    found: dict[str, list[float]] = {name: [] for name in classifiers}
-    try:
-        for i in range(k):
-            _, _, ready, held = prepare(data.where(F.col("fold") != i), data.where(F.col("fold") == i), key, **features)
-            n = ready.count()
-            held = held.persist()
-            for name, classifier in classifiers.items():
-                table = scores(classifier(n).fit(ready), held, key)
-                found[name].append(metrics.auc(table, "label", "score").first()["auc"])
+    spark = df.sparkSession
+    rows = studied(df, label, key, **features) if "_terms" not in df.columns else df
+    data = dealt(resample.with_folds(rows, "label", key, k, seed), key, df.count())
+
+    def fold(i: int) -> list[float]:
+        test = data.where(F.col("fold") == i)
+        _, _, ready, held = prepare(data.where(F.col("fold") != i), test, key, **features)
+        n, held = ready.count(), dealt(held, key, test.count())
+
+        def area(classifier: Callable[[int], object]) -> float:
+            return metrics.auc(scores(classifier(n).fit(ready), held, key), "label", "score").first()["auc"]
+
+        try:
+            return side_by_side(spark, [lambda c=c: area(c) for c in classifiers.values()])
+        finally:
             ready.unpersist()
             held.unpersist()
-        return found
+
+    try:
+        areas = side_by_side(spark, [lambda i=i: fold(i) for i in range(k)])
+        return {name: [a[j] for a in areas] for j, name in enumerate(classifiers)}
     finally:
         data.unpersist()
 
@@ -159,15 +213,17 @@ def cross_validate(df: DataFrame, label: str, key: str, classifiers: dict[str, C
 def compare_models(df: DataFrame, label: str, key: str, classifiers: dict[str, Callable[[int], object]],
                    k: int = 5, reps: int = 2000, seed: int = 42, **features) -> tuple[DataFrame, str, PipelineModel, list[str]]:
     """Cross-validated and held-out AUC with interval per model, and the best on held-out rows."""
-    data = resample.with_split(_labelled(df, label), "label", key, 0.2, seed).persist()
+    spark = df.sparkSession
+    _checkpoints(spark)
+    data = dealt(resample.with_split(studied(df, label, key, **features), "label", key, 0.2, seed), key, df.count())
     try:
         train, test = data.where(~F.col("is_test")), data.where("is_test")
         folds = cross_validate(train, "label", key, classifiers, k, seed, **features)
         prep, names, ready, held = prepare(train, test, key, **features)
-        n = ready.count()
+        n, held = ready.count(), dealt(held, key, test.count())
+        models = dict(zip(classifiers, side_by_side(spark, [lambda c=c: c(n).fit(ready) for c in classifiers.values()])))
         rows, best = [], (0.0, "", None)
-        for name, classifier in classifiers.items():
-            model = classifier(n).fit(ready)
+        for name, model in models.items():
             table = scores(model, held, key).persist()
             area = metrics.auc(table, "label", "score").first()["auc"]
             ends = resample.auc_interval(table, "label", "score", key, reps, seed).first()
@@ -176,8 +232,9 @@ def compare_models(df: DataFrame, label: str, key: str, classifiers: dict[str, C
             if area > best[0]:
                 best = (area, name, PipelineModel([*prep.stages, model]))
         ready.unpersist()
-        out = df.sparkSession.createDataFrame(rows, "model string, cv_auc_mean double, cv_auc_std double, test_auc double, "
-                                                    "ci_lower double, ci_upper double")
+        held.unpersist()
+        out = spark.createDataFrame(rows, "model string, cv_auc_mean double, cv_auc_std double, test_auc double, "
+                                          "ci_lower double, ci_upper double")
         return out.withColumn("best", F.col("model") == best[1]), best[1], best[2], names
     finally:
         data.unpersist()
@@ -205,19 +262,21 @@ def leave_one_group_out(df: DataFrame, label: str, key: str, group: str, groups:
                         classifier: Callable[[int], object], reps: int = 2000, seed: int = 42, **features) -> DataFrame:
     """Train on all other groups, test on the one left out."""
     spark = df.sparkSession
-    data = _labelled(df, label).persist()
+    data = dealt(studied(df, label, key, [group], **features), key, df.count())
+
+    def left_out(g: str) -> tuple:
+        train, test = data.where(F.col(group) != g), data.where(F.col(group) == g)
+        table, _, _ = fit_and_score(train, test, key, classifier, **features)
+        table = table.persist()
+        m = metrics.auc(table, "label", "score").first()
+        ends = resample.auc_interval(table, "label", "score", key, reps, seed).first()
+        table.unpersist()
+        n_test = m["n_pos"] + m["n_neg"]
+        return (g, m["auc"], ends["ci_lower"], ends["ci_upper"], train.count(), n_test, m["n_pos"] / n_test,
+                [x for x in groups if x != g])
+
     try:
-        rows = []
-        for g in groups:
-            train, test = data.where(F.col(group) != g), data.where(F.col(group) == g)
-            table, _, _ = fit_and_score(train, test, key, classifier, **features)
-            table = table.persist()
-            m = metrics.auc(table, "label", "score").first()
-            ends = resample.auc_interval(table, "label", "score", key, reps, seed).first()
-            table.unpersist()
-            n_test = m["n_pos"] + m["n_neg"]
-            rows.append((g, m["auc"], ends["ci_lower"], ends["ci_upper"], train.count(), n_test, m["n_pos"] / n_test,
-                         [x for x in groups if x != g]))
+        rows = side_by_side(spark, [lambda g=g: left_out(g) for g in groups])
         return spark.createDataFrame(rows, "held_out string, test_auc double, ci_lower double, ci_upper double, "
                                            "n_train long, n_test long, rate_test double, trained_on array<string>")
     finally:
@@ -228,25 +287,13 @@ def grid_search(df: DataFrame, label: str, key: str, strengths=(0.01, 0.1, 1.0,
                 **features) -> DataFrame:
     """Fold-mean AUC of every (C, weighting). Features and class weights of a fold are fitted on its
     training rows, once for all cells."""
-    data = resample.with_folds(_labelled(df, label), "label", key, k, seed).persist()
-    found: dict[tuple[float, str], list[float]] = {}
-    try:
-        for i in range(k):
-            _, _, ready, held = prepare(data.where(F.col("fold") != i), data.where(F.col("fold") == i), key, **features)
-            n = ready.count()
-            held = held.persist()
-            for c in strengths:
-                for weighting, weight in (("none", None), ("balanced", "weight")):
-                    table = scores(logistic(n, c, weight).fit(ready), held, key)
-                    found.setdefault((c, weighting), []).append(metrics.auc(table, "label", "score").first()["auc"])
-            ready.unpersist()
-            held.unpersist()
-        rows = [(c, w, float(np.mean(a))) for (c, w), a in found.items()]
-        best = max(r[2] for r in rows)
-        return df.sparkSession.createDataFrame([(*r, r[2] == best) for r in rows],
-                                               "c double, weighting string, mean_auc double, best boolean")
-    finally:
-        data.unpersist()
+    cells = {(c, name): lambda n, c=c, weight=weight: logistic(n, c, weight)
+             for c, (name, weight) in product(strengths, (("none", None), ("balanced", "weight")))}
+    found = cross_validate(df, label, key, cells, k, seed, **features)
+    rows = [(c, w, float(np.mean(a))) for (c, w), a in found.items()]
+    best = max(r[2] for r in rows)
+    return df.sparkSession.createDataFrame([(*r, r[2] == best) for r in rows],
+                                           "c double, weighting string, mean_auc double, best boolean")
 
 
 def nested_feature_sets(df: DataFrame, label: str, key: str, base: Sequence[str], extra: Sequence[str],
