@@ -189,8 +189,7 @@ def sentiment_tokens(text: str) -> Column:
 
 def with_bigrams(words: str) -> Column:
     """The words, then each adjacent pair joined by one space."""
-    starts = "if(size(_r) > 1, sequence(1, size(_r) - 1), CAST(array() AS array<int>))"
-    pairs = f"transform({starts}, _i -> concat_ws(' ', slice(_r, _i, 2)))"
+    pairs = "zip_with(slice(_r, 1, greatest(size(_r) - 1, 0)), slice(_r, 2, greatest(size(_r) - 1, 0)), (_a, _b) -> concat(_a, ' ', _b))"
     return F.expr(bind_sql(words, "_r", f"concat(_r, {pairs})"))
 
 
