@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from retroscope.operators.relational import vector_sum
 
 
+def _added(at: np.ndarray, parts: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``parts`` added up by their place among ``n``."""
+    out = np.zeros((n, parts.shape[1]))
+    if n:
+        for j in range(parts.shape[1]):
+            out[:, j] = np.bincount(at, parts[:, j], n)
+    return out
+
+
 class _Batch:
     """Sparse rows of one Arrow batch laid end to end."""
 
@@ -25,17 +34,20 @@ class _Batch:
         self.val = np.concatenate([np.asarray(v) for v in val]) if self.n else np.zeros(0)
 
     def loads(self, h: np.ndarray, gram: np.ndarray, sweeps: int = 200):
-        """Best non-negative loads of every row given the topics, by coordinate descent."""
-        target = np.zeros((self.n, len(h)))
-        np.add.at(target, self.row, (h[:, self.idx] * self.val).T)
+        """Best non-negative loads of every row given the topics, by coordinate descent. A row that no longer
+        moves is left out of later sweeps."""
+        target = _added(self.row, h[:, self.idx].T * self.val[:, None], self.n)
         w = np.repeat(target.sum(axis=1, keepdims=True) / max(gram.sum(), 1e-12), len(h), axis=1)
+        live = np.arange(self.n)
         for _ in range(sweeps):
-            moved = 0.0
+            part, goal, moved = w[live], target[live], np.zeros(len(live))
             for j in np.flatnonzero(np.diag(gram) > 0):
-                new = np.maximum(0.0, w[:, j] + (target[:, j] - w @ gram[:, j]) / gram[j, j])
-                moved = max(moved, float(np.abs(new - w[:, j]).max(initial=0.0)))
-                w[:, j] = new
-            if moved < 1e-9:
+                new = np.maximum(0.0, part[:, j] + (goal[:, j] - part @ gram[:, j]) / gram[j, j])
+                moved = np.maximum(moved, np.abs(new - part[:, j]))
+                part[:, j] = new
+            w[live] = part
+            live = live[moved >= 1e-9]
+            if not len(live):
                 break
         return w, target
 
@@ -105,9 +117,8 @@ def truncated_svd(rows: DataFrame, v: int, k: int, extra: int = 10, rounds: int
             total = np.zeros((v, width))
             for b in batches:
                 held = _Batch(b["idx"], b["val"])
-                left = np.zeros((held.n, width))
-                np.add.at(left, held.row, basis[held.idx] * held.val[:, None])
-                np.add.at(total, held.idx, left[held.row] * held.val[:, None])
+                left = _added(held.row, basis[held.idx] * held.val[:, None], held.n)
+                total += _added(held.idx, left[held.row] * held.val[:, None], v)
             used = np.flatnonzero(total.any(axis=1))
             yield pd.DataFrame({"pos": used.astype(np.int32), "v": list(total[used])})
 
@@ -133,8 +144,7 @@ def svd_start(rows: DataFrame, v: int, k: int, seed: int = 42) -> np.ndarray:
         up, down, total, n = np.zeros(k_), np.zeros(k_), 0.0, 0
         for b in batches:
             held = _Batch(b["idx"], b["val"])
-            left = np.zeros((held.n, k_))
-            np.add.at(left, held.row, right[held.idx] * held.val[:, None])
+            left = _added(held.row, right[held.idx] * held.val[:, None], held.n)
             up += (np.maximum(left, 0) ** 2).sum(axis=0)
             down += (np.minimum(left, 0) ** 2).sum(axis=0)
             total, n = total + held.val.sum(), n + held.n
@@ -184,7 +194,7 @@ def fit_nmf(rows: DataFrame, terms: list[str], k: int = 10, iterations: int = 20
                 for b in batches:
                     held = _Batch(b["idx"], b["val"])
                     w, target = held.loads(h, gram)
-                    np.add.at(wx, held.idx, w[held.row] * held.val[:, None])
+                    wx += _added(held.idx, w[held.row] * held.val[:, None], v)
                     ww += w.T @ w
                     loss += held.val @ held.val - 2 * (w * target).sum() + ((w @ gram) * w).sum()
                 used = np.flatnonzero(wx.any(axis=1))
