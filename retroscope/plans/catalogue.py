@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from retroscope.plans import posts
 from retroscope.session import scratch_path
 from retroscope.sources import writers
-from retroscope.sources.readers import file_state, spread, table
+from retroscope.sources.readers import by_rows, file_state, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,9 +91,9 @@ def model_layer(spark, d):
     key = (spark.sparkContext.applicationId, d, file_state(spark, f"{d}/documents.parquet"), "model")
     if key not in _LAYERS:
         folder = scratch_path(spark, "layers")
-        rows, model = models.with_topics(layer(spark, d), "id")
+        rows, model = models.with_topics(by_rows(layer(spark, d)), "id")
         writers.write_layer(model.top_terms(spark), folder, "topics", 1)
-        _LAYERS[key] = (writers.write_layer(models.with_vectors(rows, "id"), folder, "enriched", 2), f"{folder}/topics/v1")
+        _LAYERS[key] = (writers.write_layer(models.with_vectors(by_rows(rows), "id"), folder, "enriched", 2), f"{folder}/topics/v1")
     rows, names = _LAYERS[key]
     return spark.read.parquet(rows), spark.read.parquet(names)
 

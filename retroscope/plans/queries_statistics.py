@@ -11,7 +11,7 @@ from retroscope.plans import oracle as sql
 from retroscope.plans.catalogue import layer, model_layer, query
 from retroscope.plans.queries_posts import BASE, EMOTION, PSY, RICH, SENTIMENT
 from retroscope.plans.queries_relational import ERA
-from retroscope.sources.readers import table
+from retroscope.sources.readers import by_rows, table
 
 CHI = "n:i dof:i chi2:f cramers_v:f p_value:f"
 
@@ -330,7 +330,7 @@ def cox_orders(spark, d):
 
 @query("term:s coef:f hazard_ratio:f se:f p_value:f n:i events:i converged:b")
 def cox_posts(spark, d):
-    rows = model_layer(spark, d)[0].where("time_to_regret_days > 0")
+    rows = by_rows(model_layer(spark, d)[0]).where("time_to_regret_days > 0")
     rows, dummies = stats.dummies(rows, "domain", "domain", ["career", "immigration", "relationships"])
     rows, moods = stats.dummies(rows, "emotion", "emo", ["anger", "disgust", "fear", "joy", "neutral", "sadness", "surprise"])
     covariates = ["vader_compound", "vader_neg", "urgency_score", "log_post_length", "topic", *dummies, *moods]

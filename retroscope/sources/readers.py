@@ -28,6 +28,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(2 * cores, 8 * splits if splits >= cores else 4 * splits))
 
 
+def by_rows(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Deal narrow rows in tasks of at most about ``rows``: files of a compact layer are small, so the reader
+    packs any number of rows into as many splits as there are cores."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
+
+
 def require(spark: SparkSession, paths: Sequence[str]) -> None:
     """Fail before any job is planned if an input is missing."""
     jvm = spark.sparkContext._jvm

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from retroscope.operators import metrics, resample
 from retroscope.plans import models
+from retroscope.sources import readers
 
 TEXTS = ["I quit the old job", "They moved to a new town", "quit quit the job again", "", "a new job in the old town"]
 
@@ -46,3 +47,11 @@ def test_grid_has_the_areas_of_single_fits(told):
                                            lambda n: models.logistic(n, 0.1), numeric=["x"], min_df=1)
         areas.append(metrics.auc(table, "label", "score").first()["auc"])
     assert found[(0.1, "none")] == pytest.approx(sum(areas) / 3, abs=1e-6)
+
+
+def test_narrow_rows_are_dealt_in_tasks_that_grow_with_them(spark, tmp_path):
+    spark.range(1000).repartition(2).write.parquet(str(tmp_path / "narrow"))
+    rows = spark.read.parquet(str(tmp_path / "narrow"))
+    dealt = readers.by_rows(rows, 50)
+    assert dealt.rdd.getNumPartitions() == 20 and dealt.agg(F.sum("id")).first()[0] == 499_500
+    assert readers.by_rows(rows, 500).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
