@@ -55,3 +55,12 @@ def test_narrow_rows_are_dealt_in_tasks_that_grow_with_them(spark, tmp_path):
     dealt = readers.by_rows(rows, 50)
     assert dealt.rdd.getNumPartitions() == 20 and dealt.agg(F.sum("id")).first()[0] == 499_500
     assert readers.by_rows(rows, 500).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+
+
+def test_comparison_fits_side_by_side_with_a_folder_for_boosting(told):
+    out, best, model, names = models.compare_models(
+        told, "reversal", "id", {"logistic": lambda n: models.logistic(n), "boosted": lambda n: models.boosted(2, 2)}, k=2, reps=20, numeric=["x"], min_df=1)
+    rows = {r["model"]: r for r in out.collect()}
+    assert set(rows) == {"logistic", "boosted"} and rows[best]["best"] and model.stages[-1].numFeatures == len(names)
+    assert all(r["test_auc"] > 0.5 and r["cv_auc_mean"] > 0.5 for r in rows.values())
+    assert told.sparkSession.sparkContext.getCheckpointDir() is not None
