@@ -470,6 +470,28 @@ def test_pieces_are_those_of_the_library(spark):
         assert np.allclose([s for s, _ in pieces.combine(ways, 4)], [b[0] for b in all_paths(lattice, " " + text)[:4]])
 
 
+def test_distinct_stretches_in_arrays_are_those_one_by_one(monkeypatch):
+    """Merges, best way and loss of many stretches together; none of the plain ones is searched backward."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choice("abehinorst,é") for _ in range(rnd.randint(1, 14))) for _ in range(40)) for _ in range(5)]
+    texts += ["", " ", "a\nb\n\n c", "日本 🎉x", "aa" * 40, " lead  and trail \n "]
+    lattice = pieces.Lattice(PIECES, np.round(-np.arange(32000.0) % 997 * 64) / 64 - 1)
+    want = [lattice.parts(t) for t in texts]
+    alone = {p: (lattice.merged(p), lattice.n_best(p, 2)) for p in {x for w in want for x in w}}
+    asked, search = [], pieces.Lattice.n_best
+    monkeypatch.setattr(pieces.Lattice, "n_best", lambda self, s, n: asked.append(s) or search(self, s, n))
+    (found, bounds, _, _), = pieces._pieces_of(lattice, pa.array(texts), True)
+    names = found.stretches.to_pylist()
+    assert [[names[c] for c in found.codes[a:b]] for a, b in zip(bounds[:-1], bounds[1:])] == want
+    for runs, side in ((found.merged, lambda p: alone[p][0]), (found.best, lambda p: alone[p][1][0][1])):
+        assert [tuple(runs.flat[a:a + n]) for a, n in zip(runs.start, runs.size)] == [side(p) for p in names]
+    assert found.score.tolist() == [alone[p][1][0][0] for p in names]
+    assert found.loss.tolist() == [w[0][0] - w[1][0] if len(w) > 1 else math.inf for w in (alone[p][1] for p in names)]
+    assert set(asked) == {p for p in names if len(p) > pieces.LONGEST or any(c not in lattice.ranks for c in p)}
+
+
 def labelled(n=300):
     rnd = random.Random(6)
     rows, labels = [], []
