@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retroscope.llm.bytehash import blocks
 from retroscope.session import cut_lineage
 
 GRAM = 4  # bytes, so that a gram is one 32-bit number
@@ -18,6 +19,7 @@ LOG2_BITS = 18
 HASHES = 2
 SHARE = 0.1  # a language holds a gram if it uses it at least this often, against the language that uses it most
 WINDOW = 1 << 19
+BLOCK = 1 << 20  # bytes of text that are folded and looked up together: a batch may hold far more
 FLUSH = 2_000_000
 MOST_LANGUAGES = 1024
 RARE = 0.001  # of unseen texts may lie further from their language than the threshold of rejection is measured by
@@ -46,6 +48,12 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _FOLD[raw], ends - ends[0]
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of about BLOCK bytes of texts; a longer text is alone in its range."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    return blocks(np.append(0, np.cumsum(size, dtype=np.int64)), BLOCK)
+
+
 def _windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Stretches of at most WINDOW grams: position of the first, the grams, and which lie within a text."""
     last = len(data) - GRAM + 1
@@ -87,8 +95,8 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             langs = batch.column(0)
             for lang in langs.unique().to_pylist():
-                data, offsets = _bytes_of(batch.column(1).filter(pc.equal(langs, lang)))
-                parts = [np.unique(g[ok], return_counts=True) for _, g, ok in _windows(data, offsets)]
+                texts = batch.column(1).filter(pc.equal(langs, lang))
+                parts = [np.unique(g[ok], return_counts=True) for i, j in _blocks(texts) for _, g, ok in _windows(*_bytes_of(texts.slice(i, j - i)))]
                 if parts:
                     sums.setdefault(lang, []).append(merged(parts))
             size = sum(len(p[0]) for parts in sums.values() for p in parts)
@@ -152,6 +160,14 @@ def fit_filters(docs: DataFrame, text: str = "text", lang: str = "lang", log2_bi
 
 def language_hits(model: LanguageFilters, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Grams of each text, and of those how many each language holds, freed of false positives."""
+    total, hits = np.zeros(len(texts)), np.zeros((len(model.languages), len(texts)))
+    for i, j in _blocks(texts):
+        total[i:j], hits[:, i:j] = _hits(model, texts.slice(i, j - i))
+    false = model.false_positive[:, None]
+    return total, np.maximum(0.0, (hits - total * false) / (1 - false))
+
+
+def _hits(model: LanguageFilters, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = _bytes_of(texts)
     total, hits = np.zeros(len(texts)), np.zeros((len(model.languages), len(texts)))
     for lo, grams, inside in _windows(data, offsets):
@@ -167,8 +183,7 @@ def language_hits(model: LanguageFilters, texts: pa.Array) -> tuple[np.ndarray,
             found[~inside] = 0
             for i in range(w * 63, min(w * 63 + 63, len(model.languages))):
                 hits[i, first:last] += spread((found >> table.dtype.type(i % 63)) & table.dtype.type(1))
-    false = model.false_positive[:, None]
-    return total, np.maximum(0.0, (hits - total * false) / (1 - false))
+    return total, hits
 
 
 def _judge(docs: DataFrame, model: LanguageFilters, text: str, carried: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ LONGEST = 32  # characters of a stretch that goes through the arrays; longer one
 TOGETHER = 1 << 13  # stretches in the arrays at once
 DISTINCT = 1 << 25  # bytes of text whose distinct stretches are found together
 BLOCK = 1 << 21  # bytes of text whose ids are laid out together
+ENCODED = 1 << 21  # bytes of text that are encoded and sent on together: ids of a whole batch would be large
 _POINT = 21  # bits of a code point
 _SYMBOL = 20  # bits of a symbol
 NO_MERGE = 1 << 40
@@ -400,11 +402,21 @@ def _pieces_of(lattice: Lattice, texts: pa.Array, search: bool) -> Iterator[tupl
         yield lattice.distinct(part, starts, search), np.searchsorted(starts, bounds), part, bounds
 
 
+def _slices(batch: pa.RecordBatch, most: int | None) -> Iterator[pa.RecordBatch]:
+    if most is None or not batch.num_rows:
+        yield batch
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+    for i, j in blocks(np.append(0, np.cumsum(size, dtype=np.int64)), most):
+        yield batch.slice(i, j - i)
+
+
 def _apply(docs: DataFrame, model: str, text: str, n: int, carried: list[str], names: dict[str, pa.DataType], types: str, column,
-           logs: np.ndarray | None = None) -> DataFrame:
+           logs: np.ndarray | None = None, most: int | None = None) -> DataFrame:
+    """``column`` makes the new columns of a batch, or, if ``most`` is given, of about so many bytes of texts."""
     def scan(batches):
         lattice = _lattice(model, n, logs)
-        for batch in batches:
+        for batch in chain.from_iterable(_slices(b, most) for b in batches):
             new = [pa.array(c, k) for c, k in zip(column(lattice, batch.column(0)), names.values())]
             fields = [*list(batch.schema)[1:], *(pa.field(x, k) for x, k in names.items())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], schema=pa.schema(fields))
@@ -427,7 +439,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", carried: tuple[str,
             ends.append(ends[-1][-1] + np.append(0, np.cumsum(size))[bounds[1:]])
         return [pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat)))]
 
-    return _apply(docs, model, text, 1, list(carried), {"pieces": pa.list_(pa.int32())}, "pieces array<int>", column)
+    return _apply(docs, model, text, 1, list(carried), {"pieces": pa.list_(pa.int32())}, "pieces array<int>", column, most=ENCODED)
 
 
 def decode(encoded: DataFrame, model: str, pieces: str = "pieces", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -492,6 +492,27 @@ def test_distinct_stretches_in_arrays_are_those_one_by_one(monkeypatch):
     assert set(asked) == {p for p in names if len(p) > pieces.LONGEST or any(c not in lattice.ranks for c in p)}
 
 
+def test_large_batches_are_worked_on_in_parts(monkeypatch):
+    """A batch of long texts is folded and looked up, or encoded and sent on, a bounded stretch of bytes at a time."""
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    texts = pa.array(["", None, "é" * 300, *("".join(rnd.choice("abcé ") for _ in range(rnd.randint(0, 60))) for _ in range(40))])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)))], ["_text", "doc_id"])
+    parts = list(pieces._slices(batch, 100))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]).combine_chunks()) and len(parts) > 10
+    assert all(p.num_rows == 1 or p.column(0).nbytes < 200 + 4 * p.num_rows + 100 for p in parts)
+    slots = np.random.default_rng(9).integers(0, 8, 1 << 10).astype(np.uint8)
+    model = language_id.LanguageFilters(["a", "b", "c"], [slots], np.full(3, 0.1), 0, 10, 2)
+    whole = language_id.language_hits(model, texts.fill_null(""))
+    seen, bytes_of = [], language_id._bytes_of
+    monkeypatch.setattr(language_id, "BLOCK", 100)
+    monkeypatch.setattr(language_id, "_bytes_of", lambda t: seen.append(len(t)) or bytes_of(t))
+    cut = language_id.language_hits(model, texts.fill_null(""))
+    assert len(seen) > 10 and sum(seen) == len(texts)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, cut)) and whole[1].any()
+
+
 def labelled(n=300):
     rnd = random.Random(6)
     rows, labels = [], []
