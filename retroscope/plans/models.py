@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retroscope.functions import text as tx
-from retroscope.operators import metrics, resample, terms, topics, vectors
+from retroscope.operators import forests, metrics, resample, terms, topics, vectors
 from retroscope.session import shared_dir
 
 ROWS = 20_000  # of a task that fits: a small table costs few tasks a pass, a large one gets more tasks, not longer ones
@@ -142,7 +142,10 @@ def logistic(n: int, c: float = 1.0, weight: str | None = None, **kw) -> Logisti
     return lr.setWeightCol(weight) if weight else lr
 
 
-def forest(trees: int = 300, depth: int = 20, seed: int = 42, weight: str | None = None) -> RandomForestClassifier:
+def forest(trees: int = 300, depth: int = 20, seed: int = 42, weight: str | None = None, key: str | None = None):
+    """Spark ML's forest, or, where a key is named, the one for few columns."""
+    if key:
+        return forests.Forest(trees, depth, key, seed, weight)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth,
                                 seed=seed, featureSubsetStrategy="sqrt")
     return rf.setWeightCol(weight) if weight else rf
@@ -195,7 +198,12 @@ def cross_validate(df: DataFrame, label: str, key: str, classifiers: dict[str, C
         n, held = ready.count(), dealt(held, key, test.count())
 
         def area(classifier: Callable[[int], object]) -> float:
-            return metrics.auc(scores(classifier(n).fit(ready), held, key), "label", "score").first()["auc"]
+            # the metric reads its table up to three times, a model scores a row once
+            table = scores(classifier(n).fit(ready), held, key).persist()
+            try:
+                return metrics.auc(table, "label", "score").first()["auc"]
+            finally:
+                table.unpersist()
 
         try:
             return side_by_side(spark, [lambda c=c: area(c) for c in classifiers.values()])

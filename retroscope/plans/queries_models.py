@@ -139,7 +139,8 @@ def leave_one_domain_out(spark, d):
 @query("features:s mean_auc:f std_auc:f gain:f")
 def engagement_gain(spark, d):
     base = ["vader_compound", "vader_neg", "urgency_score", "agency_score", "hedging_score", "causal_reasoning_score", "future_orient_score", "social_embed_score"]
-    return models.nested_feature_sets(layer(spark, d), "reversal", "id", base, ["comment_count_log", "score_log"], lambda n: models.forest(200, 10), k=5)
+    return models.nested_feature_sets(layer(spark, d), "reversal", "id", base, ["comment_count_log", "score_log"],
+                                      lambda n: models.forest(200, 10, key="id"), k=5)
 
 
 @query("threshold:f f1:f auc:f")
