@@ -488,53 +488,104 @@ def _nearest(found: Distinct, codes: np.ndarray, bounds: np.ndarray, n: int) ->
     return out
 
 
+def _searched(lattice: Lattice, texts: pa.Array, n: int) -> Iterator[tuple]:
+    """For runs of texts: where the stretches of each begin, the bytes of the texts and where each text begins among
+    them, the merged stretches as (start, size, ids), the n best of each text as ``combine`` gives them, and, made one
+    at a time, the stretches of each of the n best as (start, size, ids)."""
+    for found, all_bounds, all_data, all_ends in _pieces_of(lattice, texts, True):
+        for i, j in blocks(all_ends, BLOCK):
+            codes, bounds = found.codes[all_bounds[i]:all_bounds[j]], all_bounds[i:j + 1] - all_bounds[i]
+            data, ends = all_data[all_ends[i]:all_ends[j]], all_ends[i:j + 1] - all_ends[i]
+            merged, best = found.merged, found.best
+            # the best way of every stretch, and other ways where a text takes them
+            total = np.append(0.0, np.cumsum(found.score[codes]))[bounds]
+            chosen = []
+            for t, places in enumerate(_nearest(found, codes, bounds, n - 1)):
+                near = {p: lattice.known_ways(found.stretches[codes[bounds[t] + p]].as_py(), n) for p in places}
+                chosen.append((near, _combined(float(total[t + 1] - total[t]), near, n)))
+
+            def way(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                start, size, flat, end = best.start[codes], best.size[codes], [best.flat], len(best.flat)
+                for t, (near, ways) in enumerate(chosen):
+                    for p, taken in ways[k][1].items() if k < len(ways) else ():
+                        ids = near[p][taken][1]
+                        start[bounds[t] + p], size[bounds[t] + p] = end, len(ids)
+                        flat.append(np.array(ids, np.int32))
+                        end += len(ids)
+                return start, size, np.concatenate(flat)
+
+            yield bounds, data, ends, (merged.start[codes], merged.size[codes], merged.flat), [ways for _, ways in chosen], map(way, range(n))
+
+
+def _read(lattice: Lattice, runs: tuple[np.ndarray, np.ndarray, np.ndarray], bounds, data, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ids laid out by stretch: the ids of the texts, where each text begins among them, and whether they spell it."""
+    start, size, flat = runs
+    ids = flat[laid_out(start, size)]
+    cuts = np.append(0, np.cumsum(size))[bounds]
+    spelled, places = lattice.spelled(ids), np.append(0, np.cumsum(lattice.byte_size[ids]))[cuts]
+    if np.array_equal(places, ends) and np.array_equal(spelled, data):
+        return ids, cuts, np.ones(len(cuts) - 1, bool)
+    return ids, cuts, np.array([np.array_equal(spelled[a:b], data[c:d])
+                                for a, b, c, d in zip(places[:-1], places[1:], ends[:-1], ends[1:])], bool)
+
+
+def encode_n_best(docs: DataFrame, model: str, n: int = 2, text: str = "text", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, ``pieces`` of ``encode``, and of the lattice: ``scores`` (sums of log frequencies of the n
+    best segmentations, descending), ``best_pieces`` (the ids of each of them, best first) and ``round_trip`` (whether
+    decoding ``pieces``, and each of the n best, gives the text back). An empty text has one segmentation, of no pieces."""
+    def column(lattice: Lattice, texts: pa.Array) -> list:
+        sizes, flats, scores, counts, best_sizes, best_flats, back = [], [np.empty(0, np.int32)], [], [], [], [np.empty(0, np.int32)], []
+        for bounds, data, ends, merged, chosen, ways in _searched(lattice, texts, n):
+            ids, cuts, good = _read(lattice, merged, bounds, data, ends)
+            sizes.append(np.diff(cuts))
+            flats.append(ids)
+            read = [_read(lattice, way, bounds, data, ends) for way in ways]
+            count = np.array([len(x) for x in chosen])
+            has = np.arange(n) < count[:, None]  # text by text, best first
+            base = np.cumsum([0, *(len(r[0]) for r in read[:-1])])
+            start = np.stack([r[1][:-1] + b for r, b in zip(read, base)], 1)[has]
+            size = np.stack([np.diff(r[1]) for r in read], 1)[has]
+            best_sizes.append(size)
+            best_flats.append(np.concatenate([r[0] for r in read])[laid_out(start, size)])
+            counts.append(count)
+            scores.extend(s for x in chosen for s, _ in x)
+            back.append(good & (np.stack([r[2] for r in read], 1) | ~has).all(1))
+
+        def lists(size: list[np.ndarray], values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate([np.empty(0, np.int64), *size]))), pa.int32()), values)
+
+        return [lists(sizes, pa.array(np.concatenate(flats))), lists(counts, pa.array(scores, pa.float64())),
+                lists(counts, lists(best_sizes, pa.array(np.concatenate(best_flats)))), np.concatenate([np.empty(0, bool), *back])]
+
+    names = {"pieces": pa.list_(pa.int32()), "scores": pa.list_(pa.float64()), "best_pieces": pa.list_(pa.list_(pa.int32())), "round_trip": pa.bool_()}
+    return _apply(docs, model, text, n, list(carried), names,
+                  "pieces array<int>, scores array<double>, best_pieces array<array<int>>, round_trip boolean", column,
+                  log_frequencies(docs, model, text), most=ENCODED)
+
+
 def segmentations(docs: DataFrame, model: str, n: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_pieces, scores (sums of log frequencies of the n best segmentations, descending),
     pieces_sha256 (of the ids as 32-bit little-endian numbers), round_trip (whether decoding the ids, and
     those of each of the n best, gives the text back) and best_sha256 (of the ids of the n best, best first),
     per row. ``pieces_sha256`` is of the ids of ``encode``; they need not be the best by score."""
-    def read(lattice: Lattice, start, size, flat, bounds, data, ends) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """Of ids laid out by stretch: how many each text has, their digest, and whether they spell the text."""
-        ids = flat[laid_out(start, size)]
-        cuts = np.append(0, np.cumsum(size))[bounds]
+    def named(ids: np.ndarray, cuts: np.ndarray) -> list[str]:
         raw = memoryview(ids.astype("<i4")).cast("B")
-        digests = [hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        spelled, places = lattice.spelled(ids), np.append(0, np.cumsum(lattice.byte_size[ids]))[cuts]
-        if np.array_equal(places, ends) and np.array_equal(spelled, data):
-            return np.diff(cuts), digests, np.ones(len(digests), bool)
-        return np.diff(cuts), digests, np.array([np.array_equal(spelled[a:b], data[c:d])
-                                                 for a, b, c, d in zip(places[:-1], places[1:], ends[:-1], ends[1:])], bool)
+        return [hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def column(lattice: Lattice, texts: pa.Array) -> list:
         out: list[list] = [[] for _ in range(5)]
-        for found, all_bounds, all_data, all_ends in _pieces_of(lattice, texts, True):
-            for i, j in blocks(all_ends, BLOCK):
-                codes, bounds = found.codes[all_bounds[i]:all_bounds[j]], all_bounds[i:j + 1] - all_bounds[i]
-                data, ends = all_data[all_ends[i]:all_ends[j]], all_ends[i:j + 1] - all_ends[i]
-                merged, best = found.merged, found.best
-                count, digests, back = read(lattice, merged.start[codes], merged.size[codes], merged.flat, bounds, data, ends)
-                # the best way of every stretch, and other ways where a text takes them
-                total = np.append(0.0, np.cumsum(found.score[codes]))[bounds]
-                chosen = []
-                for t, places in enumerate(_nearest(found, codes, bounds, n - 1)):
-                    near = {p: lattice.known_ways(found.stretches[codes[bounds[t] + p]].as_py(), n) for p in places}
-                    chosen.append((near, _combined(float(total[t + 1] - total[t]), near, n)))
-                bests: list[list[str]] = [[] for _ in chosen]
-                for k in range(n):
-                    start, size, flat, end = best.start[codes], best.size[codes], [best.flat], len(best.flat)
-                    for t, (near, ways) in enumerate(chosen):
-                        for p, way in ways[k][1].items() if k < len(ways) else ():
-                            ids = near[p][way][1]
-                            start[bounds[t] + p], size[bounds[t] + p] = end, len(ids)
-                            flat.append(np.array(ids, np.int32))
-                            end += len(ids)
-                    _, named, spells = read(lattice, start, size, np.concatenate(flat), bounds, data, ends)
-                    for t, (_, ways) in enumerate(chosen):
-                        if k < len(ways):
-                            bests[t].append(named[t])
-                            back[t] &= spells[t]
-                for column_, new in zip(out, (count.tolist(), [[s for s, _ in ways] for _, ways in chosen], digests, back.tolist(), bests)):
-                    column_.extend(new)
+        for bounds, data, ends, merged, chosen, ways in _searched(lattice, texts, n):
+            ids, cuts, back = _read(lattice, merged, bounds, data, ends)
+            count, digests = np.diff(cuts), named(ids, cuts)
+            bests: list[list[str]] = [[] for _ in chosen]
+            for k, way in enumerate(ways):
+                ids, cuts, spells = _read(lattice, way, bounds, data, ends)
+                for t, digest in enumerate(named(ids, cuts)):
+                    if k < len(chosen[t]):
+                        bests[t].append(digest)
+                        back[t] &= spells[t]
+            for column_, new in zip(out, (count.tolist(), [[s for s, _ in x] for x in chosen], digests, back.tolist(), bests)):
+                column_.extend(new)
         return out
 
     names = {"n_pieces": pa.int64(), "scores": pa.list_(pa.float64()), "pieces_sha256": pa.string(), "round_trip": pa.bool_(),

@@ -492,6 +492,31 @@ def test_distinct_stretches_in_arrays_are_those_one_by_one(monkeypatch):
     assert set(asked) == {p for p in names if len(p) > pieces.LONGEST or any(c not in lattice.ranks for c in p)}
 
 
+def test_pipeline_encoding_searches_the_lattice(spark, monkeypatch):
+    """The last stage gives the n best ways of every text beside its ids, whatever the parts it works in."""
+    rows = [(1, "the"), (2, "hello"), (3, ""), (4, "日本x"), (5, None), (6, "the"), (7, "a  b\n c" * 50)]
+    docs = table_of(spark, rows).drop("pieces", "scores").withColumn("scores", F.lit("own"))
+    judged = {r.doc_id: r for r in pieces.segmentations(docs, PIECES).collect()}
+    lattice = pieces.Lattice(PIECES, pieces.log_frequencies(docs, PIECES))
+    named = lambda ids: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+    for most in (pieces.ENCODED, 8):
+        monkeypatch.setattr(pieces, "ENCODED", most)
+        monkeypatch.setattr(pieces, "BLOCK", most)
+        got = corpus_pipeline.encode_pieces(spark, docs, "")
+        assert "text" not in got.columns and got.columns[-4:] == ["pieces", "scores", "best_pieces", "round_trip"]
+        got = {r.doc_id: r for r in got.collect()}
+        assert len(got) == len(rows)
+        for key, text in rows:
+            r, want = got[key], judged[key]
+            assert r.round_trip and r.scores == want.scores and [named(x) for x in r.best_pieces] == want.best_sha256
+            assert named(r.pieces) == want.pieces_sha256 and all(lattice.decode(x) == (text or "") for x in [r.pieces, *r.best_pieces])
+            if key in (1, 2, 4):
+                paths = all_paths(lattice, " " + text)
+                assert r.scores == [s for s, _ in paths[:2]] and all((s, tuple(x)) in paths for s, x in zip(r.scores, r.best_pieces))
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    assert corpus_pipeline.encode_pieces(spark, none, "").collect() == []
+
+
 def test_large_batches_are_worked_on_in_parts(monkeypatch):
     """A batch of long texts is folded and looked up, or encoded and sent on, a bounded stretch of bytes at a time."""
     import pyarrow as pa
